@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["accounts", "rankings"]
+MODULES = ["accounts", "rankings", "ownership", "searching", "reconciling"]
 
 
 def load_all() -> None:

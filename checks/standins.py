@@ -8,15 +8,18 @@ package computes from them.
 from __future__ import annotations
 
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fjordbook.operators.accounts import latest_attempt
+from fjordbook.operators.holdings import classify_holders
 from fjordbook.plans.rankings import Register
+from fjordbook.sources.files import gender_by_name
 
 AS_OF = date(2001, 8, 2)
 
-DRIVER_TABLES = "region nation customer supplier part orders lineitem events documents embeddings benchmark conversations".split()
-
 _ORG = "lpad(cast({0} AS string), 9, '0')"
 _PRICE = "cast(o_totalprice AS decimal(20,2)) * 100"
 
@@ -162,36 +165,60 @@ TABLES: dict[str, str] = {
 }
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A register table derived from the driver's tables."""
     text = TABLES[name]
-    used = {t: load(spark, sf_dir, t) for t in DRIVER_TABLES if "{" + t + "}" in text}
+    used = {t: load(spark, sf_dir, t) for t in SCHEMAS if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 
-def register(spark: SparkSession, sf_dir: str) -> Register:
-    from fjordbook.operators.accounts import latest_attempt
-    from fjordbook.operators.holdings import classify_holders
-    from fjordbook.sources.files import gender_by_name
-    from pyspark.sql import functions as F
+class StandinRegister(Register):
+    """A register over the driver's tables; each table is set up when a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._get = lambda name: table(spark, sf_dir, name)
+        self.as_of = AS_OF
+        self.history = None
+        self.stored = {}
 
-    def get(name: str) -> DataFrame:
-        return table(spark, sf_dir, name)
+    companies = cached_property(lambda self: self._get("enheter"))
+    accounts = cached_property(lambda self: self._get("regnskap"))
+    roles = cached_property(lambda self: self._get("roller"))
+    holdings = cached_property(lambda self: classify_holders(self._get("aksjonar_raw"), F.col("aar")))
+    municipalities = cached_property(lambda self: self._get("kommuner"))
+    counties = cached_property(lambda self: self._get("fylker"))
+    industries = cached_property(lambda self: self._get("naeringskoder"))
+    first_names = cached_property(lambda self: gender_by_name(self._get("navneliste")))
+    attempts = cached_property(lambda self: latest_attempt(self._get("forsok")))
 
-    return Register(
-        companies=get("enheter"), accounts=get("regnskap"), roles=get("roller"),
-        holdings=classify_holders(get("aksjonar_raw"), F.col("aar")),
-        municipalities=get("kommuner"), counties=get("fylker"), industries=get("naeringskoder"),
-        first_names=gender_by_name(get("navneliste")), as_of=AS_OF, attempts=latest_attempt(get("forsok")),
-    )
+
+def register(spark: SparkSession, sf_dir: str) -> Register:
+    return StandinRegister(spark, sf_dir)
 
 
 def duck(*names: str) -> str:
     """``WITH`` clause giving DuckDB the named register tables and those they build on."""
-    plain = {t: t for t in DRIVER_TABLES}
+    plain = {t: t for t in SCHEMAS}
     return "WITH " + ",\n".join(f"{n} AS ({TABLES[n].format(**plain)})" for n in names)
