@@ -7,6 +7,7 @@ from checks.standins import load
 from fjordbook.functions import text as T
 from fjordbook.operators import conversations as V
 from fjordbook.operators import retrieval as X
+from fjordbook.session import spread
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -78,14 +79,15 @@ scores AS (
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores) t WHERE rank <= 4)"""
 
 
-def _tokens(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+def _documents(spark, sf_dir):
+    return spread(load(spark, sf_dir, "documents"))
 
 
 @check("tokens", ctes=tokens_cte("tok", "documents", "doc_id"), oracle="""
-SELECT doc_id, count(*) AS antall, count(DISTINCT token) AS ulike, string_agg(token, ' ' ORDER BY pos) AS tokens FROM tok GROUP BY 1""")
+SELECT doc_id, count(token) AS antall, count(DISTINCT token) AS ulike, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens
+FROM documents LEFT JOIN tok USING (doc_id) GROUP BY 1""")
 def tokens(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).filter(F.size("t") > 0)
+    rows = _documents(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").alias("antall"), F.size(F.array_distinct("t")).alias("ulike"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -93,14 +95,15 @@ def tokens(spark, sf_dir):
 SELECT bigram, count(*) AS antall, count(DISTINCT doc_id) AS dokumenter FROM (
   SELECT doc_id, token || '_' || lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS bigram FROM tok) t WHERE bigram IS NOT NULL GROUP BY 1""")
 def bigrams(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).select("doc_id", F.explode(T.bigrams(F.col("t"))).alias("bigram"))
+    pairs = F.explode_outer(T.bigrams(F.col("text"))).alias("bigram")
+    rows = _documents(spark, sf_dir).select("doc_id", pairs).filter(F.col("bigram").isNotNull())
     per_document = rows.groupBy("bigram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_document.groupBy("bigram").agg(F.sum("n").alias("antall"), F.count(F.lit(1)).alias("dokumenter"))
 
 
 @check("tokens_df_idf", ctes=_DOC, oracle="SELECT token, df, round(idf, 6) AS idf FROM idf")
 def tokens_df_idf(spark, sf_dir):
-    documents = load(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     weights = X.idf(X.term_counts(documents), X.count_of(documents))
     return weights.select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -115,7 +118,7 @@ _SENTENCES = """setninger AS (
 SELECT doc_id, count(*) AS setninger, sum(length(setning))::BIGINT AS tegn, min(setning) AS minst, max(setning) AS storst
 FROM setninger WHERE length(setning) > 20 GROUP BY 1""")
 def sentences(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
     return rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("setninger"), F.sum(F.length("s")).alias("tegn"), F.min("s").alias("minst"), F.max("s").alias("storst"))
 
@@ -135,18 +138,16 @@ SELECT doc_id, seksjon, overskrift, d AS del,
        CASE WHEN overskrift = '' THEN source ELSE source || ' > ' || overskrift END || chr(10) || chr(10) || substr(body, CAST(d * 800 + 1 AS BIGINT), 900) AS tekst
 FROM (SELECT *, unnest(range(greatest(CAST(ceil((length(body) - 100) / 800.0) AS BIGINT), 1))) AS d FROM tall) t""")
 def chunks(spark, sf_dir):
-    return X.chunk(load(spark, sf_dir, "documents"), title="source")
+    return X.chunk(_documents(spark, sf_dir), title="source")
 
 
 def _vectors(spark, sf_dir):
     """Hashed vectors of the documents and of the benchmark texts as questions."""
-    documents = load(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     questions = load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    weights, vectors = X.index_documents(documents)
     n = X.count_of(documents)
-    counts = X.term_counts(documents)
-    weights = X.idf(counts, n)
-    asked = X.embed_tfidf(X.term_counts(questions, "query_id"), weights, n, "query_id")
-    return documents, questions, weights, n, X.embed_tfidf(counts, weights, n), asked
+    return documents, questions, weights, n, vectors, X.embed_questions(questions, weights, n)
 
 
 @check("hashed_vectors", ctes=f"{_DOC},\n{_QUERY},\n{_HASHES},\n{vectors_cte('dv', 'terms', 'doc_id')}", oracle="""
@@ -219,7 +220,7 @@ SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM tok WHERE token
   AND doc_id NOT IN (SELECT doc_id FROM tok WHERE token = 'license')""")
 def keyword_and_not(spark, sf_dir):
     from fjordbook.operators.search import keyword_filter
-    return load(spark, sf_dir, "documents").filter(keyword_filter("heed onnd -license", F.col("text"))).select("doc_id")
+    return _documents(spark, sf_dir).filter(keyword_filter("heed onnd -license", F.col("text"))).select("doc_id")
 
 
 @check("keyword_phrase_or", ctes=tokens_cte("tok", "documents", "doc_id"), oracle="""
@@ -228,7 +229,7 @@ WHERE a.token = 'oredat' OR (a.token = 'license' AND b.token = 'this') OR (a.tok
 UNION SELECT doc_id FROM tok WHERE token = 'oredat'""")
 def keyword_phrase_or(spark, sf_dir):
     from fjordbook.operators.search import keyword_filter
-    return load(spark, sf_dir, "documents").filter(keyword_filter('"all rights" or oredat', F.col("text"))).select("doc_id")
+    return _documents(spark, sf_dir).filter(keyword_filter('"all rights" or oredat', F.col("text"))).select("doc_id")
 
 
 _CENTRES = """punkt AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),

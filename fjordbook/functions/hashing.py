@@ -42,17 +42,14 @@ def role_fingerprint() -> Column:
 
 def fnv1a(texts: pd.Series) -> np.ndarray:
     """32-bit FNV-1a over UTF-16 code units, one hash per text, all texts at once."""
-    units = [np.frombuffer(t.encode("utf-16-le"), dtype=np.uint16) for t in texts]
-    lengths = np.fromiter((len(u) for u in units), dtype=np.int64, count=len(units))
-    hashes = np.full(len(units), FNV_OFFSET, dtype=np.uint32)
-    order = np.argsort(-lengths, kind="stable")
-    live = len(units)
+    encoded = [t.encode("utf-16-le") for t in texts]
+    units = np.frombuffer(b"".join(encoded), dtype=np.uint16)
+    lengths = np.fromiter((len(e) // 2 for e in encoded), dtype=np.int64, count=len(encoded))
+    starts = np.cumsum(lengths) - lengths
+    hashes = np.full(len(encoded), FNV_OFFSET, dtype=np.uint32)
     for position in range(int(lengths.max(initial=0))):
-        while lengths[order[live - 1]] <= position:
-            live -= 1
-        rows = order[:live]
-        step = np.fromiter((units[r][position] for r in rows), dtype=np.uint32, count=live)
-        hashes[rows] = (hashes[rows] ^ step) * np.uint32(FNV_PRIME)
+        rows = np.flatnonzero(lengths > position)
+        hashes[rows] = (hashes[rows] ^ units[starts[rows] + position]) * np.uint32(FNV_PRIME)
     return hashes
 
 

@@ -24,53 +24,46 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
-def words(text: Column) -> Column:
-    """Lower-case words of letters and digits; everything else separates them."""
-    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(spaced, " "), lambda w: F.length(w) > 1)
-
-
-def stem(word: Column) -> Column:
-    """Crude English stem: a plural ending goes first, then one derivational ending."""
-    n = F.length(word)
-
-    def cut(w: Column, k: int) -> Column:
-        return F.left(w, F.length(w) - k)
-
-    singular = (
-        F.when(word.endswith("ies") & (n > 4), F.concat(cut(word, 3), F.lit("y")))
-        .when(word.endswith("sses") | (word.endswith("ses") & (n > 4)), cut(word, 2))
-        .when(word.rlike("[^su]s$"), cut(word, 1))
-        .otherwise(word)
-    )
-    m = F.length(singular)
-    root = (
-        F.when(singular.rlike("(ion|ing)$") & (m > 5), cut(singular, 3))
-        .when(singular.rlike("(ed|ly)$") & (m > 4), cut(singular, 2))
-        .otherwise(singular)
-    )
-    return F.when(n <= 3, word).otherwise(root)
+def _words(text: Column) -> Column:
+    """Lower-case words of letters and digits, without single characters and stop words."""
+    split = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.filter(split, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+
+
+def stems(text: Column) -> Column:
+    """The stemmed words of ``text`` in order, as one string with spaces between.
+
+    A plural ending goes first (``ies`` becomes ``y``), then one derivational
+    ending that leaves at least three letters; words of three letters stay.
+    Each ending is a scan over the joined words that looks back only where the
+    ending occurs, which is much cheaper than a call per word.
+    """
+    end = r"(?![^ ])"
+    joined = F.array_join(_words(text), " ")
+    singular = F.regexp_replace(joined, rf"ies(?<=[^ ]{{2}}ies){end}", "y")
+    plural = r"es(?:(?<=[^ ]{2}ses)|(?<=(?:^| )sses))|s(?<=[^ ]{2}[^su ]s)"
+    singular = F.regexp_replace(singular, rf"(?:{plural}){end}", "")
+    return F.regexp_replace(singular, rf"(?:ion(?<=[^ ]{{3}}ion)|ing(?<=[^ ]{{3}}ing)|ed(?<=[^ ]{{3}}ed)|ly(?<=[^ ]{{3}}ly)){end}", "")
+
+
+def _listed(spaced: Column) -> Column:
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def tokens(text: Column) -> Column:
     """Stemmed words of ``text`` in order, without stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.transform(F.filter(words(text), lambda w: ~F.array_contains(stop, w)), stem)
+    return _listed(stems(text))
 
 
-def bigrams(unigrams: Column) -> Column:
-    """Adjacent pairs ``a_b`` of a token array."""
-    pairs = F.zip_with(
-        F.slice(unigrams, F.lit(1), F.greatest(F.size(unigrams) - 1, F.lit(0))),
-        F.slice(unigrams, F.lit(2), F.greatest(F.size(unigrams) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit("_"), b),
-    )
-    return F.when(F.size(unigrams) > 1, pairs).otherwise(F.array().cast("array<string>"))
+def bigrams(text: Column) -> Column:
+    """Adjacent pairs ``a_b`` of the tokens of ``text``."""
+    pairs = F.regexp_replace(stems(text), r"([^ ]+) (?=([^ ]+))", "$1_$2 ")
+    return _listed(F.regexp_replace(pairs, r"[^ ]+$", ""))
 
 
-def terms(unigrams: Column) -> Column:
-    """Unigrams followed by bigrams."""
-    return F.concat(unigrams, bigrams(unigrams))
+def terms(text: Column) -> Column:
+    """The tokens of ``text``, each followed by the bigram it starts."""
+    return _listed(F.regexp_replace(stems(text), r"([^ ]+) (?=([^ ]+))", "$1 $1_$2 "))
 
 
 def sentences(text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fjordbook.functions import text as T
 from fjordbook.functions.hashing import token_slot
 from fjordbook.operators.keyed import top_per_key
+from fjordbook.session import durable
 
 WIDTH = 4096
 
@@ -42,33 +43,48 @@ def chunk(documents: DataFrame, key: str = "doc_id", title: str = "title", text:
 
 def term_counts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """How often each unigram and bigram occurs in each document."""
-    rows = documents.select(key, F.explode(T.terms(T.tokens(F.col(text)))).alias("token"))
+    rows = _each(documents, T.terms(F.col(text)), "token", key)
     return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _each(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form: the plain one is optimised to also test the array's size
+    below the explode, which would compute an expensive array twice.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def idf(counts: DataFrame, n_documents: Column) -> DataFrame:
-    """Document frequency and smoothed inverse document frequency of each token."""
+    """Document frequency, smoothed inverse document frequency, and hashed place of each token."""
     df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.ln((n_documents + 1) / (F.col("df") + 1)) + 1)
+    weighted = df.withColumns({"idf": F.ln((n_documents + 1) / (F.col("df") + 1)) + 1, "_h": token_slot("token")})
+    return weighted.select("token", "df", "idf", "_h.slot", "_h.sign")
+
+
+def question_weights(counts: DataFrame, weights: DataFrame, n_documents: Column) -> DataFrame:
+    """Weights of the tokens in some questions. Weights come from the documents alone.
+
+    A token no document has is weighted as the rarest.
+    """
+    asked = counts.select("token").distinct()
+    known = weights.join(asked, "token", "left_semi")
+    unseen = asked.join(weights.select("token"), "token", "left_anti")
+    rare = unseen.select(
+        "token", F.lit(0).cast("long").alias("df"), (F.ln(n_documents + 1) + 1).alias("idf"), token_slot("token").alias("_h")
+    )
+    return known.unionByName(rare.select("token", "df", "idf", "_h.slot", "_h.sign"))
 
 
 def count_of(documents: DataFrame) -> Column:
     return documents.select(F.count(F.lit(1))).scalar()
 
 
-def embed_tfidf(counts: DataFrame, weights: DataFrame, n_documents: Column, key: str = "doc_id") -> DataFrame:
-    """Unit-length hashed TF-IDF vectors as ``(slots, values)`` arrays, at most 4096 entries each.
-
-    ``weights`` come from the documents alone; a token they lack (in a question)
-    is weighted as the rarest. Slots are hashed once per distinct token.
-    """
-    hashed = weights.withColumn("h", token_slot("token")).select("token", "idf", "h.slot", "h.sign")
-    unseen = F.ln(n_documents + 1) + 1
-    known = counts.join(hashed, "token", "left")
-    rest = known.filter("slot is null").select(key, "token", "tf", unseen.alias("idf"), token_slot("token").alias("h"))
-    both = known.filter("slot is not null").unionByName(rest.select(key, "token", "tf", "idf", "h.slot", "h.sign"))
+def embed_tfidf(counts: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Unit-length hashed TF-IDF vectors as ``(slots, values)`` arrays, at most 4096 entries each."""
     weight = F.col("sign") * (1 + F.ln("tf")) * F.col("idf")
-    slots = both.groupBy(key, "slot").agg(F.sum(weight).alias("w"))
+    slots = counts.join(weights, "token").groupBy(key, "slot").agg(F.sum(weight).alias("w"))
     entries = F.sort_array(F.collect_list(F.struct("slot", "w")))
     rows = slots.groupBy(key).agg(entries.alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.filter("norm > 0").select(
@@ -76,6 +92,18 @@ def embed_tfidf(counts: DataFrame, weights: DataFrame, n_documents: Column, key:
     )
 
 
+def index_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(weights, vectors)`` of a table of documents. Texts are tokenised once; the counts are stored."""
+    counts = durable(term_counts(documents, key, text))
+    weights = durable(idf(counts, count_of(documents)))
+    return weights, embed_tfidf(counts, weights, key)
+
+
+def embed_questions(questions: DataFrame, weights: DataFrame, n_documents: Column, key: str = "query_id", text: str = "text") -> DataFrame:
+    counts = term_counts(questions, key, text)
+    return embed_tfidf(counts, question_weights(counts, weights, n_documents), key)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; zero when either has no length, an error when widths differ."""
     def dot(x: Column, y: Column) -> Column:
@@ -122,7 +150,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_
     """
     shape = ["embedding"] if "embedding" in vectors.columns else ["slots", "values"]
     extra = ["model"] if "model" in vectors.columns else []
-    wanted = queries.select(query_key, *extra, *shape)
+    wanted = durable(queries.select(query_key, *extra, *shape))
     stored = vectors.select(key, *extra, *shape)
     width = F.max(F.size("embedding")) if "embedding" in shape else F.lit(WIDTH)
     count, wide = wanted.agg(F.count(F.lit(1)), width).first()
@@ -209,18 +237,15 @@ def extractive_answers(questions: DataFrame, passages: DataFrame, weights: DataF
     and passage, with its ``text``. A sentence scores the weights of the words
     it shares with the question over the square root of its length.
     """
-    asked = questions.select(query_key, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    asked = _each(questions, F.array_distinct(T.tokens(F.col("text"))), "token", query_key)
     unseen = F.ln(n_documents + 1) + 1
     asked = asked.join(weights.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", unseen))
     quoted = passages.select(query_key, passage_key, F.posexplode(T.sentences(F.col("text"))).alias("nr", "setning"))
-    quoted = quoted.withColumn("_t", T.tokens(F.col("setning"))).filter(F.size("_t") > 0)
-    spread = quoted.select(
-        query_key, passage_key, "nr", "setning", F.size("_t").alias("_n"), F.explode(F.array_distinct("_t")).alias("token")
-    )
-    hits = spread.join(asked, [query_key, "token"])
-    scored = hits.groupBy(query_key, passage_key, "nr").agg(
-        F.first("setning").alias("setning"), F.round(F.sum("idf") / F.sqrt(F.first("_n")), 6).alias("score")
-    )
+    place = [query_key, passage_key, "nr"]
+    found = _each(quoted, T.tokens(F.col("setning")), "token", *place, "setning").groupBy(*place, "setning", "token")
+    counted = found.agg(F.count(F.lit(1)).alias("_tf"))
+    overlap = counted.join(asked, [query_key, "token"], "left").groupBy(*place, "setning")
+    scored = overlap.agg(F.round(F.sum("idf") / F.sqrt(F.sum("_tf")), 6).alias("score")).filter("score is not null")
     order = [F.desc("score"), F.asc(passage_key), F.asc("nr")]
     top = top_per_key(scored, [query_key], order, k, rank="plass")
     line = F.concat(F.trim(F.regexp_replace("setning", r"\s+", " ")), F.lit(" [S"), F.col(passage_key).cast("string"), F.lit("]"))

@@ -68,7 +68,7 @@ def keyword_filter(query: str, text: Column) -> Column:
     ignored. Both sides are reduced to stems, so the test is row-local: no
     index, no shuffle, one pass over the text column.
     """
-    haystack = F.concat(F.lit(" "), F.array_join(T.tokens(text), " "), F.lit(" "))
+    haystack = F.concat(F.lit(" "), T.stems(text), F.lit(" "))
     groups: list[list[Column]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
         if word.lower() == "or" and not minus:
@@ -76,7 +76,7 @@ def keyword_filter(query: str, text: Column) -> Column:
             continue
         kept = [w for w in re.findall(r"[^\W_]{2,}", (phrase or word).lower()) if w not in T.STOP_WORDS]
         if kept:
-            needle = F.concat(F.lit(" "), F.array_join(T.tokens(F.lit(" ".join(kept))), " "), F.lit(" "))
+            needle = F.concat(F.lit(" "), T.stems(F.lit(" ".join(kept))), F.lit(" "))
             hit = F.contains(haystack, needle)
             groups[-1].append(~hit if minus else hit)
     wanted = [reduce(and_, group) for group in groups if group]

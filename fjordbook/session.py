@@ -57,3 +57,13 @@ def durable(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer tasks than cores, spread over all of them; a wide one as it is.
+
+    For files of few row groups ahead of heavy per-row work. Only meant for a
+    plain scan, whose task count is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
