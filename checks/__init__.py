@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["accounts", "rankings", "ownership", "searching", "reconciling", "texts", "profiles"]
+MODULES = ["accounts", "rankings", "ownership", "searching", "reconciling", "texts", "profiles", "streams"]
 
 
 def load_all() -> None:
