@@ -124,7 +124,7 @@ SELECT cast(l_orderkey AS string) AS orgnr,
        cast(cast(l_quantity AS int) AS string) AS antall_aksjer,
        cast(cast(t.total AS int) AS string) AS antall_aksjer_selskap,
        CASE WHEN l_returnflag = 'R' THEN 2023 ELSE 2024 END AS aar
-FROM {lineitem} JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS total FROM {lineitem} GROUP BY l_orderkey) t ON l_orderkey = t.k
+FROM {lineitem} LEFT JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS total FROM {lineitem} GROUP BY l_orderkey) t ON l_orderkey = t.k
 """
 
 #: A sparse graph of suppliers. The target is spread over as many suppliers as there are.

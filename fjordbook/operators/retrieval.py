@@ -70,7 +70,7 @@ def question_weights(counts: DataFrame, weights: DataFrame, n_documents: Column)
     """
     asked = counts.select("token").distinct()
     known = weights.join(asked, "token", "left_semi")
-    unseen = asked.join(weights.select("token"), "token", "left_anti")
+    unseen = asked.join(known.select("token"), "token", "left_anti")
     rare = unseen.select(
         "token", F.lit(0).cast("long").alias("df"), (F.ln(n_documents + 1) + 1).alias("idf"), token_slot("token").alias("_h")
     )

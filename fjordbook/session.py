@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def session(app: str = "fjordbook", master: str | None = None, **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -30,33 +32,31 @@ def session(app: str = "fjordbook", master: str | None = None, **conf: str) -> S
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's setting, else a local one.
+    """The shared folder for scratch tables: the cluster's setting, else a local one.
 
     A machine-local folder is only ever picked for a local master, where every
     task sees the same disk.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
-        return configured
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+        return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="fjordbook-checkpoint-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="fjordbook-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and cut its lineage.
+    """Write ``df`` as a scratch table in the shared checkpoint folder and read it back.
 
-    Used between rounds of an iterative job, so a lost executor costs one task
-    and not the whole chain of rounds.
+    Cuts lineage between the rounds of an iterative job, and keeps a costly
+    intermediate that is read more than once. Being files and not executor
+    storage, it survives lost executors; being columnar, later reads are pruned.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_root(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
