@@ -35,15 +35,17 @@ _CODE = (
 
 
 def _tree_level(level: int) -> str:
-    parts = [
-        "substr(c_mktsegment, 1, 1)", "cast(c_nationkey % 10 AS string)", "cast(c_nationkey AS string)",
-        "cast(c_custkey % 3 AS string)", "cast(c_custkey % 7 AS string)",
-    ]
-    code = "concat(" + ", '.', ".join(parts[:level]) + ")"
-    parent = "concat(" + ", '.', ".join(parts[: level - 1]) + ")" if level > 1 else "cast(NULL AS string)"
-    return f"SELECT DISTINCT {code} AS kode, concat('Industry ', {code}) AS navn, {level} AS niva, {parent} AS parent_kode FROM {{customer}}"
+    code = "concat(" + ", '.', ".join("abcde"[:level]) + ")"
+    parent = "concat(" + ", '.', ".join("abcde"[: level - 1]) + ")" if level > 1 else "cast(NULL AS string)"
+    return f"SELECT DISTINCT {code} AS kode, concat('Industry ', {code}) AS navn, {level} AS niva, {parent} AS parent_kode FROM blad"
 
 
+#: Every industry code is a path of five parts; its prefixes are the codes above it.
+NAERINGSKODER = """
+WITH blad AS (SELECT DISTINCT substr(c_mktsegment, 1, 1) AS a, cast(c_nationkey % 10 AS string) AS b, cast(c_nationkey AS string) AS c,
+                     cast(c_custkey % 3 AS string) AS d, cast(c_custkey % 7 AS string) AS e FROM {customer})
+""" + " UNION ALL ".join(_tree_level(i) for i in range(1, 6))
+
 #: Companies are customers; their parts are spread by key and balance so every state occurs.
 ENHETER = f"""
 SELECT {_ORG.format('c_custkey')} AS organisasjonsnummer,
@@ -144,7 +146,7 @@ TABLES: dict[str, str] = {
     "roller": ROLLER,
     "aksjonar_raw": AKSJONAR_RAW,
     "kanter": KANTER,
-    "naeringskoder": " UNION ALL ".join(_tree_level(i) for i in range(1, 6)),
+    "naeringskoder": NAERINGSKODER,
     "kommuner": """SELECT concat(lpad(cast(n_regionkey + 1 AS string), 2, '0'), lpad(cast(n_nationkey AS string), 2, '0')) AS kommunenummer,
                           n_name AS navn, lpad(cast(n_regionkey + 1 AS string), 2, '0') AS fylkesnummer FROM {nation}""",
     "fylker": "SELECT lpad(cast(r_regionkey + 1 AS string), 2, '0') AS fylkesnummer, r_name AS navn FROM {region}",

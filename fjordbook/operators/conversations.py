@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordbook.operators.keyed import top_per_key
@@ -28,18 +28,19 @@ def _faults() -> Column:
 def validate_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejects)``: clamped messages of sound conversations, and the others with a reason.
 
-    One bad message among the last twenty rejects the conversation; the reason
+    At most the last twenty messages of a conversation come together, in one
+    shuffle. One bad message among them rejects the conversation; the reason
     given is that of its earliest bad message, and a role fault precedes a
     blank text, which precedes a wrong last speaker.
     """
-    recent = recent_messages(messages).withColumn("_fault", _faults())
-    bad = recent.filter("_fault is not null")
-    order = F.struct((F.col("_fault") == "siste ikke fra bruker").alias("_late"), F.col("turn"))
-    rejects = bad.groupBy("conv_id").agg(F.min_by("_fault", order).alias("grunn"))
-    valid = recent.join(rejects, "conv_id", "left_anti").select(
-        "conv_id", "turn", "role", F.left("text", F.lit(MAX_CHARS)).alias("text"), "fra_slutt"
-    )
-    return valid, rejects
+    fault = _faults()
+    late = fault == "siste ikke fra bruker"
+    entry = F.when(fault.isNotNull(), F.struct(late.alias("late"), F.col("turn"), fault.alias("grunn")))
+    first = F.min(entry).over(Window.partitionBy("conv_id"))
+    judged = recent_messages(messages).withColumn("grunn", first["grunn"])
+    clamped = F.left("text", F.lit(MAX_CHARS)).alias("text")
+    valid = judged.filter("grunn is null").select("conv_id", "turn", "role", clamped, "fra_slutt")
+    return valid, judged.filter("grunn is not null").select("conv_id", "grunn").distinct()
 
 
 def rate_windows(events: DataFrame, limit: int = 60, width: str = "1 minute", watermark: str | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
-from fjordbook.operators.keyed import scalar, top_per_key
+from fjordbook.operators.keyed import lookup, scalar, top_per_key
 from fjordbook.schema import ORG
 
 def classify_holders(raw: DataFrame, year: int | Column) -> DataFrame:
@@ -92,7 +92,7 @@ def subsidiaries(companies: DataFrame, holdings: DataFrame, industries: DataFram
         "forretningsadresse_poststed", "konkurs", "under_avvikling", "naeringskode1_kode",
     )
     names = industries.select(F.col("kode").alias("naeringskode1_kode"), F.col("navn").alias("naering"))
-    rows = links.join(details, ORG).join(names, "naeringskode1_kode", "left")
+    rows = lookup(links.join(details, ORG), names, "naeringskode1_kode")
     counts = rows.groupBy("mor").agg(F.count(F.lit(1)).alias("antall"))
     order = [F.desc_nulls_last("antall_ansatte"), F.asc("navn"), F.asc(ORG)]
     return top_per_key(rows, ["mor"], order, k, rank="nr").join(counts, "mor")
@@ -131,7 +131,7 @@ def largest_holders(holdings: DataFrame, companies: DataFrame, k: int = 200) ->
     ties = ["regnskapsaar", "eier_orgnr", "eier_navn", "aksjeklasse", "antall_aksjer"]
     top = top_per_key(public_holdings(holdings).select(*columns), [ORG], _largest_first(*ties), k, rank="nr")
     names = companies.select(F.col(ORG).alias("eier_orgnr"), F.col("navn").alias("eier_foretaksnavn"))
-    return top.join(names, "eier_orgnr", "left")
+    return lookup(top, names, "eier_orgnr")
 
 
 def largest_positions(holdings: DataFrame, companies: DataFrame, k: int = 200) -> DataFrame:

@@ -36,6 +36,19 @@ def top_per_key(
     return top if rank else top.drop(name)
 
 
+def lookup(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Left join on a key many rows do not have.
+
+    Rows without a key would all meet in one task; they are spread out under
+    keys of their own that match nothing.
+    """
+    others = [F.col(f"`{c}`") for c in df.columns]
+    nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*others), F.lit(4096)).cast("string"))
+    left = df.withColumn("_key", F.coalesce(F.col(key), nowhere))
+    right = dimension.withColumnRenamed(key, "_key")
+    return left.join(right, "_key", "left").drop("_key")
+
+
 def page(df: DataFrame, order: list[Column], size: int = 10, number: int = 1) -> DataFrame:
     """One page plus a probe row: a row more than ``size`` means there is a next page."""
     size = min(max(size, 1), 100)

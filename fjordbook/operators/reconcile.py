@@ -133,16 +133,22 @@ def apply_changes(current: DataFrame, documents: DataFrame, deleted: DataFrame,
     """The table after a batch of changed documents and deletions.
 
     A document replaces the whole row, clears both deletion marks, and clears
-    the content hash so the next full load writes the row again.
+    the content hash so the next full load writes the row again. A deletion of
+    an unknown company is ignored. The table is shuffled once.
     """
-    fresh = documents.withColumns(
-        {"content_hash": F.lit(None).cast("string"), **{c: F.lit(None).cast(t) for c, t in STATE.items()}}
-    )
-    untouched = _with_state(current).join(documents.select(key), key, "left_anti")
-    columns = untouched.columns
-    absent = {c: F.lit(None).cast(untouched.schema[c].dataType) for c in columns if c not in fresh.columns}
-    merged = untouched.unionByName(fresh.withColumns(absent).select(*columns))
-    return soft_delete(merged, deleted, as_of, key)
+    current = _with_state(current)
+    new = documents.select(key, F.struct(*documents.columns).alias("new"))
+    gone = deleted.select(key).distinct().withColumn("_gone", F.lit(True))
+    old = current.select(key, F.struct(*current.columns).alias("old"))
+    rows = old.join(new.join(gone, key, "full_outer"), key, "full_outer").filter("old is not null or new is not null")
+
+    replaced = F.col("new").isNotNull()
+    values = {}
+    for c in current.columns:
+        fresh = F.col(f"new.{c}") if c in documents.columns and c not in (*STATE, "content_hash") else F.lit(None)
+        values[c] = F.when(replaced, fresh).otherwise(F.col(f"old.{c}")).cast(current.schema[c].dataType)
+    values["slettet_dato"] = F.coalesce(values["slettet_dato"], F.when(F.col("_gone"), F.lit(as_of)))
+    return rows.select(key, *[v.alias(c) for c, v in values.items() if c != key])
 
 
 def upsert_reference(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordbook.functions import text as T
@@ -218,10 +218,13 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, query_key: str =
 
 
 def relevance(ranked: DataFrame, floor: float, relative: float = RELATIVE_FLOOR, query_key: str = "query_id") -> DataFrame:
-    """Marks hits good enough to use: at least ``floor`` and ``relative`` times the query's best."""
-    best = ranked.groupBy(query_key).agg(F.max("score").alias("_best"))
-    cutoff = F.greatest(F.lit(floor), F.lit(relative) * F.col("_best"))
-    return ranked.join(best, query_key).withColumns({"grense": cutoff, "beholdt": F.col("score") >= cutoff}).drop("_best")
+    """Marks hits good enough to use: at least ``floor`` and ``relative`` times the query's best.
+
+    A query has at most the ``k`` hits it was ranked with.
+    """
+    best = F.max("score").over(Window.partitionBy(query_key))
+    cut = ranked.withColumn("grense", F.greatest(F.lit(floor), F.lit(relative) * best))
+    return cut.withColumn("beholdt", F.col("score") >= F.col("grense"))
 
 
 def within_distance(ranked: DataFrame, ceiling: float) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fjordbook.operators.accounts import newest_any_currency
+from fjordbook.operators.keyed import lookup
 from fjordbook.schema import ORG
 
 
@@ -138,12 +139,9 @@ def spec_rows(companies: DataFrame, municipalities: DataFrame, counties: DataFra
     figures = newest_any_currency(accounts).select(
         ORG, "sum_driftsinntekter", "aarsresultat", F.col("periode_til").alias("regnskapsaar")
     )
-    return (
-        companies.join(places, "forretningsadresse_kommunenummer", "left")
-        .join(regions, "fylkesnummer", "left")
-        .join(codes, "naeringskode1_kode", "left")
-        .join(figures, ORG, "left")
-    )
+    rows = lookup(companies, places, "forretningsadresse_kommunenummer")
+    rows = lookup(rows, regions, "fylkesnummer")
+    return lookup(rows, codes, "naeringskode1_kode").join(figures, ORG, "left")
 
 
 SPEC_COLUMNS = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
 from fjordbook.operators.holdings import subsidiary_counts
-from fjordbook.operators.keyed import first_per_key, top_per_key
+from fjordbook.operators.keyed import first_per_key, lookup, top_per_key
 from fjordbook.plans.rankings import Register
 from fjordbook.schema import ORG
 
@@ -28,12 +28,10 @@ def dossier(register: Register) -> DataFrame:
     counties = register.counties.select("fylkesnummer", F.col("navn").alias("fylke"))
     industries = register.industries.select(F.col("kode").alias("naeringskode1_kode"), F.col("navn").alias("naering"))
     parents = companies.select(F.col(ORG).alias("overordnet_enhet"), F.col("navn").alias("morselskap"))
-    rows = (
-        companies.join(places, "forretningsadresse_kommunenummer", "left")
-        .join(counties, "fylkesnummer", "left")
-        .join(industries, "naeringskode1_kode", "left")
-        .join(parents, "overordnet_enhet", "left")
-    )
+    rows = lookup(companies, places, "forretningsadresse_kommunenummer")
+    rows = lookup(rows, counties, "fylkesnummer")
+    rows = lookup(rows, industries, "naeringskode1_kode")
+    rows = lookup(rows, parents, "overordnet_enhet")
     counts = {
         "antall_roller": _count_per_company(register.roles, "antall_roller"),
         "antall_regnskap": _count_per_company(register.accounts, "antall_regnskap"),
