@@ -49,7 +49,7 @@ _searched("search_active", SearchSpec(aktive=True), "NOT konkurs AND NOT under_a
 _searched("search_amounts", SearchSpec(belop={"omsetning": S.in_kroner((20_000, 60_000)), "resultat": S.in_kroner((0, None))}),
           "rimelig AND sum_driftsinntekter BETWEEN 20000000 AND 60000000 AND aarsresultat >= 0",
           tables="enheter regnskap", ctes=LATEST, joins="JOIN latest USING (organisasjonsnummer)")
-_searched("search_keywords", SearchSpec(gjor='"trading servicing" goods -machinery'),
+_searched("search_keywords", SearchSpec(gjor='"trading and servicing" goods -machinery'),
           "contains(lower(aktivitet), 'trading and servicing') AND organisasjonsform_kode <> 'MACH'")
 _searched("search_keywords_or", SearchSpec(gjor="household stations or furniture goods"),
           "((organisasjonsform_kode = 'HOUS' AND vedtektsfestet_formaal IS NOT NULL) OR (organisasjonsform_kode = 'FURN' AND aktivitet IS NOT NULL))")

@@ -220,7 +220,7 @@ SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM tok WHERE token
   AND doc_id NOT IN (SELECT doc_id FROM tok WHERE token = 'license')""")
 def keyword_and_not(spark, sf_dir):
     from fjordbook.operators.search import keyword_filter
-    return _documents(spark, sf_dir).filter(keyword_filter("heed onnd -license", F.col("text"))).select("doc_id")
+    return _documents(spark, sf_dir).filter(keyword_filter("heed onnd -license", F.col("text"), "engelsk")).select("doc_id")
 
 
 @check("keyword_phrase_or", ctes=tokens_cte("tok", "documents", "doc_id"), oracle="""
@@ -229,7 +229,7 @@ WHERE a.token = 'oredat' OR (a.token = 'license' AND b.token = 'this') OR (a.tok
 UNION SELECT doc_id FROM tok WHERE token = 'oredat'""")
 def keyword_phrase_or(spark, sf_dir):
     from fjordbook.operators.search import keyword_filter
-    return _documents(spark, sf_dir).filter(keyword_filter('"all rights" or oredat', F.col("text"))).select("doc_id")
+    return _documents(spark, sf_dir).filter(keyword_filter('"all rights" or oredat', F.col("text"), "engelsk")).select("doc_id")
 
 
 _CENTRES = """punkt AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),

@@ -24,35 +24,77 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
-def _words(text: Column) -> Column:
+# Norwegian words too common to search for (the published Snowball stop list).
+NORWEGIAN_STOP_WORDS = """
+alle at av bare begge ble blei bli blir blitt både båe da de deg dei deim deira deires dem den denne der dere deres
+det dette di din disse ditt du dykk dykkar då eg ein eit eitt eller elles en enn er et ett etter for fordi fra før ha
+hadde han hans har hennar henne hennes her hjå ho hoe honom hoss hossen hun hva hvem hver hvilke hvilken hvis hvor
+hvordan hvorfor i ikke ikkje ingen ingi inkje inn inni ja jeg kan kom korleis korso kun kunne kva kvar kvarhelst kven
+kvi kvifor man mange me med medan meg meget mellom men mi min mine mitt mot mykje ned no noe noen noka noko nokon nokor
+nokre nå når og også om opp oss over på samme seg selv si sia sidan siden sin sine sitt sjøl skal skulle slik so som
+somme somt så sånn til um upp ut uten var vart varte ved vere verte vi vil ville vore vors vort vår være vært å
+""".split()
+
+LANGUAGES = {"engelsk": STOP_WORDS, "norsk": NORWEGIAN_STOP_WORDS}
+
+
+def _words(text: Column, language: str) -> Column:
     """Lower-case words of letters and digits, without single characters and stop words."""
     split = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(split, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+    return F.filter(split, lambda w: (F.length(w) > 1) & ~w.isin(LANGUAGES[language]))
 
 
-def stems(text: Column) -> Column:
+def stems(text: Column, language: str = "engelsk") -> Column:
     """The stemmed words of ``text`` in order, as one string with spaces between.
 
-    A plural ending goes first (``ies`` becomes ``y``), then one derivational
-    ending that leaves at least three letters; words of three letters stay.
-    Each ending is a scan over the joined words that looks back only where the
-    ending occurs, which is much cheaper than a call per word.
+    Endings are cut by scans over the joined words, which is much cheaper than
+    a function call per word.
+    """
+    joined = F.array_join(_words(text, language), " ")
+    return _norwegian(joined) if language == "norsk" else _english(joined)
+
+
+def _english(spaced: Column) -> Column:
+    """A plural ending goes first (``ies`` becomes ``y``), then one derivational ending.
+
+    The latter leaves at least three letters; words of three letters stay. Each
+    pattern looks back only where the ending occurs.
     """
     end = r"(?![^ ])"
-    joined = F.array_join(_words(text), " ")
-    singular = F.regexp_replace(joined, rf"ies(?<=[^ ]{{2}}ies){end}", "y")
+    singular = F.regexp_replace(spaced, rf"ies(?<=[^ ]{{2}}ies){end}", "y")
     plural = r"es(?:(?<=[^ ]{2}ses)|(?<=(?:^| )sses))|s(?<=[^ ]{2}[^su ]s)"
     singular = F.regexp_replace(singular, rf"(?:{plural}){end}", "")
     return F.regexp_replace(singular, rf"(?:ion(?<=[^ ]{{3}}ion)|ing(?<=[^ ]{{3}}ing)|ed(?<=[^ ]{{3}}ed)|ly(?<=[^ ]{{3}}ly)){end}", "")
 
 
+# The endings of the published Snowball stemmer for Norwegian, by step.
+_INFLECTIONS = "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast".split()
+_DERIVATIONS = "leg eleg ig eig lig elig els lov elov slov hetslov".split()
+
+
+def _norwegian(spaced: Column) -> Column:
+    """The published Norwegian stemmer: inflections, then ``dt``/``vt``, then derivations.
+
+    An ending counts only after the word's first vowel-consonant pair and at
+    least three letters in. The stem is matched as short as possible, which
+    makes the ending the longest that applies.
+    """
+    vowels = "aeiouyæåø"
+    head = rf"(?<![^ ])([^{vowels} ]*[{vowels}]+[^{vowels} ][^ ]*?)(?<=[^ ]{{3}})"
+    end = r"(?![^ ])"
+    genitive = rf"s(?<=[bcdfghjlmnoprtvyz]s|[^{vowels} ]ks)"
+    cut = F.regexp_replace(spaced, rf"{head}(?:(er)te?|(?:{'|'.join(_INFLECTIONS)})|{genitive}){end}", "$1$2")
+    cut = F.regexp_replace(cut, rf"{head}([dv])t{end}", "$1$2")
+    return F.regexp_replace(cut, rf"{head}(?:{'|'.join(_DERIVATIONS)}){end}", "$1")
+
+
 def _listed(spaced: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, language: str = "engelsk") -> Column:
     """Stemmed words of ``text`` in order, without stop words."""
-    return _listed(stems(text))
+    return _listed(stems(text, language))
 
 
 def bigrams(text: Column) -> Column:

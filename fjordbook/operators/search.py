@@ -61,22 +61,22 @@ def in_kroner(bounds: tuple[float | None, float | None]) -> tuple[int | None, in
     return low, high
 
 
-def keyword_filter(query: str, text: Column) -> Column:
+def keyword_filter(query: str, text: Column, language: str = "norsk") -> Column:
     """Web-style search: words are all required, ``"…"`` is a phrase, ``or`` and a leading ``-`` work.
 
     ``or`` binds weaker than the words on either side of it, and stop words are
     ignored. Both sides are reduced to stems, so the test is row-local: no
     index, no shuffle, one pass over the text column.
     """
-    haystack = F.concat(F.lit(" "), T.stems(text), F.lit(" "))
+    haystack = F.concat(F.lit(" "), T.stems(text, language), F.lit(" "))
     groups: list[list[Column]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
         if word.lower() == "or" and not minus:
             groups.append([])
             continue
-        kept = [w for w in re.findall(r"[^\W_]{2,}", (phrase or word).lower()) if w not in T.STOP_WORDS]
+        kept = [w for w in re.findall(r"[^\W_]{2,}", (phrase or word).lower()) if w not in T.LANGUAGES[language]]
         if kept:
-            needle = F.concat(F.lit(" "), T.stems(F.lit(" ".join(kept))), F.lit(" "))
+            needle = F.concat(F.lit(" "), T.stems(F.lit(" ".join(kept)), language), F.lit(" "))
             hit = F.contains(haystack, needle)
             groups[-1].append(~hit if minus else hit)
     wanted = [reduce(and_, group) for group in groups if group]

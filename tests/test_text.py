@@ -190,3 +190,56 @@ def test_evaluation(spark):
     golden = spark.createDataFrame([(1, 10), (2, 21), (3, 30)], "query_id long, doc_id long")
     row = X.evaluate(ranked, golden, 3).first()
     assert (row.spoersmaal, row.topp1, row.gjenfinning) == (3, pytest.approx(1 / 3), pytest.approx(2 / 3))
+
+
+# Sample words and stems published with the Norwegian stemmer.
+NORWEGIAN = {
+    "havn": "havn", "havnedistrikt": "havnedistrikt", "havnedistriktene": "havnedistrikt", "havnedistrikter": "havnedistrikt",
+    "havnedistriktet": "havnedistrikt", "havnedistriktets": "havnedistrikt", "opning": "opning", "opningar": "opning", "opningen": "opning",
+    "oppdage": "oppdag", "oppdaga": "oppdag", "oppdager": "oppdag", "oppbyggingen": "oppbygging", "opp": "opp",
+}
+
+
+def test_norwegian_stems(spark):
+    frame = spark.createDataFrame(list(NORWEGIAN.items()), "ord string, stamme string")
+    got = {r.ord: r.s for r in frame.select("ord", T.stems(F.col("ord"), "norsk").alias("s")).collect()}
+    assert got == {w: s if w != "opp" else "" for w, s in NORWEGIAN.items()}
+
+
+def reference_norwegian(word):
+    """The algorithm step by step, one word at a time."""
+    vowels = "aeiouyæåø"
+    start = len(word)
+    for i in range(1, len(word)):
+        if word[i - 1] in vowels and word[i] not in vowels:
+            start = i + 1
+            break
+    start = max(start, 3)
+
+    def longest(endings):
+        return max((e for e in endings if word.endswith(e) and len(word) - len(e) >= start), key=len, default=None)
+
+    ending = longest(T._INFLECTIONS + ["s", "erte", "ert"])
+    if ending in ("erte", "ert"):
+        word = word[: -len(ending)] + "er"
+    elif ending == "s":
+        before = word[:-1]
+        if before[-1] in "bcdfghjlmnoprtvyz" or (before[-1] == "k" and before[-2] not in vowels):
+            word = before
+    elif ending:
+        word = word[: -len(ending)]
+    if longest(["dt", "vt"]):
+        word = word[:-1]
+    ending = longest(T._DERIVATIONS)
+    return word[: -len(ending)] if ending else word
+
+
+def test_norwegian_stems_match_the_steps(spark):
+    rng = random.Random(8)
+    parts = ["fisk", "båt", "k", "ks", "s", "er", "ert", "erte", "en", "ene", "het", "hetene", "lig", "elig", "slov", "els", "dt", "vt", "æ", "ø", "st", "a", "ar", "ig", "ut"]
+    words = sorted({"".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(4000)} - set(T.NORWEGIAN_STOP_WORDS))
+    words = [w for w in words if len(w) > 1]
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r.w: r.s for r in frame.select("w", T.stems(F.col("w"), "norsk").alias("s")).collect()}
+    wrong = {w: (got[w], reference_norwegian(w)) for w in words if got[w] != reference_norwegian(w)}
+    assert not wrong
