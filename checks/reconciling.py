@@ -5,6 +5,7 @@ holds those not deleted, with bankrupt companies renamed. Companies therefore
 appear, change, stay and vanish by their own attributes.
 """
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from fjordbook.functions import cleaning as C
 from fjordbook.operators import quality as Q
 from fjordbook.operators import reconcile as R
 from fjordbook.operators import selectors as W
-from fjordbook.schema import ORG
+from fjordbook.schema import ORG, ROLE_DOCUMENT
+from fjordbook.session import checkpoint_root
 from fjordbook.sources.files import explode_roles, gender_by_name
 
 DAY = f"DATE '{AS_OF}'"
@@ -168,8 +170,7 @@ SELECT organisasjonsnummer, rollegruppe_kode, rolletype_kode, rekkefolge, avregi
        cast(person_fodselsdato AS VARCHAR) AS person_fodselsdato, innehaver_orgnr, innehaver_navn || ' Ltd' AS innehaver_navn
 FROM roller WHERE organisasjonsnummer IN (SELECT organisasjonsnummer FROM enheter WHERE slettet_dato IS NULL)""")
 def roles_flatten(spark, sf_dir):
-    """Each role as a nested document in JSON text, read back and unnested."""
-    from fjordbook.schema import ROLE_DOCUMENT
+    """Each role as a nested document: written as JSON lines, read back and unnested."""
     roles = table(spark, sf_dir, "roller")
     person = F.when(F.col("person_fornavn").isNotNull(), F.struct(
         F.struct(F.col("person_fornavn").alias("fornavn"), F.col("person_mellomnavn").alias("mellomnavn"),
@@ -181,9 +182,10 @@ def roles_flatten(spark, sf_dir):
         F.struct(F.col("rolletype_kode").alias("kode"), F.col("rolletype_beskrivelse").alias("beskrivelse")).alias("type"),
         "rekkefolge", F.when(F.col("avregistrert"), True).alias("avregistrert"), person.alias("person"), unit.alias("enhet"))
     group = F.struct(F.struct(F.col("rollegruppe_kode").alias("kode")).alias("type"), F.array(role).alias("roller"))
-    document = F.struct(ORG, F.array(group).alias("rollegrupper"))
-    parsed = roles.select(F.from_json(F.to_json(document), ROLE_DOCUMENT).alias("d")).select("d.*")
-    flat = explode_roles(parsed, table(spark, sf_dir, "enheter").filter("slettet_dato is null"))
+    path = f"{checkpoint_root(spark)}/roller-{uuid.uuid4().hex}"
+    roles.select(ORG, F.array(group).alias("rollegrupper")).write.json(path)
+    documents = spark.read.schema(ROLE_DOCUMENT).json(path)
+    flat = explode_roles(documents, table(spark, sf_dir, "enheter").filter("slettet_dato is null"))
     return flat.select(ORG, "rollegruppe_kode", "rolletype_kode", "rekkefolge", "avregistrert", "person_fornavn",
                        "person_etternavn", "person_fodselsdato", "innehaver_orgnr", "innehaver_navn")
 

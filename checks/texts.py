@@ -103,7 +103,7 @@ def bigrams(spark, sf_dir):
 
 @check("tokens_df_idf", ctes=_DOC, oracle="SELECT token, df, round(idf, 6) AS idf FROM idf")
 def tokens_df_idf(spark, sf_dir):
-    documents = _documents(spark, sf_dir)
+    documents = load(spark, sf_dir, "documents")
     weights = X.idf(X.term_counts(documents), X.count_of(documents))
     return weights.select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -143,7 +143,7 @@ def chunks(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     """Hashed vectors of the documents and of the benchmark texts as questions."""
-    documents = _documents(spark, sf_dir)
+    documents = load(spark, sf_dir, "documents")
     questions = load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
     weights, vectors = X.index_documents(documents)
     n = X.count_of(documents)
@@ -220,7 +220,7 @@ SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM tok WHERE token
   AND doc_id NOT IN (SELECT doc_id FROM tok WHERE token = 'license')""")
 def keyword_and_not(spark, sf_dir):
     from fjordbook.operators.search import keyword_filter
-    return _documents(spark, sf_dir).filter(keyword_filter("heed onnd -license", F.col("text"), "engelsk")).select("doc_id")
+    return load(spark, sf_dir, "documents").filter(keyword_filter("heed onnd -license", F.col("text"), "engelsk")).select("doc_id")
 
 
 @check("keyword_phrase_or", ctes=tokens_cte("tok", "documents", "doc_id"), oracle="""
@@ -229,7 +229,7 @@ WHERE a.token = 'oredat' OR (a.token = 'license' AND b.token = 'this') OR (a.tok
 UNION SELECT doc_id FROM tok WHERE token = 'oredat'""")
 def keyword_phrase_or(spark, sf_dir):
     from fjordbook.operators.search import keyword_filter
-    return _documents(spark, sf_dir).filter(keyword_filter('"all rights" or oredat', F.col("text"), "engelsk")).select("doc_id")
+    return load(spark, sf_dir, "documents").filter(keyword_filter('"all rights" or oredat', F.col("text"), "engelsk")).select("doc_id")
 
 
 _CENTRES = """punkt AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),

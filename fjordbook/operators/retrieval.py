@@ -25,7 +25,10 @@ CEILINGS = {"hosted": 0.62, "local": 0.45, "hashed": 1.0}
 RELATIVE_FLOOR = 0.45
 
 #: Queries handled in one pass over the vectors; more queries take more passes.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
+
+#: Scores a task holds at once.
+SCORES_HELD = 4_000_000
 
 
 def chunk(documents: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text",
@@ -42,8 +45,14 @@ def chunk(documents: DataFrame, key: str = "doc_id", title: str = "title", text:
 
 
 def term_counts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """How often each unigram and bigram occurs in each document."""
-    rows = _each(documents, T.terms(F.col(text)), "token", key)
+    """How often each unigram and bigram occurs in each document.
+
+    Texts are partitioned by document before they are split into terms: the
+    counting then needs no shuffle of its own, and a text is several times
+    smaller than its terms.
+    """
+    placed = documents.select(key, text).repartition(F.col(key))
+    rows = _each(placed, T.terms(F.col(text)), "token", key)
     return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -137,13 +146,19 @@ def _best_of_batch(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.nda
     return np.repeat(np.arange(len(scores)), rows.shape[1]), rows.ravel()
 
 
+def _best(parts: list[pd.DataFrame], query_key: str, key: str, k: int) -> pd.DataFrame:
+    """The ``k`` best rows of each query over several batches."""
+    rows = pd.concat(parts).sort_values(["score", key], ascending=[False, True], kind="stable")
+    return rows.groupby(query_key, sort=False).head(k)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "doc_id",
         digits: int = 6) -> DataFrame:
     """The ``k`` nearest vectors of each query by cosine, exactly: ``(query, key, score, rank)``.
 
-    Queries travel to the vectors in blocks of bounded size, and each batch of
-    vectors answers with at most ``k`` rows per query, so what is shuffled does
-    not grow with the number of (query, vector) pairs. Scores are rounded before
+    Queries travel to the vectors in blocks of bounded size, and each task
+    answers with at most ``k`` rows per query, so what is shuffled does not grow
+    with the number of (query, vector) pairs. Scores are rounded before
     they are ranked, which keeps the order independent of summation order; ties
     go by key. Both sides may carry a ``model`` column, and then only vectors of
     one model are compared.
@@ -161,7 +176,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_
 
 
 def _block_hits(block: DataFrame, vectors: DataFrame, k: int, query_key: str, key: str, digits: int) -> DataFrame:
-    """Each batch's ``k`` best vectors for every query of one block (at most ``BLOCK_BYTES`` of queries)."""
+    """Each task's ``k`` best vectors for every query of one block (about ``BLOCK_BYTES`` of queries)."""
     kinds = block.schema[query_key].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
     shared = vectors.sparkSession.sparkContext.broadcast(block.toPandas())
 
@@ -171,16 +186,22 @@ def _block_hits(block: DataFrame, vectors: DataFrame, k: int, query_key: str, ke
             return
         width = WIDTH if "slots" in asked else len(asked["embedding"].iloc[0])
         questions, ids = _matrix(asked, width), asked[query_key].to_numpy()
+        step = min(max(SCORES_HELD // len(ids), 16), 1024)
+        found: list[pd.DataFrame] = []
         for pdf in batches:
-            for start in range(0, len(pdf), 1024):
-                rows = pdf.iloc[start:start + 1024]
+            for start in range(0, len(pdf), step):
+                rows = pdf.iloc[start:start + step]
                 scores = np.round(questions @ _matrix(rows, width).T, digits)
                 if "model" in rows:
                     scores[asked["model"].to_numpy()[:, None] != rows["model"].to_numpy()[None, :]] = -np.inf
                 keys = rows[key].to_numpy()
                 q, r = _best_of_batch(scores, keys, k)
-                out = pd.DataFrame({query_key: ids[q], key: keys[r], "score": scores[q, r]})
-                yield out[np.isfinite(out["score"])]
+                hits = pd.DataFrame({query_key: ids[q], key: keys[r], "score": scores[q, r]})
+                found.append(hits[np.isfinite(hits["score"])])
+                if sum(map(len, found)) > max(SCORES_HELD, 4 * k * len(ids)):
+                    found = [_best(found, query_key, key, k)]
+        if found:
+            yield _best(found, query_key, key, k)
 
     return vectors.mapInPandas(search, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double")
 

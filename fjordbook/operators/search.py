@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
@@ -68,19 +68,33 @@ def keyword_filter(query: str, text: Column, language: str = "norsk") -> Column:
     ignored. Both sides are reduced to stems, so the test is row-local: no
     index, no shuffle, one pass over the text column.
     """
-    haystack = F.concat(F.lit(" "), T.stems(text, language), F.lit(" "))
-    groups: list[list[Column]] = [[]]
+    groups: list[list[tuple[bool, str]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
         if word.lower() == "or" and not minus:
             groups.append([])
-            continue
-        kept = [w for w in re.findall(r"[^\W_]{2,}", (phrase or word).lower()) if w not in T.LANGUAGES[language]]
-        if kept:
-            needle = F.concat(F.lit(" "), T.stems(F.lit(" ".join(kept)), language), F.lit(" "))
-            hit = F.contains(haystack, needle)
-            groups[-1].append(~hit if minus else hit)
-    wanted = [reduce(and_, group) for group in groups if group]
-    return reduce(or_, wanted) if wanted else F.lit(False)
+        else:
+            groups[-1].append((bool(minus), phrase or word))
+    needles = _stems_of({term for group in groups for _, term in group}, language)
+
+    def matches(haystack: Column) -> Column:
+        wanted = []
+        for group in groups:
+            hits = [(minus, F.contains(haystack, F.lit(f" {needles[term]} "))) for minus, term in group if needles[term]]
+            if hits:
+                wanted.append(reduce(and_, [~hit if minus else hit for minus, hit in hits]))
+        return reduce(or_, wanted) if wanted else F.lit(False)
+
+    # Bound to a lambda, the stems of a row are computed once for all terms.
+    return F.exists(F.array(F.concat(F.lit(" "), T.stems(text, language), F.lit(" "))), matches)
+
+
+def _stems_of(terms: set[str], language: str) -> dict[str, str]:
+    """The search terms reduced like the texts are; a term of stop words alone becomes empty."""
+    listed = sorted(terms)
+    if not listed:
+        return {}
+    frame = SparkSession.active().createDataFrame([(t,) for t in listed], "t string")
+    return {r.t: r.s for r in frame.select("t", T.stems(F.col("t"), language).alias("s")).collect()}
 
 
 def _name_filter(text: str) -> Column:
