@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import LATEST, check
-from checks.standins import AS_OF, register
+from checks.standins import AS_OF, load, register
 from fjordbook.operators import keyed as K
 from fjordbook.operators import search as S
 from fjordbook.operators import spec as P
@@ -88,6 +88,26 @@ _paged("search_page_revenue", "omsetning", "sum_driftsinntekter DESC NULLS LAST,
 _paged("search_page_result", "resultat", "aarsresultat DESC NULLS LAST, navn,", 20, 1)
 
 
+@check("search_semantic", tables="enheter", oracle="""
+, punkt AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+midt AS (SELECT i, avg(x) AS m FROM punkt GROUP BY 1),
+naer AS (SELECT lpad(cast(vec_id AS VARCHAR), 9, '0') AS organisasjonsnummer, round(1 - sum(x * m) / sqrt(sum(x * x)) / sqrt(sum(m * m)), 6) AS avstand
+         FROM punkt JOIN midt USING (i) GROUP BY vec_id)
+SELECT organisasjonsnummer, navn, avstand, left(coalesce(aktivitet, vedtektsfestet_formaal), 160) AS utdrag
+FROM enheter JOIN naer USING (organisasjonsnummer)
+WHERE slettet_dato IS NULL AND NOT konkurs AND NOT under_avvikling AND NOT under_tvangsavvikling AND avstand < 1
+ORDER BY avstand, navn LIMIT 26""")
+def semantic(spark, sf_dir):
+    """Active companies near the middle of all vectors; a vector's id is its company's key."""
+    stored = load(spark, sf_dir, "embeddings")
+    points = stored.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    middle = points.select(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"])).scalar()
+    vectors = stored.select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias(ORG), "embedding")
+    found = S.semantic(_search(spark, sf_dir, SearchSpec(aktive=True)), vectors, middle, 1.0)
+    found = found.withColumn("avstand", F.round("avstand", 6))
+    return K.page(found, S.sort_order("relevans"), 25).select(ORG, "navn", "avstand", "utdrag")
+
+
 @check("place_picker", tables="kommuner", oracle="""
 SELECT kommunenummer, navn, fylkesnummer FROM kommuner WHERE fylkesnummer = '02' AND (contains(lower(navn), 'n_1') OR kommunenummer LIKE 'n_1%')""")
 def place_picker(spark, sf_dir):
@@ -140,7 +160,6 @@ _REPLIES = """replies AS (
 
 
 def _replies(spark, sf_dir):
-    from checks.standins import load
     return spark.sql("WITH " + _REPLIES.replace('{"', '{{"').replace('"}', '"}}').replace("10}", "10}}")
                      + " SELECT * FROM replies", customer=load(spark, sf_dir, "customer"))
 

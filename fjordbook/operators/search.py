@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
 from fjordbook.functions import text as T
+from fjordbook.operators.retrieval import cosine
 from fjordbook.operators.tree import expand_to_leaves
 from fjordbook.schema import ORG
 
@@ -178,6 +179,21 @@ def searchable_text() -> Column:
     return F.concat_ws(" ", "navn", "aktivitet", "vedtektsfestet_formaal")
 
 
+def semantic(rows: DataFrame, vectors: DataFrame, question: Column, ceiling: float, model: str | None = None) -> DataFrame:
+    """Search results near a question, nearest first by ``avstand``.
+
+    ``rows`` is a filtered result of :func:`search`; ``question`` the question's
+    vector, made by the model the descriptions were embedded with. Matches carry
+    their similarity and a snippet of the description. The order replaces any
+    other sort; take a page of it rather than counting it.
+    """
+    if model is not None:
+        vectors = vectors.filter(F.col("modell") == model)
+    near = vectors.select(ORG, (1 - cosine(F.col("embedding"), question)).alias("avstand")).filter(F.col("avstand") < ceiling)
+    found = rows.join(near, ORG)
+    return found.withColumns({"likhet": F.round(1 - F.col("avstand"), 3), "utdrag": C.snippet(C.description())})
+
+
 def sort_order(sort: str = "ansatte") -> list[Column]:
     """Ordering of a result list; every order ends in the key, so pages never overlap."""
     ties = [F.asc_nulls_last("navn"), F.asc(ORG)]
@@ -187,6 +203,7 @@ def sort_order(sort: str = "ansatte") -> list[Column]:
         "eldst": [F.asc_nulls_last("stiftelsesdato")],
         "omsetning": [F.desc_nulls_last("sum_driftsinntekter")],
         "resultat": [F.desc_nulls_last("aarsresultat")],
+        "relevans": [F.asc("avstand")],
     }.get(sort, [F.desc_nulls_last("antall_ansatte")])
     return [*first, *ties]
 
