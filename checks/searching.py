@@ -101,7 +101,7 @@ def semantic(spark, sf_dir):
     """Active companies near the middle of all vectors; a vector's id is its company's key."""
     stored = load(spark, sf_dir, "embeddings")
     points = stored.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    middle = points.select(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"])).scalar()
+    middle = points.select(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("m")).first().m
     vectors = stored.select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias(ORG), "embedding")
     found = S.semantic(_search(spark, sf_dir, SearchSpec(aktive=True)), vectors, middle, 1.0)
     found = found.withColumn("avstand", F.round("avstand", 6))

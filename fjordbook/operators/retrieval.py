@@ -138,6 +138,21 @@ def _matrix(pdf: pd.DataFrame, width: int) -> np.ndarray:
     return np.divide(dense, norms, out=np.zeros_like(dense), where=norms > 0)
 
 
+def near(vectors: DataFrame, question: list[float], ceiling: float, key: str = "doc_id") -> DataFrame:
+    """``(key, avstand)`` of the vectors whose cosine distance to one question is below ``ceiling``."""
+    asked = np.asarray(question, dtype=np.float64)
+    asked = asked / (np.linalg.norm(asked) or 1.0)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            distance = 1 - _matrix(pdf, len(asked)) @ asked
+            out = pd.DataFrame({key: pdf[key].to_numpy(), "avstand": distance})
+            yield out[out["avstand"] < ceiling]
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, "embedding").mapInPandas(measure, f"{key} {kind}, avstand double")
+
+
 def _best_of_batch(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (query, row) of each query's ``k`` best rows; equal scores go by key."""
     by_key = np.argsort(keys, kind="stable")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
 from fjordbook.functions import text as T
-from fjordbook.operators.retrieval import cosine
+from fjordbook.operators.retrieval import near
 from fjordbook.operators.tree import expand_to_leaves
 from fjordbook.schema import ORG
 
@@ -179,7 +179,7 @@ def searchable_text() -> Column:
     return F.concat_ws(" ", "navn", "aktivitet", "vedtektsfestet_formaal")
 
 
-def semantic(rows: DataFrame, vectors: DataFrame, question: Column, ceiling: float, model: str | None = None) -> DataFrame:
+def semantic(rows: DataFrame, vectors: DataFrame, question: list[float], ceiling: float, model: str | None = None) -> DataFrame:
     """Search results near a question, nearest first by ``avstand``.
 
     ``rows`` is a filtered result of :func:`search`; ``question`` the question's
@@ -189,8 +189,7 @@ def semantic(rows: DataFrame, vectors: DataFrame, question: Column, ceiling: flo
     """
     if model is not None:
         vectors = vectors.filter(F.col("modell") == model)
-    near = vectors.select(ORG, (1 - cosine(F.col("embedding"), question)).alias("avstand")).filter(F.col("avstand") < ceiling)
-    found = rows.join(near, ORG)
+    found = rows.join(near(vectors, question, ceiling, ORG), ORG)
     return found.withColumns({"likhet": F.round(1 - F.col("avstand"), 3), "utdrag": C.snippet(C.description())})
 
 
