@@ -17,7 +17,7 @@ from fjordbook.operators.retrieval import near
 from fjordbook.operators.tree import expand_to_leaves
 from fjordbook.schema import ORG
 
-#: Range filters and the column of the latest accounts each one reads.
+# Range filters and the column of the latest accounts each one reads.
 AMOUNT_FIELDS = {
     "omsetning": "sum_driftsinntekter",
     "driftsresultat": "driftsresultat",

@@ -34,6 +34,7 @@ _RANGE = ("minst", "hoyst", "mellom")
 
 def vocabulary() -> dict[str, Field]:
     """Every field a filter may use."""
+    # Field names, their types and operators.
     return {
         "navn": Field(F.col("navn"), "tekst", ("inneholder",)),
         "fylke": Field(F.col("fylke"), "tekst", _TEXT),
@@ -52,6 +53,7 @@ def vocabulary() -> dict[str, Field]:
     }
 
 
+# Sort names and their columns.
 SORTABLE = {
     "navn": "navn",
     "ansatte": "antall_ansatte",

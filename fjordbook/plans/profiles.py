@@ -19,7 +19,9 @@ def _count_per_company(rows: DataFrame, name: str, key: str = ORG) -> DataFrame:
 def dossier(register: Register) -> DataFrame:
     """Every company with the names of its place, industry and parent, its counts, and its latest accounts.
 
-    Each count is one aggregate per table, joined on the company key.
+    Each count is one aggregate per table. All of them, and the few companies
+    that have a parent, are joined on the company key, so the company table
+    itself is shuffled once.
     """
     companies = register.companies
     places = register.municipalities.select(
@@ -27,11 +29,13 @@ def dossier(register: Register) -> DataFrame:
     )
     counties = register.counties.select("fylkesnummer", F.col("navn").alias("fylke"))
     industries = register.industries.select(F.col("kode").alias("naeringskode1_kode"), F.col("navn").alias("naering"))
-    parents = companies.select(F.col(ORG).alias("overordnet_enhet"), F.col("navn").alias("morselskap"))
+    children = companies.filter(F.col("overordnet_enhet").isNotNull()).select(ORG, "overordnet_enhet")
+    names = companies.select(F.col(ORG).alias("overordnet_enhet"), F.col("navn").alias("morselskap"))
+    parents = children.join(names, "overordnet_enhet").drop("overordnet_enhet")
     rows = lookup(companies, places, "forretningsadresse_kommunenummer")
     rows = lookup(rows, counties, "fylkesnummer")
     rows = lookup(rows, industries, "naeringskode1_kode")
-    rows = lookup(rows, parents, "overordnet_enhet")
+    rows = rows.join(parents, ORG, "left")
     counts = {
         "antall_roller": _count_per_company(register.roles, "antall_roller"),
         "antall_regnskap": _count_per_company(register.accounts, "antall_regnskap"),

@@ -85,9 +85,14 @@ def cursor(spark: SparkSession, out: str) -> DataFrame:
     return ids.unionByName(_log(spark, f"{out}/venter").select("oppdateringsid")).agg(F.max("oppdateringsid").alias("siste_id"))
 
 
-def current_companies(base: DataFrame, out: str, as_of: date) -> DataFrame:
-    """The stored companies with the change log applied. Publish it to compact the log."""
-    changes = logged_changes(base.sparkSession, out)
+def current_companies(base: DataFrame, out: str, as_of: date, after: int = -1) -> DataFrame:
+    """The stored companies with the changes logged after event ``after`` applied.
+
+    Publish the result together with its :func:`cursor` to compact the log: the
+    next reading starts after that event, so older changes are not applied over
+    newer rows.
+    """
+    changes = logged_changes(base.sparkSession, out).filter(F.col("oppdateringsid") > after)
     documents = company_documents(changes.filter(~F.col("slettes")))
     return apply_changes(base, documents, changes.filter("slettes"), as_of)
 
