@@ -9,6 +9,7 @@ from fjordbook.operators import graph as G
 from fjordbook.operators import holdings as H
 from fjordbook.operators import tree as T
 from fjordbook.schema import ORG
+from fjordbook.session import durable
 
 
 def _holdings(spark, sf_dir):
@@ -101,8 +102,10 @@ def degree_counts(spark, sf_dir):
 
 
 def _walk_sql(here: str, ahead: str) -> str:
-    """Level by level: a hop keeps one row per start and node."""
-    levels = "h0 AS (SELECT DISTINCT organisasjonsnummer AS fra, organisasjonsnummer AS node, cast(100 AS DECIMAL(20,2)) AS andel FROM kanter)"
+    """Level by level from every company in the graph: a hop keeps one row per start and node."""
+    levels = f"""{HOLDINGS},
+kanter AS (SELECT eier_orgnr, organisasjonsnummer, ((2 * micro + 10000) // 20000) / 100.0 AS andel FROM shares),
+h0 AS (SELECT DISTINCT {here} AS fra, {here} AS node, 100.0 AS andel FROM kanter)"""
     for i in (1, 2, 3):
         levels += f""",
 h{i} AS (SELECT h.fra, k.{ahead} AS node, max(k.andel) AS andel FROM (SELECT fra, node FROM h{i - 1}) h JOIN kanter k ON k.{here} = h.node GROUP BY 1, 2)"""
@@ -117,32 +120,34 @@ _DOWN = _walk_sql("eier_orgnr", "organisasjonsnummer")
 
 
 def _walk(spark, sf_dir, direction):
-    """From every company in the graph that has owners."""
-    edges = table(spark, sf_dir, "kanter")
-    return edges, G.walk(edges, edges.select(ORG), direction)
+    """From every company that has owners (up), or that owns others (down)."""
+    edges = H.ownership_edges(_holdings(spark, sf_dir))
+    start = ORG if direction == "opp" else "eier_orgnr"
+    edges = durable(edges)
+    return edges, G.walk(edges, edges.select(F.col(start).alias(ORG)), direction)
 
 
 _NODES = "SELECT fra, node, niva, cast(andel AS DOUBLE) AS andel FROM valgt WHERE niva > 0"
 
 
-@check("network_up", tables="kanter", ctes=_UP, oracle=_NODES)
+@check("network_up", tables="aksjonar_raw", ctes=_UP, oracle=_NODES)
 def network_up(spark, sf_dir):
     return _walk(spark, sf_dir, "opp")[1][0]
 
 
-@check("network_down", tables="kanter", ctes=_DOWN, oracle=_NODES)
+@check("network_down", tables="aksjonar_raw", ctes=_DOWN, oracle=_NODES)
 def network_down(spark, sf_dir):
     return _walk(spark, sf_dir, "ned")[1][0]
 
 
-@check("induced_edges", tables="kanter", ctes=_UP, oracle="""
+@check("induced_edges", tables="aksjonar_raw", ctes=_UP, oracle="""
 SELECT a.fra, k.eier_orgnr, k.organisasjonsnummer, cast(k.andel AS DOUBLE) AS andel
 FROM kanter k JOIN valgt a ON a.node = k.eier_orgnr JOIN valgt b ON b.node = k.organisasjonsnummer AND b.fra = a.fra""")
 def induced_edges(spark, sf_dir):
     return _walk(spark, sf_dir, "opp")[1][1]
 
 
-@check("network_list", tables="kanter enheter", ctes=_UP, oracle="""
+@check("network_list", tables="aksjonar_raw enheter", ctes=_UP, oracle="""
 , liste AS (
   SELECT v.fra, v.node, v.niva, cast(v.andel AS DOUBLE) AS andel, e.navn, nullif(e.antall_ansatte, 0) AS ansatte,
          count(*) OVER (PARTITION BY v.fra) >= 119 AS avkortet,
@@ -158,7 +163,7 @@ def network_list(spark, sf_dir):
         "fra", "node", "niva", "andel", "navn", "ansatte", "avkortet", "nr", F.json_array_length("kanter").alias("kanter"))
 
 
-@check("nodes_by_depth", tables="kanter", ctes=_DOWN, oracle="""
+@check("nodes_by_depth", tables="aksjonar_raw", ctes=_DOWN, oracle="""
 SELECT fra, niva, string_agg(node, ',' ORDER BY andel DESC, node) AS noder FROM valgt WHERE niva > 0 GROUP BY 1, 2""")
 def nodes_by_depth(spark, sf_dir):
     nodes = _walk(spark, sf_dir, "ned")[1][0]

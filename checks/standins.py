@@ -129,23 +129,11 @@ SELECT cast(l_orderkey AS string) AS orgnr,
 FROM {lineitem} LEFT JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS total FROM {lineitem} GROUP BY l_orderkey) t ON l_orderkey = t.k
 """
 
-#: A sparse graph of suppliers. The target is spread over as many suppliers as there are.
-KANTER = f"""
-SELECT {_ORG.format('l_suppkey')} AS eier_orgnr,
-       {_ORG.format('target')} AS organisasjonsnummer,
-       cast(round(max(l_quantity) + max(l_discount), 2) AS decimal(20,2)) AS andel
-FROM (SELECT *, l_partkey % (SELECT count(*) FROM {{supplier}}) AS target FROM {{lineitem}}
-      WHERE l_quantity >= 50 AND l_returnflag = 'R' AND l_linenumber = 1) t
-WHERE l_suppkey <> target
-GROUP BY l_suppkey, target
-"""
-
 TABLES: dict[str, str] = {
     "enheter": ENHETER,
     "regnskap": REGNSKAP,
     "roller": ROLLER,
     "aksjonar_raw": AKSJONAR_RAW,
-    "kanter": KANTER,
     "naeringskoder": NAERINGSKODER,
     "kommuner": """SELECT concat(lpad(cast(n_regionkey + 1 AS string), 2, '0'), lpad(cast(n_nationkey AS string), 2, '0')) AS kommunenummer,
                           n_name AS navn, lpad(cast(n_regionkey + 1 AS string), 2, '0') AS fylkesnummer FROM {nation}""",
