@@ -17,10 +17,10 @@ DAY = date(2024, 6, 1)
 @pytest.fixture(scope="module")
 def companies(spark):
     records = [
-        ("000000001", "Nordvik Fisk AS", "AS", "03.111", 12, "0301", "PLACE", date(2024, 5, 1), date(1990, 1, 1), False, False, False, "Oppdrett av laks", None, None),
+        ("000000001", "Havvik Fisk AS", "AS", "03.111", 12, "0301", "PLACE", date(2024, 5, 1), date(1990, 1, 1), False, False, False, "Oppdrett av laks", None, None),
         ("000000002", "Bakeri 100% AS", "AS", "10.711", None, "0301", "PLACE", date(2010, 5, 1), None, True, False, False, None, "Bake brød og kaker", None),
         ("000000003", "ÅSGARD bygg", "ENK", "41.201", 0, "4601", "PLACE", date(2011, 5, 1), date(1950, 1, 1), False, True, False, "Building houses and boats", None, None),
-        ("000000004", "Nordvik Slettet", "AS", "03.111", 3, "0301", "PLACE", date(2011, 5, 1), None, False, False, False, "Laks", None, date(2024, 1, 1)),
+        ("000000004", "Havvik Slettet", "AS", "03.111", 3, "0301", "PLACE", date(2011, 5, 1), None, False, False, False, "Laks", None, date(2024, 1, 1)),
     ]
     return spark.createDataFrame(
         records, f"{ORG} string, navn string, organisasjonsform_kode string, naeringskode1_kode string, antall_ansatte int, "
@@ -34,7 +34,7 @@ def keys(df):
 
 @pytest.mark.parametrize("spec, expected", [
     (S.SearchSpec(), "123"),
-    (S.SearchSpec(q="nordvik"), "1"),
+    (S.SearchSpec(q="havvik"), "1"),
     (S.SearchSpec(q="åsgard"), "3"),
     (S.SearchSpec(q="000000002"), "2"),
     (S.SearchSpec(q="00000000"), ""),
