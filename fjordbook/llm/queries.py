@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import fingerprints, quality
+from fjordbook.llm import fingerprints, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": mixing.op4,
     "op6_quality": quality.op6,
     "op10_fingerprints": fingerprints.op10,
 }
