@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import fingerprints, mixing, quality
+from fjordbook.llm import fingerprints, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4,
     "op6_quality": quality.op6,
+    "op8_packing": packing.op8,
     "op10_fingerprints": fingerprints.op10,
 }
 ORACLES: dict[str, str] = {}
