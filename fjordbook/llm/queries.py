@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import fingerprints, mixing, packing, quality
+from fjordbook.llm import fingerprints, mixing, neardup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4,
+    "op5_neardup": neardup.op5,
     "op6_quality": quality.op6,
     "op8_packing": packing.op8,
     "op10_fingerprints": fingerprints.op10,
