@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import fingerprints, mixing, neardup, packing, quality, substrings
+from fjordbook.llm import archives, fingerprints, mixing, neardup, packing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_archives": archives.op1,
     "op2_substrings": substrings.op2,
     "op4_mixing": mixing.op4,
     "op5_neardup": neardup.op5,
