@@ -27,18 +27,17 @@ def running_sum(df: DataFrame, keys: list[str], order: Column, tie: list[Column]
     those few sums, then inside each bucket: no task gets all rows of a hot key.
     Rows alike in order and tie get their places in any order.
     """
-    bucketed = df.withColumn("_order", order).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - bits)).withColumn("_value", value)
-    sums = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"),
-    )
-    same = F.col("_bucket") == F.col("_b")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_order", *tie).rowsBetween(Window.unboundedPreceding, -1)
-    placed = bucketed.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    joined = placed.join(starts, same)
-    return joined.withColumn(name, F.col("_start") + F.col("_inside")).drop(
-        "_order", "_bucket", "_value", "_inside", "_b", "_start", *[f"_k{i}" for i in range(len(keys))])
+    key = F.struct(*[F.col(f"`{k}`") for k in keys])  # equal where both are null, too
+    bucketed = df.withColumn("_key", key).withColumn("_order", order).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - bits)).withColumn("_value", value)
+    sums = bucketed.groupBy("_key", "_bucket").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_key", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_order", *tie).rowsBetween(Window.unboundedPreceding, -1)
+    joined = bucketed.join(starts, ["_key", "_bucket"])
+    placed = joined.withColumn(name, F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return placed.drop("_key", "_order", "_bucket", "_value", "_start")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one, which keeps them apart from names that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])

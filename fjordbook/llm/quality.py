@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fjordbook.llm import words as W
-from fjordbook.llm.common import table
+from fjordbook.llm.common import table, whole_row
 
 #: At most so many labelled rows are fitted.
 SAMPLE_ROWS = 20_000
@@ -231,25 +232,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(x[order], rows["quality"].to_numpy(np.float64)[order])
 
 
-def scored(docs: DataFrame, trees: Trees) -> DataFrame:
-    """All columns of ``docs`` and ``_score``, in one pass without a shuffle."""
+def scored(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
+    """``(row, score)``: all columns of ``docs`` as one, and the score, in one pass without a shuffle."""
     def run(batches):
         for batch in batches:
-            data, offsets = W.buffer(batch.column("text"))
+            data, offsets = W.buffer(batch.column("body"))
             found = trees.score(statistics(data, offsets))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found)], ["row", "score"])
 
-    schema = docs.schema
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("_score", "double"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(f"`{text}`").alias("body"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]]).add("score", "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every document."""
     trees = train(docs, labels)
-    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trees)
+    def run(batches):
+        for batch in batches:
+            found = trees.score(statistics(*W.buffer(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return rows.select(
-        "doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= threshold).cast("int").alias("predicted"))
+        "doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

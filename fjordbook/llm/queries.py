@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import archives, fingerprints, mixing, neardup, packing, quality, substrings
+from fjordbook.llm import archives, fingerprints, lines, mixing, neardup, packing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archives": archives.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_neardup": neardup.op5,
     "op6_quality": quality.op6,
     "op8_packing": packing.op8,
+    "op9_lines": lines.op9,
     "op10_fingerprints": fingerprints.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_lines": lines.ORACLE}
