@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import archives, fingerprints, lines, mixing, neardup, packing, quality, substrings
+from fjordbook.llm import ann, archives, fingerprints, lines, mixing, neardup, packing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archives": archives.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4,
     "op5_neardup": neardup.op5,
     "op6_quality": quality.op6,
+    "op7_neighbours": ann.op7,
     "op8_packing": packing.op8,
     "op9_lines": lines.op9,
     "op10_fingerprints": fingerprints.op10,
