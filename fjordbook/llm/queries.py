@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import ann, archives, fingerprints, lines, mixing, neardup, packing, quality, substrings
+from fjordbook.llm import ann, archives, fingerprints, lines, mixing, neardup, packing, quality, substrings, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archives": archives.op1,
     "op2_substrings": substrings.op2,
+    "op3_training_order": training_order.op3,
     "op4_mixing": mixing.op4,
     "op5_neardup": neardup.op5,
     "op6_quality": quality.op6,
