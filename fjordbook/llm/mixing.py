@@ -22,12 +22,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fjordbook.llm.common import WORD, running_sum, table
+from fjordbook.llm.common import WORD, running_sum, table, whole_row
 from fjordbook.llm.feistel import permute
+from fjordbook.llm.words import spans
 from fjordbook.session import durable
 
 #: Weights of the sources in order, repeating; their joint share of all words; most reads of a word.
@@ -180,9 +181,10 @@ def mix(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> Dat
     """``(doc_id, source, size, source_size, target, taken, draws)`` of every row of ``(doc_id, source, size)``.
 
     ``draws`` lists the pieces taken: output shard, place of the draw in its source,
-    reading (0, 1), first word and number of words. Extra columns are kept.
+    reading (0, 1), first word and number of words. Columns ``row`` and ``body`` are
+    passed on.
     """
-    plan = durable(quotas(targets(sized, **rule), shards, seed))
+    plan = durable(quotas(targets(sized.select("source", "size"), **rule), shards, seed))
     placed = laid_out(sized, seed)
     known = plan.withColumnRenamed("source", "_source")
     rows = placed.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -208,6 +210,43 @@ def mix(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> Dat
     return rows.mapInArrow(run, schema)
 
 
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> DataFrame:
+    """The mix as documents: a row for each reading of a document, with the words drawn in it.
+
+    A document read whole keeps its text as it is. Of one read in part, drawn runs
+    of words keep the text between them and are put on lines of their own. Columns
+    are those of ``docs``; ``n_chars`` follows the text.
+    """
+    body = F.col("text").alias("body")
+    mixed = mix(docs.select(*sized_columns(), whole_row(docs).alias("row"), body), shards, seed, **rule)
+
+    def run(batches):
+        for batch in batches:
+            texts, sizes = batch.column("body"), batch.column("size").to_pylist()
+            at, out = [], []
+            for i, draws in enumerate(batch.column("draws").to_pylist()):
+                for reading in sorted({d["reading"] for d in draws}):
+                    mine = [(d["start"], d["words"]) for d in draws if d["reading"] == reading]
+                    text = texts[i].as_py()
+                    if sum(n for _, n in mine) < sizes[i]:
+                        raw = text.encode()
+                        starts, ends, _ = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                        runs = []
+                        for start, n in mine:
+                            if runs and runs[-1][1] == start:
+                                runs[-1][1] = start + n
+                            else:
+                                runs.append([start, start + n])
+                        text = "\n".join(raw[starts[a]:ends[b - 1]].decode() for a, b in runs)
+                    at.append(i)
+                    out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], ["row", "body"])
+
+    rows = mixed.select("row", "body", "size", "draws").mapInArrow(run, T.StructType([mixed.schema["row"], mixed.schema["body"]]))
+    own = {"text": F.col("body"), "n_chars": F.char_length("body").cast("long")}
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def shards_in_order(mixed: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per drawn piece, each shard in a partition range of its own and shuffled inside."""
     flat = mixed.select("doc_id", "source", F.explode("draws").alias("draw")).select("doc_id", "source", "draw.*")
@@ -215,13 +254,13 @@ def shards_in_order(mixed: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     return flat.withColumn("_order", order).repartitionByRange(shards, "shard", "_order").sortWithinPartitions("shard", "_order", "doc_id", "start").drop("_order")
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)`` with the size in words."""
+def sized_columns() -> list[Column]:
+    """``doc_id``, ``source`` and ``size`` in words, of documents."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")]
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = durable(sized_documents(table(spark, sf_dir, "documents")))
+    sized = durable(table(spark, sf_dir, "documents").select(*sized_columns()))
     mixed = mix(sized)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))

@@ -25,10 +25,10 @@ from math import ceil, comb, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fjordbook.llm.common import table
+from fjordbook.llm.common import table, whole_row
 from fjordbook.llm.components import components
 from fjordbook.llm.words import mix
 from fjordbook.session import durable
@@ -156,7 +156,7 @@ def meetings(values: np.ndarray, prefix: int, lead: int, width: int, half: int,
     return forest(np.concatenate(links_a), np.concatenate(links_b), n)
 
 
-def links(codes: DataFrame, count: int, bits: int, radius: int, blocks: int = 1, limit: int | None = None) -> DataFrame:
+def links(codes: DataFrame, count: int, bits: int, radius: int, blocks: int = 1, limit: int | None = None, variants: int = VARIANTS) -> DataFrame:
     """``(a, b)`` over ``(id, code)`` rows: a spanning forest per task of pairs within ``radius`` in a block.
 
     With one block the radius is that of the whole code. With several, pairs within
@@ -166,7 +166,7 @@ def links(codes: DataFrame, count: int, bits: int, radius: int, blocks: int = 1,
     limit = radius if limit is None else limit
     width, half = bits // blocks, ceil(radius / 2)
     ball = sum(comb(width, i) for i in range(half + 1))
-    lead = max(0, min(width - half - 1, ceil(log2(max(1, count * ball / VARIANTS)))))
+    lead = max(0, min(width - half - 1, ceil(log2(max(1, count * ball / variants)))))
     prefixes = np.concatenate(flips(lead, min(half, lead)))
 
     def emit(batches):
@@ -190,16 +190,43 @@ def links(codes: DataFrame, count: int, bits: int, radius: int, blocks: int = 1,
     return codes.select("id", "code").mapInArrow(emit, "key long, id long, code binary").groupBy("key").applyInArrow(meet, "a long, b long")
 
 
-def groups(prints: DataFrame, bits: int, radius: int, blocks: int = 1, limit: int | None = None) -> DataFrame:
-    """``(doc_id, code, component_id)`` of a stored ``(doc_id, code)`` table; the id is the least doc_id reachable."""
+def groups(prints: DataFrame, bits: int, radius: int, **how) -> DataFrame:
+    """A stored table of fingerprints with each row's ``component`` and ``component_id``, the least doc_id reachable."""
     codes = durable(prints.groupBy("code").agg(F.min("doc_id").alias("low")).withColumn("id", F.monotonically_increasing_id()))
-    found = links(codes, codes.count(), bits, radius, blocks, limit)
+    found = links(codes, codes.count(), bits, radius, **how)
     roots = durable(components(found))
     linked = codes.select("id", "low").join(roots.withColumnRenamed("node", "id"), "id")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = roots.join(lows, "root").select(F.col("node").alias("id"), "component_id")
-    named = codes.join(known, "id", "left").select("code", F.coalesce("component_id", "low").alias("component_id"))
-    return prints.join(named, "code").select("doc_id", "code", "component_id")
+    known = roots.join(lows, "root").select(F.col("node").alias("id"), "root", "component_id")
+    named = codes.join(known, "id", "left").select("code", F.coalesce("root", "id").alias("component"), F.coalesce("component_id", "low").alias("component_id"))
+    return prints.join(named, "code")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, bits: int = 192, radius: int = 4, blocks: int = 6, limit: int = 33) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one of least doc_id, nulls last.
+
+    Texts whose shingle sets have a Jaccard similarity of 0.8 differ in 15 in a
+    hundred bits on average, 29 of 192; ``limit`` allows for chance. Such a pair
+    comes within ``radius`` in one of the six blocks of 32 bits with probability
+    0.98, a pair of similarity 0.85 with 0.995. Rows alike are one document.
+    """
+    mark = F.xxhash64("text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark"))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            found = [code_of(t.as_py() or b"", shingle, bits) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.binary())], ["doc_id", "mark", "code"])
+
+    prints = durable(keyed.mapInArrow(run, "doc_id long, mark long, code binary"))
+    found = groups(prints, bits, radius, blocks=blocks, limit=limit, variants=4 * VARIANTS)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
+    kept = found.groupBy("component").agg(first.alias("first")).select(F.struct("first.doc_id", "first.mark").alias("key"))
+    rows = docs.select(whole_row(docs).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark")).alias("key"))
+    joined = rows.join(kept, "key")
+    one = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return joined.withColumn("_one", one).filter("_one = 1").select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
