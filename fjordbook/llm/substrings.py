@@ -38,8 +38,10 @@ from fjordbook.llm import words as W
 from fjordbook.llm.common import table
 from fjordbook.session import durable
 
-#: Words of a window and of a minimizer; bytes of text per part of the hashes.
-WINDOW, GROUP, PART_BYTES = 13, 6, 24 << 20
+#: Words of a window and of a minimizer; bytes of text per part of the hashes, and the fewest parts.
+WINDOW, GROUP, PART_BYTES, LEAST_PARTS = 13, 6, 24 << 20, 64
+#: Bytes of text whose windows a task holds at once.
+CHUNK = 12 << 20
 #: Stands for a missing doc_id: after all others.
 LAST = (1 << 63) - 1
 #: Places carry their text's checksum above these bits, so that unlike texts of one doc_id stay apart.
@@ -99,14 +101,21 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def chunks(batches):
+    """``(bytes, offsets, doc_ids, rows)`` of each part of the batches that holds ``CHUNK`` bytes of text."""
+    for batch in batches:
+        data, offsets = W.buffer(batch.column("text"))
+        for low, high in W.slices(offsets, CHUNK):
+            rows = batch.slice(low, high - low)
+            yield data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], rows.column("doc_id").to_numpy(zero_copy_only=False), rows
+
+
 def shared_groups(docs: DataFrame, parts: int, k: int, m: int) -> DataFrame:
     """``(doc_id, places)``: word numbers of the minimizers that more than one document has."""
     bits = np.uint64(int(log2(parts)))
 
     def deal(batches):
-        for batch in batches:
-            data, offsets = W.buffer(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for data, offsets, ids, _ in chunks(batches):
             hs, ds, ps = [], [], []
             for low, high in W.slices(offsets):
                 w = Windows(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], k, m)
@@ -233,9 +242,7 @@ def repeated_paths(runs: DataFrame, parts: int, k: int, m: int) -> DataFrame:
     bits = np.uint64(int(log2(parts)))
 
     def deal(batches):
-        for batch in batches:
-            data, offsets = W.buffer(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for data, offsets, ids, batch in chunks(batches):
             lists = [(c.offsets.to_numpy(), c.flatten().to_numpy()) for c in (batch.column("start"), batch.column("count"))]
             found = []
             for low, high in W.slices(offsets):
@@ -328,7 +335,7 @@ def deduplicated(docs: DataFrame, k: int = WINDOW, m: int = GROUP) -> DataFrame:
     repeated spans as ``(start, words, source, source_start)`` in word numbers.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 << max(4, ceil(log2(max(1, size / PART_BYTES))))
+    parts = 1 << ceil(log2(max(LEAST_PARTS, size / PART_BYTES)))
     known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     found = durable(marked(known, shared_groups(known, parts, k, m), k, m))
     runs = found.filter("text is not null")
