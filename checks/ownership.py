@@ -46,7 +46,7 @@ kids AS (
   WHERE e.slettet_dato IS NULL GROUP BY ALL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY mor ORDER BY antall_ansatte DESC NULLS LAST, navn, organisasjonsnummer) AS nr,
                     count(*) OVER (PARTITION BY mor) AS antall FROM kids)
-SELECT * FROM numbered WHERE nr <= 500""")
+SELECT * FROM numbered""")
 def subsidiaries(spark, sf_dir):
     r = register(spark, sf_dir)
     return H.subsidiaries(r.companies, r.holdings, r.industries).select(
@@ -59,7 +59,7 @@ SELECT organisasjonsnummer, count(*) AS antall_eiere, count(*) FILTER (WHERE er_
        least(count(*), 200) AS vist, count(*) > 200 AS avkortet
 FROM aksjonar GROUP BY 1""")
 def holder_summary(spark, sf_dir):
-    return H.holder_summary(_holdings(spark, sf_dir))
+    return H.holder_summary(_holdings(spark, sf_dir), 200)
 
 
 _TIES = "regnskapsaar NULLS LAST, eier_orgnr NULLS LAST, vist_navn NULLS LAST, aksjeklasse NULLS LAST, antall_aksjer NULLS LAST"
@@ -69,7 +69,7 @@ _TIES = "regnskapsaar NULLS LAST, eier_orgnr NULLS LAST, vist_navn NULLS LAST, a
 , shown AS (SELECT *, CASE WHEN er_person THEN NULL ELSE eier_navn END AS vist_navn FROM aksjonar),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY organisasjonsnummer ORDER BY andel DESC NULLS LAST, {_TIES}) AS nr FROM shown)
 SELECT organisasjonsnummer, nr, eier_orgnr, vist_navn AS eier_navn, cast(andel AS DOUBLE) AS andel_prosent, e.navn AS eier_foretaksnavn
-FROM ranked LEFT JOIN (SELECT organisasjonsnummer AS eier_orgnr, navn FROM enheter) e USING (eier_orgnr) WHERE nr <= 200""")
+FROM ranked LEFT JOIN (SELECT organisasjonsnummer AS eier_orgnr, navn FROM enheter) e USING (eier_orgnr)""")
 def largest_holders(spark, sf_dir):
     r = register(spark, sf_dir)
     return H.largest_holders(r.holdings, r.companies).select(
@@ -80,7 +80,7 @@ def largest_holders(spark, sf_dir):
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY eier_orgnr ORDER BY andel DESC NULLS LAST, organisasjonsnummer, regnskapsaar, aksjeklasse, antall_aksjer) AS nr
              FROM aksjonar WHERE eier_orgnr IS NOT NULL)
 SELECT eier_orgnr, nr, organisasjonsnummer, navn, antall_aksjer, cast(andel AS DOUBLE) AS andel_prosent
-FROM ranked LEFT JOIN (SELECT organisasjonsnummer, navn FROM enheter) e USING (organisasjonsnummer) WHERE nr <= 200""")
+FROM ranked LEFT JOIN (SELECT organisasjonsnummer, navn FROM enheter) e USING (organisasjonsnummer)""")
 def largest_positions(spark, sf_dir):
     r = register(spark, sf_dir)
     return H.largest_positions(r.holdings, r.companies).select(
@@ -112,7 +112,10 @@ h{i} AS (SELECT h.fra, k.{ahead} AS node, max(k.andel) AS andel FROM (SELECT fra
     reached = " UNION ALL ".join(f"SELECT *, {i} AS niva FROM h{i}" for i in range(4))
     return f"""{levels},
 noder AS (SELECT fra, node, min(niva) AS niva, max(andel) AS andel FROM ({reached}) r GROUP BY 1, 2),
-valgt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fra ORDER BY niva, andel DESC NULLS LAST, node) AS nr FROM noder) t WHERE nr <= 120)"""
+valgt AS MATERIALIZED (SELECT * FROM noder)"""
+
+
+_SHOWN = """, vist AS MATERIALIZED (SELECT * FROM valgt QUALIFY row_number() OVER (PARTITION BY fra ORDER BY niva, andel DESC NULLS LAST, node) <= 120)"""
 
 
 _UP = _walk_sql("organisasjonsnummer", "eier_orgnr")
@@ -141,26 +144,27 @@ def network_down(spark, sf_dir):
 
 
 @check("induced_edges", tables="aksjonar_raw", ctes=_UP, oracle="""
-SELECT a.fra, k.eier_orgnr, k.organisasjonsnummer, cast(k.andel AS DOUBLE) AS andel
-FROM kanter k JOIN valgt a ON a.node = k.eier_orgnr JOIN valgt b ON b.node = k.organisasjonsnummer AND b.fra = a.fra""")
+SELECT b.fra, k.eier_orgnr, k.organisasjonsnummer, cast(k.andel AS DOUBLE) AS andel
+FROM valgt b JOIN kanter k ON b.node = k.organisasjonsnummer WHERE (b.fra, k.eier_orgnr) IN (SELECT fra, node FROM valgt)""")
 def induced_edges(spark, sf_dir):
     return _walk(spark, sf_dir, "opp")[1][1]
 
 
-@check("network_list", tables="aksjonar_raw enheter", ctes=_UP, oracle="""
+@check("network_list", tables="aksjonar_raw enheter", ctes=_UP, oracle=_SHOWN + """
 , liste AS (
   SELECT v.fra, v.node, v.niva, cast(v.andel AS DOUBLE) AS andel, e.navn, nullif(e.antall_ansatte, 0) AS ansatte,
          count(*) OVER (PARTITION BY v.fra) >= 119 AS avkortet,
          row_number() OVER (PARTITION BY v.fra ORDER BY v.niva, e.antall_ansatte DESC NULLS LAST, e.navn NULLS LAST, v.node) AS nr
-  FROM valgt v LEFT JOIN enheter e ON e.organisasjonsnummer = v.node WHERE v.niva > 0),
-kant AS (SELECT a.fra, a.node, count(*) AS kanter FROM kanter k JOIN valgt a ON a.node = k.eier_orgnr
-         JOIN valgt b ON b.node = k.organisasjonsnummer AND b.fra = a.fra GROUP BY 1, 2)
-SELECT liste.*, coalesce(kanter, 0) AS kanter FROM liste LEFT JOIN kant USING (fra, node)""")
+  FROM vist v LEFT JOIN enheter e ON e.organisasjonsnummer = v.node WHERE v.niva > 0),
+kant AS (SELECT a.fra, a.node, string_agg(k.eier_orgnr || '>' || k.organisasjonsnummer || '=' || cast(cast(k.andel AS DOUBLE) AS VARCHAR), ' ' ORDER BY k.organisasjonsnummer) AS kanter
+         FROM kanter k JOIN vist a ON a.node = k.eier_orgnr JOIN vist b ON b.node = k.organisasjonsnummer AND b.fra = a.fra GROUP BY 1, 2)
+SELECT liste.*, coalesce(kanter, '') AS kanter FROM liste LEFT JOIN kant USING (fra, node)""")
 def network_list(spark, sf_dir):
     edges, (nodes, induced) = _walk(spark, sf_dir, "opp")
-    shown = G.network(nodes, induced, table(spark, sf_dir, "enheter"), "opp")
-    return shown.select(
-        "fra", "node", "niva", "andel", "navn", "ansatte", "avkortet", "nr", F.json_array_length("kanter").alias("kanter"))
+    shown = G.network(nodes, induced, table(spark, sf_dir, "enheter"), 120)
+    edge = F.from_json("kanter", "array<struct<eier:string,selskap:string,andel:double>>")
+    told = F.array_join(F.transform(edge, lambda e: F.concat(e["eier"], F.lit(">"), e["selskap"], F.lit("="), e["andel"].cast("string"))), " ")
+    return shown.select("fra", "node", "niva", "andel", "navn", "ansatte", "avkortet", "nr", told.alias("kanter"))
 
 
 @check("nodes_by_depth", tables="aksjonar_raw", ctes=_DOWN, oracle="""

@@ -40,7 +40,7 @@ def roles_listed(spark, sf_dir):
 @check("roles_ended", tables="roller", ctes=ROLES, oracle="""
 , endte AS (SELECT *, coalesce(innehaver_navn, concat_ws(' ', person_fornavn, person_mellomnavn, person_etternavn)) AS innehaver FROM naa WHERE n NOT IN (SELECT n FROM inn))
 SELECT organisasjonsnummer, rolletype_kode, innehaver, rekkefolge,
-       row_number() OVER (PARTITION BY organisasjonsnummer ORDER BY rolletype_kode, innehaver, rekkefolge NULLS LAST) AS nr FROM endte QUALIFY nr <= 100""")
+       row_number() OVER (PARTITION BY organisasjonsnummer ORDER BY rolletype_kode, innehaver, rekkefolge NULLS LAST) AS nr FROM endte""")
 def roles_ended(spark, sf_dir):
     current, incoming = _role_sets(spark, sf_dir)
     history = reconcile_scd2(current, current.limit(0), incoming, AS_OF)[1]

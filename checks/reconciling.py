@@ -83,7 +83,7 @@ LAST = """sist AS (
 
 @check("feed_last_change", tables="feed", ctes=LAST, oracle="SELECT *, endringstype IN ('Sletting', 'Fjernet') AS slettes FROM sist")
 def feed_last_change(spark, sf_dir):
-    return R.last_changes(table(spark, sf_dir, "feed"))
+    return R.last_changes(table(spark, sf_dir, "feed")).drop("dato")
 
 
 @check("delta_soft_delete", tables="enheter feed", ctes=LAST, oracle=f"""
@@ -117,7 +117,7 @@ stopp AS (SELECT min(f) AS s FROM (SELECT f, row_number() OVER (ORDER BY f) AS r
 SELECT oppdateringsid, organisasjonsnummer, endringstype FROM feed, stopp
 WHERE oppdateringsid > {_CURSOR} AND (s IS NULL OR oppdateringsid < s)""")
 def feed_capped_batch(spark, sf_dir):
-    batch = R.next_change_batch(table(spark, sf_dir, "feed"), _CURSOR, _MAX)
+    batch, _ = R.next_change_batch(table(spark, sf_dir, "feed"), _CURSOR, _MAX)
     return batch.select("oppdateringsid", ORG, "endringstype")
 
 

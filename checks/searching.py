@@ -149,7 +149,7 @@ _spec("spec_text_ops", {"filtre": [
 _spec("spec_founded_year", {"filtre": [
     {"felt": "stiftet_aar", "op": "mellom", "verdi": [1950, 1980]}, {"felt": "aksjekapital", "op": "hoyst", "verdi": 5e6},
     {"felt": "organisasjonsform", "op": "er", "verdi": "mach"}], "sorter": "aksjekapital", "grense": 500},
-    "year(stiftelsesdato) BETWEEN 1950 AND 1980 AND kapital_belop <= 5000000 AND organisasjonsform_kode ILIKE 'mach'", "kapital_belop DESC", 200)
+    "year(stiftelsesdato) BETWEEN 1950 AND 1980 AND kapital_belop <= 5000000 AND organisasjonsform_kode ILIKE 'mach'", "kapital_belop DESC", 500)
 
 
 _REPLIES = """replies AS (

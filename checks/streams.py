@@ -59,9 +59,22 @@ def stream_dead_letters(spark, sf_dir):
     return S.waiting(spark, _run(spark, sf_dir))
 
 
-@check("stream_cursor", tables="feed", oracle="SELECT max(oppdateringsid) AS siste_id FROM feed")
+@check("stream_cursor", tables="feed", oracle="""
+SELECT oppdateringsid AS siste_id, epoch_us(dato) AS siste_tid FROM feed WHERE oppdateringsid >= ALL (SELECT oppdateringsid FROM feed)""")
 def stream_cursor(spark, sf_dir):
-    return S.cursor(spark, _run(spark, sf_dir))
+    return S.cursor(spark, _run(spark, sf_dir)).withColumn("siste_tid", F.unix_micros("siste_tid"))
+
+
+@check("stream_late_document", tables="feed enheter", ctes=_LAST, oracle="""
+SELECT organisasjonsnummer, 1 AS steder FROM logg WHERE NOT slettes""")
+def stream_late_document(spark, sf_dir):
+    """Documents that come and go while a batch is written: every changed company is in the log or waits, never neither."""
+    out = f"{_folder(spark)}/logg"
+    coming = _documents(spark, sf_dir).filter(F.rand() < 0.5)
+    feed = table(spark, sf_dir, "feed").withColumn("dato", F.col("dato").cast("timestamp"))
+    S.write_batch(feed, 0, coming, out)
+    logged = S.logged_changes(spark, out).filter("not slettes").select(ORG)
+    return logged.unionAll(S.waiting(spark, out).select(ORG)).groupBy(ORG).agg(F.count(F.lit(1)).alias("steder"))
 
 
 @check("stream_rate_windows", oracle="""

@@ -7,7 +7,6 @@ from checks.standins import load
 from fjordbook.functions import text as T
 from fjordbook.operators import conversations as V
 from fjordbook.operators import retrieval as X
-from fjordbook.session import spread
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -80,7 +79,7 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDE
 
 
 def _documents(spark, sf_dir):
-    return spread(load(spark, sf_dir, "documents"))
+    return load(spark, sf_dir, "documents")
 
 
 @check("tokens", ctes=tokens_cte("tok", "documents", "doc_id"), oracle="""
@@ -305,14 +304,14 @@ avvist AS (SELECT conv_id, arg_min(f, (f = 'siste ikke fra bruker', turn)) AS gr
 
 
 @check("conversation_valid", ctes=_RECENT, oracle="""
-SELECT conv_id, turn, role, substr(text, 1, 4000) AS text, r AS fra_slutt FROM siste WHERE conv_id NOT IN (SELECT conv_id FROM avvist)""")
+SELECT conv_id, turn, role, text, length(text) > 4000 AS for_lang, r AS fra_slutt FROM siste WHERE conv_id NOT IN (SELECT conv_id FROM avvist)""")
 def conversation_valid(spark, sf_dir):
-    return V.validate_conversations(load(spark, sf_dir, "conversations"))[0]
+    return V.validate_conversations(load(spark, sf_dir, "conversations"), 20, 4000)[0]
 
 
 @check("conversation_rejects", ctes=_RECENT, oracle="SELECT conv_id, grunn FROM avvist")
 def conversation_rejects(spark, sf_dir):
-    return V.validate_conversations(load(spark, sf_dir, "conversations"))[1]
+    return V.validate_conversations(load(spark, sf_dir, "conversations"), 20, 4000)[1]
 
 
 @check("rate_limit_windows", oracle="""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,13 +105,18 @@ def merge_by_priority(sources: DataFrame, key: list[str], priority: Column, *the
     return first_per_key(sources, key, priority.asc(), *then)
 
 
-def merge_accounts(history: DataFrame, api: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Accounts from both sources; a period the API answered for is taken from it whole."""
-    rows = history.unionByName(api, allowMissingColumns=True)
-    if existing is not None:
-        rows = rows.unionByName(existing, allowMissingColumns=True)
+def merge_accounts(stored: DataFrame, *arrivals: DataFrame) -> DataFrame:
+    """Accounts after new rows arrived; a period the API answered for is taken from it whole.
+
+    Of rows from equally good sources the later arrival wins, so a corrected
+    figure replaces the stored one. Rows that also arrive together are told
+    apart by their contents.
+    """
+    frames = [f.withColumn("_ankomst", F.lit(i)) for i, f in enumerate((stored, *arrivals))]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     from_api = F.when(F.col("kilde") == "brreg-api", 0).otherwise(1)
-    return merge_by_priority(rows, ACCOUNT_KEY, from_api)
+    contents = F.xxhash64(*[F.col(c) for c in rows.columns])
+    return merge_by_priority(rows, ACCOUNT_KEY, from_api, F.desc("_ankomst"), contents).drop("_ankomst")
 
 
 def insert_absent(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:

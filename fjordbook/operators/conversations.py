@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from fjordbook.operators.keyed import top_per_key
 
-MAX_MESSAGES = 20
-MAX_CHARS = 4000
-
-
-def recent_messages(messages: DataFrame, keep: int = MAX_MESSAGES) -> DataFrame:
+def recent_messages(messages: DataFrame, keep: int) -> DataFrame:
     """The last ``keep`` messages of each conversation; ``fra_slutt`` is 1 for the newest."""
     return top_per_key(messages, ["conv_id"], [F.desc("turn")], keep, rank="fra_slutt")
 
@@ -25,11 +21,11 @@ def _faults() -> Column:
     )
 
 
-def validate_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(valid, rejects)``: clamped messages of sound conversations, and the others with a reason.
+def validate_conversations(messages: DataFrame, keep: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejects)``: the last ``keep`` messages of sound conversations, and the others with a reason.
 
-    At most the last twenty messages of a conversation come together, in one
-    shuffle. One bad message among them rejects the conversation; the reason
+    Texts stay whole; ``for_lang`` marks those of more than ``longest`` characters.
+    The last messages of a conversation come together in one shuffle. One bad message among them rejects the conversation; the reason
     given is that of its earliest bad message, and a role fault precedes a
     blank text, which precedes a wrong last speaker.
     """
@@ -37,9 +33,9 @@ def validate_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     late = fault == "siste ikke fra bruker"
     entry = F.when(fault.isNotNull(), F.struct(late.alias("late"), F.col("turn"), fault.alias("grunn")))
     first = F.min(entry).over(Window.partitionBy("conv_id"))
-    judged = recent_messages(messages).withColumn("grunn", first["grunn"])
-    clamped = F.left("text", F.lit(MAX_CHARS)).alias("text")
-    valid = judged.filter("grunn is null").select("conv_id", "turn", "role", clamped, "fra_slutt")
+    judged = recent_messages(messages, keep).withColumn("grunn", first["grunn"])
+    too_long = (F.char_length("text") > longest).alias("for_lang")
+    valid = judged.filter("grunn is null").select("conv_id", "turn", "role", "text", too_long, "fra_slutt")
     return valid, judged.filter("grunn is not null").select("conv_id", "grunn").distinct()
 
 

@@ -74,11 +74,11 @@ def subsidiary_counts(holdings: DataFrame) -> DataFrame:
     return majority.groupBy("eier_orgnr").agg(F.count(F.lit(1)).alias("datterselskap"))
 
 
-def subsidiaries(companies: DataFrame, holdings: DataFrame, industries: DataFrame, k: int = 500) -> DataFrame:
+def subsidiaries(companies: DataFrame, holdings: DataFrame, industries: DataFrame, k: int | None = None) -> DataFrame:
     """Per parent: majority-owned companies and registered branches still in the register.
 
-    The majority test is on the unrounded sum. The largest ``k`` per parent are
-    numbered; ``antall`` counts all of them.
+    The majority test is on the unrounded sum. They are numbered by size per parent,
+    all or the largest ``k``; ``antall`` counts all of them.
     """
     owned = owner_shares(holdings).filter(F.col("andel") > 50).select(
         F.col("eier_orgnr").alias("mor"), ORG, F.round("andel", 2).cast("decimal(20,2)").alias("andel")
@@ -92,7 +92,7 @@ def subsidiaries(companies: DataFrame, holdings: DataFrame, industries: DataFram
         "forretningsadresse_poststed", "konkurs", "under_avvikling", "naeringskode1_kode",
     )
     names = industries.select(F.col("kode").alias("naeringskode1_kode"), F.col("navn").alias("naering"))
-    rows = lookup(links.join(details, ORG), names, "naeringskode1_kode")
+    rows = lookup(links.join(details, ORG), names, "naeringskode1_kode", ORG)
     counts = rows.groupBy("mor").agg(F.count(F.lit(1)).alias("antall"))
     order = [F.desc_nulls_last("antall_ansatte"), F.asc("navn"), F.asc(ORG)]
     return top_per_key(rows, ["mor"], order, k, rank="nr").join(counts, "mor")
@@ -110,8 +110,8 @@ def _largest_first(*ties: str) -> list[Column]:
     return [F.desc_nulls_last("andel_prosent"), *[F.asc_nulls_last(c) for c in ties]]
 
 
-def holder_summary(holdings: DataFrame, k: int = 200) -> DataFrame:
-    """Per company: holdings in all, by persons, by others, how many a list of ``k`` shows."""
+def holder_summary(holdings: DataFrame, k: int | None = None) -> DataFrame:
+    """Per company: holdings in all, by persons, by others, how many a list of all or ``k`` shows."""
     everyone = F.count(F.lit(1))
     persons = F.count_if(F.coalesce("er_person", F.lit(False)))
     return holdings.groupBy(ORG).agg(
@@ -119,23 +119,23 @@ def holder_summary(holdings: DataFrame, k: int = 200) -> DataFrame:
         persons.alias("antall_personeiere"),
         (everyone - persons).alias("antall_foretakseiere"),
         (persons > 0).alias("personer_skjult"),
-        F.least(everyone, F.lit(k)).alias("vist"),
-        (everyone > k).alias("avkortet"),
+        (everyone if k is None else F.least(everyone, F.lit(k))).alias("vist"),
+        (F.lit(False) if k is None else everyone > k).alias("avkortet"),
     )
 
 
-def largest_holders(holdings: DataFrame, companies: DataFrame, k: int = 200) -> DataFrame:
-    """The ``k`` largest holdings in each company, with the holder's registered name."""
+def largest_holders(holdings: DataFrame, companies: DataFrame, k: int | None = None) -> DataFrame:
+    """The holdings in each company, largest first, all or ``k``, with the holder's registered name."""
     columns = [ORG, "regnskapsaar", "er_person", "eier_orgnr", "eier_navn", "aksjeklasse",
                "antall_aksjer", "antall_aksjer_selskap", "andel_prosent"]
     ties = ["regnskapsaar", "eier_orgnr", "eier_navn", "aksjeklasse", "antall_aksjer"]
     top = top_per_key(public_holdings(holdings).select(*columns), [ORG], _largest_first(*ties), k, rank="nr")
     names = companies.select(F.col(ORG).alias("eier_orgnr"), F.col("navn").alias("eier_foretaksnavn"))
-    return lookup(top, names, "eier_orgnr")
+    return lookup(top, names, "eier_orgnr", ORG)
 
 
-def largest_positions(holdings: DataFrame, companies: DataFrame, k: int = 200) -> DataFrame:
-    """The ``k`` largest holdings each company itself has in others."""
+def largest_positions(holdings: DataFrame, companies: DataFrame, k: int | None = None) -> DataFrame:
+    """The holdings each company itself has in others, largest first, all or ``k``."""
     rows = holdings.filter(F.col("eier_orgnr").isNotNull())
     rows = rows.select("eier_orgnr", ORG, "regnskapsaar", "aksjeklasse", "andel_prosent", "antall_aksjer")
     ties = [ORG, "regnskapsaar", "aksjeklasse", "antall_aksjer"]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fjordbook.session import durable
+
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by ``order``. Null keys form one group."""
@@ -16,49 +18,44 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def top_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None, salts: int | None = None
-) -> DataFrame:
-    """The first ``k`` rows of each key, optionally with their rank as a column.
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each key, optionally with their rank as a column; all rows without a ``k``.
 
-    With a large ``k`` the rows a hot key keeps per map task add up, so the key
-    is first split over ``salts`` sub-keys and the survivors are ranked again.
+    The filter on the rank limits each key on the map side already, so a hot key
+    moves at most ``k`` rows per task.
     """
-    if salts is None:
-        salts = 16 if k >= 100 else 1
-    if salts > 1:
-        spread = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
-        local = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
-        df = spread.withColumn("_local", local).filter(F.col("_local") <= k).drop("_local", "_salt")
     name = rank or "_rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    top = ranked.filter(F.col(name) <= k)
+    top = ranked if k is None else ranked.filter(F.col(name) <= k)
     return top if rank else top.drop(name)
 
 
-def lookup(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+def lookup(df: DataFrame, dimension: DataFrame, key: str, by: str) -> DataFrame:
     """Left join on a key many rows do not have.
 
-    Rows without a key would all meet in one task; they are spread out under
-    keys of their own that match nothing.
+    Rows without a key would all meet in one task; they are spread out by the
+    column ``by`` under keys of their own that match nothing. No other column is
+    read for it, so the scan below stays pruned.
     """
-    others = [F.col(f"`{c}`") for c in df.columns]
-    nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*others), F.lit(4096)).cast("string"))
+    nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64(by), F.lit(4096)).cast("string"))
     left = df.withColumn("_key", F.coalesce(F.col(key), nowhere))
     right = dimension.withColumnRenamed(key, "_key")
     return left.join(right, "_key", "left").drop("_key")
 
 
+def _page_bounds(size: int, number: int) -> None:
+    if size < 1 or number < 1:
+        raise ValueError(f"no page number {number} of size {size}")
+
+
 def page(df: DataFrame, order: list[Column], size: int = 10, number: int = 1) -> DataFrame:
     """One page plus a probe row: a row more than ``size`` means there is a next page."""
-    size = min(max(size, 1), 100)
-    number = max(number, 1)
+    _page_bounds(size, number)
     return df.orderBy(*order).offset((number - 1) * size).limit(size + 1)
 
 
 def trimmed_page(df: DataFrame, order: list[Column], size: int = 10, number: int = 1) -> tuple[list, bool]:
     """The rows of one page and whether another follows."""
-    size = min(max(size, 1), 100)
     rows = page(df, order, size, number).collect()
     return rows[:size], len(rows) > size
 
@@ -75,3 +72,17 @@ def capped_count(df: DataFrame, cap: int = 10_000) -> DataFrame:
 def scalar(df: DataFrame, value: Column) -> Column:
     """A one-value aggregate of ``df`` as a scalar subquery."""
     return df.select(value).scalar()
+
+
+def row_numbers(ordered: DataFrame, name: str) -> DataFrame:
+    """An ordered frame with its row numbers from 1, as many sorted partitions as it has.
+
+    Rows are stored with their place in their partition; the partitions' first
+    numbers follow from their sizes.
+    """
+    placed = durable(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, part == F.col("_part")).withColumn(name, F.col("_start") + inside + 1).drop("_id", "_part", "_start")

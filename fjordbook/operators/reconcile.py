@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordbook.functions.hashing import content_hash, role_fingerprint
@@ -46,18 +46,33 @@ def _outcome() -> Column:
     )
 
 
+def one_per_key(rows: DataFrame, key: str = ORG) -> tuple[DataFrame, DataFrame]:
+    """``(rows, others)``: one row per key, that of the least content hash, and the rows that lost or have no key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("content_hash"))
+    ranked = rows.withColumn("_plass", F.when(F.col(key).isNotNull(), place))
+    first = F.coalesce(F.col("_plass") == 1, F.lit(False))
+    return ranked.filter(first).drop("_plass"), ranked.filter(~first).drop("_plass")
+
+
 def load_snapshot(
-    current: DataFrame, incoming: DataFrame, as_of: date, key: str = ORG, grace_days: int = GRACE_DAYS
+    current: DataFrame, incoming: DataFrame, as_of: date, key: str = ORG, grace_days: int = GRACE_DAYS,
+    rejected: DataFrame | None = None,
 ) -> DataFrame:
     """The table after a full load, with ``utfall`` telling what happened to each row.
 
     One full outer join does the upsert and the deletion marks together. A row
-    whose hash is unchanged keeps its stored values. Rows are never removed.
+    whose hash is unchanged keeps its stored values, and so does one that the
+    load holds only among the ``rejected`` keys: it is present, ``avvist``, and
+    not missing. Rows are never removed.
     """
     sides = _side_by_side(current, incoming, key).withColumn("utfall", _outcome())
-    keep_old = F.col("utfall").isin("uendret", "fravaerende")
+    if rejected is not None:
+        named = rejected.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_avvist", F.lit(True))
+        there = F.col("utfall").eqNullSafe("fravaerende") & F.col("_avvist").isNotNull()
+        sides = sides.join(named, key, "left").withColumn("utfall", F.when(there, "avvist").otherwise(F.col("utfall"))).drop("_avvist")
+    keep_old = F.col("utfall").isin("uendret", "fravaerende", "avvist")
     missing_since, deleted_on = _deletion_marks(
-        F.col("new").isNotNull(), F.col("old.savnet_siden"), F.col("old.slettet_dato"), as_of, grace_days
+        F.col("utfall") != "fravaerende", F.col("old.savnet_siden"), F.col("old.slettet_dato"), as_of, grace_days
     )
     columns = [
         F.when(keep_old, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c)
@@ -191,22 +206,26 @@ def closed_roles(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def last_changes(feed: DataFrame) -> DataFrame:
     """The last change per company, with the id it came from and whether it is a deletion."""
-    newest = F.max_by("endringstype", "oppdateringsid")
-    last = feed.groupBy(ORG).agg(F.max("oppdateringsid").alias("oppdateringsid"), newest.alias("endringstype"))
+    carried = [c for c in feed.columns if c not in (ORG, "oppdateringsid")]
+    newest = [F.max_by(c, "oppdateringsid").alias(c) for c in carried]
+    last = feed.groupBy(ORG).agg(F.max("oppdateringsid").alias("oppdateringsid"), *newest)
     return last.withColumn("slettes", F.col("endringstype").isin(*DELETION_TYPES))
 
 
-def next_change_batch(feed: DataFrame, cursor: int, max_keys: int) -> DataFrame:
-    """Events after ``cursor`` up to the first event of company number ``max_keys`` + 1.
+def next_change_batch(feed: DataFrame, cursor: int, max_keys: int) -> tuple[DataFrame, DataFrame]:
+    """``(batch, cursor)``: events after ``cursor`` up to the first event of company number ``max_keys`` + 1.
 
     Repeats of a company already in the batch are free. Stopping at an event,
-    not a company, means the new cursor (the largest id returned) skips nothing.
+    not a company, means the new cursor (the largest id of the batch, with its
+    time; the old one if the batch is empty) skips nothing.
     """
     after = feed.filter(F.col("oppdateringsid") > cursor)
     first_seen = after.groupBy(ORG).agg(F.min("oppdateringsid").alias("forste"))
     beyond = first_seen.orderBy("forste").offset(max_keys).limit(1)
     stop = beyond.select(F.min("forste")).scalar()
-    return after.filter(stop.isNull() | (F.col("oppdateringsid") < stop))
+    batch = after.filter(stop.isNull() | (F.col("oppdateringsid") < stop))
+    reached = batch.agg(F.coalesce(F.max("oppdateringsid"), F.lit(cursor)).alias("siste_id"), F.max_by("dato", "oppdateringsid").alias("siste_tid"))
+    return batch, reached
 
 
 def seed_cursor(feed: DataFrame, day: date) -> DataFrame:

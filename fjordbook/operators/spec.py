@@ -123,11 +123,17 @@ def spec_order(spec: dict) -> list[Column]:
 
 
 def spec_limit(spec: dict) -> int:
+    """Rows asked for: 25 where nothing is said. What is no whole number from 1 on is refused, never made smaller."""
+    asked = spec.get("grense")
+    if asked is None:
+        return 25
     try:
-        wanted = int(float(spec.get("grense") or 0))
+        wanted = float(asked)
     except (TypeError, ValueError):
-        wanted = 0
-    return min(max(wanted or 25, 1), 200)
+        raise SpecError(f"limit {asked!r} is no number") from None
+    if not wanted.is_integer() or wanted < 1:
+        raise SpecError(f"limit {asked!r} is no whole number from 1 on")
+    return int(wanted)
 
 
 def spec_rows(companies: DataFrame, municipalities: DataFrame, counties: DataFrame, industries: DataFrame,
@@ -141,9 +147,9 @@ def spec_rows(companies: DataFrame, municipalities: DataFrame, counties: DataFra
     figures = newest_any_currency(accounts).select(
         ORG, "sum_driftsinntekter", "aarsresultat", F.col("periode_til").alias("regnskapsaar")
     )
-    rows = lookup(companies, places, "forretningsadresse_kommunenummer")
-    rows = lookup(rows, regions, "fylkesnummer")
-    return lookup(rows, codes, "naeringskode1_kode").join(figures, ORG, "left")
+    rows = lookup(companies, places, "forretningsadresse_kommunenummer", ORG)
+    rows = lookup(rows, regions, "fylkesnummer", ORG)
+    return lookup(rows, codes, "naeringskode1_kode", ORG).join(figures, ORG, "left")
 
 
 SPEC_COLUMNS = [

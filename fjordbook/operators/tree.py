@@ -1,24 +1,35 @@
 """The industry tree: closure, expansion to leaves, roll-up, ancestors.
 
-The tree is a classification with a fixed number of levels, so its closure is
-that many lookups of a small table, not an open-ended recursion.
+The closure goes up one level per round, until no node has a parent left.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fjordbook.session import durable
+
 
-def tree_closure(tree: DataFrame, levels: int = 5) -> DataFrame:
-    """Every (ancestor, descendant) pair including a node with itself, and their distance."""
-    path = tree.select(F.col("kode").alias("p0"), F.col("parent_kode").alias("p1"))
-    for i in range(1, levels):
-        up = tree.select(F.col("kode").alias(f"p{i}"), F.col("parent_kode").alias(f"p{i + 1}"))
-        path = path.join(up, f"p{i}", "left")
-    chain = F.array(*[F.col(f"p{i}") for i in range(levels)])
-    pairs = path.select(F.col("p0").alias("etterkommer"), F.posexplode(chain).alias("avstand", "forfader"))
-    return pairs.filter(F.col("forfader").isNotNull()).select("forfader", "etterkommer", "avstand")
+def tree_closure(tree: DataFrame) -> DataFrame:
+    """Every (ancestor, descendant) pair including a node with itself, and their distance.
+
+    One join per level of the tree, whatever its depth. A tree that goes round in
+    a circle is refused.
+    """
+    parents = durable(tree.select("kode", "parent_kode"))
+    count = parents.count()
+    rounds = [parents.select(F.col("kode").alias("forfader"), F.col("kode").alias("etterkommer"), F.lit(0).alias("avstand"))]
+    up = parents.filter(F.col("parent_kode").isNotNull()).select(F.col("kode").alias("forfader"), F.col("parent_kode").alias("_over"))
+    while True:
+        if len(rounds) > count:
+            raise ValueError("the tree goes round in a circle")
+        above = durable(rounds[-1].join(up, "forfader").select(F.col("_over").alias("forfader"), "etterkommer", (F.col("avstand") + 1).alias("avstand")))
+        if above.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        rounds.append(above)
 
 
 def expand_to_leaves(tree: DataFrame, selected: DataFrame | list[str], leaf_level: int = 5) -> DataFrame:

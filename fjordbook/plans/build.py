@@ -8,6 +8,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fjordbook.operators.keyed import row_numbers
 from fjordbook.plans.rankings import RANKINGS, Register
 from fjordbook.sources.tables import TableStore
 
@@ -15,9 +16,6 @@ log = logging.getLogger(__name__)
 
 PREFIX = "topplister/"
 
-#: No list is longer: they hold fifty rows, or one per county.
-LONGEST = 1000
-
 
 def build_rankings(store: TableStore, register: Register, names: list[str] | None = None) -> dict[str, str]:
     """Refresh the derived tables and store every list, or just the named ones.
@@ -55,8 +53,8 @@ def build_rankings(store: TableStore, register: Register, names: list[str] | Non
 
 
 def numbered(top: DataFrame) -> DataFrame:
-    """A list, already in order, with its positions. The limit brings it into one ordered partition."""
-    return top.limit(LONGEST).withColumn("nr", F.monotonically_increasing_id() + 1)
+    """A list, already in order, with its positions, however long it is."""
+    return row_numbers(top, "nr")
 
 
 def list_rows(store: TableStore, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from fjordbook.operators import accounts as A
 from fjordbook.operators.holdings import classify_holders
 from fjordbook.operators.quality import failure_rate, require
 from fjordbook.operators.reconcile import (
-    add_content_hash, load_counts, load_snapshot, opened_roles, closed_roles, reconcile_scd2, upsert_reference,
+    add_content_hash, load_counts, load_snapshot, one_per_key, opened_roles, reconcile_scd2, upsert_reference,
 )
 from fjordbook.operators.retrieval import embed_texts
 from fjordbook.operators.selectors import needs_embedding
@@ -33,16 +33,18 @@ def _stored(store: TableStore, name: str, like: DataFrame) -> DataFrame:
 def load_companies(store: TableStore, runs: RunLog, path: str, as_of: date) -> DataFrame:
     """Full company file: upsert by content hash and move the deletion marks on, in one pass.
 
-    Rows whose values do not fit are set aside in ``enheter_avvist``; their
-    companies count as present only if the file also holds a readable row.
+    Rows whose values do not fit, further rows of a company and rows without a key
+    are set aside in ``enheter_avvist``. Their companies are in the file, so they
+    are not missing; what is stored of them stays.
     """
     with runs.run("enheter") as counts:
         raw = f"{store.root}/enheter_raa"
         rows, rejects = files.read_mapped_csv(store.spark, path, land=raw)
-        incoming = add_content_hash(rows, [c for _, c, _ in COMPANY_MAPPING])
-        loaded = load_snapshot(_stored(store, "enheter", incoming), incoming, as_of)
-        stored = store.publish("enheter", loaded)
-        store.publish("enheter_avvist", rejects)
+        incoming, others = one_per_key(add_content_hash(rows, [c for _, c, _ in COMPANY_MAPPING]))
+        others = others.drop("content_hash").withColumn("feil_kolonner", F.array(F.lit(ORG)))
+        rejects = rejects.unionByName(others)
+        loaded = load_snapshot(_stored(store, "enheter", incoming), incoming, as_of, rejected=rejects)
+        stored, _ = store.publish_together({"enheter": loaded, "enheter_avvist": rejects})
         counts.update(load_counts(stored).first().asDict())
         counts["slettet"] = stored.filter(F.col("slettet_dato") == F.lit(as_of)).count()
     return stored.drop("utfall")
@@ -56,11 +58,11 @@ def load_roles(store: TableStore, runs: RunLog, path: str, as_of: date) -> DataF
         empty = incoming.withColumn("forst_sett", F.lit(as_of))
         current = _stored(store, "roller", empty)
         history = _stored(store, "roller_historikk", empty.withColumn("sist_sett", F.lit(as_of)))
-        counts["nye"] = opened_roles(current, incoming).count()
-        counts["slettet"] = closed_roles(current, incoming).count()
         now, archive = reconcile_scd2(current, history, incoming, as_of)
-        stored = store.publish("roller", now)
-        store.publish("roller_historikk", archive)
+        before = history.count()
+        stored, archived = store.publish_together({"roller": now, "roller_historikk": archive})
+        counts["nye"] = opened_roles(current, stored).count()
+        counts["slettet"] = archived.count() - before
         counts["lest"] = documents.count()
         counts["uendret"] = stored.count() - counts["nye"]
     return stored

@@ -32,9 +32,9 @@ def dossier(register: Register) -> DataFrame:
     children = companies.filter(F.col("overordnet_enhet").isNotNull()).select(ORG, "overordnet_enhet")
     names = companies.select(F.col(ORG).alias("overordnet_enhet"), F.col("navn").alias("morselskap"))
     parents = children.join(names, "overordnet_enhet").drop("overordnet_enhet")
-    rows = lookup(companies, places, "forretningsadresse_kommunenummer")
-    rows = lookup(rows, counties, "fylkesnummer")
-    rows = lookup(rows, industries, "naeringskode1_kode")
+    rows = lookup(companies, places, "forretningsadresse_kommunenummer", ORG)
+    rows = lookup(rows, counties, "fylkesnummer", ORG)
+    rows = lookup(rows, industries, "naeringskode1_kode", ORG)
     rows = rows.join(parents, ORG, "left")
     counts = {
         "antall_roller": _count_per_company(register.roles, "antall_roller"),
@@ -72,8 +72,8 @@ def roles_of(roles: DataFrame) -> DataFrame:
     return roles.withColumn("innehaver", holder_name()).orderBy(ORG, *order)
 
 
-def ended_roles_of(history: DataFrame, k: int = 100) -> DataFrame:
-    """The ``k`` most recently ended roles of each company."""
+def ended_roles_of(history: DataFrame, k: int | None = None) -> DataFrame:
+    """The ended roles of each company, most recent first, all or ``k``."""
     named = history.withColumn("innehaver", holder_name())
     order = [F.desc("sist_sett"), F.asc_nulls_last("rolletype_kode"), F.asc_nulls_last("innehaver"), F.asc_nulls_last("rekkefolge")]
     return top_per_key(named, [ORG], order, k, rank="nr")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +31,12 @@ def session(app: str = "fjordbook", master: str | None = None, **conf: str) -> S
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: the cluster's setting, else a local one.
-
-    A machine-local folder is only ever picked for a local master, where every
-    task sees the same disk.
-    """
+    """The shared folder for scratch tables: the cluster's setting, else one below the session's warehouse."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="fjordbook-checkpoint-"))
+    context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
     return context.getCheckpointDir()
 
 
@@ -57,13 +50,3 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer tasks than cores, spread over all of them; a wide one as it is.
-
-    For files of few row groups ahead of heavy per-row work. Only meant for a
-    plain scan, whose task count is known without running anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

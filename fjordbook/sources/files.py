@@ -25,10 +25,11 @@ def _column(header: str) -> Column:
     return F.col(f"`{header}`")
 
 
-def typed_projection(raw: DataFrame, mapping=COMPANY_MAPPING) -> DataFrame:
+def typed_projection(raw: DataFrame, mapping=COMPANY_MAPPING, keep=()) -> DataFrame:
     """Typed columns named by ``mapping``, plus ``feil_kolonner``: the columns that did not fit.
 
     The placeholder industry code clears both the code and its description.
+    Columns to ``keep`` pass through.
     """
     columns = []
     for header, name, kind in mapping:
@@ -39,7 +40,7 @@ def typed_projection(raw: DataFrame, mapping=COMPANY_MAPPING) -> DataFrame:
             value = C.real_industry(_column("naeringskode1.kode"), value)
         columns.append(value.alias(name))
     bad = [F.when(C.unreadable(_column(h), k), F.lit(n)) for h, n, k in mapping if k != "text"]
-    return raw.select(*columns, F.array_compact(F.array(*bad)).alias("feil_kolonner"))
+    return raw.select(*keep, *columns, F.array_compact(F.array(*bad)).alias("feil_kolonner"))
 
 
 def read_mapped_csv(
@@ -83,10 +84,33 @@ def read_postcodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_nested_json(spark: SparkSession, path: str, schema: str = ROLE_DOCUMENT, land: str | None = None) -> DataFrame:
-    """A file holding one JSON array of documents, or one document per line split over lines."""
+    """A file holding one JSON array of documents, or one document per line split over lines.
+
+    One task parses a whole file. A large array in one known layout is read by
+    :func:`read_json_array`.
+    """
     return _spread(spark.read.json(path, schema=schema, multiLine=True), land)
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str = ROLE_DOCUMENT, first: str = ORG, between: str = ",") -> DataFrame:
+    """A large file holding one JSON array, record by record and split between tasks.
+
+    Records begin with the key ``first`` right after the brace, and ``between``
+    stands between them, as a machine writes them. A record that does not parse
+    stops the job: the file is then laid out otherwise.
+    """
+    head = '{"' + first + '"'
+    parts = spark.read.text(path, lineSep=between + head)
+    opened = F.regexp_replace("value", r"^\s*\[\s*", "")
+    body = F.when(F.col("value").rlike(r"^\s*\["), opened).otherwise(F.concat(F.lit(head), F.col("value")))
+    record = F.regexp_replace(body, r"\s*\]\s*$", "")
+    whole = parts.select(record.alias("_record")).filter(F.col("_record") != "")
+    parsed = whole.withColumn("_d", F.from_json("_record", schema))
+    key = schema.split()[0].strip("`")
+    checked = F.when(F.col(f"_d.{key}").isNull(), F.raise_error(F.concat(F.lit("not a record: "), F.left("_record", F.lit(80))))).otherwise(F.col("_d"))
+    return parsed.select(checked.alias("_d")).select("_d.*")
+
+
 def explode_roles(documents: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """One row per role. Companies without groups and groups without roles drop out.
 
@@ -146,23 +170,33 @@ _DOCUMENT_PATHS = {
 }
 
 
-def company_documents(documents: DataFrame, body: str = "doc") -> DataFrame:
-    """Change-feed documents (JSON text, one changed company each) in the company table's columns.
+def company_documents(documents: DataFrame, body: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """Change-feed documents (the company key and JSON text) as ``(rows, rejects)`` in the company table's columns.
 
-    Address lines arrive as arrays and are joined with a comma. A column the
-    document lacks is null.
+    The key is the feed's, not the document's. Address lines arrive as arrays and
+    are joined with a comma. A column the document lacks is null. A document that
+    cannot be parsed, names another company or holds a value that does not fit
+    its column is a reject, with ``feil_kolonner`` naming what is wrong.
     """
     paths = {h: _DOCUMENT_PATHS.get(h, h) for h, _, _ in COMPANY_MAPPING}
     lines = "array<string>"
     schema = nested_schema({p: lines if p.endswith("adresse.adresse") else "string" for p in paths.values()})
-    parsed = documents.select(F.from_json(F.col(body), schema).alias("d"))
+    options = {"columnNameOfCorruptRecord": "_unreadable"}
+    parsed = documents.select(F.col(ORG).alias("_key"), F.from_json(F.col(body), f"{schema}, _unreadable string", options).alias("d"))
     flat = parsed.select(
+        "_key", (F.col("d").isNull() | F.col("d._unreadable").isNotNull()).alias("_empty"),
         *[
             (F.array_join(f"d.{p}", ", ") if p.endswith("adresse.adresse") else F.col(f"d.{p}")).alias(h)
             for h, p in paths.items()
         ]
     )
-    return typed_projection(flat).drop("feil_kolonner")
+    header = next(h for h, name, _ in COMPANY_MAPPING if name == ORG)
+    typed = typed_projection(flat, keep=["_key", "_empty", F.nullif(F.trim(_column(header)), F.lit("")).alias("_stated")])
+    other = F.col("_empty") | (F.col("_stated") != F.col("_key"))
+    wrong = F.concat("feil_kolonner", F.when(F.coalesce(other, F.lit(False)), F.array(F.lit(ORG))).otherwise(F.array().cast("array<string>")))
+    rows = typed.withColumn("feil_kolonner", wrong).withColumn(ORG, F.col("_key")).drop("_key", "_empty", "_stated")
+    good = F.size("feil_kolonner") == 0
+    return rows.filter(good).drop("feil_kolonner"), rows.filter(~good)
 
 
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:

@@ -40,7 +40,7 @@ class RunLog:
         try:
             yield counts
         except Exception as error:
-            self._append(**key, **self._ended(key), status="feilet", feilmelding=str(error)[:500])
+            self._append(**key, **self._ended(key), status="feilet", feilmelding=str(error))
             raise
         self._append(**key, **self._ended(key), status="ok", **{f"rader_{c}": counts[c] for c in COUNTS if c in counts})
 

@@ -6,6 +6,7 @@ version and becomes visible with one appended manifest row.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -41,8 +42,9 @@ class TableStore:
         A retired table has no live version.
         """
         log = self.manifest_log()
-        newest = first_per_key(log, ["navn"], F.desc("versjon"), F.desc("publisert"))
-        live = first_per_key(log.filter("sti is not null"), ["navn"], F.desc("versjon"))
+        order = [F.desc("versjon"), F.desc("publisert"), F.desc("sti")]
+        newest = first_per_key(log, ["navn"], *order)
+        live = first_per_key(log.filter("sti is not null"), ["navn"], *order)
         gone = newest.filter("sti is null and feilmelding is null").select("navn")
         return live.drop("feilmelding").join(newest.select("navn", "feilmelding"), "navn").join(gone, "navn", "left_anti")
 
@@ -52,20 +54,30 @@ class TableStore:
 
     def publish(self, name: str, df: DataFrame, properties: dict[str, str] | None = None) -> DataFrame:
         """Write ``df`` as the next version of ``name`` and make it the live one."""
-        started = datetime.now(timezone.utc)
-        version = self.next_version(name)
-        path = f"{self.root}/{name}/v={version}"
-        df.write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path)
-        self._log(name, version, path, stored.count(), started, None, properties)
+        return self.publish_together({name: df}, properties)[0]
+
+    def publish_together(self, frames: dict[str, DataFrame], properties: dict[str, str] | None = None) -> list[DataFrame]:
+        """Write several tables and make them live at once, with one write of the manifest.
+
+        Each goes to a folder of its own, whoever else publishes meanwhile; a
+        failure before the manifest leaves all live versions as they were.
+        """
+        rows, stored = [], []
+        for name, df in frames.items():
+            started = datetime.now(timezone.utc)
+            path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            stored.append(self.spark.read.parquet(path))
+            rows.append((name, path, stored[-1].count(), started, None, properties))
+        self._log(*rows)
         return stored
 
     def fail(self, name: str, message: str) -> None:
         """Record that a rebuild of ``name`` failed; the live version stays."""
-        self._log(name, self.next_version(name), None, None, datetime.now(timezone.utc), message[:500], None)
+        self._log((name, None, None, datetime.now(timezone.utc), message, None))
 
     def retire(self, name: str) -> None:
-        self._log(name, self.next_version(name), None, None, datetime.now(timezone.utc), None, None)
+        self._log((name, None, None, datetime.now(timezone.utc), None, None))
 
     def read(self, name: str) -> DataFrame:
         row = self.manifest().filter(F.col("navn") == name).select("sti").first()
@@ -73,10 +85,13 @@ class TableStore:
             raise KeyError(name)
         return self.spark.read.parquet(row.sti)
 
-    def _log(self, name, version, path, count, started, message, properties) -> None:
-        elapsed = int((datetime.now(timezone.utc) - started).total_seconds() * 1000)
-        row = (name, version, path, count, datetime.now(timezone.utc), elapsed, message, properties or {})
-        self.spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(self._manifest)
+    def _log(self, *entries: tuple) -> None:
+        now = datetime.now(timezone.utc)
+        rows = [
+            (name, self.next_version(name), path, count, now, int((now - started).total_seconds() * 1000), message, properties or {})
+            for name, path, count, started, message, properties in entries
+        ]
+        self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(self._manifest)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:

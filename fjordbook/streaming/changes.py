@@ -19,10 +19,12 @@ from pyspark.sql.streaming import StreamingQuery
 from fjordbook.operators.conversations import rate_windows
 from fjordbook.operators.reconcile import apply_changes, last_changes
 from fjordbook.schema import ORG
+from fjordbook.session import durable
 from fjordbook.sources.files import company_documents
+from fjordbook.sources.tables import TableStore
 
 FEED = f"oppdateringsid long, dato timestamp, {ORG} string, endringstype string"
-LOG = f"{ORG} string, oppdateringsid long, endringstype string, slettes boolean, doc string, batch_id long"
+LOG = f"{ORG} string, oppdateringsid long, dato timestamp, endringstype string, slettes boolean, doc string, batch_id long"
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
@@ -41,9 +43,9 @@ def write_batch(events: DataFrame, batch_id: int, documents: DataFrame, out: str
     """
     spark = events.sparkSession
     waiting = _log(spark, f"{out}/venter").filter(F.col("batch_id") == batch_id - 1)
-    columns = ["oppdateringsid", ORG, "endringstype"]
+    columns = ["oppdateringsid", "dato", ORG, "endringstype"]
     last = last_changes(events.select(*columns).unionByName(waiting.select(*columns)))
-    found = last.join(documents.select(ORG, "doc"), ORG, "left")
+    found = durable(last.join(documents.select(ORG, "doc"), ORG, "left"))  # once: documents may land meanwhile
     lost = ~F.col("slettes") & F.col("doc").isNull()
     done = found.filter(~lost).withColumn("doc", F.when(~F.col("slettes"), F.col("doc")))
     for rows, name in ((done, "endringer"), (found.filter(lost), "venter")):
@@ -80,9 +82,10 @@ def waiting(spark: SparkSession, out: str) -> DataFrame:
 
 
 def cursor(spark: SparkSession, out: str) -> DataFrame:
-    """How far the log has come: the largest event accounted for."""
-    ids = _log(spark, f"{out}/endringer").select("oppdateringsid")
-    return ids.unionByName(_log(spark, f"{out}/venter").select("oppdateringsid")).agg(F.max("oppdateringsid").alias("siste_id"))
+    """How far the log has come: the largest event accounted for, and its time."""
+    columns = ["oppdateringsid", "dato"]
+    events = _log(spark, f"{out}/endringer").select(*columns).unionByName(_log(spark, f"{out}/venter").select(*columns))
+    return events.agg(F.max("oppdateringsid").alias("siste_id"), F.max_by("dato", "oppdateringsid").alias("siste_tid"))
 
 
 def current_companies(base: DataFrame, out: str, as_of: date, after: int = -1) -> DataFrame:
@@ -93,10 +96,36 @@ def current_companies(base: DataFrame, out: str, as_of: date, after: int = -1) -
     newer rows.
     """
     changes = logged_changes(base.sparkSession, out).filter(F.col("oppdateringsid") > after)
-    documents = company_documents(changes.filter(~F.col("slettes")))
+    documents, _ = company_documents(changes.filter(~F.col("slettes")))
     return apply_changes(base, documents, changes.filter("slettes"), as_of)
 
 
+def rejected_changes(spark: SparkSession, out: str, after: int = -1) -> DataFrame:
+    """Logged documents that cannot be applied, with the columns at fault; their companies keep what is stored."""
+    changes = logged_changes(spark, out).filter((F.col("oppdateringsid") > after) & ~F.col("slettes"))
+    return company_documents(changes)[1].select(ORG, "feil_kolonner")
+
+
+def compact(base: DataFrame, out: str, as_of: date, store: TableStore, name: str = "enheter") -> int:
+    """Publish the companies with all logged changes applied, and drop the log up to there.
+
+    The cursor reached is stored with the table. Rejected documents and dead
+    letters of the newest batch stay in the log.
+    """
+    spark = base.sparkSession
+    reached = cursor(spark, out).first().siste_id
+    if reached is None:
+        return -1
+    store.publish(name, current_companies(base, out, as_of), {"siste_id": str(reached)})
+    wrong = durable(logged_changes(spark, out).join(rejected_changes(spark, out).select(ORG), ORG, "left_semi"))
+    newest = _log(spark, f"{out}/endringer").unionByName(_log(spark, f"{out}/venter")).agg(F.max("batch_id")).first()[0]
+    kept = durable(_log(spark, f"{out}/endringer").join(wrong.select(ORG, "oppdateringsid"), [ORG, "oppdateringsid"], "left_semi").drop("batch_id"))
+    waits = durable(_log(spark, f"{out}/venter").filter(F.col("batch_id") == newest).drop("batch_id"))
+    for rows, part in ((kept, "endringer"), (waits, "venter")):
+        rows.withColumn("batch_id", F.lit(newest)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch_id").parquet(f"{out}/{part}")
+    return reached
+
+
 def start_rate_stream(events: DataFrame, out: str, checkpoint: str, limit: int = 60, width: str = "1 minute",
                       delay: str = "2 minutes", **trigger) -> StreamingQuery:
     """Closed request windows, appended as they close; state is kept for ``delay`` only."""

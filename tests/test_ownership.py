@@ -76,18 +76,23 @@ def test_walk_matches_brute_force_with_cycles(spark, direction):
     pairs = list({(a, b): (a, b, s) for a, b, s in pairs}.values())
     edges = edges_frame(spark, pairs)
     seeds = spark.createDataFrame([(n,) for n in nodes], f"{ORG} string")
-    got_nodes, got_edges = G.walk(edges, seeds, direction, 3, max_nodes=12)
+    got_nodes, got_edges = G.walk(edges, seeds, direction, 3)
+    near_nodes, near_edges = G.nearest(got_nodes, got_edges, 12)
     found = defaultdict(dict)
     for r in got_nodes.collect():
         found[r.fra][r.node] = (r.niva, r.andel)
     for seed in nodes:
         best = brute_walk(pairs, seed, direction, 3)
-        chosen = sorted(best.items(), key=lambda i: (i[1][0], -i[1][1], i[0]))[:12]
-        assert found[seed] == {n: v for n, v in chosen if v[0] > 0}
-        inside = {n for n, _ in chosen}
-        induced = {(r.eier_orgnr, r[ORG]) for r in got_edges.filter(F.col("fra") == seed).collect()} if seed in ("n00", "n07") else None
-        if induced is not None:
-            assert induced == {(a, b) for a, b, _ in pairs if a in inside and b in inside}
+        assert found[seed] == {n: v for n, v in best.items() if v[0] > 0}
+        chosen = {n for n, _ in sorted(best.items(), key=lambda i: (i[1][0], -i[1][1], i[0]))[:12]}
+        if seed in ("n00", "n07"):
+            assert {r.node for r in near_nodes.filter(F.col("fra") == seed).collect()} == chosen - {seed}
+            for got, inside in ((got_edges, set(best)), (near_edges, chosen)):
+                induced = {(r.eier_orgnr, r[ORG]) for r in got.filter(F.col("fra") == seed).collect()}
+                assert induced == {(a, b) for a, b, _ in pairs if a in inside and b in inside}
+    for depth in (0, 5):
+        with pytest.raises(ValueError):
+            G.walk(edges, seeds, direction, depth)
 
 
 def test_network_lists_nodes_with_their_edges(spark):
@@ -95,7 +100,7 @@ def test_network_lists_nodes_with_their_edges(spark):
     nodes, induced = G.walk(edges, spark.createDataFrame([("c",)], f"{ORG} string"), "opp")
     companies = spark.createDataFrame([("a", "Alfa", 5), ("b", "Beta", 0)], f"{ORG} string, navn string, antall_ansatte int").withColumns(
         {"organisasjonsform_kode": F.lit("AS"), "konkurs": F.lit(False), "under_avvikling": F.lit(False), "forretningsadresse_poststed": F.lit("X")})
-    got = {r.node: r for r in G.network(nodes, induced, companies).collect()}
+    got = {r.node: r for r in G.network(nodes, induced, companies, 120).collect()}
     assert [got[n].nr for n in "ab"] == [1, 2] and got["b"].ansatte is None and not got["a"].avkortet
     assert {(k["eier"], k["selskap"]) for k in json.loads(got["a"].kanter)} == {("a", "b"), ("a", "c")}
     assert got["a"].niva == 1 and got["a"].andel == 60
@@ -126,16 +131,23 @@ def test_tree_operations(spark, tree):
     assert counts["A"] == counts["01.11"] == 3 and counts["B"] == counts["05.10"] == 0 and "01.111" not in counts
 
 
-def test_salted_top_rows_are_exact_for_a_hot_key(spark):
+def test_closure_of_any_depth(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(7)], "kode string, parent_kode string")
+    got = {(r.forfader, r.etterkommer, r.avstand) for r in T.tree_closure(chain).collect()}
+    assert got == {(f"n{a}", f"n{b}", b - a) for b in range(7) for a in range(b + 1)}
+    with pytest.raises(ValueError):
+        T.tree_closure(spark.createDataFrame([("a", "b"), ("b", "a")], "kode string, parent_kode string"))
+
+
+def test_top_rows_of_a_hot_key(spark):
     rng = random.Random(2)
     data = [("hot" if i % 3 == 0 else f"k{i % 50}", rng.randint(0, 300), i) for i in range(6000)]
     frame = spark.createDataFrame(data, "k string, v int, id int").repartition(8)
     order = [F.desc("v"), F.asc("id")]
     expected = sorted(sorted(((v, i) for k, v, i in data if k == "hot"), key=lambda x: (-x[0], x[1]))[:150])
-    for salts in (1, 5, 16):
-        got = top_per_key(frame, ["k"], order, 150, rank="nr", salts=salts)
-        assert sorted((r.v, r.id) for r in got.filter("k = 'hot'").collect()) == expected
-        assert got.filter("k = 'hot'").agg(F.max("nr")).first()[0] == 150
+    got = top_per_key(frame, ["k"], order, 150, rank="nr").filter("k = 'hot'")
+    assert sorted((r.v, r.id) for r in got.collect()) == expected and got.agg(F.max("nr")).first()[0] == 150
+    assert top_per_key(frame, ["k"], order, rank="nr").filter("k = 'hot'").agg(F.max("nr")).first()[0] == 2000
 
 
 def test_limits_reach_the_map_side(spark):

@@ -43,6 +43,16 @@ def test_search_filters_and_columns_reach_the_scan(spark, stored):
     assert "kapital_belop" not in schema and "aktivitet" not in schema
 
 
+def test_lookups_read_only_what_is_asked_for(spark, stored):
+    from fjordbook.operators.spec import spec_rows
+    r = standins.register(spark, SF)
+    rows = spec_rows(stored["enheter"], r.municipalities, r.counties, r.industries, stored["regnskap"])
+    text = plan(rows.select(ORG, "kommune"))
+    schema = max((s for s in re.findall(r"ReadSchema: struct<(.*?)>", text) if "forretningsadresse_kommunenummer" in s), key=len)
+    assert set(c.split(":")[0] for c in schema.split(",")) == {ORG, "forretningsadresse_kommunenummer", "naeringskode1_kode"} - (
+        set() if "naeringskode1_kode" in schema else {"naeringskode1_kode"})
+
+
 def test_latest_accounts_shuffle_once(stored):
     text = plan(A.latest_and_previous(stored["regnskap"]))
     assert text.count("Exchange hashpartitioning") == 1 and text.count("WindowGroupLimit") == 2
@@ -72,7 +82,7 @@ def test_rows_without_a_key_are_spread(spark):
     try:
         rows = spark.range(8000).select("id", F.when(F.col("id") % 100 == 0, F.col("id").cast("string")).alias("k"))
         names = spark.range(0, 8000, 100).select(F.col("id").cast("string").alias("k"), F.lit("n").alias("navn"))
-        joined = lookup(rows, names, "k")
+        joined = lookup(rows, names, "k", "id")
         assert joined.filter("navn is not null").count() == 80 and joined.count() == 8000
         sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
         assert max(sizes) < 2000

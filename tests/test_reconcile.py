@@ -123,7 +123,7 @@ def test_capped_batches_cover_the_feed_without_gaps(spark, cap):
     frame = feed(spark, *events)
     cursor, covered = 20, []
     while True:
-        batch = sorted(map(tuple, R.next_change_batch(frame, cursor, cap).collect()))
+        batch = sorted(map(tuple, R.next_change_batch(frame, cursor, cap)[0].collect()))
         assert batch == brute_batch(events, cursor, cap)
         if not batch:
             break

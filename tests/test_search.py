@@ -93,6 +93,9 @@ def test_pages_and_counts(spark):
     assert K.capped_count(frame, 50).first().asDict() == {"antall": 50, "flere": True}
     assert K.capped_count(frame, 95).first().asDict() == {"antall": 95, "flere": False}
     assert len(K.page(frame, order, 1000).collect()) == 95
+    for size, number in ((0, 1), (10, 0)):
+        with pytest.raises(ValueError):
+            K.page(frame, order, size, number)
 
 
 @pytest.mark.parametrize("bad", [
@@ -115,7 +118,10 @@ def test_place_names_match_before_the_dash(spark):
 
 
 def test_spec_limits_and_schema(spark):
-    assert [P.spec_limit({"grense": g}) for g in (None, 0, 1, 500, -3, "x", "40")] == [25, 25, 1, 200, 1, 25, 40]
+    assert [P.spec_limit({"grense": g}) for g in (None, 1, 500, "40")] == [25, 1, 500, 40]
+    for bad in (0, -3, "x", "inf", 2.5):
+        with pytest.raises(P.SpecError):
+            P.spec_limit({"grense": bad})
     schema = P.spec_schema()["properties"]
     assert len(schema["filtre"]["items"]["properties"]["felt"]["enum"]) == 14
     assert set(schema["filtre"]["items"]["properties"]["op"]["enum"]) == set(P.OPERATORS)

@@ -122,8 +122,12 @@ def test_company_documents(spark):
     body = {ORG: "000000001", "navn": "Ny AS", "registrertIMvaregisteret": True, "antallAnsatte": 7,
             "forretningsadresse": {"adresse": ["c/o Li", "Gata 1"], "kommunenummer": "0301"},
             "naeringskode1": {"kode": "00.000", "beskrivelse": "Uoppgitt"}, "overordnetEnhet": {ORG: "000000009"}}
-    documents = spark.createDataFrame([(json.dumps(body),)], "doc string")
-    row = files.company_documents(documents).first()
+    bad = [("000000002", json.dumps({ORG: "000000002", "antallAnsatte": "12x"})), ("000000003", "{"), ("000000004", json.dumps({ORG: "000000005"})), ("000000006", json.dumps({"navn": "no key"}))]
+    documents = spark.createDataFrame([("000000001", json.dumps(body)), *bad], f"{ORG} string, doc string")
+    rows, rejects = files.company_documents(documents)
+    assert {r[ORG]: r.feil_kolonner for r in rejects.collect()} == {"000000002": ["antall_ansatte"], "000000003": [ORG], "000000004": [ORG]}
+    assert {r[ORG] for r in rows.collect()} == {"000000001", "000000006"}
+    row = rows.filter(F.col(ORG) == "000000001").first()
     assert row.forretningsadresse_adresse == "c/o Li, Gata 1" and row.registrert_i_mva_registeret is True
     assert row.naeringskode1_kode is None and row.naeringskode1_beskrivelse is None and row.antall_ansatte == 7
     assert row.overordnet_enhet == "000000009" and row.konkurs is False and row.postadresse_adresse in (None, "")
