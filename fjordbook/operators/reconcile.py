@@ -217,15 +217,15 @@ def next_change_batch(feed: DataFrame, cursor: int, max_keys: int) -> tuple[Data
 
     Repeats of a company already in the batch are free. Stopping at an event,
     not a company, means the new cursor (the largest id of the batch, with its
-    time; the old one if the batch is empty) skips nothing.
+    time if the feed has times; the old one if the batch is empty) skips nothing.
     """
     after = feed.filter(F.col("oppdateringsid") > cursor)
     first_seen = after.groupBy(ORG).agg(F.min("oppdateringsid").alias("forste"))
     beyond = first_seen.orderBy("forste").offset(max_keys).limit(1)
     stop = beyond.select(F.min("forste")).scalar()
     batch = after.filter(stop.isNull() | (F.col("oppdateringsid") < stop))
-    reached = batch.agg(F.coalesce(F.max("oppdateringsid"), F.lit(cursor)).alias("siste_id"), F.max_by("dato", "oppdateringsid").alias("siste_tid"))
-    return batch, reached
+    time = [F.max_by("dato", "oppdateringsid").alias("siste_tid")] if "dato" in feed.columns else []
+    return batch, batch.agg(F.coalesce(F.max("oppdateringsid"), F.lit(cursor)).alias("siste_id"), *time)
 
 
 def seed_cursor(feed: DataFrame, day: date) -> DataFrame:
