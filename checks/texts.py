@@ -17,15 +17,28 @@ def words_sql(text: str) -> str:
             f"lambda w: length(w) > 1 AND NOT list_contains([{_STOP}], w))")
 
 
+# Fixed values: (ending, what replaces it, fewest letters of the word, endings that are no plural), the first that applies, by step.
+ENDINGS = [
+    [("ies", "y", 5, ()), ("sses", "ss", 5, ()), ("ses", "s", 5, ()), ("s", "", 2, ("ss", "us"))],
+    [("ion", "", 6, ()), ("ing", "", 6, ()), ("ed", "", 5, ()), ("ly", "", 5, ())],
+]
+
+
+def _cut(word: str, step: int) -> str:
+    """One step of endings as nested choices, made from the table."""
+    out = word
+    for ending, new, fewest, but in reversed(ENDINGS[step]):
+        kept = "".join(f" AND NOT ends_with({word}, '{b}')" for b in but)
+        out = f"if(ends_with({word}, '{ending}') AND length({word}) >= {fewest}{kept}, {word}[:-{len(ending) + 1}] || '{new}', {out})"
+    return out
+
+
 def _singular(w: str) -> str:
-    return (f"CASE WHEN {w} LIKE '%ies' AND length({w}) > 4 THEN left({w}, length({w}) - 3) || 'y' "
-            f"WHEN {w} LIKE '%sses' THEN left({w}, length({w}) - 2) WHEN {w} LIKE '%ses' AND length({w}) > 4 THEN left({w}, length({w}) - 2) "
-            f"WHEN {w} LIKE '%s' AND {w} NOT LIKE '%ss' AND {w} NOT LIKE '%us' THEN left({w}, length({w}) - 1) ELSE {w} END")
+    return _cut(w, 0)
 
 
 def _root(s: str) -> str:
-    return (f"CASE WHEN {s} LIKE '%ion' AND length({s}) > 5 THEN left({s}, length({s}) - 3) WHEN {s} LIKE '%ing' AND length({s}) > 5 THEN left({s}, length({s}) - 3) "
-            f"WHEN {s} LIKE '%ed' AND length({s}) > 4 THEN left({s}, length({s}) - 2) WHEN {s} LIKE '%ly' AND length({s}) > 4 THEN left({s}, length({s}) - 2) ELSE {s} END")
+    return _cut(s, 1)
 
 
 def tokens_cte(name: str, source: str, key: str, text: str = "text") -> str:

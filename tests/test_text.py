@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks.texts import ENDINGS
 from fjordbook.functions import text as T
 from fjordbook.functions.hashing import fnv1a
 from fjordbook.operators import retrieval as X
@@ -44,17 +45,10 @@ def reference_tokens(text):
     for w in re.sub(r"[^\w]|_", " ", text.lower()).split():
         if len(w) <= 1 or w in T.STOP_WORDS:
             continue
-        if len(w) > 3:
-            if w.endswith("ies") and len(w) > 4:
-                w = w[:-3] + "y"
-            elif w.endswith("sses") or (w.endswith("ses") and len(w) > 4):
-                w = w[:-2]
-            elif w.endswith("s") and not w.endswith(("ss", "us")):
-                w = w[:-1]
-            if w.endswith(("ion", "ing")) and len(w) > 5:
-                w = w[:-3]
-            elif w.endswith(("ed", "ly")) and len(w) > 4:
-                w = w[:-2]
+        for step in ENDINGS if len(w) > 3 else ():
+            applies = [(e, new) for e, new, fewest, but in step if w.endswith(e) and len(w) >= fewest and not w.endswith(but or ("\0",))]
+            if applies:
+                w = w.removesuffix(applies[0][0]) + applies[0][1]
         out.append(w)
     return out
 
