@@ -19,7 +19,7 @@ def words_sql(text: str) -> str:
 
 # Fixed values: (ending, what replaces it, fewest letters of the word, endings that are no plural), the first that applies, by step.
 ENDINGS = [
-    [("ies", "y", 5, ()), ("sses", "ss", 5, ()), ("ses", "s", 5, ()), ("s", "", 2, ("ss", "us"))],
+    [("ies", "y", 5, ()), ("sses", "ss", 4, ()), ("ses", "s", 5, ()), ("s", "", 2, ("ss", "us"))],
     [("ion", "", 6, ()), ("ing", "", 6, ()), ("ed", "", 5, ()), ("ly", "", 5, ())],
 ]
 
