@@ -85,10 +85,10 @@ _SEARCH = f"""{_DOC},
 {vectors_cte('dv', 'terms', 'doc_id')},
 {vectors_cte('qv', 'qterms', 'item_id')},
 scores AS (
-  SELECT q.item_id, d.doc_id, round(coalesce(s.score, 0), 6) + 0.0 AS score
+  SELECT q.item_id, d.doc_id, round(coalesce(s.score, 0), 12) + 0.0 AS nyaktig, round(coalesce(s.score, 0), 6) + 0.0 AS score
   FROM (SELECT DISTINCT item_id FROM qv) q CROSS JOIN (SELECT DISTINCT doc_id FROM dv) d
   LEFT JOIN (SELECT item_id, doc_id, sum(qv.w * dv.w) AS score FROM qv JOIN dv USING (slot) GROUP BY 1, 2) s USING (item_id, doc_id)),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores) t WHERE rank <= 4)"""
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY nyaktig DESC, doc_id) AS rank FROM scores) t WHERE rank <= 4)"""
 
 
 def _documents(spark, sf_dir):
@@ -246,9 +246,9 @@ def keyword_phrase_or(spark, sf_dir):
 
 _CENTRES = """punkt AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 sentre AS (SELECT label AS query_id, i, avg(x) AS x FROM punkt GROUP BY 1, 2),
-likhet AS (SELECT query_id, vec_id, round(sum(s.x * p.x) / sqrt(sum(s.x * s.x)) / sqrt(sum(p.x * p.x)), 6) AS score
+likhet AS (SELECT query_id, vec_id, round(sum(s.x * p.x) / sqrt(sum(s.x * s.x)) / sqrt(sum(p.x * p.x)), 6) AS score, round(sum(s.x * p.x) / sqrt(sum(s.x * s.x)) / sqrt(sum(p.x * p.x)), 12) AS nyaktig
   FROM sentre s JOIN punkt p USING (i) GROUP BY 1, 2),
-naboer AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM likhet) t WHERE rank <= 10)"""
+naboer AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nyaktig DESC, vec_id) AS rank FROM likhet) t WHERE rank <= 10)"""
 
 
 def _centres(spark, sf_dir):

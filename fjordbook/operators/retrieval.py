@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +23,8 @@ FLOORS = {"hashed": 0.07, "hosted": 0.22, "local": 0.50}
 CEILINGS = {"hosted": 0.62, "local": 0.45, "hashed": 1.0}
 RELATIVE_FLOOR = 0.45
 
-#: Queries handled in one pass over the vectors; more queries take more passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of a block of queries and of a block of vectors, both as dense numbers.
+BLOCK_BYTES, PART_BYTES = 16 << 20, 64 << 20
 
 #: Scores a task holds at once.
 SCORES_HELD = 4_000_000
@@ -171,54 +170,54 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_
         digits: int = 6) -> DataFrame:
     """The ``k`` nearest vectors of each query by cosine, exactly: ``(query, key, score, rank)``.
 
-    Queries travel to the vectors in blocks of bounded size, and each task
-    answers with at most ``k`` rows per query, so what is shuffled does not grow
-    with the number of (query, vector) pairs. Scores are rounded before
-    they are ranked, which keeps the order independent of summation order; ties
-    go by key. Both sides may carry a ``model`` column, and then only vectors of
-    one model are compared.
+    A product of blocks: both sides are dealt to every pair of a query block and a
+    vector block, each of bounded size, and a task multiplies the pair that meets in
+    it and answers with at most ``k`` rows per query. Nothing goes through the
+    driver but the two counts. Scores are ranked to twelve digits, which keeps the
+    order independent of summation order, and shown with ``digits``; ties go by
+    key. Both sides may carry a ``model`` column, and then only vectors of one model
+    are compared.
     """
     shape = ["embedding"] if "embedding" in vectors.columns else ["slots", "values"]
     extra = ["model"] if "model" in vectors.columns else []
-    wanted = durable(queries.select(query_key, *extra, *shape))
-    stored = vectors.select(key, *extra, *shape)
+    wanted, stored = durable(queries.select(query_key, *extra, *shape)), vectors.select(key, *extra, *shape)
     width = F.max(F.size("embedding")) if "embedding" in shape else F.lit(WIDTH)
-    count, wide = wanted.agg(F.count(F.lit(1)), width).first()
-    blocks = max(1, -(-count * 8 * (wide or 1) // BLOCK_BYTES))
-    block_of = F.pmod(F.xxhash64(query_key), F.lit(blocks))
-    hits = [_block_hits(wanted.filter(block_of == b), stored, k, query_key, key, digits) for b in range(blocks)]
-    return _ranked(reduce(DataFrame.unionByName, hits), query_key, key, k)
-
-
-def _block_hits(block: DataFrame, vectors: DataFrame, k: int, query_key: str, key: str, digits: int) -> DataFrame:
-    """Each task's ``k`` best vectors for every query of one block (about ``BLOCK_BYTES`` of queries)."""
-    kinds = block.schema[query_key].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
-    shared = vectors.sparkSession.sparkContext.broadcast(block.toPandas())
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = shared.value
-        if asked.empty:
-            return
-        width = WIDTH if "slots" in asked else len(asked["embedding"].iloc[0])
-        questions, ids = _matrix(asked, width), asked[query_key].to_numpy()
-        step = min(max(SCORES_HELD // len(ids), 16), 1024)
-        found: list[pd.DataFrame] = []
-        for pdf in batches:
-            for start in range(0, len(pdf), step):
-                rows = pdf.iloc[start:start + step]
-                scores = np.round(questions @ _matrix(rows, width).T, digits)
-                if "model" in rows:
-                    scores[asked["model"].to_numpy()[:, None] != rows["model"].to_numpy()[None, :]] = -np.inf
-                keys = rows[key].to_numpy()
-                q, r = _best_of_batch(scores, keys, k)
-                hits = pd.DataFrame({query_key: ids[q], key: keys[r], "score": scores[q, r]})
-                found.append(hits[np.isfinite(hits["score"])])
-                if sum(map(len, found)) > max(SCORES_HELD, 4 * k * len(ids)):
-                    found = [_best(found, query_key, key, k)]
-        if found:
-            yield _best(found, query_key, key, k)
-
-    return vectors.mapInPandas(search, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double")
+    asked, wide = wanted.agg(F.count(F.lit(1)), width).first()
+    blocks = max(1, -(-asked * 8 * (wide or 1) // BLOCK_BYTES))
+    parts = max(1, -(-stored.count() * 8 * (wide or 1) // PART_BYTES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    ids = ["_q", "_v"]
+    left = wanted.withColumns({"_q": F.col(query_key), "_v": F.lit(None).cast(stored.schema[key].dataType), "_block": mine(query_key, blocks)})
+    right = stored.withColumns({"_q": F.lit(None).cast(wanted.schema[query_key].dataType), "_v": F.col(key), "_part": mine(key, parts)})
+    columns = ["_block", "_part", *ids, *extra, *shape]
+    pairs = left.withColumn("_part", every(parts)).select(*columns).unionByName(right.withColumn("_block", every(blocks)).select(*columns))
+    kinds = wanted.schema[query_key].dataType.simpleString(), stored.schema[key].dataType.simpleString()
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_query = pdf["_q"].notna()
+        questions, rows = pdf[is_query], pdf[~is_query]
+        empty = pd.DataFrame({query_key: questions["_q"][:0], key: rows["_v"][:0], "score": np.empty(0)})
+        if questions.empty or rows.empty:
+            return empty
+        wide = WIDTH if "slots" in pdf else len(questions["embedding"].iloc[0])
+        matrix, asked = _matrix(questions, wide), questions["_q"].to_numpy()
+        step, found = min(max(SCORES_HELD // len(asked), 16), 1024), []
+        for start in range(0, len(rows), step):
+            part = rows.iloc[start:start + step]
+            scores = np.round(matrix @ _matrix(part, wide).T, 12)
+            if "model" in part:
+                scores[questions["model"].to_numpy()[:, None] != part["model"].to_numpy()[None, :]] = -np.inf
+            keys = part["_v"].to_numpy()
+            q, r = _best_of_batch(scores, keys, k)
+            hits = pd.DataFrame({query_key: asked[q], key: keys[r], "score": scores[q, r]})
+            found.append(hits[np.isfinite(hits["score"])])
+            if sum(map(len, found)) > max(SCORES_HELD, 4 * k * len(asked)):
+                found = [_best(found, query_key, key, k)]
+        return _best(found, query_key, key, k)
+
+    hits = pairs.groupBy("_block", "_part").applyInPandas(multiply, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double")
+    return _ranked(hits, query_key, key, k).withColumn("score", F.round("score", digits))
 
 
 def _ranked(hits: DataFrame, query_key: str, key: str, k: int) -> DataFrame:

@@ -211,9 +211,11 @@ def parse_specs(replies: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     body = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
     parsed = replies.withColumn("spec", F.from_json(body, SPEC_TYPE))
     allowed = F.array(*[F.lit(f"{n}:{op}") for n, f in vocabulary().items() for op in f.ops])
+    numeric = F.array(*[F.lit(n) for n, f in vocabulary().items() if f.kind == "tall"])
     known = F.forall(
         "spec.filtre",
-        lambda f: F.array_contains(allowed, F.concat_ws(":", f["felt"], f["op"])) & f["verdi"].isNotNull(),
+        lambda f: F.array_contains(allowed, F.concat_ws(":", f["felt"], f["op"])) & f["verdi"].isNotNull() & (
+            ~F.array_contains(numeric, f["felt"]) | f["verdi"].rlike(r"^\s*\[?\s*-?\d+(\.\d+)?([eE]\+?\d+)?\s*(,\s*-?\d+(\.\d+)?([eE]\+?\d+)?\s*)?\]?\s*$")),
     )
     reason = (
         F.when(body.isNull(), "ingen spesifikasjon")

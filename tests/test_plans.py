@@ -73,7 +73,7 @@ def test_neighbours_shuffle_only_the_best(spark):
     rows = [(i, np.ones(4).tolist()) for i in range(10)]
     vectors = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
     text = plan(X.knn(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 3))
-    assert "MapInPandas" in text and text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    assert "FlatMapGroupsInPandas" in text and text.count("Exchange hashpartitioning") == 2 and "Join" not in text
 
 
 def test_rows_without_a_key_are_spread(spark):
