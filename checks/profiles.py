@@ -48,9 +48,11 @@ def roles_ended(spark, sf_dir):
 
 
 @check("roles_by_group", tables="roller", oracle="""
-SELECT organisasjonsnummer, rollegruppe_kode, count(*) AS antall, min(rekkefolge) AS forste FROM roller GROUP BY 1, 2""")
+SELECT organisasjonsnummer, rollegruppe_kode, count(*) AS antall, min(rekkefolge) AS forste,
+       string_agg(innehaver, ', ' ORDER BY rekkefolge NULLS LAST, rolletype_kode, innehaver) AS medlemmer
+FROM (SELECT *, coalesce(innehaver_navn, concat_ws(' ', person_fornavn, person_mellomnavn, person_etternavn)) AS innehaver FROM roller) r GROUP BY 1, 2""")
 def roles_by_group(spark, sf_dir):
-    return P.roles_by_group(register(spark, sf_dir).roles)
+    return P.roles_by_group(register(spark, sf_dir).roles).withColumn("medlemmer", F.array_join("medlemmer", ", "))
 
 
 @check("geo_counts", tables="enheter kommuner fylker", oracle="""

@@ -217,8 +217,9 @@ ATTEMPTS = """siste_forsok AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY organisasjonsnummer ORDER BY forsokt_at DESC) AS r FROM forsok) t WHERE r = 1)"""
 
 
-def _targets(name, mode, condition, joins="", **options):
-    @check(name, tables="enheter regnskap forsok", ctes=ATTEMPTS, oracle=f"SELECT e.organisasjonsnummer FROM enheter e {joins} WHERE {condition}")
+def _targets(name, mode, condition, joins="", first="", **options):
+    @check(name, tables="enheter regnskap forsok", ctes=ATTEMPTS, oracle=f"""
+SELECT e.organisasjonsnummer, row_number() OVER (ORDER BY {first} antall_ansatte DESC NULLS LAST, e.organisasjonsnummer) AS plass FROM enheter e {joins} WHERE {condition}""")
     def query(spark, sf_dir):
         r = register(spark, sf_dir)
         return W.targets(r.companies, r.accounts, r.attempts, mode, **options)
@@ -227,13 +228,14 @@ def _targets(name, mode, condition, joins="", **options):
 
 _targets("targets_new", "nye", "slettet_dato IS NULL AND siste_innsendte_aarsregnskap > coalesce(aar, 0)",
          "LEFT JOIN (SELECT organisasjonsnummer, max(year(periode_til)) AS aar FROM regnskap GROUP BY 1) USING (organisasjonsnummer)")
-_targets("targets_all", "alle", "slettet_dato IS NULL AND siste_innsendte_aarsregnskap IS NOT NULL")
+_targets("targets_all", "alle", "slettet_dato IS NULL AND siste_innsendte_aarsregnskap IS NOT NULL",
+         "LEFT JOIN siste_forsok USING (organisasjonsnummer)", "forsokt_at NULLS FIRST,")
 _targets("targets_seed", "seed", """slettet_dato IS NULL AND siste_innsendte_aarsregnskap >= 2000 AND antall_ansatte >= 50
   AND organisasjonsnummer NOT IN (SELECT organisasjonsnummer FROM forsok)""", seed_year=2000)
 
 
 @check("stale_targets", tables="forsok", ctes=ATTEMPTS, oracle="""
-SELECT organisasjonsnummer FROM siste_forsok WHERE status = 'ok' AND forsokt_at < TIMESTAMP '2024-01-30'""")
+SELECT organisasjonsnummer, row_number() OVER (ORDER BY forsokt_at, organisasjonsnummer) AS plass FROM siste_forsok WHERE status = 'ok' AND forsokt_at < TIMESTAMP '2024-01-30'""")
 def stale_targets(spark, sf_dir):
     r = register(spark, sf_dir)
     return W.targets(r.companies, r.accounts, r.attempts, "gamle", as_of=date(2024, 2, 1), stale_days=2)

@@ -268,9 +268,12 @@ def within_distance(ranked: DataFrame, ceiling: float) -> DataFrame:
 
 
 def extractive_answers(questions: DataFrame, passages: DataFrame, weights: DataFrame, n_documents: Column, k: int = 3,
-                       query_key: str = "query_id", passage_key: str = "rank") -> DataFrame:
+                       query_key: str = "query_id", passage_key: str = "rank", headed: bool = False) -> DataFrame:
     """The ``k`` sentences of each question's passages that overlap it most, quoted with their marker.
 
+    ``headed`` passages, as :func:`chunk` makes them, begin with a heading line,
+    which is no sentence to quote.
+
     ``questions`` has the question's ``text``; ``passages`` one row per question
     and passage, with its ``text``. A sentence scores the weights of the words
     it shares with the question over the square root of its length.
@@ -278,7 +281,7 @@ def extractive_answers(questions: DataFrame, passages: DataFrame, weights: DataF
     asked = _each(questions, F.array_distinct(T.tokens(F.col("text"))), "token", query_key)
     unseen = F.ln(n_documents + 1) + 1
     asked = asked.join(weights.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", unseen))
-    quoted = passages.select(query_key, passage_key, F.posexplode(T.sentences(F.col("text"))).alias("nr", "setning"))
+    quoted = passages.select(query_key, passage_key, F.posexplode(T.sentences(F.regexp_replace("text", r"^[^\n]*\n\n", "") if headed else F.col("text"))).alias("nr", "setning"))
     place = [query_key, passage_key, "nr"]
     found = _each(quoted, T.tokens(F.col("setning")), "token", *place, "setning").groupBy(*place, "setning", "token")
     counted = found.agg(F.count(F.lit(1)).alias("_tf"))

@@ -75,29 +75,20 @@ def keyword_filter(query: str, text: Column, language: str = "norsk") -> Column:
             groups.append([])
         else:
             groups[-1].append((bool(minus), phrase or word))
-    needles = _stems_of({term for group in groups for _, term in group}, language)
 
     def matches(haystack: Column) -> Column:
-        wanted = []
-        for group in groups:
-            hits = [(minus, F.contains(haystack, F.lit(f" {needles[term]} "))) for minus, term in group if needles[term]]
-            if hits:
-                wanted.append(reduce(and_, [~hit if minus else hit for minus, hit in hits]))
-        return reduce(or_, wanted) if wanted else F.lit(False)
+        """Terms are stemmed as constants of the plan; one of stop words alone decides nothing."""
+        wanted = [F.lit(False)]
+        for group in filter(None, groups):
+            needles = [(minus, T.stems(F.lit(term), language)) for minus, term in group]
+            hits = [(needle == "") | (F.contains(haystack, F.concat(F.lit(" "), needle, F.lit(" "))) != F.lit(minus)) for minus, needle in needles]
+            wanted.append(reduce(and_, hits) & reduce(or_, [needle != "" for _, needle in needles]))
+        return reduce(or_, wanted)
 
     # Bound to a lambda, the stems of a row are computed once for all terms.
     return F.exists(F.array(F.concat(F.lit(" "), T.stems(text, language), F.lit(" "))), matches)
 
 
-def _stems_of(terms: set[str], language: str) -> dict[str, str]:
-    """The search terms reduced like the texts are; a term of stop words alone becomes empty."""
-    listed = sorted(terms)
-    if not listed:
-        return {}
-    frame = SparkSession.active().createDataFrame([(t,) for t in listed], "t string")
-    return {r.t: r.s for r in frame.select("t", T.stems(F.col("t"), language).alias("s")).collect()}
-
-
 def _name_filter(text: str) -> Column:
     if re.fullmatch(r"\d{9}", text):
         return F.col(ORG) == text

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
 from fjordbook.functions.hashing import text_hash
+from fjordbook.operators.keyed import row_numbers
 from fjordbook.schema import ORG
 
 MIN_DESCRIPTION = 12
@@ -43,7 +44,8 @@ def targets(companies: DataFrame, accounts: DataFrame, attempts: DataFrame, mode
 
 
 def _queued(rows: DataFrame, *order: Column) -> DataFrame:
-    return rows.orderBy(*order, F.asc(ORG)).select(ORG)
+    """The keys with their place in the queue, from 1."""
+    return row_numbers(rows.orderBy(*order, F.asc(ORG)).select(ORG), "plass")
 
 
 def embedding_text(companies: DataFrame) -> DataFrame:

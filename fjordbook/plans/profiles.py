@@ -80,9 +80,10 @@ def ended_roles_of(history: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def roles_by_group(roles: DataFrame) -> DataFrame:
-    """Roles per company and group, counted, with the group's place in the display."""
+    """Roles per company and group, with the group's place in the display and its members' names in order."""
+    member = F.struct(F.col("rekkefolge").isNull().alias("sist"), "rekkefolge", "rolletype_kode", holder_name().alias("innehaver"))
     return roles.groupBy(ORG, "rollegruppe_kode").agg(
-        F.count(F.lit(1)).alias("antall"), F.min("rekkefolge").alias("forste")
+        F.count(F.lit(1)).alias("antall"), F.min("rekkefolge").alias("forste"), F.sort_array(F.collect_list(member))["innehaver"].alias("medlemmer")
     )
 
 

@@ -237,3 +237,12 @@ def test_norwegian_stems_match_the_steps(spark):
     got = {r.w: r.s for r in frame.select("w", T.stems(F.col("w"), "norsk").alias("s")).collect()}
     wrong = {w: (got[w], reference_norwegian(w)) for w in words if got[w] != reference_norwegian(w)}
     assert not wrong
+
+
+def test_heading_lines_are_not_quoted(spark):
+    documents = spark.createDataFrame([(1, "Handbook of ordering", "## Ordering the goods today\nOrdering goods takes three days in all. Nothing else matters here at all.")], "doc_id long, title string, text string")
+    passages = X.chunk(documents).select(F.lit(1).alias("query_id"), F.lit(1).alias("rank"), F.col("tekst").alias("text"))
+    questions = spark.createDataFrame([(1, "ordering goods")], "query_id long, text string")
+    weights = X.idf(X.term_counts(documents), X.count_of(documents))
+    quoted = [r.setning for r in X.extractive_answers(questions, passages, weights, X.count_of(documents), headed=True).collect()]
+    assert quoted == ["Ordering goods takes three days in all."]
