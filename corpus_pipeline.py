@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordbook.llm import lines, mixing, neardup, packing, quality
-from fjordbook.llm.common import table
+from fjordbook.llm.common import small_batches, table
 from fjordbook.llm.tokens import vocabulary_path
 from fjordbook.session import durable
 
@@ -20,12 +20,14 @@ ORACLE_SQL = None
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, does not reject."""
+    small_batches(spark)
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs, trees).filter(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate at their source; ``n_chars`` follows the text."""
+    small_batches(spark)
     cleaned = lines.without_boilerplate(docs, F.col("source"))
     size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
@@ -33,16 +35,19 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return neardup.deduplicated(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources at their target sizes, a row for each reading of a document."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the mix and their places in full sequences."""
+    small_batches(spark)
     return packing.pack(durable(packing.pieces(docs, vocabulary_path())))
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fjordbook.llm.common import table
+from fjordbook.llm.words import lean
 from fjordbook.session import durable
 
 #: Vectors fitted at most; of those, how many serve as queries for the radius; share of neighbours it must find.
@@ -118,7 +119,7 @@ def coded(rows: DataFrame, coder: Coder) -> DataFrame:
             codes = coder.codes(matrix(batch.column("vector")).astype(np.float64)) if len(batch) else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64))], ["id", "vector", "code"])
 
-    return rows.mapInArrow(run, "id long, vector array<float>, code long")
+    return rows.mapInArrow(lean(run), "id long, vector array<float>, code long")
 
 
 def substring(code: np.ndarray, j: int) -> np.ndarray:
@@ -190,7 +191,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, radius: int, total: in
         return pa.table({"query_id": q.astype(np.int64), "vec_id": v, "score": s})
 
     kind = "part long, is_query boolean, id long, vector array<float>, code long"
-    dealt = index.mapInArrow(deal(False), kind).unionByName(queries.mapInArrow(deal(True), kind))
+    dealt = index.mapInArrow(lean(deal(False)), kind).unionByName(queries.mapInArrow(lean(deal(True)), kind))
     return dealt.groupBy("part").applyInArrow(search, "query_id long, vec_id long, score double")
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordbook.llm.common import table
+from fjordbook.llm.words import lean
 from fjordbook.session import checkpoint_root, durable
 
 #: Header fields by version: fixed by the format.
@@ -98,7 +99,7 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
         yield from _rows(records(), ["record"], [pa.binary()], lambda r: len(r[0]))
 
     picked = pages.select(F.col(f"`{page_id}`").cast("long"), F.col(f"`{url}`").cast("string"), F.col(f"`{payload}`").cast("binary"))
-    _save(picked.mapInArrow(run, "record binary"), "\n", path)
+    _save(picked.mapInArrow(lean(run), "record binary"), "\n", path)
 
 
 class Bytes:
@@ -200,7 +201,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
         yield from _rows(records(), [*ARC_COLUMNS, "payload_bytes"], [text, text, text, text, blob, blob, blob, pa.int64()], lambda r: len(r[5] or b"") + len(r[4]))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "target string, date string, content_type string, status string, header binary, payload binary, payload_sha1 binary, payload_bytes long")
+    return files.mapInArrow(lean(run), "target string, date string, content_type string, status string, header binary, payload binary, payload_sha1 binary, payload_bytes long")
 
 
 def timestamp(date: str) -> str:
@@ -268,7 +269,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
 
         yield from _rows(made(), ["record"], [pa.binary()], lambda r: len(r[0]))
 
-    _save(rows.mapInArrow(run, "record binary"), "\r\n\r\n", warc_path)
+    _save(rows.mapInArrow(lean(run), "record binary"), "\r\n\r\n", warc_path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -315,7 +316,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         yield from _rows(records(), [c.split()[0] for c in WARC_SCHEMA.split(", ")], [text, text, text, text, whole, whole, text, whole, pa.binary()], lambda r: len(r[8] or b""))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, WARC_SCHEMA)
+    return files.mapInArrow(lean(run), WARC_SCHEMA)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def fingerprint(docs: DataFrame, bits: int = 64, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), W.lengths(flat, ends)], ["key", "code"])
 
     picked = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    return picked.mapInArrow(run, "key long, code array<long>")
+    return picked.mapInArrow(W.lean(run), "key long, code array<long>")
 
 
 def _block(code: Column, low: int, high: int) -> Column:

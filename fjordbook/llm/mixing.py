@@ -22,13 +22,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fjordbook.llm.common import WORD, running_sum, table, whole_row
 from fjordbook.llm.feistel import permute
-from fjordbook.llm.words import spans
+from fjordbook.llm.words import lean, spans
 from fjordbook.session import durable
 
 #: Weights of the sources in order, repeating; their joint share of all words; most reads of a word.
@@ -181,8 +182,7 @@ def mix(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> Dat
     """``(doc_id, source, size, source_size, target, taken, draws)`` of every row of ``(doc_id, source, size)``.
 
     ``draws`` lists the pieces taken: output shard, place of the draw in its source,
-    reading (0, 1), first word and number of words. Columns ``row`` and ``body`` are
-    passed on.
+    reading (0, 1), first word and number of words. A column ``row`` is passed on.
     """
     plan = durable(quotas(targets(sized.select("source", "size"), **rule), shards, seed))
     placed = laid_out(sized, seed)
@@ -207,7 +207,7 @@ def mix(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> Dat
     schema = T.StructType([*sized.schema.fields])
     for name, kind in made.items():
         schema = schema.add(name, T.DataType.fromDDL(kind))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> DataFrame:
@@ -217,12 +217,12 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **r
     of words keep the text between them and are put on lines of their own. Columns
     are those of ``docs``; ``n_chars`` follows the text.
     """
-    body = F.col("text").alias("body")
-    mixed = mix(docs.select(*sized_columns(), whole_row(docs).alias("row"), body), shards, seed, **rule)
+    mixed = mix(docs.select(*sized_columns(), whole_row(docs).alias("row")), shards, seed, **rule)
+    field = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts, sizes = batch.column("body"), batch.column("size").to_pylist()
+            texts, sizes = pc.struct_field(batch.column("row"), [field]), batch.column("size").to_pylist()
             at, out = [], []
             for i, draws in enumerate(batch.column("draws").to_pylist()):
                 for reading in sorted({d["reading"] for d in draws}):
@@ -242,7 +242,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **r
                     out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], ["row", "body"])
 
-    rows = mixed.select("row", "body", "size", "draws").mapInArrow(run, T.StructType([mixed.schema["row"], mixed.schema["body"]]))
+    rows = mixed.select("row", "size", "draws").mapInArrow(lean(run), T.StructType([mixed.schema["row"]]).add("body", "string"))
     own = {"text": F.col("body"), "n_chars": F.char_length("body").cast("long")}
     return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from fjordbook.llm.common import table, whole_row
 from fjordbook.llm.components import components
-from fjordbook.llm.words import mix
+from fjordbook.llm.words import lean, mix, release
 from fjordbook.session import durable
 
 SEED = 42
-#: Variants formed by one task at once, on average.
-VARIANTS = 4_000_000
+#: Variants that meet in one task, on average, and those it forms at once.
+VARIANTS, FORMED = 4_000_000, 1_000_000
 SEEDS = mix(np.arange(101, 165, dtype=np.uint64))
 
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
             found = [code_of(t.as_py() or b"", shingle, bits) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "code"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, code binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, code binary")
 
 
 def flips(width: int, most: int) -> list[np.ndarray]:
@@ -156,6 +156,23 @@ def meetings(values: np.ndarray, prefix: int, lead: int, width: int, half: int,
     return forest(np.concatenate(links_a), np.concatenate(links_b), n)
 
 
+def all_meetings(values: np.ndarray, prefix: int, lead: int, width: int, half: int, codes: np.ndarray, limit: int) -> np.ndarray:
+    """:func:`meetings` under a prefix, a longer prefix at a time, so that few variants are formed at once."""
+    n = len(values)
+    ball = sum(comb(width - lead, i) for i in range(half + 1))
+    more = max(0, min(width - lead - half - 1, ceil(log2(max(1, n * ball / FORMED)))))
+    if not more:
+        return meetings(values, prefix, lead, width, half, codes, limit)
+    tops, links_a, links_b = values >> np.uint64(width - lead - more), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for longer in range(prefix << more, (prefix + 1) << more):
+        rows = np.flatnonzero(np.bitwise_count(tops ^ np.uint64(longer)) <= half)
+        root = meetings(values[rows], longer, lead + more, width, half, codes[rows], limit)
+        linked = np.flatnonzero(root != np.arange(len(rows)))
+        links_a.append(rows[linked])
+        links_b.append(rows[root[linked]])
+    return forest(np.concatenate(links_a), np.concatenate(links_b), n)
+
+
 def links(codes: DataFrame, count: int, bits: int, radius: int, blocks: int = 1, width: int | None = None, limit: int | None = None, variants: int = VARIANTS) -> DataFrame:
     """``(a, b)`` over ``(id, code)`` rows: a spanning forest per task of pairs within ``radius`` in a block.
 
@@ -183,11 +200,12 @@ def links(codes: DataFrame, count: int, bits: int, radius: int, blocks: int = 1,
         order = np.argsort(rows.column("id").to_numpy())
         ids = rows.column("id").to_numpy()[order]
         raw = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, bits // 8)[order]
-        root = meetings(block_values(raw, key >> lead, width), key & ((1 << lead) - 1), lead, width, half, raw.view(np.uint64), limit)
+        root = all_meetings(block_values(raw, key >> lead, width), key & ((1 << lead) - 1), lead, width, half, raw.view(np.uint64), limit)
         linked = np.flatnonzero(root != np.arange(len(ids)))
+        release()
         return pa.table({"a": ids[linked], "b": ids[root[linked]]})
 
-    return codes.select("id", "code").mapInArrow(emit, "key long, id long, code binary").groupBy("key").applyInArrow(meet, "a long, b long")
+    return codes.select("id", "code").mapInArrow(lean(emit), "key long, id long, code binary").groupBy("key").applyInArrow(meet, "a long, b long")
 
 
 def groups(prints: DataFrame, bits: int, radius: int, **how) -> DataFrame:
@@ -220,7 +238,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, bits: int = 512, radius: int
             found = [code_of(t.as_py() or b"", shingle, bits) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.binary())], ["doc_id", "mark", "code"])
 
-    prints = durable(keyed.mapInArrow(run, "doc_id long, mark long, code binary"))
+    prints = durable(keyed.mapInArrow(lean(run), "doc_id long, mark long, code binary"))
     found = groups(prints, bits, radius, blocks=blocks, width=width, limit=limit, variants=4 * VARIANTS)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
     kept = found.groupBy("component").agg(first.alias("first")).select(F.struct("first.doc_id", "first.mark").alias("key"))

@@ -36,12 +36,8 @@ LOOKS, STEPS, TAIL = 400, 20_000, 40
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, ids: bool = False) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)`` per piece of every document, with its ``ids`` if asked.
-
-    A document is its tokens and the end token. Longer ones are cut into pieces of
-    ``length`` tokens; the first may be shorter.
-    """
+def cutter(path: str, length: int = LENGTH, ids: bool = False):
+    """A function from batches of ``(doc_id, text)`` to batches of pieces, for tasks."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
 
     def run(batches):
@@ -72,8 +68,17 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, ids: bool = False)
                     columns.append(W.lengths(pa.array(full.astype(np.int32)), np.concatenate([[0], np.cumsum(size)])))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return run
+
+
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, ids: bool = False) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32)`` per piece of every document, with its ``ids`` if asked.
+
+    A document is its tokens and the end token. Longer ones are cut into pieces of
+    ``length`` tokens; the first may be shorter.
+    """
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(W.lean(cutter(path, length, ids)), kind)
 
 
 class Lengths:
@@ -311,7 +316,7 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
                 [*kept, "sequence_id", "offset"])
 
     schema = type(cut.schema)([*cut.schema.fields]).add("sequence_id", "long").add("offset", "long")
-    return numbered.select(*cut.columns, "_number").mapInArrow(run, schema)
+    return numbered.select(*cut.columns, "_number").mapInArrow(W.lean(run), schema)
 
 
 def sequences(packed: DataFrame, fill: int = 0, length: int = LENGTH) -> DataFrame:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,6 +109,7 @@ def _slice_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     borders = np.unique(np.concatenate([offsets[:-1][n_bytes > 0], breaks + 1])) if len(data) else np.empty(0, np.int64)
     borders = borders[borders < len(data)]
     stops = np.append(borders[1:], len(data))[:len(borders)]
+    stops = stops - flags["line"][stops - 1] if len(stops) else stops
     whose = np.searchsorted(offsets, borders, "right") - 1
     n_lines = np.bincount(whose, minlength=n)
     columns["log_lines"] = np.log1p(n_lines)
@@ -225,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 [batch.column("doc_id"), batch.column("quality").cast(pa.int32()), W.lengths(pa.array(found.ravel()), np.arange(0, found.size + 1, len(NAMES)))],
                 ["doc_id", "quality", "x"])
 
-    rows = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x array<float>").toPandas()
+    rows = texts.select("doc_id", "text", "quality").mapInArrow(W.lean(run), "doc_id long, quality int, x array<float>").toPandas()
     rows = rows.iloc[np.lexsort([rows["quality"], rows["doc_id"]])]  # the order tasks end in is no input
     x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), len(NAMES))
     order = np.lexsort([*x.T, rows["doc_id"].to_numpy()]) if len(rows) else np.empty(0, np.int64)
@@ -236,12 +238,12 @@ def scored(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """``(row, score)``: all columns of ``docs`` as one, and the score, in one pass without a shuffle."""
     def run(batches):
         for batch in batches:
-            data, offsets = W.buffer(batch.column("body"))
-            found = trees.score(statistics(data, offsets))
+            found = trees.score(statistics(*W.buffer(pc.struct_field(batch.column("row"), [at]))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found)], ["row", "score"])
 
-    rows = docs.select(whole_row(docs).alias("row"), F.col(f"`{text}`").alias("body"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"]]).add("score", "double"))
+    at = docs.columns.index(text)
+    rows = docs.select(whole_row(docs).alias("row"))
+    return rows.mapInArrow(W.lean(run), T.StructType([rows.schema["row"]]).add("score", "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -252,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
             found = trees.score(statistics(*W.buffer(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(W.lean(run), "doc_id long, score double")
     return rows.select(
         "doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))

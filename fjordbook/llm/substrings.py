@@ -164,7 +164,7 @@ def shared_groups(docs: DataFrame, parts: int, k: int, m: int) -> DataFrame:
         at = np.append(np.flatnonzero(_changes(doc)), len(doc))
         return pa.table({"doc_id": doc[at[:-1]], "places": _lists(place, at, pa.int32())})
 
-    dealt = docs.mapInArrow(deal, "part int, docs array<long>, counts array<int>, hash array<int>, place array<int>")
+    dealt = docs.mapInArrow(W.lean(deal), "part int, docs array<long>, counts array<int>, hash array<int>, place array<int>")
     met = dealt.groupBy("part").applyInArrow(meet, "doc_id long, places array<int>")
     return met.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
 
@@ -215,7 +215,7 @@ def marked(docs: DataFrame, places: DataFrame, k: int, m: int) -> DataFrame:
             ], ["doc_id", "n_words", "kept_sha256", "text", "start", "count"])
 
     rows = docs.join(places, "doc_id", "left").select("doc_id", "text", "places")
-    return rows.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text string, start array<int>, count array<int>")
+    return rows.mapInArrow(W.lean(run), "doc_id long, n_words long, kept_sha256 string, text string, start array<int>, count array<int>")
 
 
 def _paths(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -310,7 +310,7 @@ def repeated_paths(runs: DataFrame, parts: int, k: int, m: int) -> DataFrame:
         repeated = doc > least
         return pa.table(list(_path_rows(*_paths(doc[repeated], place[repeated], least[repeated], least_place[repeated]))), names=PATH_NAMES)
 
-    dealt = runs.mapInArrow(deal, f"part int, {PATHS}, one array<long>, two array<int>")
+    dealt = runs.mapInArrow(W.lean(deal), f"part int, {PATHS}, one array<long>, two array<int>")
     return dealt.groupBy("part").applyInArrow(meet, PATHS)
 
 
@@ -367,7 +367,7 @@ def deduplicated(docs: DataFrame, k: int = WINDOW, m: int = GROUP) -> DataFrame:
             ], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:int,words:int,source:long,source_start:int>>"
-    changed = runs.select("doc_id", "n_words", "text").join(by_doc, "doc_id", "left").select("doc_id", "n_words", "text", *lists).mapInArrow(remove, schema)
+    changed = runs.select("doc_id", "n_words", "text").join(by_doc, "doc_id", "left").select("doc_id", "n_words", "text", *lists).mapInArrow(W.lean(remove), schema)
     plain = found.filter("text is null").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"),
         F.array().cast("array<struct<start:int,words:int,source:long,source_start:int>>").alias("spans"))

@@ -22,8 +22,8 @@ KEPT, LONGEST = 2_000_000, 64
 LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 STOP[[33, 44, 46, 58, 59, 63]] = True
-#: Bytes of text encoded at once.
-AT_ONCE = 8 << 20
+#: Bytes of text encoded at once, and parts given to the tokenizer at once.
+AT_ONCE, ENCODED = 4 << 20, 4096
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -76,9 +76,12 @@ class Encoder:
 
     def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each part, end to end, and their numbers."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(parts), ENCODED):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts[i:i + ENCODED]], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
         ids, counts = self._encode(parts)

@@ -7,6 +7,9 @@ the texts' offsets in it, so their cost is per byte and not per text or word.
 
 from __future__ import annotations
 
+import ctypes
+import time
+
 import numpy as np
 import pyarrow as pa
 
@@ -128,6 +131,29 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+def release() -> None:
+    """Give memory that is free again back to the machine: a worker outlives its tasks, and its peak would stay with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own house
+        pass
+
+
+def lean(run):
+    """A function over batches that gives memory back now and then, and at its end."""
+    def wrapped(batches):
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            if time.monotonic() - last > 0.5:
+                release()
+                last = time.monotonic()
+        release()
+
+    return wrapped
+
+
 def lengths(values, offsets) -> pa.Array:
     """A list column from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)

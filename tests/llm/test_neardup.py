@@ -95,6 +95,15 @@ def test_blocks_hold_pairs_to_the_limit(spark):
     assert pairs(mine) == pairs(expected)
 
 
+def test_a_prefix_at_a_time_finds_the_same(monkeypatch):
+    codes = near_codes(np.random.default_rng(8), 300, 64)
+    values, raw = N.block_values(codes, 0, 64), codes.view(np.uint64)
+    whole = N.meetings(values, 0, 0, 64, 2, raw, 4)
+    for formed in (10**9, 100_000, 3000):
+        monkeypatch.setattr(N, "FORMED", formed)
+        assert (N.all_meetings(values, 0, 0, 64, 2, raw, 4) == whole).all()
+
+
 def test_components_of_long_and_hot_graphs(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (None, 3), (1500, 1600), (1600, 1500)]
     roots = {r.node: r.root for r in C.components(spark.createDataFrame(chain, "a long, b long")).collect()}
