@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from fjordbook.llm.common import table
 from fjordbook.llm.feistel import permute
-from fjordbook.llm.packing import END, pieces
+from fjordbook.llm.packing import END, cutter
 from fjordbook.llm.tokens import vocabulary_path
-from fjordbook.llm.words import mix
+from fjordbook.llm.words import lean, mix
 from fjordbook.session import checkpoint_root, durable
 
 #: Tokens of a sequence, key of the order, bytes of text per shard.
-LENGTH, KEY, SHARD_BYTES = 512, 1_618_033_988, 32 << 20
+LENGTH, KEY, SHARD_BYTES = 512, 1_618_033_988, 8 << 20
 #: Fields ahead of a record's ids; stands for a missing doc_id.
 HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<i4")])
 NO_ID = -(1 << 63)
@@ -59,9 +59,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, length: int = LENG
 
     def deal(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in cutter(vocabulary, length, ids=True)(batches):
             n, piece = batch.column("length").to_numpy(), batch.column("piece").to_numpy()
-            doc_id = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            doc_id = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy()
             ids, starts = batch.column("ids").flatten().to_numpy().astype("<u2"), np.cumsum(n) - n
             shard = (places(doc_id, piece, key) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
@@ -106,9 +106,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, length: int = LENG
             raw = out.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([raw[j:j + width - 1] for j in range(0, len(raw), width)], pa.binary())], ["record"])
 
-    cut = pieces(docs, vocabulary, length, ids=True)
-    dealt = cut.mapInArrow(deal, "shard int, blob binary").repartitionById(shards, F.col("shard"))
-    records = dealt.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = texts.mapInArrow(lean(deal), "shard int, blob binary").repartitionById(shards, F.col("shard"))
+    records = dealt.mapInArrow(lean(write), "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", "\n").text(path)
 
 
@@ -158,7 +158,7 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, start: int
             return spark.createDataFrame([], f"slot long, shard int, doc_id long, piece int, n_tokens int, {last} {'long' if digest else 'array<int>'}")
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(places_to_read).select("path", "content")
     rows = content.join(wanted.select("path", "shard", "first_slot"), "path").select("shard", "first_slot", "content")
-    return rows.mapInArrow(run, f"slot long, shard int, doc_id long, piece int, n_tokens int, {last} {'long' if digest else 'array<int>'}")
+    return rows.mapInArrow(lean(run), f"slot long, shard int, doc_id long, piece int, n_tokens int, {last} {'long' if digest else 'array<int>'}")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
