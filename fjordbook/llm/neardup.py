@@ -34,8 +34,8 @@ from fjordbook.llm.words import lean, mix, release
 from fjordbook.session import durable
 
 SEED = 42
-#: Variants that meet in one task, on average, and those it forms at once.
-VARIANTS, FORMED = 4_000_000, 1_000_000
+#: Variants that meet in one task, on average, and those it forms at once; fewest leading bits to deal by.
+VARIANTS, FORMED, LEAST_LEAD = 4_000_000, 1_000_000, 3
 SEEDS = mix(np.arange(101, 165, dtype=np.uint64))
 
 
@@ -183,7 +183,7 @@ def links(codes: DataFrame, count: int, bits: int, radius: int, blocks: int = 1,
     limit = radius if limit is None else limit
     width, half = width or bits // blocks, ceil(radius / 2)
     ball = sum(comb(width, i) for i in range(half + 1))
-    lead = max(0, min(width - half - 1, ceil(log2(max(1, count * ball / variants)))))
+    lead = max(0, min(width - half - 1, max(LEAST_LEAD, ceil(log2(max(1, count * ball / variants))))))
     prefixes = np.concatenate(flips(lead, min(half, lead)))
 
     def emit(batches):
