@@ -120,3 +120,48 @@ def test_one_document_of_each_group(documents, edges, none):
     assert kept.columns == edges.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 3, 6, 7, 8]
     assert N.deduplicated(none).count() == 0
+
+
+def shingle_set(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def kept_by_all_pairs(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    roots = classes(sets, similar)
+    return sorted(min(d for (d, _), r in zip(rows, roots, strict=True) if r == root) for root in set(roots))
+
+
+def edited(rng, words, n, name):
+    out = list(words)
+    for i in rng.choice(len(words), n, replace=False):
+        out[i] = f"{name}x{i}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("part_rows", [128, 7])
+def test_groups_are_those_of_all_pairs(documents, monkeypatch, part_rows):
+    """Pairs just above 0.8 are all found, and pairs from 0.7 to below 0.8 are not linked."""
+    monkeypatch.setattr(N, "PART_ROWS", part_rows)
+    rng, rows = np.random.default_rng(4), []
+    for group in range(60):
+        words = [f"g{group}w{i}" for i in range(300)]
+        rows.append((len(rows), " ".join(words)))
+        rows += [(len(rows) + j, edited(rng, words, int(n), f"e{group}v{j}")) for j, n in enumerate(rng.integers(2, 22, 3))]
+    words = [f"hot{i}" for i in range(200)]
+    rows += [(len(rows) + j, edited(rng, words, int(n), f"h{j}")) for j, n in enumerate(rng.integers(0, 12, 60))]
+    sets = [shingle_set(t) for _, t in rows]
+    share = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.8 <= s < 0.82 for s in share) > 10 and sum(0.7 <= s < 0.8 for s in share) > 50
+    assert sorted(r.doc_id for r in N.deduplicated(documents(rows)).collect()) == kept_by_all_pairs(rows)
+
+
+def test_documents_of_a_table_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in N.deduplicated(docs).collect()) == kept_by_all_pairs(rows)
