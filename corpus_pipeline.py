@@ -26,9 +26,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate at their source; ``n_chars`` follows the text."""
+    """Documents without the lines that are boilerplate at their source; ``n_chars`` follows the text.
+
+    Copies are still there and count as one page: near-dedup keeps the text of one of them.
+    """
     small_batches(spark)
-    cleaned = lines.without_boilerplate(docs, F.col("source"))
+    cleaned = lines.without_boilerplate(docs, F.col("source"), copies=False)
     size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

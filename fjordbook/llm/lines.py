@@ -5,6 +5,10 @@ Lines above a ratio are boilerplate there and are dropped from the host's pages;
 the same line stays at hosts where it is rare. Lines are compared without the
 spaces, tabs and returns around them, by two hashes; blank lines are no lines.
 
+Pages are counted one by one, copies too, unless ``copies`` is off: then pages of a
+host with the same lines count as one, and a group of copies larger than the ratio
+does not make its own text boilerplate.
+
 Each page counts a line once, before the shuffle, so a hot line or host is one row
 per task. A host has at most its mean lines per page divided by the ratio of such
 lines. They are stored, and Spark joins them to the pages as their stored size
@@ -44,18 +48,25 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``(host, line, pages, total)``: keys of the lines that exceed the ratio at their host."""
+def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
+    """``(host, line, pages, total)``: keys of the lines that exceed the ratio at their host.
+
+    Without ``copies``, pages of a host that have the same lines are one page.
+    """
     kept = F.filter(_lines(F.col(f"`{text}`")), lambda x: _bare(x) != "")
-    seen = pages.select(host.alias("host"), F.explode(F.array_distinct(F.transform(kept, _key))).alias("line"))
+    pages = pages.select(host.alias("host"), F.array_distinct(F.transform(kept, _key)).alias("lines"))
+    if not copies:
+        body = F.struct(F.xxhash64("lines").alias("one"), F.hash("lines").alias("two"))
+        pages = pages.groupBy("host", body.alias("body")).agg(F.first("lines").alias("lines"))
+    seen = pages.select("host", F.explode("lines").alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
-    totals = pages.groupBy(host.alias("_host")).agg(F.count(F.lit(1)).alias("total"))
+    totals = pages.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("total"))
     return counts.join(totals, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("pages") > F.lit(ratio) * F.col("total")).drop("_host")
 
 
-def without_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def without_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
     """``pages`` with boilerplate lines dropped from the text, ``n_lines`` before and ``n_removed``."""
-    common = boilerplate(pages, host, text, ratio, least_pages)
+    common = boilerplate(pages, host, text, ratio, least_pages, copies)
     by_host = durable(common.groupBy(F.col("host").alias("known")).agg(F.collect_set("line").alias("common")))
     body, found = F.col("body"), F.col("common")
     rows = pages.select(whole_row(pages).alias("row"), host.alias("host"), F.col(f"`{text}`").alias("body"))

@@ -54,3 +54,13 @@ def test_hosts(spark):
     urls = ["http://A.b.c:80/x", "https://u:p@h.de?q", "ftp://x#y", "nothing", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(L.host_of(F.col("u"))).collect()] == ["a.b.c", "h.de", "x", None, None]
+
+
+def test_copies_are_one_page_where_asked(documents):
+    rows = [(i, "Menu\nhot line\nits other line", "s") for i in range(10)] + [(100 + i, f"Menu\nown {i}", "s") for i in range(20)]
+    rows += [(200 + i, "Menu\nalone", None) for i in range(6)] + [(300, None, "s"), (301, "", "s")]
+    texts = {r.doc_id: r.text for r in L.without_boilerplate(documents(rows), F.col("source"), copies=False).collect()}
+    assert {texts[i] for i in range(10)} == {"hot line\nits other line"} and {texts[200 + i] for i in range(6)} == {"Menu\nalone"}
+    assert all(texts[100 + i] == f"own {i}" for i in range(20)) and texts[300] is None and texts[301] == ""
+    counts = {r.pages: r.total for r in L.boilerplate(documents(rows), F.col("source"), copies=False).collect()}
+    assert counts == {21: 22}

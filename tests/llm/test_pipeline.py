@@ -54,3 +54,11 @@ def test_every_stage_takes_awkward_documents(spark, kind, request):
         assert stage(spark, docs, SF).columns == docs.columns
         stage(spark, docs, SF).collect()
     P.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_a_hot_group_of_copies_keeps_one_text(spark, documents):
+    body = "\n".join(f"line {i} of the copied text with words of its own" for i in range(12))
+    rows = [(i, body, "s") for i in range(13)] + [(100 + i, "\n".join(f"page {i} has line {j} for itself" for j in range(12)), "s") for i in range(26)]
+    docs = durable(P.without_boilerplate(spark, documents(rows), SF))
+    left = {r.doc_id: r.text for r in P.one_of_each(spark, docs, SF).collect()}
+    assert left == {0: body} | {d: t for d, t, _ in rows[13:]}
