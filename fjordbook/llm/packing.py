@@ -169,7 +169,8 @@ def best_fit(counts: dict[int, int], length: int) -> list[Pattern]:
     Equal sequences are kept together as one filling and a number. A piece goes to
     the sequence with the least space that takes it, and its like follow into the
     same sequence while they fit, so a length either uses up a group of sequences
-    or splits off a part of one. The groups stay few for any number of pieces.
+    or splits off a part of one. The groups stay few for any number of pieces. The
+    fullest come first, so that the tail is what wastes most.
     """
     groups: dict[int, list[Pattern]] = {}
     spaces: list[int] = []
@@ -201,7 +202,7 @@ def best_fit(counts: dict[int, int], length: int) -> list[Pattern]:
                 left, whole = 0, whole + 1
             if filling:
                 put(space, filling, times - whole)
-    return [pattern for space in spaces for pattern in groups[space]][::-1]
+    return [pattern for space in spaces for pattern in groups[space]]
 
 
 def complete(counts: dict[int, int], length: int) -> list[Pattern]:

@@ -114,3 +114,16 @@ def test_huge_counts_stay_small_work():
     found = P.pack_counts(counts)
     assert len(found) < 10_000
     assert sum(t for _, t in found) <= 1.02 * sum(n * c for n, c in counts.items()) / 2048
+
+
+def test_a_wasteful_tail_is_repacked_behind_many_full_sequences():
+    for seed in (65, 88, 1323):
+        r, counts = random.Random(seed), {}
+        pieces = [x for _ in range(300) for a in [r.randint(510, 560)] for x in (a, 1000 - a)]
+        for n in pieces + [r.randint(120, 400) for _ in range(r.randint(9, 14))]:
+            counts[n] = counts.get(n, 0) + 1
+        least = -(-sum(n * c for n, c in counts.items()) // 1000)
+        wasted = [1000 - sum(n * k for n, k in filling) for filling, _ in P.best_fit(counts, 1000)]
+        assert wasted == sorted(wasted)
+        assert sum(t for _, t in P.best_fit(counts, 1000)) == least + 1
+        assert sum(t for _, t in P.pack_counts(counts, 1000)) == least
