@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import ann, archives, fingerprints, lines, mixing, neardup, packing, quality, substrings, training_order
+from fjordbook.llm import ann, archives, fingerprints, lines, mixing, neardup, packing, quality, ranking, substrings, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archives": archives.op1,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8,
     "op9_lines": lines.op9,
     "op10_fingerprints": fingerprints.op10,
+    "op11_ranking": ranking.op11,
 }
-ORACLES: dict[str, str] = {"op9_lines": lines.ORACLE}
+ORACLES: dict[str, str] = {"op9_lines": lines.ORACLE, "op11_ranking": ranking.ORACLE}
