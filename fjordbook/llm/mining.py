@@ -241,9 +241,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH kept AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * cast(x AS DOUBLE))) AS v
+         list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS v
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS alike, cast(list_inner_product(a.v, c.v) AS BIGINT) AS score
   FROM kept a, kept c WHERE a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),

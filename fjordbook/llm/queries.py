@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fjordbook.llm import ann, archives, fingerprints, lines, mining, mixing, neardup, packing, quality, ranking, substrings, training_order
+from fjordbook.llm import ann, archives, fingerprints, lines, mining, mixing, neardup, packing, quality, ranking, substrings, suffixdedup, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archives": archives.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": lines.op9,
     "op10_fingerprints": fingerprints.op10,
     "op11_ranking": ranking.op11,
+    "op12_suffixes": suffixdedup.op12,
     "op13_negatives": mining.op13,
 }
 ORACLES: dict[str, str] = {"op9_lines": lines.ORACLE, "op11_ranking": ranking.ORACLE, "op13_negatives": mining.ORACLE}
