@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["accounts", "rankings", "ownership", "searching", "reconciling", "texts", "profiles", "streams", "loading", "filesources"]
+MODULES = ["accounts", "rankings", "ownership", "searching", "reconciling", "texts", "keywords", "profiles", "streams", "loading", "filesources"]
 
 
 def load_all() -> None:
