@@ -15,9 +15,10 @@ from fjordbook.operators.reconcile import (
 )
 from fjordbook.operators.retrieval import embed_texts
 from fjordbook.operators.selectors import needs_embedding
-from fjordbook.schema import COMPANY_MAPPING, ORG
+from fjordbook.schema import COMPANY_MAPPING, ORG, ROLE_DOCUMENT
 from fjordbook.sources import files
 from fjordbook.sources.dump import history_accounts, read_sql_dump
+from fjordbook.sources.jsonarray import read_json_array
 from fjordbook.sources.runs import RunLog
 from fjordbook.sources.tables import TableStore, replace_partitions
 
@@ -53,7 +54,7 @@ def load_companies(store: TableStore, runs: RunLog, path: str, as_of: date) -> D
 def load_roles(store: TableStore, runs: RunLog, path: str, as_of: date) -> DataFrame:
     """Full role file: flatten, keep what is unchanged, archive what ended."""
     with runs.run("roller") as counts:
-        documents = files.read_nested_json(store.spark, path, land=f"{store.root}/roller_raa")
+        documents = read_json_array(store.spark, path, ROLE_DOCUMENT)
         incoming = files.explode_roles(documents, store.read("enheter"))
         empty = incoming.withColumn("forst_sett", F.lit(as_of))
         current = _stored(store, "roller", empty)

@@ -86,31 +86,12 @@ def read_postcodes(spark: SparkSession, path: str) -> DataFrame:
 def read_nested_json(spark: SparkSession, path: str, schema: str = ROLE_DOCUMENT, land: str | None = None) -> DataFrame:
     """A file holding one JSON array of documents, or one document per line split over lines.
 
-    One task parses a whole file. A large array in one known layout is read by
-    :func:`read_json_array`.
+    One task parses a whole file. A large array is read by
+    :func:`fjordbook.sources.jsonarray.read_json_array`.
     """
     return _spread(spark.read.json(path, schema=schema, multiLine=True), land)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str = ROLE_DOCUMENT, first: str = ORG, between: str = ",") -> DataFrame:
-    """A large file holding one JSON array, record by record and split between tasks.
-
-    Records begin with the key ``first`` right after the brace, and ``between``
-    stands between them, as a machine writes them. A record that does not parse
-    stops the job: the file is then laid out otherwise.
-    """
-    head = '{"' + first + '"'
-    parts = spark.read.text(path, lineSep=between + head)
-    opened = F.regexp_replace("value", r"^\s*\[\s*", "")
-    body = F.when(F.col("value").rlike(r"^\s*\["), opened).otherwise(F.concat(F.lit(head), F.col("value")))
-    record = F.regexp_replace(body, r"\s*\]\s*$", "")
-    whole = parts.select(record.alias("_record")).filter(F.col("_record") != "")
-    parsed = whole.withColumn("_d", F.from_json("_record", schema))
-    key = schema.split()[0].strip("`")
-    checked = F.when(F.col(f"_d.{key}").isNull(), F.raise_error(F.concat(F.lit("not a record: "), F.left("_record", F.lit(80))))).otherwise(F.col("_d"))
-    return parsed.select(checked.alias("_d")).select("_d.*")
-
-
 def explode_roles(documents: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """One row per role. Companies without groups and groups without roles drop out.
 
