@@ -56,9 +56,15 @@ def fnv1a(texts: pd.Series) -> np.ndarray:
 _SLOT = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("sign", T.IntegerType())])
 
 
+def signed_slots(tokens: pd.Series) -> np.ndarray:
+    """Where each token lands in a 4096-wide hashed vector; places of negative sign are given as ``-1 - slot``."""
+    slot = (fnv1a(tokens) % 4096).astype(np.int32)
+    return np.where(fnv1a(tokens + "#sign") % 2 == 0, slot, -1 - slot) if len(tokens) else slot
+
+
 @F.pandas_udf(_SLOT)
 def token_slot(token: pd.Series) -> pd.DataFrame:
     """Where a token lands in a 4096-wide hashed vector, and with which sign."""
-    slot = (fnv1a(token) % 4096).astype(np.int32)
-    sign = np.where(fnv1a(token + "#sign") % 2 == 0, 1, -1).astype(np.int32)
-    return pd.DataFrame({"slot": slot, "sign": sign})
+    place = signed_slots(token)
+    negative = place < 0
+    return pd.DataFrame({"slot": np.where(negative, -1 - place, place).astype(np.int32), "sign": np.where(negative, -1, 1).astype(np.int32)})

@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fjordbook.functions import text as T
-from fjordbook.functions.hashing import token_slot
+from fjordbook.functions.hashing import signed_slots, token_slot
 from fjordbook.operators.keyed import top_per_key
 from fjordbook.session import durable
 
@@ -26,6 +29,12 @@ RELATIVE_FLOOR = 0.45
 #: Bytes of a block of queries and of a block of vectors, both as dense numbers.
 BLOCK_BYTES, PART_BYTES = 16 << 20, 64 << 20
 
+#: A token is split over sub-keys when it has more rows than this and more than one of so many parts of all rows, which at most that many tokens have.
+HOT_ROWS, HOT_PARTS = 100_000, 2000
+
+#: Entries of the questions that are sent to the tasks together.
+QUESTION_ENTRIES = 4_000_000
+
 #: Scores a task holds at once.
 SCORES_HELD = 4_000_000
 
@@ -43,16 +52,42 @@ def chunk(documents: DataFrame, key: str = "doc_id", title: str = "title", text:
     return pieces.withColumn("tekst", F.concat(head, F.lit("\n\n"), F.col("tekst"))).drop("_title")
 
 
-def term_counts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """How often each unigram and bigram occurs in each document.
+def counted_terms(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, tokens, tf, places)``: the different unigrams and bigrams of each document, how often each occurs, and its hashed place.
 
-    Texts are partitioned by document before they are split into terms: the
-    counting then needs no shuffle of its own, and a text is several times
-    smaller than its terms.
+    A place is a slot, or below zero where the slot's sign is. Counted inside the row: texts are reduced to stems where they are read, and a batch
+    of them is split and counted as arrays. No text is shuffled.
     """
-    placed = documents.select(key, text).repartition(F.col(key))
-    rows = _each(placed, T.terms(F.col(text)), "token", key)
-    return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = pc.split_pattern(batch.column("_stems").fill_null(""), " ")
+            words = split.flatten()
+            owner = np.repeat(np.arange(len(batch)), split.value_lengths().to_numpy())
+            full = pc.not_equal(words, "")
+            words, owner = words.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+            follows = np.flatnonzero(owner[1:] == owner[:-1])
+            pairs = pc.binary_join_element_wise(words.take(pa.array(follows)), words.take(pa.array(follows + 1)), "_")
+            found = pa.concat_arrays([words, pairs]).dictionary_encode()
+            code = found.indices.to_numpy().astype(np.int64)
+            each, tf = np.unique(np.concatenate([owner, owner[follows]]) * max(1, len(found.dictionary)) + code, return_counts=True)
+            doc, code = np.divmod(each, max(1, len(found.dictionary)))
+            at = pa.array(np.searchsorted(doc, np.arange(len(batch) + 1)), pa.int32())
+            values = [found.dictionary.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(signed_slots(found.dictionary.to_pandas())[code], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.ListArray.from_arrays(at, v) for v in values]], [key, "tokens", "tf", "places"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    return documents.select(key, T.stems(F.col(text)).alias("_stems")).mapInArrow(count, f"{key} {kind}, tokens array<string>, tf array<long>, places array<int>")
+
+
+def exploded_counts(counted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, token, tf, slot, sign)`` rows of :func:`counted_terms`."""
+    each = counted.select(key, F.explode(F.arrays_zip("tokens", "tf", "places")).alias("t")).select(key, F.col("t.tokens").alias("token"), F.col("t.tf").alias("tf"), F.col("t.places").alias("_p"))
+    return each.select(key, "token", "tf", F.when(F.col("_p") < 0, -1 - F.col("_p")).otherwise(F.col("_p")).alias("slot"), F.when(F.col("_p") < 0, -1).otherwise(1).alias("sign"))
+
+
+def term_counts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """How often each unigram and bigram occurs in each document, a row each."""
+    return exploded_counts(counted_terms(documents, key, text), key).select(key, "token", "tf")
 
 
 def _each(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
@@ -91,8 +126,13 @@ def count_of(documents: DataFrame) -> Column:
 
 def embed_tfidf(counts: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:
     """Unit-length hashed TF-IDF vectors as ``(slots, values)`` arrays, at most 4096 entries each."""
+    return _unit_vectors(counts.join(weights, "token"), key)
+
+
+def _unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
+    """Vectors from ``(key, tf, idf, slot, sign)`` rows: one shuffle, by document."""
     weight = F.col("sign") * (1 + F.ln("tf")) * F.col("idf")
-    slots = counts.join(weights, "token").groupBy(key, "slot").agg(F.sum(weight).alias("w"))
+    slots = weighted.select(key, "slot", weight.alias("w")).repartition(F.col(key)).groupBy(key, "slot").agg(F.sum("w").alias("w"))
     entries = F.sort_array(F.collect_list(F.struct("slot", "w")))
     rows = slots.groupBy(key).agg(entries.alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.filter("norm > 0").select(
@@ -100,15 +140,28 @@ def embed_tfidf(counts: DataFrame, weights: DataFrame, key: str = "doc_id") -> D
     )
 
 
-def index_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(weights, vectors)`` of a table of documents. Texts are tokenised once; the counts are stored."""
-    counts = durable(term_counts(documents, key, text))
-    weights = durable(idf(counts, count_of(documents)))
-    return weights, embed_tfidf(counts, weights, key)
+def index_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(weights, vectors)`` of a table of documents. Texts are tokenised once; the counts are stored.
+
+    A token of one document has the weight that this fixes, so only the others are
+    joined, and those with more than ``hot`` rows are spread over as many sub-keys.
+    """
+    counted = durable(counted_terms(documents, key, text))
+    n, counts = count_of(documents), exploded_counts(counted, key)
+    weights = durable(idf(counts, n))
+    common = weights.filter("df > 1").select("token", "idf", "df")
+    rows = hot or max(HOT_ROWS, (weights.agg(F.sum("df")).first()[0] or 0) // HOT_PARTS)
+    split = [r.token for r in common.filter(F.col("df") > rows).select("token").collect()]  # at most HOT_PARTS by default
+    most = max(1, -(-(common.agg(F.max("df")).first()[0] or 0) // rows))
+    right = common.withColumn("_share", F.explode(F.when(F.col("token").isin(split), F.sequence(F.lit(0), F.lit(most - 1))).otherwise(F.array(F.lit(0))))).drop("df")
+    left = counts.withColumn("_share", F.when(F.col("token").isin(split), F.pmod(F.xxhash64(key), F.lit(most)).cast("int")).otherwise(0))
+    single = F.ln((n + 1) / 2) + 1
+    joined = left.join(right, ["token", "_share"], "left").withColumn("idf", F.coalesce("idf", single))
+    return weights, _unit_vectors(joined, key)
 
 
 def embed_questions(questions: DataFrame, weights: DataFrame, n_documents: Column, key: str = "query_id", text: str = "text") -> DataFrame:
-    counts = term_counts(questions, key, text)
+    counts = durable(term_counts(questions, key, text))
     return embed_tfidf(counts, question_weights(counts, weights, n_documents), key)
 
 
@@ -124,15 +177,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _matrix(pdf: pd.DataFrame, width: int) -> np.ndarray:
-    """Unit rows from a batch of dense ``embedding`` arrays or sparse ``slots``/``values``."""
-    if "embedding" in pdf:
-        if (pdf["embedding"].map(len) != width).any():
-            raise ValueError("vector widths differ")
-        dense = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-    else:
-        dense = np.zeros((len(pdf), width))
-        rows = np.repeat(np.arange(len(pdf)), pdf["slots"].map(len).to_numpy())
-        dense[rows, np.concatenate(pdf["slots"].to_numpy())] = np.concatenate(pdf["values"].to_numpy())
+    """Unit rows from a batch of ``embedding`` arrays."""
+    if (pdf["embedding"].map(len) != width).any():
+        raise ValueError("vector widths differ")
+    dense = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
     norms = np.linalg.norm(dense, axis=1, keepdims=True)
     return np.divide(dense, norms, out=np.zeros_like(dense), where=norms > 0)
 
@@ -178,11 +226,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_
     key. Both sides may carry a ``model`` column, and then only vectors of one model
     are compared.
     """
-    shape = ["embedding"] if "embedding" in vectors.columns else ["slots", "values"]
+    if "slots" in vectors.columns:
+        return knn_sparse(queries, vectors, k, query_key, key, digits)
+    shape = ["embedding"]
     extra = ["model"] if "model" in vectors.columns else []
     wanted, stored = durable(queries.select(query_key, *extra, *shape)), vectors.select(key, *extra, *shape)
-    width = F.max(F.size("embedding")) if "embedding" in shape else F.lit(WIDTH)
-    asked, wide = wanted.agg(F.count(F.lit(1)), width).first()
+    asked, wide = wanted.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     blocks = max(1, -(-asked * 8 * (wide or 1) // BLOCK_BYTES))
     parts = max(1, -(-stored.count() * 8 * (wide or 1) // PART_BYTES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -200,7 +249,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_
         empty = pd.DataFrame({query_key: questions["_q"][:0], key: rows["_v"][:0], "score": np.empty(0)})
         if questions.empty or rows.empty:
             return empty
-        wide = WIDTH if "slots" in pdf else len(questions["embedding"].iloc[0])
+        wide = len(questions["embedding"].iloc[0])
         matrix, asked = _matrix(questions, wide), questions["_q"].to_numpy()
         step, found = min(max(SCORES_HELD // len(asked), 16), 1024), []
         for start in range(0, len(rows), step):
@@ -220,6 +269,114 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_
     return _ranked(hits, query_key, key, k).withColumn("score", F.round("score", digits))
 
 
+class _Slots:
+    """Vectors of one batch as postings by slot, each list with its largest and its least value."""
+
+    def __init__(self, slots: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int):
+        order = np.argsort(slots, kind="stable")
+        self.n, self.rows, self.values = n, owner[order], values[order]
+        self.slots, self.first = np.unique(slots[order], return_index=True)
+        self.ends = np.append(self.first[1:], len(order))
+        self.most = np.maximum.reduceat(self.values, self.first) if len(order) else self.values
+        self.least = np.minimum.reduceat(self.values, self.first) if len(order) else self.values
+
+    def scores(self, slots: np.ndarray, values: np.ndarray, needed: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that may score ``needed`` or more against one question, and their scores.
+
+        Lists are added from the one that can matter most on, until those left cannot
+        lift a new row to ``needed``; after that only rows that still can are looked up.
+        """
+        at = np.searchsorted(self.slots, slots)
+        known = at < len(self.slots)
+        known[known] = self.slots[at[known]] == slots[known]
+        at, values = at[known], values[known]
+        reach = np.maximum(np.maximum(values * self.most[at], values * self.least[at]), 0.0)
+        order = np.argsort(-reach, kind="stable")
+        at, values = at[order], values[order]
+        left = np.append(np.cumsum(reach[order][::-1])[::-1], 0.0) + 1e-9
+        sums, done = np.zeros(self.n), 0
+        while done < len(at) and left[done] >= needed:
+            s = slice(self.first[at[done]], self.ends[at[done]])
+            sums[self.rows[s]] += values[done] * self.values[s]
+            done += 1
+        rows = np.flatnonzero(sums + left[done] >= needed)
+        found = sums[rows]
+        for i in range(done, len(at)):
+            alive = found + left[i] >= needed
+            rows, found = rows[alive], found[alive]
+            if not len(rows):
+                break
+            low, high = self.first[at[i]], self.ends[at[i]]
+            where = np.minimum(low + np.searchsorted(self.rows[low:high], rows), high - 1)
+            found = found + np.where(self.rows[where] == rows, values[i] * self.values[where], 0.0)
+        return rows, found
+
+
+def knn_sparse(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "doc_id",
+               digits: int = 6, entries: int = QUESTION_ENTRIES) -> DataFrame:
+    """:func:`knn` of ``(slots, values)`` vectors of unit length, through postings by slot.
+
+    Vectors stay where they are read: a task turns a batch of them into postings and
+    looks up the questions, skipping what cannot reach a question's ``k``-th score so
+    far. It returns at most ``k`` rows a question. Questions are sent to the tasks in
+    blocks of about ``entries`` entries; further blocks read the vectors again.
+    """
+    extra = ["model"] if "model" in vectors.columns else []
+    wanted = durable(queries.select(query_key, *extra, "slots", "values"))
+    size = wanted.agg(F.sum(F.size("slots"))).first()[0] or 0
+    blocks = max(1, -(-size // entries))
+    kinds = wanted.schema[query_key].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    schema = f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double"
+    found = None
+    for block in range(blocks):
+        asked = wanted.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == block).toArrow()
+        names, slots, values = asked.column(query_key), _flat(asked.column("slots")), _flat(asked.column("values"))
+        ends = np.concatenate([[0], np.cumsum(asked.column("slots").combine_chunks().value_lengths().to_numpy())]) if len(asked) else np.zeros(1, int)
+        models = asked.column("model").to_pylist() if extra else [None] * len(asked)
+
+        def search(batches, names=names, slots=slots, values=values, ends=ends, models=models):
+            best_keys: list = [None] * len(names)
+            best = [np.empty(0)] * len(names)
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                for model in set(models):
+                    part = rows.filter(pc.equal(rows.column("model"), model)) if extra else rows
+                    if not len(part):
+                        continue
+                    lists = part.column("slots").combine_chunks()
+                    owner = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+                    held = _Slots(_flat(part.column("slots")), _flat(part.column("values")), owner, len(part))
+                    keys = part.column(key)
+                    for q in range(len(names)):
+                        if models[q] != model:
+                            continue
+                        needed = best[q][-1] - 1e-9 if len(best[q]) == k else -np.inf
+                        at, scores = held.scores(slots[ends[q]:ends[q + 1]], values[ends[q]:ends[q + 1]], needed)
+                        if not len(at):
+                            continue
+                        scores = np.round(scores, 12)
+                        if len(at) > k:  # all that tie with the k-th are ordered by key
+                            edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+                            at, scores = at[scores >= edge], scores[scores >= edge]
+                        near = keys.take(pa.array(at)).to_pylist()
+                        both = sorted(zip([*(-best[q]).tolist(), *(-scores).tolist()], [*(best_keys[q] or []), *near], strict=True))[:k]
+                        best[q], best_keys[q] = -np.array([b[0] for b in both]), [b[1] for b in both]
+            counts = [len(b) for b in best]
+            hits = [x for b in best_keys for x in (b or [])]
+            yield pa.RecordBatch.from_arrays([
+                names.take(pa.array(np.repeat(np.arange(len(names)), counts))).combine_chunks(), pa.array(hits, batch_type), pa.array(np.concatenate([*best, np.empty(0)])),
+            ], [query_key, key, "score"])
+
+        batch_type = to_arrow_type(vectors.schema[key].dataType)
+        hits = vectors.select(key, *extra, "slots", "values").mapInArrow(search, schema)
+        found = hits if found is None else found.unionByName(hits)
+    return _ranked(found, query_key, key, k).withColumn("score", F.round("score", digits) + F.lit(0.0))
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy()
+
+
 def _ranked(hits: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     return top_per_key(hits, [query_key], [F.desc("score"), F.asc(key)], k, rank="rank")
 
