@@ -145,11 +145,33 @@ class Text:
         seed[0] = ends[0]
         seed[1:] &= ~self.small[:-1]
         self.seeds = np.flatnonzero(seed | ends)
-        self.ends = np.flatnonzero(ends)
+        self.left = to_end(ends)
 
-    def left(self, places: np.ndarray) -> np.ndarray:
-        """Symbols from each place to the end of its part."""
-        return self.ends[np.searchsorted(self.ends, places)] - places
+
+def to_end(ends: np.ndarray) -> np.ndarray:
+    """Symbols from each place to the end of its part."""
+    at = np.flatnonzero(ends)
+    kind = np.int32 if len(ends) < 1 << 31 else np.int64
+    return np.repeat(at.astype(kind), np.diff(at, prepend=-1)) - np.arange(len(ends), dtype=kind)
+
+
+def refined(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ties of ``rank`` among the active rows broken by ``key``; the rows that still tie, in order.
+
+    A rank is the place of the first row of its group in sorted order.
+    """
+    top = int(key.max()).bit_length()
+    if top + int(rank.max()).bit_length() < 63:
+        order = np.argsort((rank[active].astype(np.int64) << top) | key)
+    else:
+        order = np.lexsort([key, rank[active]])
+    active, key = active[order], key[order]
+    old = rank[active]
+    whole, part = changes(old), changes(old, key)
+    base = np.repeat(whole, np.diff(np.append(whole, len(active))))
+    size = np.diff(np.append(part, len(active)))
+    rank[active] = old + np.repeat(part, size) - base
+    return active[np.repeat(size > 1, size)]
 
 
 def shared(text: Text, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
@@ -165,7 +187,7 @@ def shared(text: Text, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
         alive = alive[same]
         if not len(alive):
             break
-    return np.minimum(np.minimum(out, cap), np.minimum(text.left(a), text.left(b))).astype(np.int16)
+    return np.minimum(np.minimum(out, cap), np.minimum(text.left[a], text.left[b])).astype(np.int16)
 
 
 def names(text: Text) -> np.ndarray:
@@ -175,29 +197,24 @@ def names(text: Text) -> np.ndarray:
     another. Numbers are the places of the pieces in sorted order.
     """
     seeds, n = text.seeds, len(text.seeds)
-    typed = text.symbols.astype(np.int64) * 2 + text.small
+    typed = text.symbols.astype(np.int32 if text.symbols.dtype == np.uint16 else np.int64) * 2 + text.small
     length = np.append(np.diff(seeds) + 1, 1)
     length[text.symbols[seeds] == 0] = 1
     bits = int(typed.max()).bit_length()
     per = max(1, 63 // bits)
-    typed = np.concatenate([typed, np.zeros(per, np.int64)])
+    typed = np.concatenate([typed, np.zeros(per, typed.dtype)])
     rank = np.zeros(n, np.int64)
     active, depth = np.arange(n), 0
     while len(active):
         key = np.zeros(len(active), np.int64)
+        start, limit = seeds[active], length[active]
         for j in range(depth, depth + per):
-            inside = np.minimum(seeds[active] + j, len(typed) - 1)
-            key = (key << bits) | np.where(j < length[active], typed[inside], 0)
-        order = np.lexsort([key, rank[active]])
-        active, key = active[order], key[order]
-        old = rank[active]
-        whole, part = changes(old), changes(old, key)
-        base = np.repeat(whole, np.diff(np.append(whole, len(active))))
-        first = np.repeat(part, np.diff(np.append(part, len(active))))
-        rank[active] = old + first - base
+            key <<= bits
+            inside = j < limit
+            key[inside] |= typed[start[inside] + j]
+        active = refined(rank, active, key)
         depth += per
-        many = np.repeat(np.diff(np.append(part, len(active))) > 1, np.diff(np.append(part, len(active))))
-        active = active[many & (length[active] > depth)]
+        active = active[length[active] > depth]
     return rank
 
 
@@ -206,23 +223,16 @@ def doubled(rank: np.ndarray) -> np.ndarray:
 
     Names that are places in sorted order are refined by the names twice as far on, only where they tie.
     """
-    ends = np.flatnonzero(rank == 0)
     rank = rank.copy()
-    left = ends[np.searchsorted(ends, np.arange(len(rank)))] - np.arange(len(rank))
-    step = 1
+    left = to_end(rank == 0)
     active = np.flatnonzero(left >= 1)
-    while len(active):
-        _, where, count = np.unique(rank[active], return_inverse=True, return_counts=True)
-        active = active[(count[where] > 1) & (left[active] >= step)]
+    active = active[np.bincount(rank[active])[rank[active]] > 1] if len(active) else active
+    step = 1
+    while True:
+        active = active[left[active] >= step]
         if not len(active):
             break
-        key, old = rank[active + step], rank[active]
-        order = np.lexsort([key, old])
-        active, key, old = active[order], key[order], old[order]
-        whole, part = changes(old), changes(old, key)
-        base = np.repeat(whole, np.diff(np.append(whole, len(active))))
-        first = np.repeat(part, np.diff(np.append(part, len(active))))
-        rank[active] = old + first - base
+        active = refined(rank, active, rank[active + step])
         step *= 2
     return np.argsort(rank, kind="stable")
 

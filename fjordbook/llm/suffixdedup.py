@@ -1,14 +1,14 @@
 """Suffix-array dedup: bytes in strings that an earlier document has, by external induced sorting of shards.
 
-Every string of ``k`` bytes (a window) is dealt by its least-hashed group of ``m``
-bytes, so equal windows meet in one shard and neighbours mostly go together: the
-windows in a row with one least hash are a passage.
+Every string of ``k`` bytes (a window) is dealt by its least-hashed group of
+bytes in it, so equal windows meet in one shard and neighbours mostly go together:
+the windows in a row with one least hash are a passage.
 
 1. Least hashes are dealt; those of one document only are dropped. What is left are
    the passages that may be repeated.
 2. These are dealt as text, equal ones of a batch once with all their places. A shard
-   joins its different passages to one text and brings its suffixes into order by
-   induced sorting (``induced``), with the prefix that neighbours share. Suffixes in a
+   joins its different passages, but for those that are alone with their hash, to one
+   text and brings its suffixes into order by induced sorting (``induced``), with the prefix that neighbours share. Suffixes in a
    row that share ``k`` bytes are one window; its least document is its source, and all
    other documents lose it. Hashes decide nothing here: bytes are compared.
 3. A document's windows are joined to its text, and what they cover is removed.
@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 
 from fjordbook.llm import words as W
 from fjordbook.llm.common import table
-from fjordbook.llm.induced import MEMORY, NAMES, changes, ordered
+from fjordbook.llm.induced import MEMORY, NAMES, changes, ordered, to_end
 from fjordbook.session import durable
 
-#: Bytes of a window and of the groups whose hashes deal it.
-WINDOW, GROUP = 50, 24
+#: Bytes of a window, of the groups whose hashes find what may be repeated, and of those whose hashes deal it to shards:
+#: long groups are seldom the same by chance, short ones keep more windows together.
+WINDOW, GROUP, DEALT = 50, 24, 12
 #: Bytes of text per shard and the fewest shards; bytes of text that a task looks at together.
 PART_BYTES, LEAST_PARTS, CHUNK = 24 << 20, 64, 12 << 20
 #: Windows of a passage at most; a longer row of one least hash is several passages.
@@ -88,23 +89,26 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def passages(data: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, start, windows, hash)`` of every passage, in order; starts count from the text's own beginning."""
-    none = np.empty(0, np.int64)
-    if len(data) < k:
-        return none, none, none, np.empty(0, np.uint64)
-    least = least_of(group_hashes(data, m), k - m + 1)
+def windows(data: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, start, hash)`` of every window, in order; starts count from the text's own beginning."""
     n = np.maximum(np.diff(offsets) - k + 1, 0)
     owner = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    h = least[offsets[owner] + inside]
-    first = changes(owner, h) if len(h) else none
-    length = np.diff(np.append(first, len(h)))
+    least = least_of(group_hashes(data, m), k - m + 1)[offsets[owner] + inside] if len(owner) else np.empty(0, np.uint64)
+    return owner, inside, least
+
+
+def passages(owner: np.ndarray, inside: np.ndarray, least: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``(text, start, windows, hash)`` of the windows in a row that have one least hash, of those ``kept``."""
+    first = changes(owner, least, *([] if kept is None else [kept])) if len(least) else np.empty(0, np.int64)
+    length = np.diff(np.append(first, len(least)))
+    if kept is not None:
+        first, length = first[kept[first]], length[kept[first]]
     pieces = -(-length // LONGEST)
     number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = np.repeat(first, pieces) + number * LONGEST
     length = np.minimum(np.repeat(length, pieces) - number * LONGEST, LONGEST)
-    return owner[first], inside[first], length, h[first]
+    return owner[first], inside[first], length, W.mix(least[first] + np.uint64(1))  # least hashes are small, so mixed again
 
 
 def chunks(batches):
@@ -148,7 +152,7 @@ def shared_passages(docs: DataFrame, parts: int, k: int, m: int) -> DataFrame:
             fresh = first_of_each(doc, key)
             found = []
             for low, high in W.slices(offsets):
-                text, start, _, h = passages(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], k, m)
+                text, start, _, h = passages(*windows(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], k, m))
                 kept = fresh[low + text]
                 found.append((low + text[kept], start[kept], h[kept]))
             text, start, h = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -211,10 +215,11 @@ def by_document(doc: np.ndarray, key: np.ndarray, *values: np.ndarray) -> pa.Tab
     return pa.table({"doc": doc[at[:-1]], "text_key": key[at[:-1]], **{n: lists(v, at, pa.int32()) for n, v in zip(names, values, strict=True)}})
 
 
-def marked(docs: DataFrame, places: DataFrame, parts: int, k: int, m: int) -> DataFrame:
-    """Documents with the passages that may be repeated; those without any are done, and come without their text."""
-    bits = np.uint64(int(log2(parts)))
+def marked(docs: DataFrame, places: DataFrame, k: int, m: int) -> DataFrame:
+    """Documents with the passages that may be repeated, cut anew by the groups that deal them.
 
+    Documents without any are done, and come without their text.
+    """
     def run(batches):
         for data, offsets, rows in chunks(batches):
             n = len(rows)
@@ -225,59 +230,78 @@ def marked(docs: DataFrame, places: DataFrame, parts: int, k: int, m: int) -> Da
             for low, high in W.slices(offsets):
                 if not len(wanted) or not (np.searchsorted(wanted, high << 32) - np.searchsorted(wanted, low << 32)):
                     continue
-                text, start, count, h = passages(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], k, m)
-                here = np.isin((text + low) << 32 | start, wanted)
-                found.append((text[here] + low, start[here], count[here], (h[here] >> (np.uint64(64) - bits)).astype(np.int64)))
-            text, start, count, part = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
+                part, at = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+                owner, inside, least = windows(part, at, k, m)
+                text, start, count, _ = passages(owner, inside, least)
+                kept = np.repeat(np.isin((text + low) << 32 | start, wanted), count)
+                text, start, count, h = passages(owner, inside, windows(part, at, k, min(m, DEALT))[2], kept)
+                found.append((text + low, start, count, h.view(np.int64)))
+            text, start, count, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
             at = np.searchsorted(text, np.arange(n + 1))
             open_ = np.diff(at) > 0
             shas = [None if o else hashlib.sha256(data[a:b]).hexdigest() for o, a, b in zip(open_.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             body = pc.if_else(pa.array(open_), rows.column("text"), pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([
                 *(rows.column(c) for c in ("doc_id", "doc", "text_key")), pa.array(np.diff(offsets)), pa.array(shas, pa.string()), body,
-                lists(start, at, pa.int32()), lists(count, at, pa.int32()), lists(part, at, pa.int32()),
-            ], ["doc_id", "doc", "text_key", "n_bytes", "kept_sha256", "text", "start", "count", "part"])
+                lists(start, at, pa.int32()), lists(count, at, pa.int32()), lists(h, at, pa.int64()),
+            ], ["doc_id", "doc", "text_key", "n_bytes", "kept_sha256", "text", "start", "count", "hash"])
 
     joined = docs.join(places, ["doc", "text_key"], "left").select("doc_id", "doc", "text_key", "text", "places")
-    return joined.mapInArrow(W.lean(run), f"doc_id long, {KEYS}, n_bytes long, kept_sha256 string, text string, start array<int>, count array<int>, part array<int>")
+    return joined.mapInArrow(W.lean(run), f"doc_id long, {KEYS}, n_bytes long, kept_sha256 string, text string, start array<int>, count array<int>, hash array<long>")
 
 
-def cut(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
-    """Pieces of ``data`` as binary values."""
+def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(bytes, ends)`` of pieces of ``data``, put one after another."""
     ends = np.zeros(len(start) + 1, np.int64)
     np.cumsum(length, out=ends[1:])
-    at = np.repeat(start - ends[:-1], length) + np.arange(ends[-1])
-    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[at])])
+    at = np.repeat(start - ends[:-1], length)
+    at += np.arange(ends[-1])
+    return data[at], ends
+
+
+def taken(data: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(bytes, ends)`` of some of the pieces."""
+    return gathered(data, ends[which], ends[which + 1] - ends[which])
+
+
+def cut(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Pieces of ``data`` as binary values."""
+    pieces, ends = gathered(data, start, length)
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(pieces)])
 
 
 def repeated_windows(docs: DataFrame, parts: int, k: int, memory: int, names: int) -> DataFrame:
     """``(doc, text_key, start, count)``: the windows that an earlier document has, as runs by first byte."""
+    bits = np.uint64(int(log2(parts)))
+
     def deal(batches):
         for data, offsets, rows in chunks(batches):
             doc, key = keys_of(rows)
             fresh = first_of_each(doc, key)
-            columns = [rows.column(c) for c in ("start", "count", "part")]
+            columns = [rows.column(c) for c in ("start", "count", "hash")]
             text = np.repeat(np.arange(len(rows)), columns[0].value_lengths().to_numpy())
-            start, count, part = (c.flatten().to_numpy().astype(np.int64) for c in columns)
+            start, count, h = (c.flatten().to_numpy().astype(np.int64) for c in columns)
             kept = fresh[text]
-            text, start, count, part = text[kept], start[kept], count[kept], part[kept]
+            text, start, count, h = text[kept], start[kept], count[kept], h[kept]
             if not len(text):
                 continue
+            part = (h.view(np.uint64) >> (np.uint64(64) - bits)).astype(np.int64)
             encoded = cut(data, offsets[text] + start, count + k - 1).dictionary_encode()
             piece = encoded.indices.to_numpy().astype(np.int64)
             order = np.lexsort([start, text, piece, part])  # equal pieces have equal parts
-            text, start, part, piece = text[order], start[order], part[order], piece[order]
+            text, start, part, piece, h = text[order], start[order], part[order], piece[order], h[order]
             at = np.append(changes(part), len(part))
             own = np.append(changes(piece), len(piece))
             pieces = encoded.dictionary.take(pa.array(piece[own[:-1]]))
             own_at = np.searchsorted(own, at)
             yield pa.RecordBatch.from_arrays([
                 pa.array(part[at[:-1]].astype(np.int32)), pa.LargeListArray.from_arrays(pa.array(own_at, pa.int64()), pieces).cast(pa.list_(pa.binary())),
-                lists(np.diff(own), own_at, pa.int32()), lists(doc[text], at, pa.int64()), lists(key[text], at, pa.int64()), lists(start, at, pa.int32()),
-            ], ["part", "pieces", "counts", "docs", "keys", "start"])
+                lists(h[own[:-1]].astype(np.int32), own_at, pa.int32()), lists(np.diff(own), own_at, pa.int32()),
+                lists(doc[text], at, pa.int64()), lists(key[text], at, pa.int64()), lists(start, at, pa.int32()),
+            ], ["part", "pieces", "hash", "counts", "docs", "keys", "start"])
 
     def meet(rows: pa.Table) -> pa.Table:
-        counts, docs, keys, start = flat(rows, "counts", "docs", "keys", "start")
+        h, counts, docs, keys, start = flat(rows, "hash", "counts", "docs", "keys", "start")
         sent = rows.column("pieces").combine_chunks().flatten().cast(pa.large_binary()).dictionary_encode()
         piece = np.repeat(sent.indices.to_numpy().astype(np.int64), counts)
         pieces = sent.dictionary
@@ -285,8 +309,14 @@ def repeated_windows(docs: DataFrame, parts: int, k: int, memory: int, names: in
         code = codes(docs, keys)
         least = np.full(len(pieces), np.iinfo(np.int64).max)
         np.minimum.at(least, piece, code)
-        windows = np.diff(ends) - k + 1
-        owner, offset, length = later_windows(data, ends, least, k, memory, names)
+        held = np.diff(ends) - k + 1
+        # equal windows have equal hashes: a piece that is the only one of its hash shares none with another
+        of = np.empty(len(pieces), np.int32)
+        of[sent.indices.to_numpy()] = h
+        _, where, many = np.unique(of, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(many[where] > 1)
+        owner, offset, length = later_windows(*taken(data, ends, several), least[several], k, memory, names)
+        owner = several[owner]
         # a piece's later documents lose all of it, its first one what other pieces' documents have before it
         whole = np.flatnonzero(code > least[piece])
         first = np.flatnonzero(code == least[piece])
@@ -294,9 +324,11 @@ def repeated_windows(docs: DataFrame, parts: int, k: int, memory: int, names: in
         some = np.repeat(first, high - low)
         run = np.arange(len(some)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
         at = np.concatenate([whole, some])
-        return by_document(docs[at], keys[at], start[at] + np.concatenate([np.zeros(len(whole), np.int64), offset[run]]), np.concatenate([windows[piece[whole]], length[run]]))
+        lost = by_document(docs[at], keys[at], start[at] + np.concatenate([np.zeros(len(whole), np.int64), offset[run]]), np.concatenate([held[piece[whole]], length[run]]))
+        W.release()
+        return lost
 
-    dealt = docs.mapInArrow(W.lean(deal), "part int, pieces array<binary>, counts array<int>, docs array<long>, keys array<long>, start array<int>")
+    dealt = docs.mapInArrow(W.lean(deal), "part int, pieces array<binary>, hash array<int>, counts array<int>, docs array<long>, keys array<long>, start array<int>")
     return dealt.groupBy("part").applyInArrow(meet, f"{KEYS}, start array<int>, count array<int>")
 
 
@@ -307,10 +339,10 @@ def later_windows(data: np.ndarray, ends: np.ndarray, least: np.ndarray, k: int,
     owner = np.repeat(np.arange(len(n)), n)
     symbols[np.arange(len(owner)) + owner] = data[ends[0]:ends[-1]].astype(np.uint16) + 1
     starts = ends[:-1] - ends[0] + np.arange(len(n))
+    begins = to_end(symbols == 0) >= k
     found, opens = [], []
     for places, common in ordered(symbols, k, memory, names):
-        piece = np.searchsorted(starts, places, "right") - 1
-        inside = places - starts[piece] + k <= n[piece]
+        inside = begins[places]
         found.append(places[inside].astype(np.int64))
         opens.append(common[inside] < k)
     places, new = (np.concatenate(x) for x in (found, opens)) if found else (np.empty(0, np.int64),) * 2
@@ -338,9 +370,9 @@ def deduplicated(docs: DataFrame, k: int = WINDOW, m: int = GROUP, memory: int =
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 << ceil(log2(max(LEAST_PARTS, size / PART_BYTES)))
     known = keyed(docs)
-    found = durable(marked(known, shared_passages(known, parts, k, m), parts, k, m))
+    found = durable(marked(known, shared_passages(known, parts, k, m), k, m))
     candidates = found.filter("text is not null")
-    runs = repeated_windows(candidates.select("doc", "text_key", "text", "start", "count", "part"), parts, k, memory, names)
+    runs = repeated_windows(candidates.select("doc", "text_key", "text", "start", "count", "hash"), parts, k, memory, names)
     lost = runs.groupBy("doc", "text_key").agg(*[F.flatten(F.collect_list(c)).alias(f"lost_{c}") for c in ("start", "count")])
 
     def remove(batches):
