@@ -26,6 +26,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 from math import ceil, log2
 
 import numpy as np
@@ -42,8 +43,8 @@ from fjordbook.session import durable
 #: Bytes of a window, of the groups whose hashes find what may be repeated, and of those whose hashes deal it to shards:
 #: long groups are seldom the same by chance, short ones keep more windows together.
 WINDOW, GROUP, DEALT = 50, 24, 12
-#: Bytes of text per shard and the fewest shards; bytes of text that a task looks at together.
-PART_BYTES, LEAST_PARTS, CHUNK = 24 << 20, 64, 12 << 20
+#: Bytes of text per shard and the fewest shards; bytes of text that a task looks at together, and that it hashes at once.
+PART_BYTES, LEAST_PARTS, CHUNK, SLICE = 24 << 20, 64, 12 << 20, 1 << 19
 #: Windows of a passage at most; a longer row of one least hash is several passages.
 LONGEST = 256
 KEYS = "doc long, text_key long"
@@ -89,26 +90,40 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, start, hash)`` of every window, in order; starts count from the text's own beginning."""
-    n = np.maximum(np.diff(offsets) - k + 1, 0)
-    owner = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    least = least_of(group_hashes(data, m), k - m + 1)[offsets[owner] + inside] if len(owner) else np.empty(0, np.uint64)
-    return owner, inside, least
+def least_hashes(data: np.ndarray, k: int, m: int) -> np.ndarray:
+    """The least hash of the groups in the window that begins at each byte."""
+    return least_of(group_hashes(data, m), k - m + 1)
+
+
+def inside_texts(offsets: np.ndarray, k: int) -> np.ndarray:
+    """Whether the window that begins at each byte stays in its text, for all windows of the data."""
+    n = max(0, int(offsets[-1]) - k + 1)
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, np.minimum(np.maximum(offsets[1:] - k + 1, offsets[:-1]), n), 1)
+    np.add.at(change, np.minimum(offsets[1:], n), -1)
+    return np.cumsum(change[:-1]) == 0
 
 
-def passages(owner: np.ndarray, inside: np.ndarray, least: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """``(text, start, windows, hash)`` of the windows in a row that have one least hash, of those ``kept``."""
-    first = changes(owner, least, *([] if kept is None else [kept])) if len(least) else np.empty(0, np.int64)
-    length = np.diff(np.append(first, len(least)))
-    if kept is not None:
-        first, length = first[kept[first]], length[kept[first]]
+def passages(offsets: np.ndarray, least: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(text, start, windows, hash)`` of the ``kept`` windows in a row that have one least hash, in order.
+
+    Starts count from the text's own beginning.
+    """
+    new = kept.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~kept[:-1]
+    begins = offsets[:-1][(np.diff(offsets) > 0) & (offsets[:-1] < len(kept))]
+    new[begins] = kept[begins]
+    first = np.flatnonzero(new)
+    # a row ends where the next one begins, or where windows are not kept
+    stop = np.flatnonzero(np.diff(kept.astype(np.int8), append=0) == -1) + 1
+    end = np.minimum(np.append(first[1:], len(kept)), stop[np.searchsorted(stop, first, "right")] if len(first) else first)
+    length = end - first
     pieces = -(-length // LONGEST)
     number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = np.repeat(first, pieces) + number * LONGEST
     length = np.minimum(np.repeat(length, pieces) - number * LONGEST, LONGEST)
-    return owner[first], inside[first], length, W.mix(least[first] + np.uint64(1))  # least hashes are small, so mixed again
+    text = np.searchsorted(offsets, first, "right") - 1
+    return text, first - offsets[text], length, W.mix(least[first].astype(np.uint64) + np.uint64(1))  # least hashes are small, so mixed again
 
 
 def chunks(batches):
@@ -151,8 +166,9 @@ def shared_passages(docs: DataFrame, parts: int, k: int, m: int) -> DataFrame:
             doc, key = keys_of(rows)
             fresh = first_of_each(doc, key)
             found = []
-            for low, high in W.slices(offsets):
-                text, start, _, h = passages(*windows(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], k, m))
+            for low, high in W.slices(offsets, SLICE):
+                part, at = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+                text, start, _, h = passages(at, least_hashes(part, k, m), inside_texts(at, k))
                 kept = fresh[low + text]
                 found.append((low + text[kept], start[kept], h[kept]))
             text, start, h = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -227,14 +243,17 @@ def marked(docs: DataFrame, places: DataFrame, k: int, m: int) -> DataFrame:
             number = np.repeat(np.arange(n), np.nan_to_num(starts.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
             wanted = np.unique(number << 32 | starts.flatten().to_numpy().astype(np.int64)) if len(number) else np.empty(0, np.int64)
             found = []
-            for low, high in W.slices(offsets):
+            for low, high in W.slices(offsets, SLICE):
                 if not len(wanted) or not (np.searchsorted(wanted, high << 32) - np.searchsorted(wanted, low << 32)):
                     continue
                 part, at = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
-                owner, inside, least = windows(part, at, k, m)
-                text, start, count, _ = passages(owner, inside, least)
-                kept = np.repeat(np.isin((text + low) << 32 | start, wanted), count)
-                text, start, count, h = passages(owner, inside, windows(part, at, k, min(m, DEALT))[2], kept)
+                inside = inside_texts(at, k)
+                text, start, count, _ = passages(at, least_hashes(part, k, m), inside)
+                may = np.isin((text + low) << 32 | start, wanted)
+                change = np.zeros(len(inside) + 1, np.int8)
+                change[at[text[may]] + start[may]] += 1
+                np.subtract.at(change, at[text[may]] + start[may] + count[may], 1)
+                text, start, count, h = passages(at, least_hashes(part, k, min(m, DEALT)), np.cumsum(change[:-1]) > 0)
                 found.append((text + low, start, count, h.view(np.int64)))
             text, start, count, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
             at = np.searchsorted(text, np.arange(n + 1))
@@ -361,6 +380,18 @@ def later_windows(data: np.ndarray, ends: np.ndarray, least: np.ndarray, k: int,
     return piece[first], (late - starts[piece])[first], np.diff(np.append(first, len(late)))
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within, the shuffles of a query are removed as it ends, so that the next step has their disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def deduplicated(docs: DataFrame, k: int = WINDOW, m: int = GROUP, memory: int = MEMORY, names: int = NAMES) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans)`` of every document of ``(doc_id, text)``.
 
@@ -370,10 +401,11 @@ def deduplicated(docs: DataFrame, k: int = WINDOW, m: int = GROUP, memory: int =
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 << ceil(log2(max(LEAST_PARTS, size / PART_BYTES)))
     known = keyed(docs)
-    found = durable(marked(known, shared_passages(known, parts, k, m), k, m))
-    candidates = found.filter("text is not null")
-    runs = repeated_windows(candidates.select("doc", "text_key", "text", "start", "count", "hash"), parts, k, memory, names)
-    lost = runs.groupBy("doc", "text_key").agg(*[F.flatten(F.collect_list(c)).alias(f"lost_{c}") for c in ("start", "count")])
+    with shuffles_freed(docs.sparkSession):
+        found = durable(marked(known, shared_passages(known, parts, k, m), k, m))
+        candidates = found.filter("text is not null")
+        runs = repeated_windows(candidates.select("doc", "text_key", "text", "start", "count", "hash"), parts, k, memory, names)
+        lost = durable(runs.groupBy("doc", "text_key").agg(*[F.flatten(F.collect_list(c)).alias(f"lost_{c}") for c in ("start", "count")]))
 
     def remove(batches):
         for batch in batches:
