@@ -1,6 +1,7 @@
 """Streams over the event table, run to the end of what is there."""
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from checks.registry import check
 from checks.standins import SCHEMAS, table
 from fjordbook.schema import ORG
 from fjordbook.session import checkpoint_root
+from fjordbook.sources.tables import TableStore
 from fjordbook.streaming import changes as S
 
 
@@ -77,6 +79,61 @@ def stream_late_document(spark, sf_dir):
     return logged.unionAll(S.waiting(spark, out).select(ORG)).groupBy(ORG).agg(F.count(F.lit(1)).alias("steder"))
 
 
+class _Busy(TableStore):
+    """A store that a batch lands beside, after its tables are written and before anything else is done."""
+
+    landing = None
+
+    def publish_together(self, frames, properties=None):
+        stored = super().publish_together(frames, properties)
+        if self.landing:
+            self.landing()
+            self.landing = None
+        return stored
+
+
+def _applied(number, before, condition):
+    """SQL of the companies after the last changes of some events, over the companies ``before`` them."""
+    return f"""siste{number} AS (
+  SELECT organisasjonsnummer, arg_max(endringstype, oppdateringsid) IN ('Sletting', 'Fjernet') AS slettes FROM feed
+  WHERE oppdateringsid {condition} (SELECT floor(avg(oppdateringsid)) FROM feed) GROUP BY 1),
+etter{number} AS (
+  SELECT e.organisasjonsnummer, CASE WHEN NOT s.slettes AND NOT o.konkurs THEN o.navn || ' ny' ELSE e.navn END AS navn,
+         CASE WHEN s.slettes THEN coalesce(e.slettet_dato, DATE '2024-06-01') WHEN NOT o.konkurs AND s.slettes IS NOT NULL THEN NULL ELSE e.slettet_dato END AS slettet_dato
+  FROM {before} e LEFT JOIN siste{number} s USING (organisasjonsnummer) JOIN enheter o USING (organisasjonsnummer))"""
+
+
+@check("stream_compacted", tables="feed enheter", ctes=f"{_applied(1, 'enheter', '<=')},\n{_applied(2, 'etter1', '>')}", oracle="""
+SELECT organisasjonsnummer, navn, cast(slettet_dato AS VARCHAR) AS slettet_dato, (SELECT max(oppdateringsid) FROM feed) AS siste_id, 2 AS epoke FROM etter2""")
+def stream_compacted(spark, sf_dir):
+    """The log is compacted while its second half lands, and again after that: no change is lost, the cursor stays."""
+    root = _folder(spark)
+    out, store, base, day = f"{root}/logg", _Busy(spark, f"{root}/lager"), table(spark, sf_dir, "enheter"), date(2024, 6, 1)
+    feed = table(spark, sf_dir, "feed").withColumn("dato", F.col("dato").cast("timestamp"))
+    half = feed.select(F.expr("floor(avg(oppdateringsid))")).scalar()
+    S.write_batch(feed.filter(F.col("oppdateringsid") <= half), 0, _documents(spark, sf_dir), out)
+    store.landing = lambda: S.write_batch(feed.filter(F.col("oppdateringsid") > half), 1, _documents(spark, sf_dir), out)
+    S.compact(base, out, day, store)
+    after = S.compact(store.read("enheter"), out, day, store)
+    rows = S.current_companies(store.read("enheter"), out, day, S.epoch_of(store))
+    reached = S.cursor(spark, out, after).select("siste_id").scalar()
+    return rows.select(ORG, "navn", "slettet_dato", reached.alias("siste_id"), F.lit(S.epoch_of(store).number).alias("epoke"))
+
+
+@check("stream_retry", tables="feed enheter", ctes=_LAST, oracle="""
+SELECT organisasjonsnummer, CASE WHEN slettes OR har_dok THEN 'logg' ELSE 'venter' END AS sted,
+       CASE WHEN slettes OR (har_dok AND organisasjonsnummer::BIGINT % 2 = 0) THEN 0 WHEN har_dok THEN 1 ELSE 1 END AS batch_id FROM logg""")
+def stream_retry(spark, sf_dir):
+    """Half of the documents come with the next batch: its dead letters are tried again, others wait on."""
+    out = f"{_folder(spark)}/logg"
+    feed = table(spark, sf_dir, "feed").withColumn("dato", F.col("dato").cast("timestamp"))
+    documents = _documents(spark, sf_dir)
+    S.write_batch(feed, 0, documents.filter(F.col(ORG).cast("long") % 2 == 0), out)
+    S.write_batch(feed.limit(0), 1, documents, out)
+    logged = spark.read.parquet(f"{out}/endringer").select(ORG, F.lit("logg").alias("sted"), F.col("batch_id").cast("int"))
+    return logged.unionByName(S.waiting(spark, out).select(ORG, F.lit("venter").alias("sted"), F.lit(1).alias("batch_id")))
+
+
 @check("stream_rate_windows", oracle="""
 SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS vindu, user_id, event_type, count(*) AS antall, greatest(count(*) - 1, 0) AS avvist, count(*) > 1 AS over_grensen
 FROM events GROUP BY 1, 2, 3 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL 10 MINUTE""")

@@ -92,13 +92,14 @@ def load_history(store: TableStore, runs: RunLog, path: str) -> DataFrame:
 def load_accounts(store: TableStore, runs: RunLog, path: str, attempts: DataFrame, max_failed: float = 0.10) -> DataFrame:
     """Landed accounts documents: they replace whole rows of the same period.
 
-    The job fails when more than ``max_failed`` of its fetches did, after the
+    Documents with values that do not fit are set aside in ``regnskap_avvist``, and
+    what is stored of their periods stays. The job fails when more than ``max_failed`` of its fetches did, after the
     rows that did arrive are stored.
     """
     with runs.run("regnskap-api") as counts:
-        fetched = files.read_accounts(store.spark, path)
+        fetched, rejects = files.read_accounts(store.spark, path)
         existing = _stored(store, "regnskap", fetched)
-        stored = store.publish("regnskap", A.merge_accounts(existing, fetched))
+        stored, _ = store.publish_together({"regnskap": A.merge_accounts(existing, fetched), "regnskap_avvist": rejects})
         store.publish("regnskap_hentelogg", A.latest_attempt(attempts))
         counts["lest"] = fetched.count()
         require(failure_rate(attempts, max_failed), "mislykket", "too many fetches failed")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
-from fjordbook.schema import ACCOUNT_PATHS, COMPANY_MAPPING, ORG, ROLE_DOCUMENT
+from fjordbook.schema import ACCOUNT_KEY, ACCOUNT_PATHS, COMPANY_MAPPING, ORG, ROLE_DOCUMENT
 
 
 def _spread(df: DataFrame, land: str | None) -> DataFrame:
@@ -180,15 +180,23 @@ def company_documents(documents: DataFrame, body: str = "doc") -> tuple[DataFram
     return rows.filter(good).drop("feil_kolonner"), rows.filter(~good)
 
 
-def read_accounts(spark: SparkSession, path: str) -> DataFrame:
-    """Accounts API documents landed as JSON lines, each with its company key and one period."""
+def read_accounts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Accounts API documents landed as JSON lines, each with its company key and one period, as ``(rows, rejects)``."""
     return account_rows(spark.read.text(path).withColumnRenamed("value", "raw"))
 
 
-def account_rows(documents: DataFrame) -> DataFrame:
-    """Typed account rows from raw documents; amounts are rounded to the thousand, ids are not."""
-    schema = nested_schema({ORG: "string", **{path: "string" for path, _ in ACCOUNT_PATHS.values()}})
-    parsed = documents.select(F.from_json("raw", schema).alias("d"), "raw")
+def account_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)``: typed account rows from raw documents; amounts are rounded to the thousand, ids are not.
+
+    A document that cannot be parsed, has no company, period end or type, or holds a
+    value that does not fit its column is a reject as a whole, with ``feil_kolonner``
+    naming what is wrong: what is stored of its period stays. A missing or blank
+    value is null. Blank lines are no documents.
+    """
+    paths = {ORG: "string", **{path: "string" for path, _ in ACCOUNT_PATHS.values()}}
+    options = {"columnNameOfCorruptRecord": "_unreadable"}
+    lines = documents.filter(F.trim("raw") != "")
+    parsed = lines.select(F.from_json("raw", f"{nested_schema(paths)}, _unreadable string", options).alias("d"), "raw")
 
     def value(path: str, kind: str) -> Column:
         text = C.blank_to_null(F.col(f"d.{path}"))
@@ -196,8 +204,18 @@ def account_rows(documents: DataFrame) -> DataFrame:
             return C.to_thousand(text.try_cast("decimal(20,2)"))
         return text if kind == "string" else text.try_cast(kind)
 
-    columns = [value(path, kind).alias(name) for name, (path, kind) in ACCOUNT_PATHS.items()]
-    return parsed.select(F.col(f"d.{ORG}").alias(ORG), *columns, F.lit("brreg-api").alias("kilde"), "raw")
+    values = {name: value(path, kind) for name, (path, kind) in ACCOUNT_PATHS.items()}
+    stated = {name: C.blank_to_null(F.col(f"d.{path}")) for name, (path, _) in ACCOUNT_PATHS.items()}
+    unread = F.col("d").isNull() | F.col("d._unreadable").isNotNull()
+    wrong = [F.when(unread, "raw"), F.when(C.blank_to_null(F.col(f"d.{ORG}")).isNull(), ORG)]
+    for name, typed in values.items():
+        blank = F.coalesce(F.trim(stated[name]) == "", F.lit(True))
+        missing = typed.isNull() | blank if name in ACCOUNT_KEY else typed.isNull() & ~blank
+        wrong.append(F.when(missing, name))
+    faults = F.when(unread, F.array(F.lit("raw"))).otherwise(F.array_compact(F.array(*wrong)))
+    typed = parsed.select(F.col(f"d.{ORG}").alias(ORG), *[c.alias(n) for n, c in values.items()], F.lit("brreg-api").alias("kilde"), "raw", faults.alias("feil_kolonner"))
+    good = F.size("feil_kolonner") == 0
+    return typed.filter(good).drop("feil_kolonner"), typed.filter(~good)
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,8 @@ follows the number of changes and not the size of the register.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from dataclasses import dataclass
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from fjordbook.sources.tables import TableStore
 
 FEED = f"oppdateringsid long, dato timestamp, {ORG} string, endringstype string"
 LOG = f"{ORG} string, oppdateringsid long, dato timestamp, endringstype string, slettes boolean, doc string, batch_id long"
+COMPLETED = "siste_id long, siste_tid timestamp, batch_id long"
+COMPLETED_ROW = "batch_id long, siste_id long, siste_tid timestamp"
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +42,8 @@ def write_batch(events: DataFrame, batch_id: int, documents: DataFrame, out: str
 
     ``documents`` has the company key and its current document as text. A
     changed company without a document goes to the dead letters and is tried
-    again with the next batch; the feed itself moves on.
+    again with the next batch; the feed itself moves on. The batch is complete
+    with its row in ``ferdig``, which tells how far the feed has come.
     """
     spark = events.sparkSession
     waiting = _log(spark, f"{out}/venter").filter(F.col("batch_id") == batch_id - 1)
@@ -48,7 +52,8 @@ def write_batch(events: DataFrame, batch_id: int, documents: DataFrame, out: str
     found = durable(last.join(documents.select(ORG, "doc"), ORG, "left"))  # once: documents may land meanwhile
     lost = ~F.col("slettes") & F.col("doc").isNull()
     done = found.filter(~lost).withColumn("doc", F.when(~F.col("slettes"), F.col("doc")))
-    for rows, name in ((done, "endringer"), (found.filter(lost), "venter")):
+    reached = found.agg(F.max("oppdateringsid").alias("siste_id"), F.max_by("dato", "oppdateringsid").alias("siste_tid"))
+    for rows, name in ((done, "endringer"), (found.filter(lost), "venter"), (reached, "ferdig")):
         rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
 
 
@@ -67,63 +72,101 @@ def start_change_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def logged_changes(spark: SparkSession, out: str) -> DataFrame:
-    """The last logged change per company over all batches."""
+@dataclass(frozen=True)
+class Epoch:
+    """What a compaction has taken into the stored table: all batches up to ``upto``, the feed up to ``siste_id``."""
+
+    number: int = 0
+    upto: int = -1
+    siste_id: int | None = None
+    siste_tid: datetime | None = None
+
+
+def epoch_of(store: TableStore, name: str = "enheter") -> Epoch:
+    """The epoch of the live version of a compacted table; the zeroth if it never was compacted."""
+    row = store.manifest().filter(F.col("navn") == name).select("egenskaper").first()
+    stated = (row.egenskaper if row else None) or {}
+    if "epoke" not in stated:
+        return Epoch()
+    time = stated.get("siste_tid")
+    return Epoch(int(stated["epoke"]), int(stated["upto"]), int(stated["siste_id"]) if stated["siste_id"] else None, datetime.fromisoformat(time) if time else None)
+
+
+def completed(spark: SparkSession, out: str) -> DataFrame:
+    """``(batch_id, siste_id, siste_tid)`` of the batches that are wholly written."""
+    try:
+        return spark.read.schema(COMPLETED).parquet(f"{out}/ferdig")
+    except AnalysisException:
+        return spark.createDataFrame([], COMPLETED)
+
+
+def _between(spark: SparkSession, out: str, epoch: Epoch, upto: int | None = None) -> DataFrame:
+    rows = _log(spark, f"{out}/endringer").filter(F.col("batch_id") > epoch.upto)
+    return rows if upto is None else rows.filter(F.col("batch_id") <= upto)
+
+
+def logged_changes(spark: SparkSession, out: str, epoch: Epoch = Epoch(), upto: int | None = None) -> DataFrame:
+    """The last logged change per company over all batches after the epoch."""
     newest = F.max_by(F.struct("endringstype", "slettes", "doc"), "oppdateringsid")
-    rows = _log(spark, f"{out}/endringer").groupBy(ORG).agg(F.max("oppdateringsid").alias("oppdateringsid"), newest.alias("r"))
+    rows = _between(spark, out, epoch, upto).groupBy(ORG).agg(F.max("oppdateringsid").alias("oppdateringsid"), newest.alias("r"))
     return rows.select(ORG, "oppdateringsid", "r.*")
 
 
 def waiting(spark: SparkSession, out: str) -> DataFrame:
     """Changed companies still without a document: the dead letters of the newest batch."""
-    rows = _log(spark, f"{out}/venter")
-    newest = _log(spark, f"{out}/endringer").select("batch_id").unionByName(rows.select("batch_id")).select(F.max("batch_id")).scalar()
-    return rows.filter(F.col("batch_id") == newest).select(ORG, "oppdateringsid", "endringstype")
+    newest = completed(spark, out).select(F.max("batch_id")).scalar()
+    return _log(spark, f"{out}/venter").filter(F.col("batch_id") == newest).select(ORG, "oppdateringsid", "endringstype")
 
 
-def cursor(spark: SparkSession, out: str) -> DataFrame:
-    """How far the log has come: the largest event accounted for, and its time."""
-    columns = ["oppdateringsid", "dato"]
-    events = _log(spark, f"{out}/endringer").select(*columns).unionByName(_log(spark, f"{out}/venter").select(*columns))
-    return events.agg(F.max("oppdateringsid").alias("siste_id"), F.max_by("dato", "oppdateringsid").alias("siste_tid"))
+def cursor(spark: SparkSession, out: str, epoch: Epoch = Epoch()) -> DataFrame:
+    """How far the feed has come: the largest event accounted for, and its time, in the log or the epoch."""
+    known = spark.createDataFrame([(epoch.upto, epoch.siste_id, epoch.siste_tid)], COMPLETED_ROW).select("siste_id", "siste_tid")
+    events = completed(spark, out).select("siste_id", "siste_tid").unionByName(known)
+    return events.agg(F.max("siste_id").alias("siste_id"), F.max_by("siste_tid", "siste_id").alias("siste_tid"))
 
 
-def current_companies(base: DataFrame, out: str, as_of: date, after: int = -1) -> DataFrame:
-    """The stored companies with the changes logged after event ``after`` applied.
-
-    Publish the result together with its :func:`cursor` to compact the log: the
-    next reading starts after that event, so older changes are not applied over
-    newer rows.
-    """
-    changes = logged_changes(base.sparkSession, out).filter(F.col("oppdateringsid") > after)
+def current_companies(base: DataFrame, out: str, as_of: date, epoch: Epoch = Epoch(), upto: int | None = None) -> DataFrame:
+    """The stored companies, which hold the changes of ``epoch``, with those logged after it applied."""
+    changes = logged_changes(base.sparkSession, out, epoch, upto)
     documents, _ = company_documents(changes.filter(~F.col("slettes")))
     return apply_changes(base, documents, changes.filter("slettes"), as_of)
 
 
-def rejected_changes(spark: SparkSession, out: str, after: int = -1) -> DataFrame:
+def rejected_changes(spark: SparkSession, out: str, epoch: Epoch = Epoch(), upto: int | None = None) -> DataFrame:
     """Logged documents that cannot be applied, with the columns at fault; their companies keep what is stored."""
-    changes = logged_changes(spark, out).filter((F.col("oppdateringsid") > after) & ~F.col("slettes"))
+    changes = logged_changes(spark, out, epoch, upto).filter(~F.col("slettes"))
     return company_documents(changes)[1].select(ORG, "feil_kolonner")
 
 
-def compact(base: DataFrame, out: str, as_of: date, store: TableStore, name: str = "enheter") -> int:
-    """Publish the companies with all logged changes applied, and drop the log up to there.
+def compact(base: DataFrame, out: str, as_of: date, store: TableStore, name: str = "enheter") -> Epoch:
+    """Publish the companies with all completed batches applied, as the next epoch.
 
-    The cursor reached is stored with the table. Rejected documents and dead
-    letters of the newest batch stay in the log.
+    ``base`` is the live table, or what the log started from. The batches taken in are
+    fixed first, and what becomes live is one manifest row with table, epoch and
+    cursor: a batch that lands meanwhile comes after the epoch and is read on top of
+    it. Nothing is overwritten or deleted; batches up to the epoch can be removed by a
+    retention rule, but for the newest, whose dead letters the next batch tries again.
+    Documents that cannot be applied go to ``<name>_endringer_avvist`` and stay there
+    until their company changes again.
     """
     spark = base.sparkSession
-    reached = cursor(spark, out).first().siste_id
-    if reached is None:
-        return -1
-    store.publish(name, current_companies(base, out, as_of), {"siste_id": str(reached)})
-    wrong = durable(logged_changes(spark, out).join(rejected_changes(spark, out).select(ORG), ORG, "left_semi"))
-    newest = _log(spark, f"{out}/endringer").unionByName(_log(spark, f"{out}/venter")).agg(F.max("batch_id")).first()[0]
-    kept = durable(_log(spark, f"{out}/endringer").join(wrong.select(ORG, "oppdateringsid"), [ORG, "oppdateringsid"], "left_semi").drop("batch_id"))
-    waits = durable(_log(spark, f"{out}/venter").filter(F.col("batch_id") == newest).drop("batch_id"))
-    for rows, part in ((kept, "endringer"), (waits, "venter")):
-        rows.withColumn("batch_id", F.lit(newest)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch_id").parquet(f"{out}/{part}")
-    return reached
+    before = epoch_of(store, name)
+    last = completed(spark, out).agg(F.max("batch_id").alias("batch_id")).first().batch_id
+    if last is None or last <= before.upto:
+        return before
+    ends = completed(spark, out).filter(F.col("batch_id") <= last)
+    reached = ends.agg(F.max("siste_id").alias("siste_id"), F.max_by("siste_tid", "siste_id").alias("siste_tid")).first()
+    after = Epoch(before.number + 1, last, *max(((e.siste_id, e.siste_tid) for e in (before, reached)), key=lambda e: -1 if e[0] is None else e[0]))
+    wrong = rejected_changes(spark, out, before, last)
+    aside = f"{name}_endringer_avvist"
+    try:
+        changed = _between(spark, out, before, last).select(ORG).distinct()
+        wrong = store.read(aside).join(changed, ORG, "left_anti").unionByName(wrong)
+    except KeyError:
+        pass
+    stated = {"epoke": str(after.number), "upto": str(last), "siste_id": "" if after.siste_id is None else str(after.siste_id), "siste_tid": after.siste_tid.isoformat() if after.siste_tid else ""}
+    store.publish_together({name: current_companies(base, out, as_of, before, last), aside: wrong}, stated)
+    return after
 
 
 def start_rate_stream(events: DataFrame, out: str, checkpoint: str, limit: int = 60, width: str = "1 minute",

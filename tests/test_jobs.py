@@ -184,10 +184,51 @@ def test_change_stream_resumes_retries_and_replays(spark, tmp_path):
     got = {r[ORG]: (r.navn, r.slettet_dato) for r in S.current_companies(base, out, DAY).collect()}
     assert got == {"000000001": ("ONE", None), "000000002": ("two", DAY), "000000003": ("three", None), "000000009": ("nine", None)}
 
-    # Compaction stores the companies with the cursor and empties the log behind it.
+    # Compaction stores the companies with the cursor; the log goes on behind it.
     store = TableStore(spark, str(tmp_path / "store"))
-    assert S.compact(base, out, DAY, store) == 5 and S.logged_changes(spark, out).count() == 0
+    epoch = S.compact(base, out, DAY, store)
+    assert (epoch.number, epoch.upto, epoch.siste_id) == (1, 1, 5) and epoch == S.epoch_of(store)
+    assert S.logged_changes(spark, out, epoch).count() == 0 and S.cursor(spark, out, epoch).first().siste_id == 5
     assert {r[ORG]: (r.navn, r.slettet_dato) for r in store.read("enheter").collect()} == got
+    assert S.compact(store.read("enheter"), out, DAY, store) == epoch  # nothing new, nothing published
+
+
+def test_compaction_keeps_what_lands_meanwhile(spark, tmp_path):
+    out, docs = str(tmp_path / "log"), {}
+
+    def batch(number, *events):
+        rows = [(i, datetime(2024, 1, i, tzinfo=timezone.utc), o, t) for i, o, t in events]
+        documents = spark.createDataFrame([(k, d) for k, d in docs.items()], f"{ORG} string, doc string")
+        S.write_batch(spark.createDataFrame(rows, S.FEED), number, documents, out)
+
+    class Busy(TableStore):
+        def publish_together(self, frames, properties=None):
+            docs["000000002"] = json.dumps({ORG: "000000002", "navn": "TWO"})
+            batch(1, (3, "000000002", "Endring"), (4, "000000004", "Endring"))
+            return super().publish_together(frames, properties)
+
+    store = Busy(spark, str(tmp_path / "store"))
+    base = spark.createDataFrame([("000000001", "one"), ("000000002", "two"), ("000000003", "three")], f"{ORG} string, navn string")
+    base = base.withColumns({"antall_ansatte": F.lit(None).cast("int"), "content_hash": F.lit("h"), "savnet_siden": F.lit(None).cast("date"), "slettet_dato": F.lit(None).cast("date")})
+    docs["000000001"] = json.dumps({ORG: "000000001", "navn": "ONE"})
+    docs["000000003"] = json.dumps({ORG: "000000003", "antallAnsatte": "12x"})
+    batch(0, (1, "000000001", "Endring"), (2, "000000003", "Endring"))
+    epoch = S.compact(base, out, DAY, store)
+    assert (epoch.upto, epoch.siste_id) == (0, 2)
+    names = lambda rows: {r[ORG]: r.navn for r in rows.collect()}
+    assert names(store.read("enheter")) == {"000000001": "ONE", "000000002": "two", "000000003": "three"}
+    assert names(S.current_companies(store.read("enheter"), out, DAY, epoch)) == {"000000001": "ONE", "000000002": "TWO", "000000003": "three"}
+    assert S.cursor(spark, out, epoch).first().siste_id == 4 and [r[ORG] for r in S.waiting(spark, out).collect()] == ["000000004"]
+    assert [r[ORG] for r in store.read("enheter_endringer_avvist").collect()] == ["000000003"]
+
+    # a batch that is half written is not taken in; a rejected company that changes again is rejected no more
+    docs["000000003"] = json.dumps({ORG: "000000003", "navn": "THREE"})
+    batch(2, (5, "000000003", "Endring"))
+    again = S.compact(store.read("enheter"), out, DAY, TableStore(spark, str(tmp_path / "store")))
+    assert (again.number, again.upto, again.siste_id) == (2, 2, 5) and store.read("enheter_endringer_avvist").count() == 0
+    assert names(store.read("enheter"))["000000003"] == "THREE"
+    (tmp_path / "log" / "ferdig" / "batch_id=2").rename(tmp_path / "kept")
+    assert S.completed(spark, out).agg(F.max("batch_id")).first()[0] == 1
 
 
 def test_a_rejected_company_is_not_missing(spark, store, runs, tmp_path):

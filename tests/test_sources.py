@@ -112,12 +112,26 @@ def test_account_documents(spark, tmp_path):
             "egenkapitalGjeld": {"gjeldOversikt": {"sumGjeld": 499}}}
     path = tmp_path / "accounts.jsonl"
     path.write_text(json.dumps(body) + "\n")
-    row = files.read_accounts(spark, str(path)).first()
+    row = files.read_accounts(spark, str(path))[0].first()
     assert (row.periode_til, row.brreg_id, row.morselskap) == (date(2023, 12, 31), 1234567, False)
     assert (row.sum_driftsinntekter, row.aarsresultat, row.sum_gjeld) == (1_235_000, -2000, 0)
     assert row.sum_eiendeler is None and row.kilde == "brreg-api" and json.loads(row.raw) == body
 
 
+def test_account_documents_that_do_not_fit(spark):
+    def body(**other):
+        return json.dumps({ORG: "000000001", "regnskapstype": "SELSKAP", "regnskapsperiode": {"tilDato": "2023-12-31"}, **other})
+
+    documents = [
+        body(egenkapitalGjeld={"gjeldOversikt": {"sumGjeld": "12x"}}), body(regnskapsperiode={"tilDato": "2023-02-30"}), body(regnskapstype=" "), body(**{ORG: ""}),
+        "{", "", "  ", "[]", "7", body(egenkapitalGjeld={"gjeldOversikt": {"sumGjeld": ""}}), None,
+    ]
+    rows, rejects = files.account_rows(spark.createDataFrame([(d,) for d in documents], "raw string"))
+    assert rows.count() == 1 and rows.first().sum_gjeld is None
+    assert sorted((r.raw, ",".join(sorted(r.feil_kolonner))) for r in rejects.collect()) == sorted([
+        (documents[0], "sum_gjeld"), (documents[1], "periode_til"), (documents[2], "regnskapstype"), (documents[3], ORG), ("{", "raw"), ("[]", "raw"), ("7", "raw")])
+
+
 def test_company_documents(spark):
     body = {ORG: "000000001", "navn": "Ny AS", "registrertIMvaregisteret": True, "antallAnsatte": 7,
             "forretningsadresse": {"adresse": ["c/o Li", "Gata 1"], "kommunenummer": "0301"},
