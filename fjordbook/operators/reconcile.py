@@ -94,12 +94,17 @@ def hash_upsert(current: DataFrame, incoming: DataFrame, key: str = ORG) -> tupl
 
 def load_counts(loaded: DataFrame) -> DataFrame:
     """Rows read, new, changed and unchanged of a loaded snapshot."""
-    return loaded.agg(
+    return loaded.agg(*load_counters())
+
+
+def load_counters() -> list[Column]:
+    """The aggregates of :func:`load_counts`, to be counted while a snapshot is written."""
+    return [
         F.count_if(F.col("utfall") != "fravaerende").alias("lest"),
         F.count_if(F.col("utfall") == "ny").alias("nye"),
         F.count_if(F.col("utfall") == "endret").alias("endret"),
         F.count_if(F.col("utfall") == "uendret").alias("uendret"),
-    )
+    ]
 
 
 def _deletion_marks(present: Column, missing: Column, deleted: Column, as_of: date, grace: int) -> tuple[Column, Column]:
@@ -175,13 +180,14 @@ ROLE_HISTORY_DROPS = ["avregistrert", "rollegruppe_sist_endret", "person_er_doed
 
 
 def reconcile_scd2(
-    current: DataFrame, history: DataFrame, incoming: DataFrame, as_of: date
+    current: DataFrame, history: DataFrame, incoming: DataFrame, as_of: date, mark: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Roles after a full snapshot: ``(current, history)``.
 
     Roles that vanished move to history with the day they were last seen; new
     ones get the day they were first seen; the rest keep theirs. Attributes
-    outside the fingerprint (such as a deregistration mark) are refreshed.
+    outside the fingerprint (such as a deregistration mark) are refreshed. ``mark``
+    names a column that tells the new ones.
     """
     incoming = incoming.withColumn("rolle_nokkel", role_fingerprint())
     current = current.withColumn("rolle_nokkel", role_fingerprint())
@@ -191,7 +197,8 @@ def reconcile_scd2(
     archived = ended.withColumn("sist_sett", F.lit(as_of)).drop(*ROLE_HISTORY_DROPS)
     first_seen = current.groupBy(*fingerprint).agg(F.min("forst_sett").alias("_first"))
     kept = incoming.join(first_seen, fingerprint, "left")
-    now = kept.withColumn("forst_sett", F.coalesce("_first", F.lit(as_of))).drop("_first", *fingerprint)
+    marked = kept.withColumn(mark, F.col("_first").isNull()) if mark else kept
+    now = marked.withColumn("forst_sett", F.coalesce("_first", F.lit(as_of))).drop("_first", *fingerprint)
     return now, history.unionByName(archived, allowMissingColumns=True)
 
 

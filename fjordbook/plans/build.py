@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordbook.operators.keyed import row_numbers
-from fjordbook.plans.rankings import RANKINGS, Register
+from fjordbook.plans.rankings import RANKINGS, Ranking, Register
 from fjordbook.sources.tables import TableStore
 
 log = logging.getLogger(__name__)
@@ -17,26 +17,24 @@ log = logging.getLogger(__name__)
 PREFIX = "topplister/"
 
 
-def build_rankings(store: TableStore, register: Register, names: list[str] | None = None) -> dict[str, str]:
+def build_rankings(store: TableStore, register: Register, names: list[str] | None = None, lists: dict[str, Ranking] | None = None) -> dict[str, str]:
     """Refresh the derived tables and store every list, or just the named ones.
 
     A list that fails keeps its previous rows and its error is recorded. Lists
     no longer defined are retired, but only when all lists are built. Returns
-    the outcome of each list.
+    the outcome of each list. ``lists`` are the definitions, all by default.
     """
-    unknown = set(names or ()) - set(RANKINGS)
+    lists = RANKINGS if lists is None else lists
+    unknown = set(names or ()) - set(lists)
     if unknown:
         raise ValueError(f"unknown lists: {', '.join(sorted(unknown))}")
     register.stored["latest"] = register.latest = store.publish("regnskap_siste", register.latest)
     register.stored["edges"] = register.edges = store.publish("eierskap_kant", register.edges)
 
     outcomes = {}
-    for name in names or RANKINGS:
-        entry = RANKINGS[name]
-        properties = {
-            "tittel": entry.title, "kategori": entry.category,
-            "kolonner": json.dumps([{"felt": c, "format": f} for c, f in entry.columns]),
-        }
+    for name in names or lists:
+        entry = lists[name]
+        properties = {"tittel": entry.title, "beskrivelse": entry.description, "kategori": entry.category, "kolonner": json.dumps(entry.shown())}
         try:
             store.publish(PREFIX + name, numbered(entry.rows(register)), properties)
             outcomes[name] = "ok"
@@ -47,7 +45,7 @@ def build_rankings(store: TableStore, register: Register, names: list[str] | Non
     if names is None:
         live = [r.navn for r in ranking_index(store).select("navn").collect()]
         for name in live:
-            if name not in RANKINGS:
+            if name not in lists:
                 store.retire(PREFIX + name)
     return outcomes
 
@@ -61,22 +59,23 @@ def list_rows(store: TableStore, name: str) -> DataFrame:
     return store.read(PREFIX + name).orderBy("nr")
 
 
-def list_json(rows: DataFrame) -> DataFrame:
-    """A stored list as one JSON array in list order."""
+def list_json(rows: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows of a stored list as one JSON array in list order."""
     columns = [c for c in rows.columns if c != "nr"]
+    rows = rows.filter(F.col("nr") <= k)
     entry = F.struct("nr", F.struct(*columns).alias("rad"))
     ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["rad"])
     return rows.agg(F.to_json(ordered).alias("data"), F.count(F.lit(1)).alias("antall"))
 
 
 def ranking_index(store: TableStore) -> DataFrame:
-    """The live lists with title, category, size, age and last error."""
+    """The live lists with title, description, category, size, age and last error, by category and title."""
     lists = store.manifest().filter(F.col("navn").startswith(PREFIX))
     return lists.select(
         F.replace("navn", F.lit(PREFIX), F.lit("")).alias("navn"),
-        F.col("egenskaper.tittel").alias("tittel"), F.col("egenskaper.kategori").alias("kategori"),
+        F.col("egenskaper.tittel").alias("tittel"), F.col("egenskaper.beskrivelse").alias("beskrivelse"), F.col("egenskaper.kategori").alias("kategori"),
         F.col("egenskaper.kolonner").alias("kolonner"), "antall", "publisert", "varighet_ms", "feilmelding",
-    )
+    ).orderBy("kategori", "tittel", "navn")
 
 
 def teasers(store: TableStore, names: list[str], show: int = 3) -> DataFrame:

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fjordbook.operators import accounts as A
 from fjordbook.operators.holdings import classify_holders
 from fjordbook.operators.quality import failure_rate, require
 from fjordbook.operators.reconcile import (
-    add_content_hash, load_counts, load_snapshot, one_per_key, opened_roles, reconcile_scd2, upsert_reference,
+    add_content_hash, load_counters, load_snapshot, one_per_key, reconcile_scd2, upsert_reference,
 )
 from fjordbook.operators.retrieval import embed_texts
 from fjordbook.operators.selectors import needs_embedding
 from fjordbook.schema import COMPANY_MAPPING, ORG, ROLE_DOCUMENT
+from fjordbook.session import durable
 from fjordbook.sources import files
 from fjordbook.sources.dump import history_accounts, read_sql_dump
 from fjordbook.sources.jsonarray import read_json_array
@@ -45,27 +46,28 @@ def load_companies(store: TableStore, runs: RunLog, path: str, as_of: date) -> D
         others = others.drop("content_hash").withColumn("feil_kolonner", F.array(F.lit(ORG)))
         rejects = rejects.unionByName(others)
         loaded = load_snapshot(_stored(store, "enheter", incoming), incoming, as_of, rejected=rejects)
-        stored, _ = store.publish_together({"enheter": loaded, "enheter_avvist": rejects})
-        counts.update(load_counts(stored).first().asDict())
-        counts["slettet"] = stored.filter(F.col("slettet_dato") == F.lit(as_of)).count()
+        written = Observation()
+        gone = F.count_if(F.col("slettet_dato") == F.lit(as_of)).alias("slettet")
+        stored, _ = store.publish_together({"enheter": loaded.observe(written, *load_counters(), gone), "enheter_avvist": rejects})
+        counts.update(written.get)
     return stored.drop("utfall")
 
 
 def load_roles(store: TableStore, runs: RunLog, path: str, as_of: date) -> DataFrame:
     """Full role file: flatten, keep what is unchanged, archive what ended."""
     with runs.run("roller") as counts:
-        documents = read_json_array(store.spark, path, ROLE_DOCUMENT)
+        read = Observation()
+        documents = durable(read_json_array(store.spark, path, ROLE_DOCUMENT).observe(read, F.count(F.lit(1)).alias("lest")))
         incoming = files.explode_roles(documents, store.read("enheter"))
         empty = incoming.withColumn("forst_sett", F.lit(as_of))
         current = _stored(store, "roller", empty)
         history = _stored(store, "roller_historikk", empty.withColumn("sist_sett", F.lit(as_of)))
-        now, archive = reconcile_scd2(current, history, incoming, as_of)
-        before = history.count()
-        stored, archived = store.publish_together({"roller": now, "roller_historikk": archive})
-        counts["nye"] = opened_roles(current, stored).count()
-        counts["slettet"] = archived.count() - before
-        counts["lest"] = documents.count()
-        counts["uendret"] = stored.count() - counts["nye"]
+        now, archive = reconcile_scd2(current, history, incoming, as_of, mark="_ny")
+        before, written = store.size("roller_historikk"), Observation()
+        watched = now.observe(written, F.count_if("_ny").alias("nye"), F.count_if(~F.col("_ny")).alias("uendret")).drop("_ny")
+        stored, _ = store.publish_together({"roller": watched, "roller_historikk": archive})
+        counts.update(read.get | written.get)
+        counts["slettet"] = store.size("roller_historikk") - before
     return stored
 
 
@@ -84,8 +86,10 @@ def load_history(store: TableStore, runs: RunLog, path: str) -> DataFrame:
     with runs.run("regnskap") as counts:
         incoming = history_accounts(read_sql_dump(store.spark, path), store.read("enheter"))
         merged = A.insert_absent(_stored(store, "regnskap", incoming), incoming, A.ACCOUNT_KEY)
-        stored = store.publish("regnskap", A.backfill_currency(merged))
-        counts["lest"] = counts["nye"] = stored.filter("kilde = 'historikk'").count()
+        written = Observation()
+        watched = A.backfill_currency(merged).observe(written, F.count_if(F.col("kilde") == "historikk").alias("nye"))
+        stored = store.publish("regnskap", watched)
+        counts["lest"] = counts["nye"] = written.get["nye"]
     return stored
 
 
@@ -97,11 +101,13 @@ def load_accounts(store: TableStore, runs: RunLog, path: str, attempts: DataFram
     rows that did arrive are stored.
     """
     with runs.run("regnskap-api") as counts:
-        fetched, rejects = files.read_accounts(store.spark, path)
+        read = Observation()
+        good, rejects = files.read_accounts(store.spark, path)
+        fetched = durable(good.observe(read, F.count(F.lit(1)).alias("lest")))
         existing = _stored(store, "regnskap", fetched)
         stored, _ = store.publish_together({"regnskap": A.merge_accounts(existing, fetched), "regnskap_avvist": rejects})
         store.publish("regnskap_hentelogg", A.latest_attempt(attempts))
-        counts["lest"] = fetched.count()
+        counts["lest"] = read.get["lest"]
         require(failure_rate(attempts, max_failed), "mislykket", "too many fetches failed")
     return stored
 
@@ -121,5 +127,5 @@ def embed_companies(store: TableStore, runs: RunLog, embed, model: str) -> DataF
         fresh = vectors.select(ORG, "tekst_hash", F.lit(model).alias("modell"), "embedding")
         kept = known.join(todo.select(ORG), ORG, "left_anti")
         stored = store.publish("enheter_embedding", kept.unionByName(fresh))
-        counts["lest"] = stored.count()
+        counts["lest"] = store.size("enheter_embedding")
     return stored

@@ -21,6 +21,7 @@ from fjordbook.operators.holdings import ownership_edges, subsidiary_counts
 from fjordbook.operators.keyed import first_per_key
 from fjordbook.schema import ORG
 
+#: Rows of a list where a caller asks for no other number.
 SIZE = 50
 
 
@@ -64,6 +65,49 @@ class Ranking:
     category: str
     columns: tuple[tuple[str, str], ...]
 
+    @property
+    def description(self) -> str:
+        return DESCRIPTIONS.get(self.title, "")
+
+    def shown(self) -> list[dict[str, str]]:
+        """The columns as a page shows them: field, heading and format."""
+        return [{"felt": c, "tittel": COLUMN_TITLES.get((self.title, c), COLUMN_TITLES.get(c, c)), "format": f} for c, f in self.columns]
+
+
+# Headings by column, or by list and column where a list has its own.
+COLUMN_TITLES: dict[str | tuple[str, str], str] = {
+    "navn": "Company", "konkursdato": "Bankrupt since", "ansatte": "Employees", "sted": "Place", "registrert": "Registered", "form": "Form", "naering": "Industry",
+    "omsetning": "Revenue", "resultat": "Profit", "aar": "Year", "vekst": "Growth", "fra": "From", "til": "To", "egenkapital": "Equity", "gjeld": "Debt", "kapital": "Share capital",
+    "per_ansatt": "Per employee", "rolle": "Role", "datterselskap": "Subsidiaries", "verv": "Seats", "poeng": "Score", "fylke": "County", "andel": "Share of women",
+    "kvinner": "Women", "totalt": "In all", "stiftet": "Founded", "eiere": "Holders", "foretakseiere": "Corporate holders", "klienter": "Clients", "kommune": "Municipality",
+    "nye": "New", "konkurser": "Bankruptcies", ("Most influential women", "navn"): "Leads", ("Fastest falling revenue", "vekst"): "Change",
+    ("Auditors with most clients", "navn"): "Auditor", ("Accountants with most clients", "navn"): "Accountant", ("Industries with most bankruptcies", "andel"): "Rate",
+}
+
+# What each list holds, by title.
+DESCRIPTIONS = {
+    "Latest bankruptcies": "Companies last registered as bankrupt, newest first.",
+    "Newly registered companies": "Companies registered in the last thirty days, newest first.",
+    "Largest revenue": "Highest revenue in the latest accounts, in NOK alone.",
+    "Largest profit": "Highest profit of the year in the latest accounts, in NOK alone.",
+    "Largest loss": "Lowest result of the year in the latest accounts, in NOK alone.",
+    "Fastest growing revenue": "Growth between the two latest accounts, from ten million on; implausible figures are left out.",
+    "Fastest falling revenue": "Decline between the two latest accounts, from ten million on.",
+    "Negative equity": "Companies whose latest accounts show negative equity, lowest first; bankrupt ones are left out.",
+    "Largest share capital": "Highest registered share capital, in NOK.",
+    "Profit per employee": "Profit of the year over employees, of companies with twenty or more.",
+    "Most influential women": "Women who lead a company or its board, by a score of its revenue, employees and subsidiaries and their own seats. Gender is taken from first names.",
+    "Largest companies led by a woman": "Largest companies by employees whose manager has a woman's first name.",
+    "Share of women among managers, by county": "Share of managers with a woman's first name in each county.",
+    "Share of women among managers, by industry": "Share of managers with a woman's first name in each industry.",
+    "Most subsidiaries": "Companies that own more than half of most others.",
+    "Oldest active companies": "Companies founded longest ago that are still registered.",
+    "Most shareholders": "Companies with most holders over all years.",
+    "Auditors with most clients": "Auditors by number of companies they are registered for.",
+    "Accountants with most clients": "Accountants by number of companies they are registered for.",
+    "New companies by municipality": "Companies registered in the last year, for each municipality.",
+    "Industries with most bankruptcies": "Bankrupt companies and their share in each industry with more than twenty.",
+}
 
 RANKINGS: dict[str, Ranking] = {}
 
@@ -85,8 +129,8 @@ def _place() -> Column:
     return F.col("forretningsadresse_poststed").alias("sted")
 
 
-def _top(rows: DataFrame, *order: Column, key: str = ORG) -> DataFrame:
-    return rows.orderBy(*order, F.asc(key)).limit(SIZE)
+def _top(rows: DataFrame, size: int, *order: Column, key: str = ORG) -> DataFrame:
+    return rows.orderBy(*order, F.asc(key)).limit(size)
 
 
 def _plausible_accounts(register: Register, *columns: str) -> DataFrame:
@@ -97,45 +141,45 @@ def _plausible_accounts(register: Register, *columns: str) -> DataFrame:
 
 
 @ranking("siste-konkurser", "Latest bankruptcies", "Status", navn="lenke", konkursdato="dato", ansatte="tall", sted="tekst")
-def latest_bankruptcies(register: Register) -> DataFrame:
+def latest_bankruptcies(register: Register, size: int = SIZE) -> DataFrame:
     rows = register.companies.filter(F.col("konkurs") & F.col("konkursdato").isNotNull())
-    top = _top(rows, F.desc("konkursdato"), F.desc_nulls_last("antall_ansatte"))
+    top = _top(rows, size, F.desc("konkursdato"), F.desc_nulls_last("antall_ansatte"))
     return top.select(ORG, "navn", "konkursdato", _employees(), _place())
 
 
 @ranking("siste-nyetablerte", "Newly registered companies", "Status",
          navn="lenke", registrert="dato", form="tekst", naering="tekst", sted="tekst")
-def newly_registered(register: Register, days: int = 30) -> DataFrame:
+def newly_registered(register: Register, days: int = 30, size: int = SIZE) -> DataFrame:
     registered = F.col("registreringsdato_enhetsregisteret")
     rows = register.active.filter(registered >= F.lit(register.as_of - timedelta(days=days)))
-    top = _top(rows, registered.desc(), F.asc_nulls_last("navn"))
+    top = _top(rows, size, registered.desc(), F.asc_nulls_last("navn"))
     return top.select(
         ORG, "navn", registered.alias("registrert"), F.col("organisasjonsform_kode").alias("form"),
         F.col("naeringskode1_beskrivelse").alias("naering"), _place(),
     )
 
 
-def _by_figure(register: Register, order: Column) -> DataFrame:
+def _by_figure(register: Register, order: Column, size: int) -> DataFrame:
     rows = _plausible_accounts(register).select(
         ORG, "navn", F.col("sum_driftsinntekter").alias("omsetning"), F.col("aarsresultat").alias("resultat"),
         F.col("aar").cast("string").alias("aar"),
     )
-    return _top(rows, order)
+    return _top(rows, size, order)
 
 
 @ranking("storst-omsetning", "Largest revenue", "Regnskap", navn="lenke", omsetning="belop", resultat="belop", aar="tekst")
-def largest_revenue(register: Register) -> DataFrame:
-    return _by_figure(register, F.desc_nulls_last("omsetning"))
+def largest_revenue(register: Register, size: int = SIZE) -> DataFrame:
+    return _by_figure(register, F.desc_nulls_last("omsetning"), size)
 
 
 @ranking("storst-overskudd", "Largest profit", "Regnskap", navn="lenke", resultat="belop", omsetning="belop", aar="tekst")
-def largest_profit(register: Register) -> DataFrame:
-    return _by_figure(register, F.desc_nulls_last("resultat"))
+def largest_profit(register: Register, size: int = SIZE) -> DataFrame:
+    return _by_figure(register, F.desc_nulls_last("resultat"), size)
 
 
 @ranking("storst-underskudd", "Largest loss", "Regnskap", navn="lenke", resultat="belop", omsetning="belop", aar="tekst")
-def largest_loss(register: Register) -> DataFrame:
-    return _by_figure(register, F.asc_nulls_last("resultat"))
+def largest_loss(register: Register, size: int = SIZE) -> DataFrame:
+    return _by_figure(register, F.asc_nulls_last("resultat"), size)
 
 
 def _revenue_change(register: Register, base: int) -> DataFrame:
@@ -147,40 +191,40 @@ def _revenue_change(register: Register, base: int) -> DataFrame:
 
 
 @ranking("storst-vekst", "Fastest growing revenue", "Regnskap", navn="lenke", vekst="prosent", fra="belop", til="belop")
-def fastest_growth(register: Register, base: int = 10_000_000) -> DataFrame:
+def fastest_growth(register: Register, base: int = 10_000_000, size: int = SIZE) -> DataFrame:
     rows = _revenue_change(register, base).filter("til > fra")
-    return _top(rows, F.expr("(til - fra) / fra").desc())
+    return _top(rows, size, F.expr("(til - fra) / fra").desc())
 
 
 @ranking("storst-fall", "Fastest falling revenue", "Regnskap", navn="lenke", vekst="prosent", fra="belop", til="belop")
-def fastest_decline(register: Register, base: int = 10_000_000) -> DataFrame:
+def fastest_decline(register: Register, base: int = 10_000_000, size: int = SIZE) -> DataFrame:
     rows = _revenue_change(register, base).filter("til < fra and til >= 0")
-    return _top(rows, F.expr("(til - fra) / fra").asc(), F.desc("fra"))
+    return _top(rows, size, F.expr("(til - fra) / fra").asc(), F.desc("fra"))
 
 
 @ranking("negativ-egenkapital", "Negative equity", "Regnskap", navn="lenke", egenkapital="belop", gjeld="belop", ansatte="tall")
-def negative_equity(register: Register) -> DataFrame:
+def negative_equity(register: Register, size: int = SIZE) -> DataFrame:
     rows = _plausible_accounts(register, "konkurs", "antall_ansatte").filter(~F.col("konkurs") & (F.col("sum_egenkapital") < 0))
     shown = rows.select(
         ORG, "navn", F.col("sum_egenkapital").alias("egenkapital"), F.col("sum_gjeld").alias("gjeld"), _employees()
     )
-    return _top(shown, F.asc("egenkapital"))
+    return _top(shown, size, F.asc("egenkapital"))
 
 
 @ranking("hoyest-aksjekapital", "Largest share capital", "Regnskap", navn="lenke", kapital="belop", form="tekst", sted="tekst")
-def largest_capital(register: Register) -> DataFrame:
+def largest_capital(register: Register, size: int = SIZE) -> DataFrame:
     rows = register.active.filter(F.col("kapital_belop").isNotNull() & (F.col("kapital_valuta") == "NOK"))
     shown = rows.select(
         ORG, "navn", F.col("kapital_belop").alias("kapital"), F.col("organisasjonsform_kode").alias("form"), _place()
     )
-    return _top(shown, F.desc("kapital"))
+    return _top(shown, size, F.desc("kapital"))
 
 
 @ranking("resultat-per-ansatt", "Profit per employee", "Regnskap", navn="lenke", per_ansatt="belop", resultat="belop", ansatte="tall")
-def profit_per_employee(register: Register, employees: int = 20) -> DataFrame:
+def profit_per_employee(register: Register, employees: int = 20, size: int = SIZE) -> DataFrame:
     rows = _plausible_accounts(register, "antall_ansatte").filter((F.col("antall_ansatte") >= employees) & (F.col("aarsresultat") > 0))
     each = F.col("aarsresultat") / F.col("antall_ansatte")
-    top = _top(rows, each.desc())
+    top = _top(rows, size, each.desc())
     return top.select(
         ORG, "navn", F.col("antall_ansatte").alias("ansatte"), F.col("aarsresultat").alias("resultat"),
         F.round(each, 0).alias("per_ansatt"),
@@ -199,7 +243,7 @@ PERSON = ["person_fornavn", "person_etternavn", "person_fodselsdato"]
 
 @ranking("mektigste-kvinner", "Most influential women", "Roller", navn="lenke", rolle="tekst", omsetning="belop",
          ansatte="tall", datterselskap="tall", verv="tall", poeng="tall")
-def most_influential_women(register: Register) -> DataFrame:
+def most_influential_women(register: Register, size: int = SIZE) -> DataFrame:
     """One row per woman who leads or chairs a company, shown as her largest company, never by name.
 
     The score adds the logarithms of revenue, headcount, subsidiaries and seats.
@@ -231,17 +275,17 @@ def most_influential_women(register: Register) -> DataFrame:
         ORG, "navn", "rolle", "omsetning", _employees(), F.coalesce("datterselskap", zero).alias("datterselskap"), "verv",
         F.round(score, 1).alias("poeng"),
     )
-    return rows.orderBy(F.desc("poeng"), F.asc(ORG), F.asc_nulls_last("rolle"), F.desc("verv")).limit(SIZE)
+    return rows.orderBy(F.desc("poeng"), F.asc(ORG), F.asc_nulls_last("rolle"), F.desc("verv")).limit(size)
 
 
 @ranking("kvinner-daglig-leder", "Largest companies led by a woman", "Roller", navn="lenke", ansatte="tall", naering="tekst", sted="tekst")
-def largest_led_by_women(register: Register) -> DataFrame:
+def largest_led_by_women(register: Register, size: int = SIZE) -> DataFrame:
     led = _roles_with_gender(register, "K").filter(F.col("rolletype_kode") == "DAGL").select(ORG).distinct()
     rows = register.active.filter(F.col("antall_ansatte").isNotNull()).join(led, ORG, "left_semi")
     shown = rows.select(
         ORG, "navn", F.col("antall_ansatte").alias("ansatte"), _place(), F.col("naeringskode1_beskrivelse").alias("naering")
     )
-    return _top(shown, F.desc("ansatte"))
+    return _top(shown, size, F.desc("ansatte"))
 
 
 def _managers(register: Register, *columns: str) -> DataFrame:
@@ -276,30 +320,30 @@ def women_by_county(register: Register, more_than: int = 500) -> DataFrame:
 
 @ranking("kvinneandel-naering", "Share of women among managers, by industry", "Roller",
          naering="tekst", andel="prosent", kvinner="tall", totalt="tall")
-def women_by_industry(register: Register, more_than: int = 300) -> DataFrame:
+def women_by_industry(register: Register, more_than: int = 300, size: int = SIZE) -> DataFrame:
     rows = _managers(register, "naeringskode1_kode").withColumnRenamed("naeringskode1_kode", "kode")
     named = rows.join(register.industries.select("kode", F.col("navn").alias("naering")), "kode")
-    return _top(_weighted_share(named, "naering", more_than), F.desc("andel"), key="naering")
+    return _top(_weighted_share(named, "naering", more_than), size, F.desc("andel"), key="naering")
 
 
 @ranking("flest-datterselskap", "Most subsidiaries", "Eierskap", navn="lenke", datterselskap="tall", sted="tekst")
-def most_subsidiaries(register: Register) -> DataFrame:
+def most_subsidiaries(register: Register, size: int = SIZE) -> DataFrame:
     counts = subsidiary_counts(register.holdings).withColumnRenamed("eier_orgnr", ORG)
-    top = _top(counts, F.desc("datterselskap"))
+    top = _top(counts, size, F.desc("datterselskap"))
     named = top.join(register.companies.select(ORG, "navn", "forretningsadresse_poststed"), ORG, "left")
     shown = named.select(ORG, F.coalesce("navn", F.lit("(ukjent)")).alias("navn"), "datterselskap", _place())
-    return _top(shown, F.desc("datterselskap"))
+    return _top(shown, size, F.desc("datterselskap"))
 
 
 @ranking("eldste-foretak", "Oldest active companies", "Status", navn="lenke", stiftet="dato", ansatte="tall", sted="tekst")
-def oldest_companies(register: Register) -> DataFrame:
+def oldest_companies(register: Register, size: int = SIZE) -> DataFrame:
     founded = F.col("stiftelsesdato")
     rows = register.active.filter((founded > "1000-01-01") & ~F.col("konkurs") & ~F.col("under_avvikling"))
-    return _top(rows, founded.asc()).select(ORG, "navn", founded.alias("stiftet"), _employees(), _place())
+    return _top(rows, size, founded.asc()).select(ORG, "navn", founded.alias("stiftet"), _employees(), _place())
 
 
 @ranking("flest-aksjonarer", "Most shareholders", "Eierskap", navn="lenke", eiere="tall", foretakseiere="tall")
-def most_shareholders(register: Register) -> DataFrame:
+def most_shareholders(register: Register, size: int = SIZE) -> DataFrame:
     """Holdings of all years; holders of unknown kind count as owners but not as companies."""
     counts = register.holdings.groupBy(ORG, "selskap_navn").agg(
         F.count(F.lit(1)).alias("eiere"), F.count_if(~F.col("er_person")).alias("foretakseiere")
@@ -308,10 +352,10 @@ def most_shareholders(register: Register) -> DataFrame:
     rows = named.groupBy(ORG, F.coalesce("navn", "selskap_navn").alias("navn")).agg(
         F.sum("eiere").alias("eiere"), F.sum("foretakseiere").alias("foretakseiere")
     )
-    return rows.orderBy(F.desc("eiere"), F.asc(ORG), F.asc_nulls_last("navn")).limit(SIZE)
+    return rows.orderBy(F.desc("eiere"), F.asc(ORG), F.asc_nulls_last("navn")).limit(size)
 
 
-def clients_of(register: Register, role: str) -> DataFrame:
+def clients_of(register: Register, role: str, size: int = SIZE) -> DataFrame:
     """Holders of a role ranked by how many companies they hold it for."""
     held = register.roles.filter((F.col("rolletype_kode") == role) & F.col("innehaver_orgnr").isNotNull() & ~F.col("avregistrert"))
     pairs = held.select(F.col("innehaver_orgnr").alias("_holder"), "innehaver_navn", ORG).distinct()
@@ -319,22 +363,22 @@ def clients_of(register: Register, role: str) -> DataFrame:
     label = F.coalesce("navn", "innehaver_navn").alias("navn")
     clients = pairs.join(names, "_holder", "left").groupBy(F.col("_holder").alias("innehaver"), label)
     rows = clients.agg(F.countDistinct(ORG).alias("klienter"))
-    ranked = rows.orderBy(F.desc("klienter"), F.asc("innehaver"), F.asc_nulls_last("navn")).limit(SIZE)
+    ranked = rows.orderBy(F.desc("klienter"), F.asc("innehaver"), F.asc_nulls_last("navn")).limit(size)
     return ranked.withColumnRenamed("innehaver", ORG)
 
 
 @ranking("revisorer-klienter", "Auditors with most clients", "Eierskap", navn="lenke", klienter="tall")
-def auditors(register: Register) -> DataFrame:
-    return clients_of(register, "REVI")
+def auditors(register: Register, size: int = SIZE) -> DataFrame:
+    return clients_of(register, "REVI", size)
 
 
 @ranking("regnskapsforere-klienter", "Accountants with most clients", "Eierskap", navn="lenke", klienter="tall")
-def accountants(register: Register) -> DataFrame:
-    return clients_of(register, "REGN")
+def accountants(register: Register, size: int = SIZE) -> DataFrame:
+    return clients_of(register, "REGN", size)
 
 
 @ranking("nyetablering-kommune", "New companies by municipality", "Geografi", kommune="tekst", fylke="tekst", nye="tall")
-def new_by_municipality(register: Register, days: int = 365) -> DataFrame:
+def new_by_municipality(register: Register, days: int = 365, size: int = SIZE) -> DataFrame:
     """Companies registered in the last year, those since deleted included."""
     recent = register.companies.filter(
         F.col("registreringsdato_enhetsregisteret") >= F.lit(register.as_of - timedelta(days=days))
@@ -342,12 +386,12 @@ def new_by_municipality(register: Register, days: int = 365) -> DataFrame:
     counts = recent.groupBy("forretningsadresse_kommunenummer").agg(F.count(F.lit(1)).alias("nye"))
     rows = counts.join(_municipality_names(register), "forretningsadresse_kommunenummer")
     rows = rows.groupBy("kommune", "fylke").agg(F.sum("nye").alias("nye"))
-    return rows.orderBy(F.desc("nye"), "kommune", "fylke").limit(SIZE)
+    return rows.orderBy(F.desc("nye"), "kommune", "fylke").limit(size)
 
 
 @ranking("konkurser-naering", "Industries with most bankruptcies", "Geografi",
          naering="tekst", konkurser="tall", totalt="tall", andel="prosent")
-def bankruptcies_by_industry(register: Register, more_than: int = 20) -> DataFrame:
+def bankruptcies_by_industry(register: Register, more_than: int = 20, size: int = SIZE) -> DataFrame:
     counts = register.companies.groupBy(F.col("naeringskode1_kode").alias("kode")).agg(
         F.count_if("konkurs").alias("_k"), F.count(F.lit(1)).alias("_n")
     )
@@ -355,4 +399,4 @@ def bankruptcies_by_industry(register: Register, more_than: int = 20) -> DataFra
     rows = named.groupBy("naering").agg(F.sum("_k").alias("konkurser"), F.sum("_n").alias("totalt"))
     percent = F.round(F.lit(100).cast("decimal(20,0)") * F.col("konkurser") / F.col("totalt"), 2)
     rows = rows.filter(F.col("konkurser") > more_than).withColumn("andel", percent)
-    return _top(rows, F.desc("konkurser"), key="naering")
+    return _top(rows, size, F.desc("konkurser"), key="naering")

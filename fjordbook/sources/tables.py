@@ -10,7 +10,7 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fjordbook.operators.keyed import first_per_key
@@ -60,15 +60,17 @@ class TableStore:
         """Write several tables and make them live at once, with one write of the manifest.
 
         Each goes to a folder of its own, whoever else publishes meanwhile; a
-        failure before the manifest leaves all live versions as they were.
+        failure before the manifest leaves all live versions as they were. Rows are
+        counted as they are written.
         """
         rows, stored = [], []
         for name, df in frames.items():
             started = datetime.now(timezone.utc)
             path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
+            written = Observation()
+            df.observe(written, F.count(F.lit(1)).alias("antall")).write.parquet(path)
             stored.append(self.spark.read.parquet(path))
-            rows.append((name, path, stored[-1].count(), started, None, properties))
+            rows.append((name, path, written.get["antall"], started, None, properties))
         self._log(*rows)
         return stored
 
@@ -79,6 +81,11 @@ class TableStore:
     def retire(self, name: str) -> None:
         self._log((name, None, None, datetime.now(timezone.utc), None, None))
 
+    def size(self, name: str) -> int:
+        """Rows of the live version, as counted when it was written; none if there is no such table."""
+        row = self.manifest().filter(F.col("navn") == name).select("antall").first()
+        return row.antall if row else 0
+
     def read(self, name: str) -> DataFrame:
         row = self.manifest().filter(F.col("navn") == name).select("sti").first()
         if row is None:
