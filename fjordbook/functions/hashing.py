@@ -40,17 +40,37 @@ def role_fingerprint() -> Column:
     return F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
 
 
-def fnv1a(texts: pd.Series) -> np.ndarray:
-    """32-bit FNV-1a over UTF-16 code units, one hash per text, all texts at once."""
-    encoded = [t.encode("utf-16-le") for t in texts]
-    units = np.frombuffer(b"".join(encoded), dtype=np.uint16)
-    lengths = np.fromiter((len(e) // 2 for e in encoded), dtype=np.int64, count=len(encoded))
-    starts = np.cumsum(lengths) - lengths
-    hashes = np.full(len(encoded), FNV_OFFSET, dtype=np.uint32)
+def fnv1a(texts: pd.Series, behind: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """32-bit FNV-1a over UTF-16 code units of each text, and of each with ``behind`` added, all texts at once.
+
+    Texts are taken from the longest on, so those that still have a unit at a position stand first.
+    """
+    joined = "\0".join(texts) + "\0"
+    if joined.count("\0") == len(texts):
+        units = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
+        ends = np.flatnonzero(units == 0)
+        lengths = np.diff(ends, prepend=-1) - 1
+        starts = ends - lengths
+    else:
+        encoded = [t.encode("utf-16-le") for t in texts]
+        units = np.frombuffer(b"".join(encoded), np.uint16)
+        lengths = np.fromiter((len(e) // 2 for e in encoded), np.int64, len(encoded))
+        starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    starts, shrinking = starts[order], -lengths[order]
+    sorted_hashes = np.full(len(texts), FNV_OFFSET, np.uint32)
+    prime = np.uint32(FNV_PRIME)
     for position in range(int(lengths.max(initial=0))):
-        rows = np.flatnonzero(lengths > position)
-        hashes[rows] = (hashes[rows] ^ units[starts[rows] + position]) * np.uint32(FNV_PRIME)
-    return hashes
+        left = sorted_hashes[:np.searchsorted(shrinking, -position)]
+        left ^= units[starts[:len(left)] + position]
+        left *= prime
+    hashes = np.empty_like(sorted_hashes)
+    hashes[order] = sorted_hashes
+    more = hashes.copy()
+    for unit in np.frombuffer(behind.encode("utf-16-le"), np.uint16):
+        more ^= np.uint32(unit)
+        more *= prime
+    return hashes, more
 
 
 _SLOT = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("sign", T.IntegerType())])
@@ -58,8 +78,9 @@ _SLOT = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("sig
 
 def signed_slots(tokens: pd.Series) -> np.ndarray:
     """Where each token lands in a 4096-wide hashed vector; places of negative sign are given as ``-1 - slot``."""
-    slot = (fnv1a(tokens) % 4096).astype(np.int32)
-    return np.where(fnv1a(tokens + "#sign") % 2 == 0, slot, -1 - slot) if len(tokens) else slot
+    place, sign = fnv1a(tokens, "#sign")
+    slot = (place % 4096).astype(np.int32)
+    return np.where(sign % 2 == 0, slot, -1 - slot)
 
 
 @F.pandas_udf(_SLOT)

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from fjordbook.functions import text as T
-from fjordbook.functions.hashing import signed_slots, token_slot
+from fjordbook.functions.hashing import signed_slots
 from fjordbook.operators.keyed import top_per_key
-from fjordbook.session import durable
+from fjordbook.session import busy, durable
 
 WIDTH = 4096
 
@@ -55,16 +55,17 @@ def chunk(documents: DataFrame, key: str = "doc_id", title: str = "title", text:
 def counted_terms(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, tokens, tf, places)``: the different unigrams and bigrams of each document, how often each occurs, and its hashed place.
 
-    A place is a slot, or below zero where the slot's sign is. Counted inside the row: texts are reduced to stems where they are read, and a batch
-    of them is split and counted as arrays. No text is shuffled.
+    A place is a slot, or below zero where the slot's sign is. Counted inside the row: the different words of a batch of texts are stemmed once,
+    and all are counted as arrays. The texts of a large table are not shuffled.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = pc.split_pattern(batch.column("_stems").fill_null(""), " ")
-            words = split.flatten()
-            owner = np.repeat(np.arange(len(batch)), split.value_lengths().to_numpy())
-            full = pc.not_equal(words, "")
-            words, owner = words.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+            split = pc.split_pattern(batch.column("_words").fill_null(""), " ")
+            words = split.flatten().dictionary_encode()
+            stems = T.stem_each(words.dictionary).take(words.indices)
+            full = pc.is_valid(stems).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(batch)), split.value_lengths().to_numpy())[full]
+            words = stems.drop_null()
             follows = np.flatnonzero(owner[1:] == owner[:-1])
             pairs = pc.binary_join_element_wise(words.take(pa.array(follows)), words.take(pa.array(follows + 1)), "_")
             found = pa.concat_arrays([words, pairs]).dictionary_encode()
@@ -76,7 +77,7 @@ def counted_terms(documents: DataFrame, key: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.ListArray.from_arrays(at, v) for v in values]], [key, "tokens", "tf", "places"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, T.stems(F.col(text)).alias("_stems")).mapInArrow(count, f"{key} {kind}, tokens array<string>, tf array<long>, places array<int>")
+    return busy(documents.select(key, text)).select(key, T.spaced_words(F.col(text)).alias("_words")).mapInArrow(count, f"{key} {kind}, tokens array<string>, tf array<long>, places array<int>")
 
 
 def exploded_counts(counted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -100,35 +101,15 @@ def _each(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
 
 
 def idf(counts: DataFrame, n_documents: Column) -> DataFrame:
-    """Document frequency, smoothed inverse document frequency, and hashed place of each token."""
+    """Document frequency and smoothed inverse document frequency of each token."""
     df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighted = df.withColumns({"idf": F.ln((n_documents + 1) / (F.col("df") + 1)) + 1, "_h": token_slot("token")})
-    return weighted.select("token", "df", "idf", "_h.slot", "_h.sign")
-
-
-def question_weights(counts: DataFrame, weights: DataFrame, n_documents: Column) -> DataFrame:
-    """Weights of the tokens in some questions. Weights come from the documents alone.
-
-    A token no document has is weighted as the rarest.
-    """
-    asked = counts.select("token").distinct()
-    known = weights.join(asked, "token", "left_semi")
-    unseen = asked.join(known.select("token"), "token", "left_anti")
-    rare = unseen.select(
-        "token", F.lit(0).cast("long").alias("df"), (F.ln(n_documents + 1) + 1).alias("idf"), token_slot("token").alias("_h")
-    )
-    return known.unionByName(rare.select("token", "df", "idf", "_h.slot", "_h.sign"))
+    return df.withColumn("idf", F.ln((n_documents + 1) / (F.col("df") + 1)) + 1)
 
 
 def count_of(documents: DataFrame) -> Column:
     return documents.select(F.count(F.lit(1))).scalar()
 
 
-def embed_tfidf(counts: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Unit-length hashed TF-IDF vectors as ``(slots, values)`` arrays, at most 4096 entries each."""
-    return _unit_vectors(counts.join(weights, "token"), key)
-
-
 def _unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
     """Vectors from ``(key, tf, idf, slot, sign)`` rows: one shuffle, by document."""
     weight = F.col("sign") * (1 + F.ln("tf")) * F.col("idf")
@@ -161,8 +142,11 @@ def index_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def embed_questions(questions: DataFrame, weights: DataFrame, n_documents: Column, key: str = "query_id", text: str = "text") -> DataFrame:
-    counts = durable(term_counts(questions, key, text))
-    return embed_tfidf(counts, question_weights(counts, weights, n_documents), key)
+    """Vectors of questions, with the weights of the documents alone; a token no document has is weighted as the rarest."""
+    counts = durable(exploded_counts(counted_terms(questions, key, text), key))
+    known = weights.select("token", "idf").join(counts.select("token").distinct(), "token", "left_semi")
+    weighted = counts.join(known, "token", "left").withColumn("idf", F.coalesce("idf", F.ln(n_documents + 1) + 1))
+    return _unit_vectors(weighted, key)
 
 
 def cosine(a: Column, b: Column) -> Column:

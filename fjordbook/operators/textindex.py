@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordbook.functions import text as T
-from fjordbook.session import durable
+from fjordbook.session import busy, durable
 
 # What a hit in a field of each letter weighs.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -49,7 +49,7 @@ def postings(rows: DataFrame, key: str, fields: Sequence[tuple[str, Column]], sh
     every = F.array(F.struct(F.lit(EVERY).alias("token"), F.lit(-1).cast("long").alias("plass")))
     found = F.concat(every, *[placed(n, text) for n, (_, text) in enumerate(fields)])
     # the outer form: the plain one would compute the tokens twice, once to test for an empty list
-    each = rows.filter(F.col(key).isNotNull()).select(key, F.explode_outer(found).alias("t")).select(_share(key, shares).alias("andel"), "t.token", key, "t.plass")
+    each = busy(rows).filter(F.col(key).isNotNull()).select(key, F.explode_outer(found).alias("t")).select(_share(key, shares).alias("andel"), "t.token", key, "t.plass")
     return each.groupBy("andel", "token", key).agg(F.sort_array(F.collect_list("plass")).alias("plasser"))
 
 

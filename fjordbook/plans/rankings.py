@@ -253,6 +253,7 @@ def most_influential_women(register: Register, size: int = SIZE) -> DataFrame:
     leads = leads.select(ORG, F.col("rolletype_beskrivelse").alias("rolle"), *PERSON)
 
     seats = register.roles.filter(~F.col("avregistrert") & F.col("rollegruppe_kode").isin("STYR", "DAGL")).dropna(subset=PERSON)
+    seats = seats.select(ORG, *PERSON).join(leads.select(*PERSON), PERSON, "left_semi")  # only of the women who lead
     seats = seats.groupBy(*PERSON).agg(F.countDistinct(ORG).alias("verv"))
 
     companies = register.active.filter(~F.col("konkurs")).select(ORG, "navn", "antall_ansatte")
@@ -261,8 +262,8 @@ def most_influential_women(register: Register, size: int = SIZE) -> DataFrame:
     led = leads.join(companies, ORG).join(revenue, ORG, "left").join(owned, ORG, "left")
 
     zero = F.lit(0)
-    size = F.coalesce("omsetning", zero) + F.coalesce("antall_ansatte", zero) * 1_000_000
-    flagship = first_per_key(led, PERSON, size.desc(), F.asc(ORG), F.asc_nulls_last("rolle"))
+    weight = F.coalesce("omsetning", zero) + F.coalesce("antall_ansatte", zero) * 1_000_000
+    flagship = first_per_key(led, PERSON, weight.desc(), F.asc(ORG), F.asc_nulls_last("rolle"))
 
     def log_of(amount: Column) -> Column:
         return F.ln(F.greatest(amount, F.lit(1)).cast("double"))

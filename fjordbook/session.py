@@ -50,3 +50,12 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def busy(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is read in fewer partitions than there are cores, else as it is.
+
+    For costly work per row on a table of a few files; a large table is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

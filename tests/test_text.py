@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +77,9 @@ def test_fnv_matches_a_plain_loop():
             h = ((h ^ (lo | hi << 8)) * 16777619) & 0xFFFFFFFF
         return h
     texts = ["", "a", "order", "ærlig", "order_api#sign", "😀 x"]
-    assert fnv1a(pd.Series(texts)).tolist() == [slow(t) for t in texts]
+    for together in (texts, [*texts, "a\0b"]):
+        assert fnv1a(pd.Series(together))[0].tolist() == [slow(t) for t in together]
+        assert fnv1a(pd.Series(together), "#sign")[1].tolist() == [slow(t + "#sign") for t in together]
 
 
 def test_sentences_and_windows(spark):
@@ -246,3 +249,53 @@ def test_heading_lines_are_not_quoted(spark):
     weights = X.idf(X.term_counts(documents), X.count_of(documents))
     quoted = [r.setning for r in X.extractive_answers(questions, passages, weights, X.count_of(documents), headed=True).collect()]
     assert quoted == ["Ordering goods takes three days in all."]
+
+
+def test_words_stemmed_once_are_those_of_the_column(spark):
+    """The stemmer of an array of words against that of a text column, on made-up words with all endings."""
+    r = random.Random(8)
+    heads = ["", "a", "bu", "pas", "cla", "respon", "quick", "é", "日", "x1"]
+    tails = ["", "s", "ss", "ses", "sses", "ies", "us", "ion", "ions", "ing", "ings", "ed", "ly", "y", "es", "ees"]
+    words = sorted({h + t for h in heads for t in tails} | {"the", "a"} | {"".join(r.choices("abesingltyou", k=r.randrange(2, 9))) for _ in range(400)})
+    words = [w for w in words if w]
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+    want = {x.w: x.s for x in frame.select("w", T.stems(F.col("w")).alias("s")).collect()}
+    got = dict(zip(words, T.stem_each(pa.array(words)).to_pylist(), strict=True))
+    assert {w: s or "" for w, s in got.items()} == want
+
+
+def test_sparse_neighbours_skip_but_miss_nothing(spark, monkeypatch):
+    """Postings with thresholds against all products: short and long vectors, signs, ties, empty queries, several blocks."""
+    rng = np.random.default_rng(5)
+
+    def vectors(n, first):
+        out = []
+        for i in range(n):
+            slots = np.sort(rng.choice(60, rng.integers(1, 30), replace=False))
+            values = rng.choice([-0.5, 0.25, 0.5, 1.0], len(slots)) if i % 3 else rng.normal(size=len(slots))
+            out.append((first + i, slots.tolist(), (values / np.linalg.norm(values)).tolist(), "m" if i % 5 else "n"))
+        return out
+
+    docs, asked = vectors(300, 0), vectors(20, 1000)
+    docs += [(400 + i, *docs[4][1:]) for i in range(30)]  # ties beyond the wanted number
+    shape = "slots array<int>, values array<double>, model string"
+    frames = spark.createDataFrame(asked, f"query_id long, {shape}"), spark.createDataFrame(docs, f"doc_id long, {shape}").repartition(3)
+
+    def dense(rows):
+        x = np.zeros((len(rows), 60))
+        for i, (_, s, v, _) in enumerate(rows):
+            x[i, s] = v
+        return x
+
+    scores = np.round(dense(asked) @ dense(docs).T, 12)
+    for model in (False, True):
+        want = {}
+        for q, row in enumerate(asked):
+            ranked = sorted((-scores[q, d], doc[0]) for d, doc in enumerate(docs) if not model or doc[3] == row[3])[:7]
+            want[row[0]] = [(i, round(-s, 6) + 0.0) for s, i in ranked]
+        picked = frames if model else tuple(f.drop("model") for f in frames)
+        for entries in (1 << 20, 60):
+            got = {}
+            for x in X.knn_sparse(*picked, 7, entries=entries).orderBy("query_id", "rank").collect():
+                got.setdefault(x.query_id, []).append((x.doc_id, x.score))
+            assert got == want
