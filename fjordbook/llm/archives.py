@@ -44,7 +44,7 @@ ARC_FIELDS = {
 #: Payloads from this size on are revisited; date of records that have none; bytes of rows sent on at once.
 REVISIT_FROM, DATE, AT_ONCE = 1000, "20240101000000", 8 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-KEY = re.compile(r"#page-(-?\d+)$")
+KEY = re.compile(r"#page-(-?\d*)$")
 
 
 def _rows(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], weight) -> Iterator[pa.RecordBatch]:
@@ -66,14 +66,17 @@ def _save(records: DataFrame, end: str, path: str) -> None:
 
 
 def address(url: str | None, page_id: int | None) -> str:
-    """The address a record is kept under: ARC has no other place for a key."""
+    """The address a record is kept under: ARC has no other place for a key.
+
+    A page without a key ends in an empty one, so nothing in its own address is taken for a key.
+    """
     plain = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "unknown:")
-    return plain if page_id is None else f"{plain}#page-{page_id}"
+    return f"{plain}#page-{'' if page_id is None else page_id}"
 
 
 def page_key(target: str) -> int | None:
     found = KEY.search(target)
-    return int(found[1]) if found else None
+    return int(found[1]) if found and found[1] else None
 
 
 def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -191,17 +194,17 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     def run(batches):
         def records():
             for batch in batches:
-                for data in batch.column(0):
-                    for r in parse_arc(data.as_py()):
+                for data, name in zip(*batch.columns, strict=True):
+                    for number, r in enumerate(parse_arc(data.as_py())):
                         header, payload = http_parts(r["block"])
                         status = r.get("Result-code") or (header.split(b" ", 2)[1].decode() if header else "200")
-                        yield (r["URL"], r["Archive-date"], r["Content-type"], status, header, payload if payloads else None, hashlib.sha1(payload).digest(), len(payload))
+                        yield (r["URL"], r["Archive-date"], r["Content-type"], status, header, payload if payloads else None, hashlib.sha1(payload).digest(), len(payload), f"{name.as_py().rpartition('/')[2]} {number}")
 
         text, blob = pa.string(), pa.binary()
-        yield from _rows(records(), [*ARC_COLUMNS, "payload_bytes"], [text, text, text, text, blob, blob, blob, pa.int64()], lambda r: len(r[5] or b"") + len(r[4]))
+        yield from _rows(records(), [*ARC_COLUMNS, "payload_bytes", "place"], [text, text, text, text, blob, blob, blob, pa.int64(), text], lambda r: len(r[5] or b"") + len(r[4]))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(lean(run), "target string, date string, content_type string, status string, header binary, payload binary, payload_sha1 binary, payload_bytes long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content", "path")
+    return files.mapInArrow(lean(run), "target string, date string, content_type string, status string, header binary, payload binary, payload_sha1 binary, payload_bytes long, place string")
 
 
 def timestamp(date: str) -> str:
@@ -210,27 +213,27 @@ def timestamp(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(target: str, date: str, digest: bytes) -> str:
-    """The same id each time the same record is converted."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{target} {date} {digest.hex()}')}>"
+def record_id(target: str, date: str, digest: bytes, place: str) -> str:
+    """The same id each time the same record of an archive is converted; records alike have places of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{target} {date} {digest.hex()} {place}')}>"
 
 
 def base32(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def warc_record(target: str, date: str, content_type: str, header: bytes, payload: bytes, digest: bytes, first_target: str | None, first_date: str | None) -> bytes:
+def warc_record(target: str, date: str, content_type: str, header: bytes, payload: bytes, digest: bytes, place: str, first_target: str | None, first_date: str | None, first_place: str | None) -> bytes:
     """One WARC record: a response, or a revisit of the response at ``first_target``."""
     block = header if first_target else header + payload
     fields = {
-        "WARC-Type": "revisit" if first_target else "response", "WARC-Record-ID": record_id(target, date, digest),
+        "WARC-Type": "revisit" if first_target else "response", "WARC-Record-ID": record_id(target, date, digest, place),
         "WARC-Date": timestamp(date), "WARC-Target-URI": target, "WARC-Payload-Digest": base32(digest),
         "WARC-Block-Digest": base32(hashlib.sha1(block).digest()),
         "WARC-Identified-Payload-Type": content_type.replace("\r", " ").replace("\n", " "),
     }
     if first_target:
         fields |= {
-            "WARC-Profile": REVISIT, "WARC-Refers-To": record_id(first_target, first_date, digest),
+            "WARC-Profile": REVISIT, "WARC-Refers-To": record_id(first_target, first_date, digest, first_place),
             "WARC-Refers-To-Target-URI": first_target, "WARC-Refers-To-Date": timestamp(first_date),
         }
     fields |= {"Content-Type": "application/http; msgtype=response" if header else content_type, "Content-Length": str(len(block))}
@@ -247,13 +250,13 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
     key = F.regexp_extract("target", r"#page-(-?\d+)$", 1)
     page = F.nullif(key, F.lit("")).cast("long")
     brief = read_arc(spark, arc_path, payloads=False).filter(F.col("payload_bytes") >= revisit_from)
-    first = F.max(F.struct(page.alias("page"), F.col("target"), F.col("date")))
+    first = F.max(F.struct(page.alias("page"), F.col("target"), F.col("date"), F.col("place")))
     groups = brief.groupBy("payload_sha1").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1")
-    groups = durable(groups.select("payload_sha1", "first.*").withColumnsRenamed({"page": "first_page", "target": "first_target", "date": "first_date"}))
+    groups = durable(groups.select("payload_sha1", "first.*").withColumnsRenamed({"page": "first_page", "target": "first_target", "date": "first_date", "place": "first_place"}))
     records = read_arc(spark, arc_path).join(groups, "payload_sha1", "left")
     again = (F.col("payload_bytes") >= revisit_from) & F.coalesce(page < F.col("first_page"), page.isNull() & F.col("first_page").isNotNull())
     refers = lambda c: F.when(again, F.col(c))
-    rows = records.select("target", "date", "content_type", "header", "payload", "payload_sha1", refers("first_target").alias("first_target"), refers("first_date").alias("first_date"))
+    rows = records.select("target", "date", "content_type", "header", "payload", "payload_sha1", "place", *[refers(c).alias(c) for c in ("first_target", "first_date", "first_place")])
 
     def run(batches):
         def made():

@@ -66,7 +66,21 @@ def test_broken_archives_stop(data):
 
 def test_dates_and_ids():
     assert A.timestamp("20010203") == "2001-02-03T00:00:00Z" and A.timestamp("2001") == "2001-01-01T00:00:00Z"
-    assert A.record_id("u", "d", b"x") == A.record_id("u", "d", b"x") != A.record_id("u", "e", b"x")
+    ids = [A.record_id("u", d, b"x", place) for d, place in (("d", "f 1"), ("d", "f 1"), ("e", "f 1"), ("d", "f 2"))]
+    assert ids[0] == ids[1] and len(set(ids)) == 3
+
+
+def test_addresses_that_look_like_keys_and_records_alike(spark, tmp_path):
+    body = "x" * 1200
+    pages = [(7, "http://a", body), (None, "http://a#page-7", body), (None, "http://b#page-", body), (3, "http://c#page-9", body), (7, "http://a", body), (8, "http://d", "short"), (8, "http://d", "short")]
+    A.write_arc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"{tmp_path}/arc")
+    A.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    rows = A.read_warc(spark, f"{tmp_path}/warc").collect()
+    assert len({r.record_id for r in rows}) == len(pages)
+    assert sorted((r.page_id is None, r.page_id or 0, r.target, r.record_type, r.refers_to) for r in rows) == [
+        (False, 3, "http://c#page-9", "revisit", 7), (False, 7, "http://a", "response", None), (False, 7, "http://a", "response", None),
+        (False, 8, "http://d", "response", None), (False, 8, "http://d", "response", None),
+        (True, 0, "http://a#page-7", "revisit", 7), (True, 0, "http://b#page-", "revisit", 7)]
 
 
 def test_members_of_a_gzip_file():
