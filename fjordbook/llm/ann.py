@@ -95,12 +95,17 @@ def usable(rows: DataFrame, vector: str) -> Column:
 
 
 def vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(id, vector)`` of the rows that take part."""
-    kept = rows.filter(F.col(f"`{key}`").isNotNull() & usable(rows, vector)).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("vector"))
+    """``(id, vector)`` of the rows that take part; floats stay floats, all other numbers become doubles."""
+    kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    kept = rows.filter(F.col(f"`{key}`").isNotNull() & usable(rows, vector)).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast(kind).alias("vector"))
     common = kept.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return kept.filter(F.size("vector") == (common["n"] if common else 0))
 
 
+def kind_of(rows: DataFrame) -> str:
+    return rows.schema["vector"].dataType.simpleString()
+
+
 def matrix(column) -> np.ndarray:
     """A list column of one length as rows of a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -119,7 +124,7 @@ def coded(rows: DataFrame, coder: Coder) -> DataFrame:
             codes = coder.codes(matrix(batch.column("vector")).astype(np.float64)) if len(batch) else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64))], ["id", "vector", "code"])
 
-    return rows.mapInArrow(lean(run), "id long, vector array<float>, code long")
+    return rows.mapInArrow(lean(run), f"id long, vector {kind_of(rows)}, code long")
 
 
 def substring(code: np.ndarray, j: int) -> np.ndarray:
@@ -129,12 +134,12 @@ def substring(code: np.ndarray, j: int) -> np.ndarray:
 def nearest(index: DataFrame, queries: DataFrame, k: int, radius: int, total: int) -> DataFrame:
     """``(query_id, vec_id, score)``: the ``k`` nearest found of every query, from stored ``(id, vector, code)`` tables."""
     lead = max(0, min(SUB_BITS - 4, ceil(log2(max(1, total / ROWS)))))
-    reach = radius // SUBSTRINGS
+    tables, reach = 1 if radius >= BITS else SUBSTRINGS, radius // SUBSTRINGS  # within the widest radius the first table has every pair
     shift = SUB_BITS - lead
     part = lambda c, j: F.shiftrightunsigned(c, j * SUB_BITS + shift).bitwiseAND(F.lit((1 << lead) - 1)) + F.lit(j << lead)
-    own = F.array(*[part(F.col("code"), j) for j in range(SUBSTRINGS)])
+    own = F.array(*[part(F.col("code"), j) for j in range(tables)])
     counted = index.select(F.explode(own).alias("part")).groupBy("part").count().collect()  # at most 4 * 2**12 rows
-    shares = np.ones(SUBSTRINGS << lead, np.int64)
+    shares = np.ones(tables << lead, np.int64)
     for row in counted:
         shares[row["part"]] = max(1, -(-row["count"] // ROWS))
     first = np.concatenate([[0], np.cumsum(shares)])
@@ -144,7 +149,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, radius: int, total: in
         def run(batches):
             for batch in batches:
                 code = batch.column("code").to_numpy().view(np.uint64)
-                for j in range(SUBSTRINGS):
+                for j in range(tables):
                     parts = (substring(code, j) >> np.uint64(shift)).astype(np.int64)
                     if is_query:  # every share of every part in the ball
                         parts = (parts[:, None] ^ near[None, :]).ravel() + (j << lead)
@@ -190,7 +195,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, radius: int, total: in
         q, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"query_id": q.astype(np.int64), "vec_id": v, "score": s})
 
-    kind = "part long, is_query boolean, id long, vector array<float>, code long"
+    kind = f"part long, is_query boolean, id long, vector {kind_of(index)}, code long"
     dealt = index.mapInArrow(lean(deal(False)), kind).unionByName(queries.mapInArrow(lean(deal(True)), kind))
     return dealt.groupBy("part").applyInArrow(search, "query_id long, vec_id long, score double")
 

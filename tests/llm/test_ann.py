@@ -72,3 +72,11 @@ def test_probing_finds_every_code_within_the_radius(spark):
             assert got == want
     finally:
         ann.ROWS = rows_limit
+
+
+def test_double_vectors_keep_their_digits(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 8)) * 1e3 + rng.random((300, 8)) * 1e-9
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, vector int")
+    for r in ann.neighbours(ann.vectors(rows), F.col("id") % 10 == 0).collect():
+        assert r.score == np.sqrt(((x[r.vec_id] - x[r.query_id]) ** 2).sum())
