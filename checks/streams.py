@@ -3,14 +3,17 @@
 import uuid
 from datetime import date
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from checks.standins import SCHEMAS, table
+from checks.standins import SCHEMAS, duck, load, table
 from fjordbook.schema import ORG
 from fjordbook.session import checkpoint_root
 from fjordbook.sources.tables import TableStore
 from fjordbook.streaming import changes as S
+from fjordbook.streaming import clients as client_stream
+from fjordbook.streaming.feed import ChangeFeed
 
 
 def _folder(spark):
@@ -134,6 +137,75 @@ def stream_retry(spark, sf_dir):
     return logged.unionByName(S.waiting(spark, out).select(ORG, F.lit("venter").alias("sted"), F.lit(1).alias("batch_id")))
 
 
+_BATCHES = """alle AS (SELECT count(DISTINCT organisasjonsnummer) AS n FROM feed),
+bunker AS (
+  SELECT 0 AS bunke, -1::BIGINT AS etter
+  UNION ALL SELECT bunke + 1, max(forste) - 1 FROM (
+    SELECT b.bunke, b.etter, f.organisasjonsnummer, min(f.oppdateringsid) AS forste FROM bunker b JOIN feed f ON f.oppdateringsid > b.etter GROUP BY ALL) t
+  GROUP BY bunke, etter HAVING count(*) = (SELECT n FROM alle))"""
+
+
+@check("stream_capped_batches", oracle=f"""WITH RECURSIVE {duck('feed').removeprefix('WITH ')},
+{_BATCHES}
+SELECT oppdateringsid, organisasjonsnummer, cast((SELECT max(bunke) FROM bunker b WHERE b.etter < f.oppdateringsid) AS BIGINT) AS bunke FROM feed f""")
+def stream_capped_batches(spark, sf_dir):
+    """Batches of all companies but one; the third is interrupted after its rows are written, and done again."""
+    out, feed = _folder(spark), table(spark, sf_dir, "feed")
+    feed.select(F.col("oppdateringsid").cast("long"), F.col("dato").cast("timestamp"), ORG, "endringstype").repartitionByRange(3, "oppdateringsid").sortWithinPartitions("oppdateringsid").write.parquet(f"{out}/feed")
+    most = feed.agg(F.countDistinct(ORG)).first()[0] - 1
+    spark.dataSource.register(ChangeFeed)
+    failures = [2]
+
+    def batch(rows, number):
+        rows.select("oppdateringsid", ORG).write.mode("overwrite").parquet(f"{out}/bunker/bunke={number}")
+        if number in failures:
+            failures.remove(number)
+            raise RuntimeError("interrupted")
+
+    for _ in range(2):
+        source = spark.readStream.format("endringsstrom").option("path", f"{out}/feed").option("companies", most).option("page", 1000).load()
+        query = source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/sjekk").trigger(processingTime="0 seconds").start()
+        try:
+            query.processAllAvailable()
+        except StreamingQueryException as error:
+            if "interrupted" not in str(error):
+                raise
+        finally:
+            query.stop()
+    return spark.read.parquet(f"{out}/bunker").select("oppdateringsid", ORG, F.col("bunke").cast("long"))
+
+
+def _requests(events):
+    """The events as requests of ten clients, in a twenty-thousandth of their time."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.select((F.col("user_id") % 10).alias("user_id"), "event_type", F.timestamp_micros(F.floor(micros / 20000)).alias("ts"))
+
+
+_REQUESTS = """foresp AS (SELECT user_id % 10 AS user_id, event_type, epoch_us(ts) // 20000 AS t FROM events),
+vinduer AS (
+  SELECT user_id, event_type, min(t) AS s FROM foresp GROUP BY 1, 2
+  UNION ALL SELECT v.user_id, v.event_type, min(f.t) FROM vinduer v JOIN foresp f ON f.user_id = v.user_id AND f.event_type = v.event_type AND f.t >= v.s + 60000000 GROUP BY v.user_id, v.event_type, v.s),
+talt AS (
+  SELECT v.user_id, v.event_type, v.s, count(*) AS antall, s + 60000000 > (SELECT max(t) // 1000 * 1000 - 10000000 FROM foresp) AS apen
+  FROM vinduer v JOIN foresp f ON f.user_id = v.user_id AND f.event_type = v.event_type AND f.t >= v.s AND f.t < v.s + 60000000 GROUP BY ALL)"""
+_WINDOWS = "SELECT user_id, event_type, s AS vindu, antall, greatest(antall - 60, 0) AS avvist, antall > 60 AS over_grensen{} FROM talt"
+
+
+@check("client_windows", oracle=f"WITH RECURSIVE {_REQUESTS}\n{_WINDOWS.format('')}")
+def client_windows(spark, sf_dir):
+    """Sixty requests a minute, in windows from each client's own first request."""
+    rows = client_stream.client_windows(_requests(load(spark, sf_dir, "events")))
+    return rows.withColumn("vindu", F.unix_micros("vindu"))
+
+
+@check("stream_client_windows", oracle=f"WITH RECURSIVE {_REQUESTS}\n{_WINDOWS.format(', apen')}")
+def stream_client_windows(spark, sf_dir):
+    """The same from a stream; windows that the watermark has not passed are marked open."""
+    out = _folder(spark)
+    client_stream.start_client_stream(_requests(_events(spark, sf_dir)), f"{out}/vinduer", f"{out}/sjekk").awaitTermination()
+    return client_stream.streamed_windows(spark, f"{out}/vinduer").withColumn("vindu", F.unix_micros("vindu"))
+
+
 @check("stream_rate_windows", oracle="""
 SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS vindu, user_id, event_type, count(*) AS antall, greatest(count(*) - 1, 0) AS avvist, count(*) > 1 AS over_grensen
 FROM events GROUP BY 1, 2, 3 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL 10 MINUTE""")
