@@ -98,12 +98,14 @@ FROM enheter JOIN naer USING (organisasjonsnummer)
 WHERE slettet_dato IS NULL AND NOT konkurs AND NOT under_avvikling AND NOT under_tvangsavvikling AND avstand < 1
 ORDER BY avstand, navn LIMIT 26""")
 def semantic(spark, sf_dir):
-    """Active companies near the middle of all vectors; a vector's id is its company's key."""
+    """Active companies near the middle of all vectors; a vector's id is its company's key. Another model's vectors, turned round, are not compared."""
     stored = load(spark, sf_dir, "embeddings")
     points = stored.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    middle = points.select(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("m")).first().m
-    vectors = stored.select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias(ORG), "embedding")
-    found = S.semantic(_search(spark, sf_dir, SearchSpec(aktive=True)), vectors, middle, 1.0)
+    middle = points.select(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"])).scalar()
+    key = F.lpad(F.col("vec_id").cast("string"), 9, "0").alias(ORG)
+    vectors = stored.select(key, "embedding", F.lit("a").alias("modell"))
+    other = stored.select(key, F.transform("embedding", lambda x: -x).alias("embedding"), F.lit("b").alias("modell"))
+    found = S.semantic(_search(spark, sf_dir, SearchSpec(aktive=True)), vectors.unionByName(other), middle, 1.0, "a")
     found = found.withColumn("avstand", F.round("avstand", 6))
     return K.page(found, S.sort_order("relevans"), 25).select(ORG, "navn", "avstand", "utdrag")
 

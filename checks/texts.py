@@ -198,9 +198,7 @@ def _passages(spark, sf_dir):
     return questions, kept.join(documents.select("doc_id", "text", "source"), "doc_id"), weights, n
 
 
-@check("extractive_top3", ctes=f"{_SEARCH},\n{_KEPT},\n" + """passasjer AS (
-  SELECT item_id * 100 + rank AS pk, item_id, rank, d.text FROM beholdt JOIN documents d USING (doc_id) WHERE beholdt),
-""" + _SENTENCES.format("pk", "passasjer", "text") + ",\n" + """gode AS (SELECT pk * 1000000 + nr AS sk, pk, nr, setning FROM
+_QUOTED = """gode AS (SELECT pk * 1000000 + nr AS sk, pk, nr, setning FROM
   (SELECT pk, row_number() OVER (PARTITION BY pk ORDER BY nr) - 1 AS nr, setning FROM setninger WHERE length(setning) > 20) t),
 """ + tokens_cte("stok", "gode", "sk", "setning") + ",\n" + """treff AS (
   SELECT s.sk, p.item_id, sum(coalesce(i.idf, ln((SELECT count(*) FROM documents) + 1.0) + 1)) AS overlapp
@@ -208,16 +206,36 @@ def _passages(spark, sf_dir):
   JOIN (SELECT DISTINCT item_id, token FROM qtok) q ON q.item_id = p.item_id AND q.token = s.token LEFT JOIN idf i ON i.token = s.token GROUP BY 1, 2),
 poeng AS (
   SELECT t.item_id, p.rank, g.nr, g.setning, round(overlapp / sqrt(n), 6) AS score
-  FROM treff t JOIN gode g USING (sk) JOIN passasjer p USING (pk) JOIN (SELECT sk, count(*) AS n FROM stok GROUP BY 1) c USING (sk))""",
-       oracle="""
+  FROM treff t JOIN gode g USING (sk) JOIN passasjer p USING (pk) JOIN (SELECT sk, count(*) AS n FROM stok GROUP BY 1) c USING (sk))"""
+_QUOTES = """
 SELECT item_id, rank, nr, score, plass, trim(regexp_replace(setning, '\\s+', ' ', 'g')) || ' [S' || rank || ']' AS linje
-FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, nr) AS plass FROM poeng) t WHERE plass <= 3""")
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, nr) AS plass FROM poeng) t WHERE plass <= 3"""
+
+
+@check("extractive_top3", ctes=f"{_SEARCH},\n{_KEPT},\n" + """passasjer AS (
+  SELECT item_id * 100 + rank AS pk, item_id, rank, d.text FROM beholdt JOIN documents d USING (doc_id) WHERE beholdt),
+""" + _SENTENCES.format("pk", "passasjer", "text") + ",\n" + _QUOTED,
+       oracle=_QUOTES)
 def extractive_top3(spark, sf_dir):
     questions, passages, weights, n = _passages(spark, sf_dir)
     answers = X.extractive_answers(questions, passages, weights, n)
     return answers.select(F.col("query_id").alias("item_id"), "rank", "nr", "score", "plass", "linje")
 
 
+@check("extractive_headed", ctes=f"{_SEARCH},\n{_KEPT},\n" + f"""kropp AS (
+  SELECT doc_id, trim(string_split_regex(text, '(?m)^## +')[1], {_SPACE}) AS body FROM documents),
+passasjer AS (
+  SELECT item_id * 100 + rank AS pk, item_id, rank, substr(body, 1, 900) AS text FROM beholdt JOIN kropp USING (doc_id) WHERE beholdt AND length(body) > 0),
+""" + _SENTENCES.format("pk", "passasjer", "text") + ",\n" + _QUOTED, oracle=_QUOTES)
+def extractive_headed(spark, sf_dir):
+    """Quotes from the first piece of each passage, headed by a title that says the same as its text and must not be quoted."""
+    questions, passages, weights, n = _passages(spark, sf_dir)
+    titled = load(spark, sf_dir, "documents").withColumn("tittel", F.regexp_replace(F.left("text", F.lit(200)), r"\s+", " "))
+    pieces = X.chunk(titled, title="tittel").filter("seksjon = 0 and del = 0 and overskrift = ''").select("doc_id", F.col("tekst").alias("text"))
+    answers = X.extractive_answers(questions, passages.drop("text").join(pieces, "doc_id"), weights, n, headed=True)
+    return answers.select(F.col("query_id").alias("item_id"), "rank", "nr", "score", "plass", "linje")
+
+
 @check("context_assembly", ctes=f"{_SEARCH},\n{_KEPT}", oracle="""
 SELECT item_id, string_agg('[S' || rank || '] (' || source || ' > ' || lang || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS kontekst
 FROM beholdt JOIN documents USING (doc_id) WHERE beholdt GROUP BY 1""")

@@ -169,8 +169,14 @@ def _matrix(pdf: pd.DataFrame, width: int) -> np.ndarray:
     return np.divide(dense, norms, out=np.zeros_like(dense), where=norms > 0)
 
 
-def near(vectors: DataFrame, question: list[float], ceiling: float, key: str = "doc_id") -> DataFrame:
-    """``(key, avstand)`` of the vectors whose cosine distance to one question is below ``ceiling``."""
+def near(vectors: DataFrame, question: list[float] | Column, ceiling: float, key: str = "doc_id") -> DataFrame:
+    """``(key, avstand)`` of the vectors whose cosine distance to one question is below ``ceiling``.
+
+    The question is a list of numbers, or a column such as a scalar subquery.
+    """
+    if isinstance(question, Column):
+        asked = vectors.select(key, "embedding", question.alias("_question"))
+        return asked.select(key, (1 - cosine(F.col("embedding"), F.col("_question"))).alias("avstand")).filter(F.col("avstand") < ceiling)
     asked = np.asarray(question, dtype=np.float64)
     asked = asked / (np.linalg.norm(asked) or 1.0)
 
@@ -466,18 +472,33 @@ def recall(approximate: DataFrame, exact: DataFrame, query_key: str = "query_id"
     return exact.join(found, [query_key, key], "left").agg((F.count("_found") / F.count(F.lit(1))).alias("recall"))
 
 
-def embed_texts(rows: DataFrame, embed, key: str, text: str = "tekst", batch: int = 256) -> DataFrame:
+# What models that were trained with task marks want ahead of a stored text and of a question.
+TASK_PREFIXES = {"nomic-embed-text": ("search_document: ", "search_query: ")}
+
+
+def _prefixes(model: str) -> tuple[str, str]:
+    """A model's marks, whatever tag follows its name; none for models without them."""
+    return TASK_PREFIXES.get(model.partition(":")[0], ("", ""))
+
+
+def embed_question(embed, question: str, model: str) -> list[float]:
+    """The vector of one question, marked as its model wants questions; see :func:`embed_texts`."""
+    (_, vector), = embed([_prefixes(model)[1] + question])
+    return vector
+
+
+def embed_texts(rows: DataFrame, embed, key: str, model: str, text: str = "tekst", batch: int = 256) -> DataFrame:
     """Vectors from a batch embedder, a picklable ``embed(list of texts) -> list of (index, vector)``.
 
-    Replies are put back in the order of the texts, whatever order they come in.
+    Texts are marked as their model wants stored texts. Replies are put back in the order of the texts, whatever order they come in.
     """
-    kind = rows.schema[key].dataType.simpleString()
+    kind, mark = rows.schema[key].dataType.simpleString(), _prefixes(model)[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch]
-                replies = sorted(embed(part[text].tolist()), key=lambda reply: reply[0])
+                replies = sorted(embed([mark + t for t in part[text]]), key=lambda reply: reply[0])
                 if len(replies) != len(part):
                     raise ValueError(f"{len(replies)} vectors for {len(part)} texts")
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [vector for _, vector in replies]})

@@ -170,17 +170,16 @@ def searchable_text() -> Column:
     return F.concat_ws(" ", "navn", "aktivitet", "vedtektsfestet_formaal")
 
 
-def semantic(rows: DataFrame, vectors: DataFrame, question: list[float], ceiling: float, model: str | None = None) -> DataFrame:
+def semantic(rows: DataFrame, vectors: DataFrame, question: list[float] | Column, ceiling: float, model: str) -> DataFrame:
     """Search results near a question, nearest first by ``avstand``.
 
     ``rows`` is a filtered result of :func:`search`; ``question`` the question's
-    vector, made by the model the descriptions were embedded with. Matches carry
+    vector, made by ``model`` (as :func:`retrieval.embed_question` does); only
+    descriptions embedded by the same model are compared. Matches carry
     their similarity and a snippet of the description. The order replaces any
     other sort; take a page of it rather than counting it.
     """
-    if model is not None:
-        vectors = vectors.filter(F.col("modell") == model)
-    found = rows.join(near(vectors, question, ceiling, ORG), ORG)
+    found = rows.join(near(vectors.filter(F.col("modell") == model), question, ceiling, ORG), ORG)
     return found.withColumns({"likhet": F.round(1 - F.col("avstand"), 3), "utdrag": C.snippet(C.description())})
 
 

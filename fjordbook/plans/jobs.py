@@ -123,7 +123,7 @@ def embed_companies(store: TableStore, runs: RunLog, embed, model: str) -> DataF
         shape = f"{ORG} string, tekst_hash string, modell string, embedding array<float>"
         known = _stored(store, "enheter_embedding", store.spark.createDataFrame([], shape))
         todo = needs_embedding(companies, known, model)
-        vectors = embed_texts(todo, embed, ORG).join(todo.select(ORG, "tekst_hash"), ORG)
+        vectors = embed_texts(todo, embed, ORG, model).join(todo.select(ORG, "tekst_hash"), ORG)
         fresh = vectors.select(ORG, "tekst_hash", F.lit(model).alias("modell"), "embedding")
         kept = known.join(todo.select(ORG), ORG, "left_anti")
         stored = store.publish("enheter_embedding", kept.unionByName(fresh))

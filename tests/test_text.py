@@ -178,7 +178,7 @@ def test_embedder_replies_are_put_back_in_order(spark):
     def embed(batch):
         return [(i, [float(len(t))]) for i, t in reversed(list(enumerate(batch)))]
 
-    got = {r.k: r.embedding for r in X.embed_texts(texts, embed, "k", batch=3).collect()}
+    got = {r.k: r.embedding for r in X.embed_texts(texts, embed, "k", "plain-model", batch=3).collect()}
     assert got == {f"k{i}": [float(i + 1)] for i in range(7)}
 
 
@@ -299,3 +299,17 @@ def test_sparse_neighbours_skip_but_miss_nothing(spark, monkeypatch):
             for x in X.knn_sparse(*picked, 7, entries=entries).orderBy("query_id", "rank").collect():
                 got.setdefault(x.query_id, []).append((x.doc_id, x.score))
             assert got == want
+
+
+def test_both_sides_are_marked_for_models_that_want_it(spark):
+    texts = spark.createDataFrame([(1, "laks")], "k long, tekst string")
+
+    def echo(asked):
+        return [(i, [float(ord(c)) for c in t]) for i, t in enumerate(asked)]
+
+    def said(model):
+        stored = X.embed_texts(texts, echo, "k", model).first().embedding
+        return ["".join(chr(int(x)) for x in v) for v in (stored, X.embed_question(echo, "laks", model))]
+
+    assert said("nomic-embed-text:v1.5") == ["search_document: laks", "search_query: laks"]
+    assert said("text-embedding-3-small") == ["laks", "laks"]
