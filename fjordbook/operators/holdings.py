@@ -129,7 +129,7 @@ def largest_holders(holdings: DataFrame, companies: DataFrame, k: int | None = N
     columns = [ORG, "regnskapsaar", "er_person", "eier_orgnr", "eier_navn", "aksjeklasse",
                "antall_aksjer", "antall_aksjer_selskap", "andel_prosent"]
     ties = ["regnskapsaar", "eier_orgnr", "eier_navn", "aksjeklasse", "antall_aksjer"]
-    top = top_per_key(public_holdings(holdings).select(*columns), [ORG], _largest_first(*ties), k, rank="nr")
+    top = top_per_key(public_holdings(holdings).select(*columns), [ORG], _largest_first(*ties), k, rank="nr", spread=True)
     names = companies.select(F.col(ORG).alias("eier_orgnr"), F.col("navn").alias("eier_foretaksnavn"))
     return lookup(top, names, "eier_orgnr", ORG)
 
@@ -139,7 +139,7 @@ def largest_positions(holdings: DataFrame, companies: DataFrame, k: int | None =
     rows = holdings.filter(F.col("eier_orgnr").isNotNull())
     rows = rows.select("eier_orgnr", ORG, "regnskapsaar", "aksjeklasse", "andel_prosent", "antall_aksjer")
     ties = [ORG, "regnskapsaar", "aksjeklasse", "antall_aksjer"]
-    top = top_per_key(rows, ["eier_orgnr"], _largest_first(*ties), k, rank="nr")
+    top = top_per_key(rows, ["eier_orgnr"], _largest_first(*ties), k, rank="nr", spread=True)
     return top.join(companies.select(ORG, "navn"), ORG, "left")
 
 

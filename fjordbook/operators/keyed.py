@@ -18,12 +18,46 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, rank: str | None = None) -> DataFrame:
+#: Rows of one key that a single task may rank.
+ONE_TASK = 1_000_000
+
+
+def ranked_within(df: DataFrame, keys: list[str], order: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """Rows with their rank within their key, however many rows one key has.
+
+    Rows are dealt by ranges of key and order together, so a hot key is cut into as
+    many ranges as it fills, by splitters that Spark samples; a row's rank is its place
+    in its range after the key's rows in the ranges before. Null keys form one group;
+    ``order`` has to tell any two rows of a key apart.
+    """
+    wanted = [F.asc_nulls_first(k) for k in keys] + list(order)
+    dealt = df.repartitionByRange(parts, *wanted) if parts else df.repartitionByRange(*wanted)
+    placed = durable(dealt.sortWithinPartitions(*wanted).withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    key = F.struct(*[F.col(k) for k in keys])
+    ranges = placed.groupBy("_part", key.alias("_key")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a key has a row for each range
+    starts = ranges.select("_part", "_key", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    joined = placed.withColumn("_key", key).join(starts, ["_part", "_key"])
+    return joined.withColumn(name, (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int")).drop("_part", "_key", "_id", "_first", "_before")
+
+
+def ranked_per_key(df: DataFrame, keys: list[str], order: list[Column], name: str, one_task: int = ONE_TASK) -> DataFrame:
+    """All rows with their rank within their key: by a window, or by ranges where a key has more than ``one_task`` rows."""
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > one_task:
+        return ranked_within(df, keys, order, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, rank: str | None = None, spread: bool = False) -> DataFrame:
     """The first ``k`` rows of each key, optionally with their rank as a column; all rows without a ``k``.
 
     The filter on the rank limits each key on the map side already, so a hot key
-    moves at most ``k`` rows per task.
+    moves at most ``k`` rows per task; with ``spread``, all rows of
+    a hot key are ranked by several tasks (see :func:`ranked_per_key`).
     """
+    if k is None and rank and spread:
+        return ranked_per_key(df, keys, order, rank)
     name = rank or "_rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     top = ranked if k is None else ranked.filter(F.col(name) <= k)

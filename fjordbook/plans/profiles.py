@@ -76,7 +76,7 @@ def ended_roles_of(history: DataFrame, k: int | None = None) -> DataFrame:
     """The ended roles of each company, most recent first, all or ``k``."""
     named = history.withColumn("innehaver", holder_name())
     order = [F.desc("sist_sett"), F.asc_nulls_last("rolletype_kode"), F.asc_nulls_last("innehaver"), F.asc_nulls_last("rekkefolge")]
-    return top_per_key(named, [ORG], order, k, rank="nr")
+    return top_per_key(named, [ORG], order, k, rank="nr", spread=True)
 
 
 def roles_by_group(roles: DataFrame) -> DataFrame:
