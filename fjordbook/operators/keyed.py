@@ -94,7 +94,7 @@ def trimmed_page(df: DataFrame, order: list[Column], size: int = 10, number: int
     return rows[:size], len(rows) > size
 
 
-def capped_count(df: DataFrame, cap: int = 10_000) -> DataFrame:
+def capped_count(df: DataFrame, cap: int) -> DataFrame:
     """``(antall, flere)``: the count up to ``cap``, and whether there is more. Stops early."""
     seen = F.count(F.lit(1))
     return (
