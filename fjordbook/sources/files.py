@@ -151,6 +151,15 @@ _DOCUMENT_PATHS = {
 }
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows out of a generator, so that conditions on their columns stay above it.
+
+    Pushed below, to the text, a condition would parse a document anew for every
+    field that it names.
+    """
+    return rows.select(F.inline(F.array(F.struct(*[_column(c) for c in rows.columns]))))
+
+
 def company_documents(documents: DataFrame, body: str = "doc") -> tuple[DataFrame, DataFrame]:
     """Change-feed documents (the company key and JSON text) as ``(rows, rejects)`` in the company table's columns.
 
@@ -213,7 +222,7 @@ def account_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         missing = typed.isNull() | blank if name in ACCOUNT_KEY else typed.isNull() & ~blank
         wrong.append(F.when(missing, name))
     faults = F.when(unread, F.array(F.lit("raw"))).otherwise(F.array_compact(F.array(*wrong)))
-    typed = parsed.select(F.col(f"d.{ORG}").alias(ORG), *[c.alias(n) for n, c in values.items()], F.lit("brreg-api").alias("kilde"), "raw", faults.alias("feil_kolonner"))
+    typed = settled(parsed.select(F.col(f"d.{ORG}").alias(ORG), *[c.alias(n) for n, c in values.items()], F.lit("brreg-api").alias("kilde"), "raw", faults.alias("feil_kolonner")))
     good = F.size("feil_kolonner") == 0
     return typed.filter(good).drop("feil_kolonner"), typed.filter(~good)
 

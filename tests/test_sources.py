@@ -167,3 +167,12 @@ def test_cleaning_rules(spark):
         C.org_key(F.col("k")).alias("k"), C.post_code(F.col("a")).alias("c"), C.post_place(F.col("a")).alias("p"),
         C.to_thousand(F.col("v").cast("decimal(20,2)")).alias("v")).collect()
     assert [tuple(r) for r in got] == [("000000012", "4020", "OSLO S", Decimal("1000.00")), ("123456789", None, None, Decimal("-2000.00"))]
+
+
+def _parses(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+
+
+def test_accounts_documents_are_parsed_once(spark):
+    rows, rejects = files.account_rows(spark.createDataFrame([("{}",)], "raw string"))
+    assert [_parses(rows), _parses(rejects), _parses(rejects.filter("array_contains(feil_kolonner, 'raw')"))] == [1, 1, 1]
