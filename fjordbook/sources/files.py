@@ -184,7 +184,7 @@ def company_documents(documents: DataFrame, body: str = "doc") -> tuple[DataFram
     typed = typed_projection(flat, keep=["_key", "_empty", F.nullif(F.trim(_column(header)), F.lit("")).alias("_stated")])
     other = F.col("_empty") | (F.col("_stated") != F.col("_key"))
     wrong = F.concat("feil_kolonner", F.when(F.coalesce(other, F.lit(False)), F.array(F.lit(ORG))).otherwise(F.array().cast("array<string>")))
-    rows = typed.withColumn("feil_kolonner", wrong).withColumn(ORG, F.col("_key")).drop("_key", "_empty", "_stated")
+    rows = settled(typed.withColumn("feil_kolonner", wrong).withColumn(ORG, F.col("_key")).drop("_key", "_empty", "_stated"))
     good = F.size("feil_kolonner") == 0
     return rows.filter(good).drop("feil_kolonner"), rows.filter(~good)
 

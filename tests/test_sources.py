@@ -176,3 +176,8 @@ def _parses(frame):
 def test_accounts_documents_are_parsed_once(spark):
     rows, rejects = files.account_rows(spark.createDataFrame([("{}",)], "raw string"))
     assert [_parses(rows), _parses(rejects), _parses(rejects.filter("array_contains(feil_kolonner, 'raw')"))] == [1, 1, 1]
+
+
+def test_company_documents_are_parsed_once(spark):
+    rows, rejects = files.company_documents(spark.createDataFrame([("000000001", "{}")], f"{ORG} string, doc string"))
+    assert [_parses(rows), _parses(rejects)] == [1, 1]
