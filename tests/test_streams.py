@@ -116,3 +116,16 @@ def test_pages_read_only_the_row_groups_they_need(tmp_path, monkeypatch):
     monkeypatch.setattr(S.pq.ParquetFile, "read_row_group", lambda self, i, _r=S.pq.ParquetFile.read_row_group: read.append(i) or _r(self, i))
     assert pages.after(24, 10).column("oppdateringsid").to_pylist() == list(range(25, 35)) and read == [2, 3]
     assert len(pages.after(99, 10)) == 0
+
+
+def test_events_of_a_batch_do_not_pass_through_the_driver(tmp_path):
+    events = [(i, "abcde"[i % 5]) for i in range(100)]
+    write_feed(tmp_path / "f", events, groups=10)
+    stream = S.ChangeFeed({"path": str(tmp_path / "f"), "companies": "4", "page": "3"}).streamReader(None)
+    first, second = stream.latestOffset(), stream.latestOffset()
+    assert [first["id"], second["id"]] == [3, 7]
+    parts = stream.partitions({"id": 14}, {"id": 41})
+    assert [p.group for p in parts] == [1, 2, 3, 4]
+    assert [i for p in parts for b in stream.read(p) for i in b.column("oppdateringsid").to_pylist()] == list(range(15, 42))
+    again = S.ChangeFeed({"path": str(tmp_path / "f"), "companies": "4"}).streamReader(None)
+    assert len(again.partitions(first, second)) == 1 and again.latestOffset() == {"id": 11}
