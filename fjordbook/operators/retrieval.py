@@ -38,6 +38,18 @@ QUESTION_ENTRIES = 4_000_000
 #: Scores a task holds at once.
 SCORES_HELD = 4_000_000
 
+#: Bytes of text and entries of vectors that a task works on at once, however many rows a batch has.
+TEXT_HELD, ENTRIES_HELD = 2 << 20, 1 << 20
+
+
+def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in consecutive parts whose ``sizes`` add up to ``most`` or less; a row that is larger is a part of its own."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(batch):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))
+        yield batch.slice(start, max(1, stop - start))
+        start = max(start + 1, stop)
+
 
 def chunk(documents: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text",
           cap: int = 900, overlap: int = 100) -> DataFrame:
@@ -55,11 +67,11 @@ def chunk(documents: DataFrame, key: str = "doc_id", title: str = "title", text:
 def counted_terms(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, tokens, tf, places)``: the different unigrams and bigrams of each document, how often each occurs, and its hashed place.
 
-    A place is a slot, or below zero where the slot's sign is. Counted inside the row: the different words of a batch of texts are stemmed once,
+    A place is a slot, or below zero where the slot's sign is. Counted inside the row: the different words of some texts are stemmed once,
     and all are counted as arrays. The texts of a large table are not shuffled.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, pc.binary_length(whole.column("_words")).fill_null(0).to_numpy(), TEXT_HELD)):
             split = pc.split_pattern(batch.column("_words").fill_null(""), " ")
             words = split.flatten().dictionary_encode()
             stems = T.stem_each(words.dictionary).take(words.indices)
@@ -327,7 +339,7 @@ def knn_sparse(queries: DataFrame, vectors: DataFrame, k: int, query_key: str =
         def search(batches, names=names, slots=slots, values=values, ends=ends, models=models):
             best_keys: list = [None] * len(names)
             best = [np.empty(0)] * len(names)
-            for batch in batches:
+            for batch in (part for whole in batches for part in _parts(whole, whole.column("slots").value_lengths().to_numpy(), ENTRIES_HELD)):
                 rows = pa.Table.from_batches([batch])
                 for model in set(models):
                     part = rows.filter(pc.equal(rows.column("model"), model)) if extra else rows

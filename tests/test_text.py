@@ -313,3 +313,19 @@ def test_both_sides_are_marked_for_models_that_want_it(spark):
 
     assert said("nomic-embed-text:v1.5") == ["search_document: laks", "search_query: laks"]
     assert said("text-embedding-3-small") == ["laks", "laks"]
+
+
+def test_batches_are_worked_on_in_parts(spark, monkeypatch):
+    """Texts and vectors of one batch, more than a task holds at once: no part is larger, and nothing is lost."""
+    batch = pa.RecordBatch.from_pydict({"n": list(range(8))})
+    sizes = np.array([3, 3, 5, 20, 0, 0, 9, 1])
+    parts = [p.column("n").to_pylist() for p in X._parts(batch, sizes, 10)]
+    assert parts == [[0, 1], [2], [3], [4, 5, 6, 7]] and list(X._parts(batch.slice(0, 0), sizes[:0], 10)) == []
+    r = random.Random(4)
+    texts = [(i, " ".join(r.choice(["fish", "boats", "trading", "x", "of"]) + str(r.randrange(5)) for _ in range(r.randrange(30)))) for i in range(60)] + [(60, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    whole = [sorted(map(tuple, X.term_counts(frame).collect())), sorted(map(tuple, X.knn(*[X.index_documents(frame)[1].withColumnRenamed("doc_id", n) for n in ("query_id", "doc_id")], 3).collect()))]
+    monkeypatch.setattr(X, "TEXT_HELD", 200)
+    monkeypatch.setattr(X, "ENTRIES_HELD", 50)
+    cut = [sorted(map(tuple, X.term_counts(frame).collect())), sorted(map(tuple, X.knn(*[X.index_documents(frame)[1].withColumnRenamed("doc_id", n) for n in ("query_id", "doc_id")], 3).collect()))]
+    assert cut == whole and len(whole[1]) > 100
