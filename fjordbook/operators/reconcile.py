@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fjordbook.functions.hashing import content_hash, role_fingerprint
 from fjordbook.operators.keyed import first_per_key
 from fjordbook.schema import DELETION_TYPES, ORG
+from fjordbook.session import growing
 
 STATE = {"savnet_siden": "date", "slettet_dato": "date"}
 GRACE_DAYS = 7
@@ -69,7 +70,7 @@ def load_snapshot(
     if rejected is not None:
         named = rejected.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_avvist", F.lit(True))
         there = F.col("utfall").eqNullSafe("fravaerende") & F.col("_avvist").isNotNull()
-        sides = sides.join(named, key, "left").withColumn("utfall", F.when(there, "avvist").otherwise(F.col("utfall"))).drop("_avvist")
+        sides = sides.join(growing(named), key, "left").withColumn("utfall", F.when(there, "avvist").otherwise(F.col("utfall"))).drop("_avvist")
     keep_old = F.col("utfall").isin("uendret", "fravaerende", "avvist")
     missing_since, deleted_on = _deletion_marks(
         F.col("utfall") != "fravaerende", F.col("old.savnet_siden"), F.col("old.slettet_dato"), as_of, grace_days
@@ -193,10 +194,10 @@ def reconcile_scd2(
     current = current.withColumn("rolle_nokkel", role_fingerprint())
     fingerprint = ["rolle_nokkel"]
 
-    ended = current.join(incoming.select(*fingerprint), fingerprint, "left_anti")
+    ended = current.join(growing(incoming.select(*fingerprint)), fingerprint, "left_anti")
     archived = ended.withColumn("sist_sett", F.lit(as_of)).drop(*ROLE_HISTORY_DROPS)
     first_seen = current.groupBy(*fingerprint).agg(F.min("forst_sett").alias("_first"))
-    kept = incoming.join(first_seen, fingerprint, "left")
+    kept = incoming.join(growing(first_seen), fingerprint, "left")
     marked = kept.withColumn(mark, F.col("_first").isNull()) if mark else kept
     now = marked.withColumn("forst_sett", F.coalesce("_first", F.lit(as_of))).drop("_first", *fingerprint)
     return now, history.unionByName(archived, allowMissingColumns=True)

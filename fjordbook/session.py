@@ -52,6 +52,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not broadcast: one that grows with the register.
+
+    Spark goes by the size of files, and repetitive ones are many times larger as
+    rows: the driver would hold them all.
+    """
+    return df.hint("merge")
+
+
 def busy(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if it is read in fewer partitions than there are cores, else as it is.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
 from fjordbook.schema import ACCOUNT_KEY, ACCOUNT_PATHS, COMPANY_MAPPING, ORG, ROLE_DOCUMENT
+from fjordbook.session import growing
 
 
 def _spread(df: DataFrame, land: str | None) -> DataFrame:
@@ -98,7 +99,7 @@ def explode_roles(documents: DataFrame, companies: DataFrame | None = None) -> D
     With ``companies`` given, roles of companies outside the register are left out.
     """
     if companies is not None:
-        documents = documents.join(companies.select(ORG), ORG, "left_semi")
+        documents = documents.join(growing(companies.select(ORG)), ORG, "left_semi")
     groups = documents.select(ORG, F.explode("rollegrupper").alias("g"))
     roles = groups.select(ORG, "g", F.explode("g.roller").alias("r"))
     person, unit = "r.person", "r.enhet"

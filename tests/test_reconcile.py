@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from fjordbook.operators import accounts as A
 from fjordbook.operators import reconcile as R
-from fjordbook.schema import ORG
+from fjordbook.schema import ORG, ROLE_DOCUMENT
+from fjordbook.session import durable
+from fjordbook.sources.files import explode_roles
 
 DAY = date(2024, 3, 10)
 STATE = "savnet_siden date, slettet_dato date"
@@ -183,3 +185,17 @@ def test_smallest_bar_is_one_percent(spark):
     frame = accounts(spark, ("a", "SELSKAP", 2022, "NOK", "x", 1), ("a", "SELSKAP", 2023, "NOK", "x", -1000), ("z", "SELSKAP", 2023, "NOK", "x", 0))
     got = sorted((r[ORG], r.periode_til.year, r.andel_av_maks) for r in A.share_of_max(frame).collect())
     assert got == [("a", 2022, 1.0), ("a", 2023, 100.0), ("z", 2023, 1.0)]
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    """Roles and companies may be small files and many rows: the driver holds none of them."""
+    fields = ["rollegruppe_kode", "rolletype_kode", "innehaver_orgnr", "person_etternavn", "person_fornavn"]
+    roles = durable(spark.createDataFrame([("1", "STYR", "LEDE", None, "B", "A", DAY, 1)], f"{ORG} string, {', '.join(f + ' string' for f in fields)}, person_fodselsdato date, rekkefolge int"))
+    current = roles.withColumn("forst_sett", F.lit(DAY))
+    now, history = R.reconcile_scd2(current, current.limit(0).withColumn("sist_sett", F.lit(DAY)), roles, DAY)
+    documents = durable(spark.createDataFrame([], ROLE_DOCUMENT))
+    stored = durable(companies(spark, ("1", "one")))
+    loaded = R.load_snapshot(stored, stored, DAY, rejected=stored)
+    for frame in (now, history, explode_roles(documents, roles), loaded):
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert [r.forst_sett for r in now.collect()] == [DAY] and history.count() == 0
