@@ -108,6 +108,13 @@ def test_network_lists_nodes_with_their_edges(spark):
     assert by_depth == {("c", 1): ["b", "a"]}
 
 
+def test_shown_edges_are_taken_from_the_whole_graph(spark, rows):
+    edges = edges_frame(spark, [("a", "b", 60), ("b", "c", 70), ("a", "c", 10), ("d", "a", 5), ("c", "a", 9)])
+    nodes, induced = G.walk(edges, spark.createDataFrame([("c",), ("a",)], f"{ORG} string"), "opp")
+    for k in (2, 3, 120):
+        assert rows(G.nearest(nodes, edges, k)[1]) == rows(G.nearest(nodes, induced, k)[1]) != []
+
+
 @pytest.fixture
 def tree(spark):
     nodes = [("A", None, 1), ("01", "A", 2), ("01.1", "01", 3), ("01.11", "01.1", 4), ("01.111", "01.11", 5), ("01.112", "01.11", 5),
