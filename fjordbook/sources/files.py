@@ -2,7 +2,7 @@
 
 Every reader returns a DataFrame over the whole file. Formats that Spark can
 only read in one task per file (multi-line CSV and JSON) are spread out again
-right after, or landed as Parquet once with ``land``.
+right after; with ``land`` they are also landed as Parquet, in as many files.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from fjordbook.functions import cleaning as C
 from fjordbook.schema import ACCOUNT_KEY, ACCOUNT_PATHS, COMPANY_MAPPING, ORG, ROLE_DOCUMENT
-from fjordbook.session import growing
+from fjordbook.session import busy, durable, growing
 
 
 def _spread(df: DataFrame, land: str | None) -> DataFrame:
     if land is None:
         return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    df.write.mode("overwrite").parquet(land)
+    busy(df).write.mode("overwrite").parquet(land)
     return df.sparkSession.read.parquet(land)
 
 
@@ -54,6 +54,7 @@ def read_mapped_csv(
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "sep": ",", "inferSchema": False}
     raw = _spread(spark.read.csv(path, **{**options, **fmt}), land)
     rows = typed_projection(raw, mapping)
+    rows = rows if land is None else durable(rows)  # a landed file is typed once for all that is read of it
     good = F.size("feil_kolonner") == 0
     return rows.filter(good).drop("feil_kolonner"), rows.filter(~good)
 

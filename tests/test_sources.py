@@ -181,3 +181,14 @@ def test_accounts_documents_are_parsed_once(spark):
 def test_company_documents_are_parsed_once(spark):
     rows, rejects = files.company_documents(spark.createDataFrame([("000000001", "{}")], f"{ORG} string, doc string"))
     assert [_parses(rows), _parses(rejects)] == [1, 1]
+
+
+def test_a_landed_file_is_read_by_all_cores_and_typed_once(spark, tmp_path):
+    """One file is read by one task; what comes after it is not, and does not type its cells again."""
+    header = [h for h, _, _ in COMPANY_MAPPING]
+    lines = [",".join(f'"{n:09d}"' if h == "organisasjonsnummer" else ('"x"' if h == "antallAnsatte" and n % 5 == 0 else '""') for h in header) for n in range(40)]
+    (tmp_path / "a.csv").write_text("\n".join([",".join(f'"{h}"' for h in header), *lines]) + "\n", encoding="utf-8")
+    rows, rejects = files.read_mapped_csv(spark, str(tmp_path / "a.csv"), land=str(tmp_path / "raa"))
+    assert len(spark.read.parquet(str(tmp_path / "raa")).inputFiles()) > 1
+    assert "try_cast" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert (rows.count(), rejects.count()) == (32, 8)
