@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fjordbook.functions import cleaning as C
 from fjordbook.operators.keyed import lookup, scalar, top_per_key
 from fjordbook.schema import ORG
+from fjordbook.session import dealt
 
 def classify_holders(raw: DataFrame, year: int | Column) -> DataFrame:
     """Raw shareholder rows of one year, typed. Duplicates are real holdings and are kept."""
@@ -59,8 +60,8 @@ def newest_year(holdings: DataFrame) -> DataFrame:
 
 def owner_shares(holdings: DataFrame) -> DataFrame:
     """Summed share per (corporate owner, company) in the newest year; share classes add up."""
-    corporate = newest_year(holdings).filter(F.col("eier_orgnr").isNotNull())
-    return corporate.groupBy("eier_orgnr", ORG).agg(F.sum("andel_prosent").alias("andel"))
+    corporate = newest_year(holdings).filter(F.col("eier_orgnr").isNotNull()).select("eier_orgnr", ORG, "andel_prosent")
+    return dealt(corporate, holdings.count(), "eier_orgnr", ORG).groupBy("eier_orgnr", ORG).agg(F.sum("andel_prosent").alias("andel"))
 
 
 def ownership_edges(holdings: DataFrame) -> DataFrame:

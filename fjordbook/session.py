@@ -68,3 +68,17 @@ def busy(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Rows that one task groups: what its hash table holds does not grow with the input.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about so many ``rows``, dealt by ``keys`` to parts of at most ``TASK_ROWS`` or so.
+
+    For groupings with nearly as many keys as rows: adding up before the shuffle would
+    hold a table of all of a task's keys and save nothing, and parts by bytes hold the
+    more rows the better these pack. A part that is named by number is not merged again.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)

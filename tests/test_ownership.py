@@ -161,3 +161,13 @@ def test_limits_reach_the_map_side(spark):
     frame = spark.range(1000).selectExpr("id % 3 as k", "id as v").repartition(4)
     plan = first_per_key(frame, ["k"], F.desc("v"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_shares_are_added_up_in_parts_of_bounded_rows(spark, monkeypatch):
+    """Parts follow the number of rows, not the bytes they pack to, and nothing is added up before they are dealt."""
+    from fjordbook import session
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    held = spark.range(300).selectExpr("cast(2024 as smallint) regnskapsaar", "cast(id % 50 as string) eier_orgnr", "cast(id % 30 as string) organisasjonsnummer", "cast(1 as decimal(20,6)) andel_prosent")
+    shares = H.owner_shares(held)
+    assert shares.rdd.getNumPartitions() == 30
+    assert sum(r.andel for r in shares.collect()) == 300
