@@ -115,6 +115,20 @@ def test_shown_edges_are_taken_from_the_whole_graph(spark, rows):
         assert rows(G.nearest(nodes, edges, k)[1]) == rows(G.nearest(nodes, induced, k)[1]) != []
 
 
+def test_a_walk_hops_over_nodes_that_are_led_to_and_groups_bounded_parts(spark, monkeypatch):
+    """Later hops read only steps of nodes that a step leads to; parts of the last grouping follow the rows, however well these pack."""
+    from fjordbook import session
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    edges = edges_frame(spark, [(f"o{i % 3}", f"c{i:03d}", 10 + i % 7) for i in range(300)] + [("p", "o0", 50), ("q", "p", 60), ("o0", "o0", 5)])
+    assert {r.node for r in G._inner(G._steps(edges, "opp")).collect()} == {"o0", "p"}
+    nodes = G.reach(edges)
+    assert nodes.rdd.getNumPartitions() >= 50
+    assert sorted((r.node, r.niva, r.andel) for r in nodes.filter("fra = 'c003'").collect()) == [("o0", 1, 13), ("p", 2, 50), ("q", 3, 60)]
+    assert nodes.count() == 300 + 100 * 2 + 2 + 1
+    assert sorted(map(tuple, G.walk(edges)[0].collect())) == sorted(map(tuple, nodes.collect()))
+    assert G.walk(edges, depth=1)[0].count() == 302
+
+
 @pytest.fixture
 def tree(spark):
     nodes = [("A", None, 1), ("01", "A", 2), ("01.1", "01", 3), ("01.11", "01.1", 4), ("01.111", "01.11", 5), ("01.112", "01.11", 5),
