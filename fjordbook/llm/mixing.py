@@ -19,6 +19,8 @@ take part; an empty table gives an empty mix; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -178,12 +180,8 @@ def laid_out(sized: DataFrame, seed: int = SEED) -> DataFrame:
     return running_sum(sized, ["source"], order, [F.col("doc_id"), F.col("size")], F.col("size"), "at")
 
 
-def mix(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken, draws)`` of every row of ``(doc_id, source, size)``.
-
-    ``draws`` lists the pieces taken: output shard, place of the draw in its source,
-    reading (0, 1), first word and number of words. A column ``row`` is passed on.
-    """
+def _drawing(sized: DataFrame, shards: int, seed: int, **rule) -> tuple[DataFrame, Callable, T.StructType]:
+    """The rows that :func:`mix` draws from, the function over their batches that draws, and its schema."""
     plan = durable(quotas(targets(sized.select("source", "size"), **rule), shards, seed))
     placed = laid_out(sized, seed)
     known = plan.withColumnRenamed("source", "_source")
@@ -207,6 +205,16 @@ def mix(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> Dat
     schema = T.StructType([*sized.schema.fields])
     for name, kind in made.items():
         schema = schema.add(name, T.DataType.fromDDL(kind))
+    return rows, run, schema
+
+
+def mix(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, **rule) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken, draws)`` of every row of ``(doc_id, source, size)``.
+
+    ``draws`` lists the pieces taken: output shard, place of the draw in its source,
+    reading (0, 1), first word and number of words. A column ``row`` is passed on.
+    """
+    rows, run, schema = _drawing(sized, shards, seed, **rule)
     return rows.mapInArrow(lean(run), schema)
 
 
@@ -215,13 +223,14 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **r
 
     A document read whole keeps its text as it is. Of one read in part, drawn runs
     of words keep the text between them and are put on lines of their own. Columns
-    are those of ``docs``; ``n_chars`` follows the text.
+    are those of ``docs``; ``n_chars`` follows the text. Pieces are drawn and texts
+    cut in one Python worker of a task.
     """
-    mixed = mix(docs.select(*sized_columns(), whole_row(docs).alias("row")), shards, seed, **rule)
+    drawn, draw, schema = _drawing(docs.select(*sized_columns(), whole_row(docs).alias("row")), shards, seed, **rule)
     field = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in draw(batches):
             texts, sizes = pc.struct_field(batch.column("row"), [field]), batch.column("size").to_pylist()
             at, out = [], []
             for i, draws in enumerate(batch.column("draws").to_pylist()):
@@ -242,7 +251,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **r
                     out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], ["row", "body"])
 
-    rows = mixed.select("row", "size", "draws").mapInArrow(lean(run), T.StructType([mixed.schema["row"]]).add("body", "string"))
+    rows = drawn.mapInArrow(lean(run), T.StructType([schema["row"]]).add("body", "string"))
     own = {"text": F.col("body"), "n_chars": F.char_length("body").cast("long")}
     return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -99,3 +99,9 @@ def test_documents_of_the_mix(edges, none):
 def test_one_tiny_source(documents):
     check(M.mix(sizes(documents([(1, "a b c")]))).collect())
     check(M.mix(sizes(documents([(1, ""), (2, None)]))).collect())
+
+
+def test_documents_are_drawn_and_cut_in_one_worker(spark, documents):
+    docs = documents([(i, f"some words of text {i}", "ab"[i % 2]) for i in range(20)])
+    plan = M.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
