@@ -68,7 +68,7 @@ class TableStore:
             started = datetime.now(timezone.utc)
             path = f"{self.root}/{name}/{uuid.uuid4().hex}"
             written = Observation()
-            df.observe(written, F.count(F.lit(1)).alias("antall")).write.parquet(path)
+            df.observe(written, F.count(F.lit(1)).alias("antall")).write.parquet(path, compression="zstd")
             stored.append(self.spark.read.parquet(path))
             rows.append((name, path, written.get["antall"], started, None, properties))
         self._log(*rows)

@@ -275,3 +275,9 @@ def test_request_windows(spark):
     assert got == {"a": (62, 2, True), "b": (60, 0, False)}
 
 
+
+
+def test_published_tables_are_packed_with_zstd(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    files = store.publish("t", spark.range(3).toDF("x")).inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files) and store.read("t").count() == 3
