@@ -129,6 +129,11 @@ def test_a_walk_hops_over_nodes_that_are_led_to_and_groups_bounded_parts(spark,
     assert G.walk(edges, depth=1)[0].count() == 302
 
 
+def test_an_edge_without_an_end_is_no_edge_of_a_walk(spark):
+    edges = spark.createDataFrame([(None, "c", Decimal(5)), ("o", "c", Decimal(7))], f"eier_orgnr string, {ORG} string, andel decimal(20,2)")
+    assert [(r.fra, r.eier_orgnr, r[ORG]) for r in G.walk(edges)[1].collect()] == [("c", "o", "c")]
+
+
 @pytest.fixture
 def tree(spark):
     nodes = [("A", None, 1), ("01", "A", 2), ("01.1", "01", 3), ("01.11", "01.1", 4), ("01.111", "01.11", 5), ("01.112", "01.11", 5),
