@@ -247,23 +247,23 @@ _LISTED = "\nUNION ALL ".join(
     f"SELECT '{name}' AS liste, cast(row_number() OVER (ORDER BY {order}) AS INT) AS nr, organisasjonsnummer, navn FROM ({ORACLES[query]})" for name, (query, order) in _BUILT.items())
 
 
-def _built(spark, sf_dir, *, broken=None, names=None, extra=()):
-    """A store with the lists, built as the nightly job does."""
+def _built(spark, tables, *, broken=None, names=None, extra=()):
+    """A store with the lists of a register, built as the nightly job does."""
     store = TableStore(spark, f"{checkpoint_root(spark)}/lister-{uuid.uuid4().hex}")
     lists = {name: R.RANKINGS[name] for name in _BUILT}
     for name in extra:
         store.publish(build.PREFIX + name, spark.createDataFrame([("x", 1)], "navn string, nr int"), {"tittel": name, "kategori": "Status", "kolonner": '[{"felt": "navn"}]'})
-    outcomes = build.build_rankings(store, register(spark, sf_dir), names, lists)
+    outcomes = build.build_rankings(store, tables, names, lists)
     if broken:
         lists[broken] = replace(lists[broken], rows=lambda r: r.companies.select(F.raise_error(F.lit("broken list")).cast("string").alias("navn")))
-        outcomes = build.build_rankings(store, register(spark, sf_dir), [broken], lists)
+        outcomes = build.build_rankings(store, tables, [broken], lists)
     return store, outcomes
 
 
 @check("rankings_built", oracle=f"SELECT liste, nr, organisasjonsnummer, navn FROM ({_LISTED})")
 def rankings_built(spark, sf_dir):
     """The stored rows of three lists; one of them failed when it was built again and keeps its rows."""
-    store, _ = _built(spark, sf_dir, broken="storst-underskudd")
+    store, _ = _built(spark, register(spark, sf_dir), broken="storst-underskudd")
     parts = [build.list_rows(store, name).select(F.lit(name).alias("liste"), F.col("nr").cast("int"), ORG, "navn") for name in _BUILT]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -274,7 +274,7 @@ SELECT v.*, n.antall FROM (VALUES ('storst-omsetning', 'Largest revenue', 'Regns
 JOIN (SELECT liste AS navn, count(*) AS antall FROM ({_LISTED}) GROUP BY 1) n USING (navn)""")
 def rankings_index(spark, sf_dir):
     """Titles, column headings, sizes and the last error of each stored list."""
-    rows = build.ranking_index(_built(spark, sf_dir, broken="storst-underskudd")[0])
+    rows = build.ranking_index(_built(spark, register(spark, sf_dir), broken="storst-underskudd")[0])
     titles = F.from_json("kolonner", "array<struct<felt: string, tittel: string, format: string>>")["tittel"]
     fault = F.when(F.contains("feilmelding", F.lit("broken list")), "broken list").otherwise(F.coalesce("feilmelding", F.lit("")))
     return rows.select("navn", "tittel", "kategori", F.array_join(titles, ",").alias("titler"), fault.alias("feil"), "antall")
@@ -283,7 +283,7 @@ def rankings_index(spark, sf_dir):
 @check("rankings_teasers", oracle=f"SELECT liste AS navn, string_agg(navn, '|' ORDER BY nr) FILTER (WHERE nr <= 3) AS topp, 3 AS lister, true AS eldste_er_eldst FROM ({_LISTED}) GROUP BY 1")
 def rankings_teasers(spark, sf_dir):
     """The first three companies of each list, and whether the time shown is that of the list made first."""
-    store, _ = _built(spark, sf_dir)
+    store, _ = _built(spark, register(spark, sf_dir))
     oldest = build.ranking_index(store).agg(F.min("publisert")).first()[0]
     shown = build.teasers(store, list(_BUILT))
     return shown.select("navn", F.array_join("topp", "|").alias("topp"), F.col("lister").cast("int"), (F.col("eldste") == F.lit(oldest)).alias("eldste_er_eldst"))
@@ -292,6 +292,6 @@ def rankings_teasers(spark, sf_dir):
 @check("ranking_retired", oracle="SELECT * FROM (VALUES ('alle', 'hoyest-aksjekapital'), ('alle', 'storst-omsetning'), ('alle', 'storst-underskudd'), ('en', 'storst-omsetning'), ('en', 'gammel-liste')) v (bygget, navn)")
 def ranking_retired(spark, sf_dir):
     """A list that is defined no more is gone after all lists are built, but stays when one is."""
-    every = build.ranking_index(_built(spark, sf_dir, extra=["gammel-liste"])[0])
-    one = build.ranking_index(_built(spark, sf_dir, names=["storst-omsetning"], extra=["gammel-liste"])[0])
+    every = build.ranking_index(_built(spark, register(spark, sf_dir), extra=["gammel-liste"])[0])
+    one = build.ranking_index(_built(spark, register(spark, sf_dir), names=["storst-omsetning"], extra=["gammel-liste"])[0])
     return every.select(F.lit("alle").alias("bygget"), "navn").unionByName(one.select(F.lit("en").alias("bygget"), "navn"))

@@ -23,6 +23,9 @@ def build_rankings(store: TableStore, register: Register, names: list[str] | Non
     A list that fails keeps its previous rows and its error is recorded. Lists
     no longer defined are retired, but only when all lists are built. Returns
     the outcome of each list. ``lists`` are the definitions, all by default.
+
+    A register's derived tables are derived by its first build; a further one, of
+    whatever store, stores them again as they are. A new day's tables are a new register.
     """
     lists = RANKINGS if lists is None else lists
     unknown = set(names or ()) - set(lists)

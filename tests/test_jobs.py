@@ -6,6 +6,7 @@ from datetime import date, datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from fjordbook.operators import conversations as V
 from fjordbook.plans import build, jobs, rankings
 from fjordbook.schema import ORG
@@ -144,6 +145,33 @@ def test_lists_are_stored_indexed_and_survive_a_failure(spark, store, monkeypatc
     assert top["storst-omsetning"].topp == [r.navn for r in before[:3]] and top["siste-konkurser"].lister == 3
 
 
+def _derivations(monkeypatch):
+    """The names of derived tables, as often as one is derived from here on."""
+    derived = []
+    for name in ("latest_and_previous", "ownership_edges"):
+        derive = getattr(rankings, name)
+        monkeypatch.setattr(rankings, name, lambda table, name=name, derive=derive: derived.append(name) or derive(table))
+    return derived
+
+
+def test_another_build_of_a_register_stores_its_tables_whole_and_derives_none(spark, store, rows, tmp_path, monkeypatch):
+    register, fresh = standins.register(spark, "/root/testdata/sf0.001"), standins.register(spark, "/root/testdata/sf0.001")
+    latest, edges = rows(fresh.latest), rows(fresh.edges)
+    derived = _derivations(monkeypatch)
+    other = TableStore(spark, str(tmp_path / "other"))
+    for each in (store, other, store):
+        assert build.build_rankings(each, register, ["storst-omsetning"]) == {"storst-omsetning": "ok"}
+        assert rows(each.read("regnskap_siste")) == latest and rows(each.read("eierskap_kant")) == edges
+    assert sorted(derived) == ["latest_and_previous", "ownership_edges"]
+    assert len(latest) > 50 and len(edges) > 50
+
+
+def test_rankings_index_derives_each_table_once(spark, monkeypatch):
+    derived = _derivations(monkeypatch)
+    assert len(queries()["rankings_index"](spark, "/root/testdata/sf0.001").collect()) == 3
+    assert sorted(derived) == ["latest_and_previous", "ownership_edges"]
+
+
 def test_all_lists_are_defined(spark):
     assert len(rankings.RANKINGS) == 21
 
