@@ -292,6 +292,7 @@ def rankings_teasers(spark, sf_dir):
 @check("ranking_retired", oracle="SELECT * FROM (VALUES ('alle', 'hoyest-aksjekapital'), ('alle', 'storst-omsetning'), ('alle', 'storst-underskudd'), ('en', 'storst-omsetning'), ('en', 'gammel-liste')) v (bygget, navn)")
 def ranking_retired(spark, sf_dir):
     """A list that is defined no more is gone after all lists are built, but stays when one is."""
-    every = build.ranking_index(_built(spark, register(spark, sf_dir), extra=["gammel-liste"])[0])
-    one = build.ranking_index(_built(spark, register(spark, sf_dir), names=["storst-omsetning"], extra=["gammel-liste"])[0])
+    tables = register(spark, sf_dir)
+    every = build.ranking_index(_built(spark, tables, extra=["gammel-liste"])[0])
+    one = build.ranking_index(_built(spark, tables, names=["storst-omsetning"], extra=["gammel-liste"])[0])
     return every.select(F.lit("alle").alias("bygget"), "navn").unionByName(one.select(F.lit("en").alias("bygget"), "navn"))

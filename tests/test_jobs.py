@@ -172,6 +172,12 @@ def test_rankings_index_derives_each_table_once(spark, monkeypatch):
     assert sorted(derived) == ["latest_and_previous", "ownership_edges"]
 
 
+def test_ranking_retired_derives_each_table_once_for_both_stores(spark, monkeypatch):
+    derived = _derivations(monkeypatch)
+    assert len(queries()["ranking_retired"](spark, "/root/testdata/sf0.001").collect()) == 5
+    assert sorted(derived) == ["latest_and_previous", "ownership_edges"]
+
+
 def test_all_lists_are_defined(spark):
     assert len(rankings.RANKINGS) == 21
 
