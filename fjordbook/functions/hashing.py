@@ -78,7 +78,11 @@ _SLOT = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("sig
 
 def signed_slots(tokens: pd.Series) -> np.ndarray:
     """Where each token lands in a 4096-wide hashed vector; places of negative sign are given as ``-1 - slot``."""
-    place, sign = fnv1a(tokens, "#sign")
+    return slots_of(*fnv1a(tokens, "#sign"))
+
+
+def slots_of(place: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """:func:`signed_slots` of the hashes of tokens and of tokens with the mark of the sign."""
     slot = (place % 4096).astype(np.int32)
     return np.where(sign % 2 == 0, slot, -1 - slot)
 

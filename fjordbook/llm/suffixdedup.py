@@ -26,7 +26,6 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from contextlib import contextmanager
 from math import ceil, log2
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from fjordbook.llm import words as W
 from fjordbook.llm.common import table
 from fjordbook.llm.induced import MEMORY, NAMES, changes, ordered, to_end
-from fjordbook.session import durable
+from fjordbook.session import durable, shuffles_freed
 
 #: Bytes of a window, of the groups whose hashes find what may be repeated, and of those whose hashes deal it to shards:
 #: long groups are seldom the same by chance, short ones keep more windows together.
@@ -380,18 +379,6 @@ def later_windows(data: np.ndarray, ends: np.ndarray, least: np.ndarray, k: int,
     return piece[first], (late - starts[piece])[first], np.diff(np.append(first, len(late)))
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Within, the shuffles of a query are removed as it ends, so that the next step has their disk."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def deduplicated(docs: DataFrame, k: int = WINDOW, m: int = GROUP, memory: int = MEMORY, names: int = NAMES) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans)`` of every document of ``(doc_id, text)``.
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from fjordbook.functions import text as T
-from fjordbook.functions.hashing import signed_slots
+from fjordbook.functions.hashing import fnv1a, signed_slots, slots_of
 from fjordbook.operators.keyed import top_per_key
-from fjordbook.session import busy, durable
+from fjordbook.session import busy, durable, shuffles_freed, small_batches
 
 WIDTH = 4096
 
@@ -29,8 +30,17 @@ RELATIVE_FLOOR = 0.45
 #: Bytes of a block of queries and of a block of vectors, both as dense numbers.
 BLOCK_BYTES, PART_BYTES = 16 << 20, 64 << 20
 
-#: A token is split over sub-keys when it has more rows than this and more than one of so many parts of all rows, which at most that many tokens have.
-HOT_ROWS, HOT_PARTS = 100_000, 2000
+#: Texts whose terms are named once, in parts of ``TEXT_HELD``, and bytes of text behind a share of all terms.
+PIECE_PARTS, SHARE_TEXT = 2, 16 << 20
+
+#: Tokens of questions that are sent to every task to pick their weights.
+SENT_TOKENS = 1 << 18
+
+#: Passes over the shares of all terms, at most.
+PASSES = 4
+
+#: Terms hashed at once, and rows of texts and of vectors sent to Python at once.
+HASHED, SENT_ROWS = 1 << 16, 500
 
 #: Entries of the questions that are sent to the tasks together.
 QUESTION_ENTRIES = 4_000_000
@@ -64,6 +74,28 @@ def chunk(documents: DataFrame, key: str = "doc_id", title: str = "title", text:
     return pieces.withColumn("tekst", F.concat(head, F.lit("\n\n"), F.col("tekst"))).drop("_title")
 
 
+def _text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``_words`` in parts of ``TEXT_HELD`` bytes."""
+    return (part for whole in batches for part in _parts(whole, pc.binary_length(whole.column("_words")).fill_null(0).to_numpy(), TEXT_HELD))
+
+
+def _terms_of(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The different unigrams and bigrams of some texts of spaced words, and ``(text, term, tf)`` by text and term."""
+    split = pc.split_pattern(words.fill_null(""), " ")
+    words = split.flatten().dictionary_encode()
+    stems = T.stem_each(words.dictionary).take(words.indices)
+    full = pc.is_valid(stems).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(split)), split.value_lengths().to_numpy())[full]
+    words = stems.drop_null()
+    follows = np.flatnonzero(owner[1:] == owner[:-1])
+    pairs = pc.binary_join_element_wise(words.take(pa.array(follows)), words.take(pa.array(follows + 1)), "_")
+    found = pa.concat_arrays([words, pairs]).dictionary_encode()
+    code = found.indices.to_numpy().astype(np.int64)
+    each, tf = np.unique(np.concatenate([owner, owner[follows]]) * max(1, len(found.dictionary)) + code, return_counts=True)
+    doc, code = np.divmod(each, max(1, len(found.dictionary)))
+    return found.dictionary, doc, code, tf
+
+
 def counted_terms(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, tokens, tf, places)``: the different unigrams and bigrams of each document, how often each occurs, and its hashed place.
 
@@ -71,25 +103,18 @@ def counted_terms(documents: DataFrame, key: str = "doc_id", text: str = "text")
     and all are counted as arrays. The texts of a large table are not shuffled.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _parts(whole, pc.binary_length(whole.column("_words")).fill_null(0).to_numpy(), TEXT_HELD)):
-            split = pc.split_pattern(batch.column("_words").fill_null(""), " ")
-            words = split.flatten().dictionary_encode()
-            stems = T.stem_each(words.dictionary).take(words.indices)
-            full = pc.is_valid(stems).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(batch)), split.value_lengths().to_numpy())[full]
-            words = stems.drop_null()
-            follows = np.flatnonzero(owner[1:] == owner[:-1])
-            pairs = pc.binary_join_element_wise(words.take(pa.array(follows)), words.take(pa.array(follows + 1)), "_")
-            found = pa.concat_arrays([words, pairs]).dictionary_encode()
-            code = found.indices.to_numpy().astype(np.int64)
-            each, tf = np.unique(np.concatenate([owner, owner[follows]]) * max(1, len(found.dictionary)) + code, return_counts=True)
-            doc, code = np.divmod(each, max(1, len(found.dictionary)))
+        for batch in _text_parts(batches):
+            terms, doc, code, tf = _terms_of(batch.column("_words"))
             at = pa.array(np.searchsorted(doc, np.arange(len(batch) + 1)), pa.int32())
-            values = [found.dictionary.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(signed_slots(found.dictionary.to_pandas())[code], pa.int32())]
+            values = [terms.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(signed_slots(terms.to_pandas())[code], pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.ListArray.from_arrays(at, v) for v in values]], [key, "tokens", "tf", "places"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return busy(documents.select(key, text)).select(key, T.spaced_words(F.col(text)).alias("_words")).mapInArrow(count, f"{key} {kind}, tokens array<string>, tf array<long>, places array<int>")
+    return _spaced(documents, key, text).mapInArrow(count, f"{key} {kind}, tokens array<string>, tf array<long>, places array<int>")
+
+
+def _spaced(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return busy(documents.select(key, text)).select(key, T.spaced_words(F.col(text)).alias("_words"))
 
 
 def exploded_counts(counted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -125,7 +150,12 @@ def count_of(documents: DataFrame) -> Column:
 def _unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
     """Vectors from ``(key, tf, idf, slot, sign)`` rows: one shuffle, by document."""
     weight = F.col("sign") * (1 + F.ln("tf")) * F.col("idf")
-    slots = weighted.select(key, "slot", weight.alias("w")).repartition(F.col(key)).groupBy(key, "slot").agg(F.sum("w").alias("w"))
+    return _unit_length(weighted.select(key, "slot", weight.alias("w")), key)
+
+
+def _unit_length(entries: DataFrame, key: str) -> DataFrame:
+    """Vectors from ``(key, slot, w)`` rows."""
+    slots = entries.repartition(F.col(key)).groupBy(key, "slot").agg(F.sum("w").alias("w"))
     entries = F.sort_array(F.collect_list(F.struct("slot", "w")))
     rows = slots.groupBy(key).agg(entries.alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.filter("norm > 0").select(
@@ -133,31 +163,204 @@ def _unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
     )
 
 
-def index_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _packed(data: np.ndarray | bytes, level: int = 3) -> bytes:
+    """Numbers, all first bytes before all second ones, or text, compressed behind its length."""
+    raw = data if isinstance(data, bytes) else data.view(np.uint8).reshape(len(data), data.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type | None = None) -> np.ndarray | bytes:
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return raw if kind is None else np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _lines(data: bytes) -> pa.Array:
+    """The terms of a packed share, one a line."""
+    raw = _unpacked(data)
+    whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(raw)])), pa.py_buffer(raw))
+    return pc.split_pattern(whole, "\n").flatten().cast(pa.string())
+
+
+def _released(work, *given):
+    """What ``work`` returns, after its memory went back to the system: idle Python workers live on beside others."""
+    found = work(*given)
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+    return found
+
+
+def _named_once(documents: DataFrame, key: str, text: str, shares: int, passes: int) -> DataFrame:
+    """``(piece, row, keys, counts, terms0, terms1, …)``: the counted terms of pieces of some texts each, with every term of a piece named once.
+
+    A piece has a row without a number: its documents' keys, and as packed numbers the terms of
+    each, how far each term stands behind the one before it, how often it occurs, and the
+    places of all terms of the piece. The terms themselves stand in numbered rows, in order, with
+    the number of documents that have each. A share is a part of all terms by their hash; a row
+    has a share for each pass, in columns of their own, so that a pass reads its shares alone.
+    """
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for part in _text_parts(batches):
+            terms, *counts = _terms_of(part.column("_words"))
+            held.append((part.column(key), terms, *[c.astype(np.int32) for c in counts]))
+            size += pc.sum(pc.binary_length(part.column("_words"))).as_py() or 0
+            if size >= PIECE_PARTS * TEXT_HELD:
+                yield _released(piece, number, held)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield _released(piece, number, held)
+
+    def piece(number: int, held: list) -> pa.RecordBatch:
+        keys = pa.concat_arrays([h[0] for h in held])
+        codes = pa.concat_arrays([h[1] for h in held]).dictionary_encode()
+        terms, codes = codes.dictionary, codes.indices.to_numpy()
+        first = np.cumsum([0, *[len(h[1]) for h in held]])
+        before = np.cumsum([0, *[len(h[0]) for h in held]])
+        doc = np.concatenate([h[2] + np.int32(b) for h, b in zip(held, before, strict=False)])
+        code = np.concatenate([codes[f + h[3]] for h, f in zip(held, first, strict=False)])
+        tf = np.concatenate([h[4] for h in held])
+        held.clear()
+        hashed = [fnv1a(terms.slice(start, HASHED).to_pandas(), "#sign") for start in range(0, len(terms), HASHED)] or [fnv1a(terms.to_pandas(), "#sign")]
+        hashes, more = (np.concatenate(h) for h in zip(*hashed, strict=True))
+        order = pc.sort_indices(terms).to_numpy()
+        share = ((hashes >> 12) % shares).astype(np.int32)
+        order = order[np.argsort(share[order], kind="stable")]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        code = rank[code]
+        by = np.argsort(doc * np.int64(max(1, len(order))) + code, kind="stable")
+        doc, code, tf = doc[by], code[by], tf[by]
+        behind = np.diff(code, prepend=np.int32(0))
+        begins = np.flatnonzero(np.diff(doc, prepend=-1))
+        behind[begins] = code[begins]
+        sizes = np.bincount(doc, minlength=len(keys)).astype(np.int32)
+        places = slots_of(hashes, more)[order].astype(np.int16)
+        counts = [_packed(sizes), _packed(behind), _packed(tf), _packed(places)]
+        have = np.bincount(code, minlength=len(order)).astype(np.int32)
+        ends = np.searchsorted(share[order], np.arange(shares + 1))
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), terms.take(pa.array(order))), "\n")
+        packed = [[_packed(line.as_buffer().to_pybytes(), 6), _packed(have[low:high])] if high > low else None for line, low, high in zip(lines, ends, ends[1:], strict=False)]
+        rows = shares // passes
+        columns = [pa.array([None, *packed[p * rows:(p + 1) * rows]], pa.list_(pa.binary())) for p in range(passes)]
+        held_by = pa.ListArray.from_arrays(pa.array([0, *[len(keys)] * (rows + 1)], pa.int32()), keys)
+        return pa.RecordBatch.from_arrays([
+            pa.array([number] * (rows + 1), pa.int64()), pa.array([None, *range(rows)], pa.int32()), held_by, pa.array([counts, *[None] * rows], pa.list_(pa.binary())), *columns,
+        ], ["piece", "row", "keys", "counts", *[f"terms{p}" for p in range(passes)]])
+
+    kind = documents.schema[key].dataType.simpleString()
+    columns = "".join(f", terms{p} array<binary>" for p in range(passes))
+    return _spaced(documents, key, text).mapInArrow(name, f"piece long, row int, keys array<{kind}>, counts array<binary>{columns}")
+
+
+def _answered(named: pa.Table) -> pa.Table:
+    return _released(_share_answered, named)
+
+
+def _share_answered(named: pa.Table) -> pa.Table:
+    """A share of all terms: a row of its different terms and their document frequencies, and for each piece those of its own terms."""
+    share, pieces, data = named.column("share")[0].as_py(), named.column("piece").to_pylist(), named.column("data").to_pylist()
+    lists = [_lines(d[0]) for d in data]
+    ends = np.cumsum([0, *[len(x) for x in lists]])
+    lists = pa.concat_arrays(lists)
+    codes = lists.dictionary_encode()
+    del lists
+    terms, codes = codes.dictionary, codes.indices.to_numpy()
+    df = np.bincount(codes, np.concatenate([_unpacked(d[1], np.int32) for d in data]), len(terms)).astype(np.int64)
+    order = pc.sort_indices(terms)
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(terms)], pa.int64()), terms.take(order)), "\n")[0].as_buffer().to_pybytes()
+    rows = [[_packed(joined, 6), _packed(df[order.to_numpy()])], *[[_packed(df[codes[low:high]])] for low, high in zip(ends, ends[1:], strict=False)]]
+    return pa.table({"piece": pa.array([None, *pieces], pa.int64()), "share": pa.array([share] * len(rows), pa.int32()), "data": pa.array(rows, pa.list_(pa.binary()))})
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(token, df)`` rows of packed shares."""
+    for data in (d for batch in batches for d in batch.column("data").to_pylist()):
+        rows = pa.RecordBatch.from_arrays([_lines(data[0]), pa.array(_unpacked(data[1], np.int64))], ["token", "df"])
+        yield from _parts(rows, np.ones(len(rows), np.int64), 1 << 16)
+
+
+def index_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(weights, vectors)`` of a table of documents. Texts are tokenised once; the counts are stored.
 
-    A token of one document has the weight that this fixes, so only the others are
-    joined, and those with more than ``hot`` rows are spread over as many sub-keys.
+    Terms are rows nowhere but in ``weights``. A piece of the texts names each of its terms once;
+    the names are shuffled packed, by shares of all terms, and what comes back to a piece is one
+    number a term, in the order in which it named them. Vectors are made of a piece's packed counts.
     """
-    counted = durable(counted_terms(documents, key, text))
-    n, counts = count_of(documents), exploded_counts(counted, key)
-    weights = durable(idf(counts, n))
-    common = weights.filter("df > 1").select("token", "idf", "df")
-    rows = hot or max(HOT_ROWS, (weights.agg(F.sum("df")).first()[0] or 0) // HOT_PARTS)
-    split = [r.token for r in common.filter(F.col("df") > rows).select("token").collect()]  # at most HOT_PARTS by default
-    most = max(1, -(-(common.agg(F.max("df")).first()[0] or 0) // rows))
-    right = common.withColumn("_share", F.explode(F.when(F.col("token").isin(split), F.sequence(F.lit(0), F.lit(most - 1))).otherwise(F.array(F.lit(0))))).drop("df")
-    left = counts.withColumn("_share", F.when(F.col("token").isin(split), F.pmod(F.xxhash64(key), F.lit(most)).cast("int")).otherwise(0))
-    single = F.ln((n + 1) / 2) + 1
-    joined = left.join(right, ["token", "_share"], "left").withColumn("idf", F.coalesce("idf", single))
-    return weights, _unit_vectors(joined, key)
+    n, size = documents.select(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    rows = max(cores, -(-(size or 0) // SHARE_TEXT))
+    passes = min(PASSES, -(-rows // cores))
+    rows = min(-(-rows // passes), (1 << 20) // passes)
+    kind = documents.schema[key].dataType.simpleString()
+    small_batches(documents.sparkSession, SENT_ROWS)
+    with shuffles_freed(documents.sparkSession):
+        named = durable(_named_once(documents, key, text, rows * passes, passes))
+        answers = None
+        for p in range(passes):  # one after another: only the terms of one pass are on disk a second time
+            asked = named.filter(F.col(f"terms{p}").isNotNull()).select("piece", (F.col("row") + p * rows).alias("share"), F.col(f"terms{p}").alias("data"))
+            answered = durable(asked.repartition(rows, "share").groupBy("share").applyInArrow(_answered, "piece long, share int, data array<binary>"))
+            answers = answered if answers is None else answers.unionByName(answered)
+    weights = answers.filter("piece is null").select("data").mapInArrow(_frequencies, "token string, df long")
+    weights = weights.withColumn("idf", F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
+
+    def vectors(rows: pa.Table) -> pa.Table:
+        return _released(vectors_of, rows)
+
+    def vectors_of(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("share")  # the row without a share stands last
+        data = rows.column("data").to_pylist()
+        df = np.concatenate([_unpacked(d[0], np.int64) for d in data[:-1]] or [np.empty(0, np.int64)])
+        sizes, behind, tf, places = (_unpacked(d, kind) for d, kind in zip(data[-1], (np.int32, np.int32, np.int32, np.int16), strict=True))
+        if rows.column("share")[-1].as_py() is not None or len(df) != len(places):
+            raise ValueError("terms of a piece without an answer")
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        steps = np.cumsum(behind, dtype=np.int64)
+        begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+        code = steps - np.repeat(steps[begins] - behind[begins], sizes[sizes > 0])
+        places = places.astype(np.int64)
+        weight = np.where(places < 0, -1.0, 1.0) * (np.log((n + 1) / (df + 1)) + 1)
+        slot = np.where(places < 0, -1 - places, places)
+        at = doc * WIDTH + slot[code]
+        order = np.argsort(at, kind="stable")
+        each, first = np.unique(at[order], return_index=True)
+        w = np.add.reduceat(((1 + np.log(tf)) * weight[code])[order], first) if len(each) else np.empty(0)
+        owner, slot = np.divmod(each, WIDTH)
+        norm = np.sqrt(np.bincount(owner, w * w, len(sizes)))
+        ends = pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)), pa.int32())
+        values = np.divide(w, norm[owner], out=w.copy(), where=norm[owner] > 0)
+        return pa.table({
+            key: rows.column("keys").combine_chunks()[-1].values, "slots": pa.ListArray.from_arrays(ends, pa.array(slot, pa.int32())),
+            "values": pa.ListArray.from_arrays(ends, pa.array(values)), "norm": pa.array(norm),
+        })
+
+    counted = named.filter("row is null").select("piece", F.col("row").alias("share"), F.col("counts").alias("data"), "keys")
+    back = answers.filter("piece is not null").select("piece", "share", "data", F.lit(None).cast(f"array<{kind}>").alias("keys"))
+    made = counted.unionByName(back).groupBy("piece").applyInArrow(vectors, f"{key} {kind}, slots array<int>, values array<double>, norm double")
+    return weights, _merged(made, documents.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_k")), key)
+
+
+def _merged(vectors: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """Vectors by key: those of the keys in ``again``, which several rows have, are added up."""
+    whole = vectors.filter("norm > 0").select(key, "slots", "values")
+    if again.isEmpty():
+        return whole
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    entries = vectors.join(again, same, "left_semi").select(key, "norm", F.explode(F.arrays_zip("slots", "values")).alias("e"))
+    added = _unit_length(entries.select(key, F.col("e.slots").alias("slot"), F.when(F.col("norm") > 0, F.col("e.values") * F.col("norm")).otherwise(F.col("e.values")).alias("w")), key)
+    return whole.join(again, same, "left_anti").unionByName(added)
+
+
+def _known(weights: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(token, idf)`` of the tokens in ``asked``. A bounded number of these is sent to the tasks, and the weights of all others stay where they are read."""
+    tokens = durable(asked.select("token").distinct())
+    few = tokens.count() <= SENT_TOKENS
+    return durable(weights.select("token", "idf").join(F.broadcast(tokens) if few else tokens, "token", "left_semi"))
 
 
 def embed_questions(questions: DataFrame, weights: DataFrame, n_documents: Column, key: str = "query_id", text: str = "text") -> DataFrame:
     """Vectors of questions, with the weights of the documents alone; a token no document has is weighted as the rarest."""
     counts = durable(exploded_counts(counted_terms(questions, key, text), key))
-    known = weights.select("token", "idf").join(counts.select("token").distinct(), "token", "left_semi")
-    weighted = counts.join(known, "token", "left").withColumn("idf", F.coalesce("idf", F.ln(n_documents + 1) + 1))
+    weighted = counts.join(_known(weights, counts), "token", "left").withColumn("idf", F.coalesce("idf", F.ln(n_documents + 1) + 1))
     return _unit_vectors(weighted, key)
 
 
@@ -439,7 +642,7 @@ def extractive_answers(questions: DataFrame, passages: DataFrame, weights: DataF
     """
     asked = _each(questions, F.array_distinct(T.tokens(F.col("text"))), "token", query_key)
     unseen = F.ln(n_documents + 1) + 1
-    asked = asked.join(weights.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", unseen))
+    asked = asked.join(_known(weights, asked), "token", "left").withColumn("idf", F.coalesce("idf", unseen))
     quoted = passages.select(query_key, passage_key, F.posexplode(T.sentences(F.regexp_replace("text", r"^[^\n]*\n\n", "") if headed else F.col("text"))).alias("nr", "setning"))
     place = [query_key, passage_key, "nr"]
     found = _each(quoted, T.tokens(F.col("setning")), "token", *place, "setning").groupBy(*place, "setning", "token")

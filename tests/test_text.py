@@ -1,5 +1,8 @@
+import math
 import random
 import re
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from checks.texts import ENDINGS
 from fjordbook.functions import text as T
-from fjordbook.functions.hashing import fnv1a
+from fjordbook.functions.hashing import fnv1a, signed_slots
 from fjordbook.operators import retrieval as X
 
 # Two questions, the document frequencies of a 33-chunk corpus, and the weights they must get by slot.
@@ -335,3 +338,47 @@ def test_batches_are_worked_on_in_parts(spark, monkeypatch):
 def test_bigrams_are_counted_before_they_are_shuffled(spark):
     plan = queries()["bigrams"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1
+
+
+def _plain_vectors(texts):
+    """Vectors by key of ``(key, text)`` rows, worked out term by term; rows of one key add up."""
+    terms = []
+    for key, text in texts:
+        words = [w.as_py() for w in T.stem_each(pa.array((text or "").split(" "))) if w.is_valid]
+        terms.append((key, Counter(words + [f"{a}_{b}" for a, b in pairwise(words)])))
+    df = Counter(t for _, tf in terms for t in tf)
+    found = {}
+    for key, tf in terms:
+        for term, count in tf.items():
+            place = int(signed_slots(pd.Series([term]))[0])
+            slots = found.setdefault(key, {})
+            slot = -1 - place if place < 0 else place
+            slots[slot] = slots.get(slot, 0.0) + (-1 if place < 0 else 1) * (1 + math.log(count)) * (math.log((len(texts) + 1) / (df[term] + 1)) + 1)
+    norms = {key: math.sqrt(sum(w * w for w in slots.values())) for key, slots in found.items()}
+    return df, {key: {s: w / norms[key] for s, w in slots.items()} for key, slots in found.items()}
+
+
+@pytest.mark.parametrize("held", [None, 40])
+def test_vectors_are_those_of_terms_counted_one_by_one(spark, monkeypatch, held):
+    """Keys that come twice or are missing, empty texts, texts over several pieces: the vectors are exact, and no term is a row on the way."""
+    if held:
+        monkeypatch.setattr(X, "TEXT_HELD", held)
+        monkeypatch.setattr(X, "SHARE_TEXT", held)
+    r = random.Random(7)
+    texts = [(i, " ".join(r.choice(["fish", "boats", "trading", "x", "of", "\u00e6rlig"]) + str(r.randrange(4)) for _ in range(r.randrange(1, 25)))) for i in range(40)]
+    texts += [(3, "fish1 boats2"), (None, "fish1 fish1"), (None, "trading3"), (50, None), (51, ""), (52, "of x")]
+    weights, vectors = X.index_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    assert "token" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+    df, wanted = _plain_vectors(texts)
+    assert {w.token: w.df for w in weights.collect()} == df
+    found = {row[0]: dict(zip(row[1], row[2], strict=True)) for row in vectors.select("doc_id", "slots", "values").collect()}
+    assert found.keys() == wanted.keys() and len(found) == vectors.count()
+    for key, slots in wanted.items():
+        assert found[key] == pytest.approx(slots, abs=1e-12)
+    assert all(row.slots == sorted(row.slots) for row in vectors.select("slots").collect())
+
+
+def test_passages_meet_their_texts_without_a_shuffle_of_texts(spark):
+    for name in ("context_assembly", "extractive_top3", "extractive_headed"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 1, name
