@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.reconciling import DAY, LAST, ROLES, SNAPSHOTS, _GONE, _SINCE, _role_sets, _snapshots
 from checks.registry import check
-from checks.standins import AS_OF, table
+from checks.standins import AS_OF, table, write_arrays
 from fjordbook.operators import reconcile as R
 from fjordbook.plans import jobs
 from fjordbook.schema import COMPANY_MAPPING, ORG
@@ -105,8 +105,7 @@ def _write_roles(spark, roles):
     role = F.struct(F.struct(F.col("rolletype_kode").alias("kode")).alias("type"), F.col("rekkefolge"))
     group = F.struct(F.struct(F.lit("STYR").alias("kode")).alias("type"), F.collect_list(role).alias("roller"))
     documents = roles.groupBy(ORG).agg(F.to_json(F.struct(ORG, F.array(group).alias("rollegrupper"))).alias("d"))
-    share = documents.groupBy(F.pmod(F.xxhash64(ORG), F.lit(8)).alias("del")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("d"), ","), F.lit("]")).alias("value"))
-    share.write.partitionBy("del").text(path)
+    write_arrays(documents, roles, path, 8, "[", ",", "]")
     return path
 
 

@@ -3,8 +3,11 @@ import json
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from checks.filesources import _DAMAGE
+from checks.standins import write_arrays
 from fjordbook.functions import cleaning as C
 from fjordbook.schema import COMPANY_HEADERS, COMPANY_MAPPING, DUMP_FIELDS, ORG
 from fjordbook.sources import dump, files
@@ -192,3 +195,20 @@ def test_a_landed_file_is_read_by_all_cores_and_typed_once(spark, tmp_path):
     assert len(spark.read.parquet(str(tmp_path / "raa")).inputFiles()) > 1
     assert "try_cast" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
     assert (rows.count(), rejects.count()) == (32, 8)
+
+
+@pytest.mark.parametrize("name", [n for n, (layout, _) in _DAMAGE.items() if isinstance(layout, tuple)])
+def test_arrays_are_written_line_by_line(spark, tmp_path, name):
+    """A file for each share, each what joining its documents gives, without a row as long as that."""
+    opening, between, closing = _DAMAGE[name][0]
+    keys = [*[f"{i:09}" for i in range(30)], None]
+    documents = {k: '{"a":"' + 'x]}' * (i % 4) + f'{i}","r":[{{"b":[]}}]}}' for i, k in enumerate(keys)}
+    frame = spark.createDataFrame([*documents.items()], f"{ORG} string, d string").repartition(5)
+    share = F.pmod(F.xxhash64(ORG), F.lit(3))
+    wanted = {}
+    for k, n in frame.select(ORG, share).orderBy(F.asc_nulls_last(ORG)).collect():
+        wanted.setdefault(n, []).append(documents[k])
+    write_arrays(frame, frame.select(ORG), str(tmp_path / "a"), 3, opening, between, closing)
+    files = {int(f.parent.name[4:]): f.read_text() for f in (tmp_path / "a").glob("del=*/*.txt")}
+    assert files == {n: opening + between.join(mine) + closing for n, mine in wanted.items()}
+    assert len(list((tmp_path / "a").glob("del=*/*.txt"))) == len(wanted)
