@@ -15,6 +15,7 @@ from checks.texts import ENDINGS
 from fjordbook.functions import text as T
 from fjordbook.functions.hashing import fnv1a, signed_slots
 from fjordbook.operators import retrieval as X
+from fjordbook.session import durable
 
 # Two questions, the document frequencies of a 33-chunk corpus, and the weights they must get by slot.
 QUESTIONS = {
@@ -367,8 +368,14 @@ def test_vectors_are_those_of_terms_counted_one_by_one(spark, monkeypatch, held)
     r = random.Random(7)
     texts = [(i, " ".join(r.choice(["fish", "boats", "trading", "x", "of", "\u00e6rlig"]) + str(r.randrange(4)) for _ in range(r.randrange(1, 25)))) for i in range(40)]
     texts += [(3, "fish1 boats2"), (None, "fish1 fish1"), (None, "trading3"), (50, None), (51, ""), (52, "of x")]
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    if held:  # several batches a task, so pieces of several parts
+        spark.conf.set(rows, "3")
     weights, vectors = X.index_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
     assert "token" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+    vectors = durable(vectors)
+    spark.conf.set(rows, before)
     df, wanted = _plain_vectors(texts)
     assert {w.token: w.df for w in weights.collect()} == df
     found = {row[0]: dict(zip(row[1], row[2], strict=True)) for row in vectors.select("doc_id", "slots", "values").collect()}
